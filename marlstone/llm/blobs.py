@@ -18,7 +18,7 @@ def attempt_name(folder: str, part: int, suffix: str) -> str:
 def create(uri: str):
     store, path = fs.FileSystem.from_uri(uri)
     store.create_dir(path.rpartition("/")[0], recursive=True)
-    return store.open_output_stream(path)
+    return store.open_output_stream(path, compression=None)  # else a name in .gz is compressed once more
 
 
 def read_at(uri: str):
