@@ -186,14 +186,14 @@ def area_share(spark, d):
     return own.groupBy("category").agg(F.round(F.percentile(G.area(F.col("polygon")) / ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))), F.lit(0.5)), 6).alias("median_share"))
 
 
-SPANS = f"{W_OBJ}, r AS (SELECT * FROM obj WHERE NOT tri AND object_id <= 6), a AS (SELECT * FROM r WHERE object_id % 2 = 1), b AS (SELECT * FROM r WHERE object_id % 2 = 0)"
+SPANS = f"{W_OBJ}, r AS (SELECT * FROM obj WHERE NOT tri), a AS (SELECT * FROM r WHERE object_id % 2 = 1), b AS (SELECT * FROM r WHERE object_id % 2 = 0)"
 
 
 @book("d14_mask_dice", f"""{SPANS}, px AS (SELECT image_id, unnest(range(CAST(x0 AS BIGINT), CAST(x0 + w AS BIGINT))) AS x, y0, h, object_id FROM r), cells AS (SELECT DISTINCT image_id, object_id % 2 AS side, x, unnest(range(CAST(y0 AS BIGINT), CAST(y0 + h AS BIGINT))) AS y FROM px),
  n AS (SELECT image_id, x, y, count(*) FILTER (WHERE side = 1) AS p, count(*) FILTER (WHERE side = 0) AS g FROM cells GROUP BY ALL)
  SELECT image_id, round((2 * sum(p * g) + 1e-5) / (sum(p) + sum(g) + 1e-5), 6) AS dice, round((sum(p * g) + 1e-5) / (sum(p) + sum(g) - sum(p * g) + 1e-5), 6) AS iou FROM n GROUP BY image_id""")
 def mask_dice(spark, d):
-    own = A.with_box(objects(spark, d).where((F.size("polygon") == 4) & (F.col("object_id") <= 6)))
+    own = A.with_box(objects(spark, d).where(F.size("polygon") == 4))
     spans = O.box_spans(own)
     return B.rounded(O.dice(spans.where("object_id % 2 = 1"), spans.where("object_id % 2 = 0"), ["image_id"]))
 
@@ -203,7 +203,7 @@ def mask_dice(spark, d):
  s AS (SELECT image_id, l, 1 AS k, CAST([] AS INTEGER[]) AS ps, CAST([] AS INTEGER[]) AS gs FROM c UNION ALL SELECT image_id, l, k + 1, CASE WHEN list_contains(ps, l[k].p) OR list_contains(gs, l[k].g) THEN ps ELSE list_append(ps, l[k].p) END, CASE WHEN list_contains(ps, l[k].p) OR list_contains(gs, l[k].g) THEN gs ELSE list_append(gs, l[k].g) END FROM s WHERE k <= len(l))
  SELECT image_id, unnest(ps) AS pred_id, unnest(gs) AS gt_id FROM s WHERE k = len(l) + 1""")
 def greedy(spark, d):
-    own = A.with_box(objects(spark, d).where((F.size("polygon") == 4) & (F.col("object_id") <= 6)))
+    own = A.with_box(objects(spark, d).where(F.size("polygon") == 4))
     pairs = O.box_iou(own.where("object_id % 2 = 1"), own.where("object_id % 2 = 0"))
     return O.greedy_matches(pairs.where("iou >= 0.1")).select("image_id", "pred_id", "gt_id")
 

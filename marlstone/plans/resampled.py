@@ -1,5 +1,127 @@
-"""To come."""
+"""Resampling and shift tests (J)."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from marlstone.operators import resampling as R
+from marlstone.operators.splits import outer_folds
+from marlstone.plans import bindings as B
 from marlstone.plans.book import Book
+from marlstone.plans.evaluation import GATE, K, PRED, PRED_B, TOP
 
 book = Book()
+REPLICATES = 20
+
+
+def drawn(seed, parts):
+    return f"(('0x' || substr(sha256('{seed}|' || {parts}), 1, 13))::BIGINT)"
+
+
+def macro(source, ref, pred, by):
+    """SQL: mean F1 over four classes from rows (by, ref, pred, n)."""
+    keys = ", ".join(by + ["c.k"])
+    outer = f"SELECT {', '.join(by)}, " if by else "SELECT "
+    group = f" GROUP BY {', '.join(by)}" if by else ""
+    return f"""{outer}avg(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)) AS value FROM (SELECT {keys}, coalesce(sum(n) FILTER (WHERE {ref} = c.k AND {pred} = c.k), 0) AS tp, coalesce(sum(n) FILTER (WHERE {ref} = c.k AND {pred} <> c.k), 0) AS fn, coalesce(sum(n) FILTER (WHERE {ref} <> c.k AND {pred} = c.k), 0) AS fp FROM {source} CROSS JOIN range(4) c(k) GROUP BY {keys}){group}"""
+
+
+CELL = f"""cell AS (SELECT reference_id, CAST({TOP} AS INTEGER) AS top, count(*) AS n FROM pred_a GROUP BY ALL),
+cum AS (SELECT *, sum(n) OVER (PARTITION BY reference_id ORDER BY top) AS hi, sum(n) OVER (PARTITION BY reference_id) AS total FROM cell),
+dr AS (SELECT r.k AS replicate, t.reference_id, {drawn(5, "r.k || '|' || t.reference_id || '|' || g.k")} % t.total AS place FROM range({REPLICATES}) r(k) CROSS JOIN (SELECT DISTINCT reference_id, CAST(total AS BIGINT) AS total FROM cum) t CROSS JOIN LATERAL (SELECT unnest(range(t.total)) AS k) g),
+res AS (SELECT replicate, c.reference_id, c.top, count(*) AS n FROM dr JOIN cum c ON c.reference_id = dr.reference_id AND place >= hi - n AND place < hi GROUP BY ALL)"""
+
+
+@book("j1_bootstrap_macro_f1", f"{PRED}, {CELL}, v AS ({macro('res', 'reference_id', 'top', ['replicate'])}), o AS ({macro('cell', 'reference_id', 'top', [])}) SELECT round(quantile_cont(v.value, 0.025), 6) AS low, round(quantile_cont(v.value, 0.975), 6) AS high, count(*) AS replicates, round((SELECT value FROM o), 6) AS observed FROM v")
+def bootstrap_macro_f1(spark, d):
+    return B.rounded(R.bootstrap_macro_f1(B.predictions(spark, d), K, REPLICATES, 5))
+
+
+PAIR = f"""pair AS (SELECT a.reference_id, CAST(list_position(a.probs, list_max(a.probs)) - 1 AS INTEGER) AS pa, CAST(list_position(b.probs, list_max(b.probs)) - 1 AS INTEGER) AS pb, count(*) AS n FROM pred_a a JOIN pred_b b USING (person_key) GROUP BY ALL),
+pcum AS (SELECT *, sum(n) OVER (PARTITION BY reference_id ORDER BY pa, pb) AS hi, sum(n) OVER (PARTITION BY reference_id) AS total FROM pair),
+pdr AS (SELECT r.k AS replicate, t.reference_id, {drawn(5, "r.k || '|' || t.reference_id || '|' || g.k")} % t.total AS place FROM range({REPLICATES}) r(k) CROSS JOIN (SELECT DISTINCT reference_id, CAST(total AS BIGINT) AS total FROM pcum) t CROSS JOIN LATERAL (SELECT unnest(range(t.total)) AS k) g),
+pres AS (SELECT replicate, c.reference_id, pa, pb, count(*) AS n FROM pdr JOIN pcum c ON c.reference_id = pdr.reference_id AND place >= hi - n AND place < hi GROUP BY ALL),
+va AS ({macro('pres', 'reference_id', 'pa', ['replicate'])}), vb AS ({macro('pres', 'reference_id', 'pb', ['replicate'])}), oa AS ({macro('pair', 'reference_id', 'pa', [])}), ob AS ({macro('pair', 'reference_id', 'pb', [])}), dv AS (SELECT vb.value - va.value AS value FROM va JOIN vb USING (replicate))"""
+
+
+@book("j3_paired_macro_f1", f"{PRED}, {PRED_B}, {PAIR} SELECT round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, count(*) AS replicates, round((SELECT value FROM ob) - (SELECT value FROM oa), 6) AS observed, round(avg(CAST(value > 0 AS DOUBLE)), 6) AS share_above FROM dv")
+def paired(spark, d):
+    return B.rounded(R.paired_macro_f1(B.predictions(spark, d, "A"), B.predictions(spark, d, "B"), K, REPLICATES, 5))
+
+
+def weighted(source, stratum, key="person_key"):
+    """SQL: rows of source with replicate and weight."""
+    return f"""rnk AS (SELECT *, row_number() OVER (PARTITION BY {stratum} ORDER BY sha256('5|rank|' || {key})) AS rk FROM {source}), tot AS (SELECT {stratum} AS s, count(*) AS n FROM {source} GROUP BY 1),
+wd AS (SELECT s, r.k AS replicate, {drawn(5, "r.k || '|' || s || '|' || g.k")} % n + 1 AS rk, count(*) AS weight FROM tot CROSS JOIN range({REPLICATES}) r(k) CROSS JOIN LATERAL (SELECT unnest(range(1, n + 1)) AS k) g GROUP BY ALL),
+wr AS (SELECT rnk.*, replicate, weight FROM rnk JOIN wd ON wd.s = rnk.{stratum} AND wd.rk = rnk.rk),
+ws AS (SELECT replicate, score, sum(CASE WHEN positive THEN weight ELSE 0 END) AS p, sum(CASE WHEN positive THEN 0 ELSE weight END) AS q FROM wr GROUP BY ALL),
+wa AS (SELECT replicate, sum(p * (below + q / 2)) / nullif(sum(p) * sum(q), 0) AS value FROM (SELECT *, sum(q) OVER (PARTITION BY replicate ORDER BY score) - q AS below FROM ws) GROUP BY replicate),
+os AS (SELECT score, count(*) FILTER (WHERE positive) AS p, count(*) FILTER (WHERE NOT positive) AS q FROM {source} GROUP BY score), oa AS (SELECT sum(p * (below + q / 2)) / (sum(p) * sum(q)) AS value FROM (SELECT *, sum(q) OVER (ORDER BY score) - q AS below FROM os))
+SELECT round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, count(value) AS replicates, round((SELECT value FROM oa), 6) AS observed FROM wa"""
+
+
+@book("j4_bootstrap_auc", f"{GATE}, {weighted('gate_a', 'positive')}")
+def bootstrap_auc(spark, d):
+    return B.rounded(R.bootstrap_auc(B.gate(spark, d), REPLICATES, 5))
+
+
+@book("j5_stratified_bootstrap", f"{GATE}, gs_ AS (SELECT *, outer_fold || '_' || positive AS stratum FROM gate_a), {weighted('gs_', 'stratum')}")
+def stratified(spark, d):
+    own = B.gate(spark, d).withColumn("stratum", F.concat_ws("_", F.col("outer_fold").cast("string"), F.col("positive").cast("string")))
+    return B.rounded(R.bootstrap_auc(own, REPLICATES, 5, by_fold=True))
+
+
+@book("j2_bootstrap_class_auc", f"{PRED}, one AS (SELECT person_key, reference_id = 1 AS positive, probs[2] AS score FROM pred_a), {weighted('one', 'positive')}")
+def class_auc(spark, d):
+    own = B.predictions(spark, d).select("person_key", (F.col("reference_id") == 1).alias("positive"), F.element_at("probs", 2).alias("score"))
+    return B.rounded(R.bootstrap_auc(own, REPLICATES, 5))
+
+
+@book("j6_permuted_targets", f"WITH {B.LETTERS}, {B.folds_sql('letters', 'lf')}, a AS (SELECT *, row_number() OVER (PARTITION BY outer_fold ORDER BY sha256(person_key)) AS k FROM lf), b AS (SELECT outer_fold, diagnosis_id AS permuted, row_number() OVER (PARTITION BY outer_fold ORDER BY sha256('9|permute|' || person_key)) AS k FROM lf) SELECT person_key, a.outer_fold, b.permuted FROM a JOIN b ON a.outer_fold = b.outer_fold AND a.k = b.k")
+def permuted(spark, d):
+    own = outer_folds(B.letters(spark, d), 5, B.SEED)
+    return R.permuted(own, "outer_fold", "person_key", "diagnosis_id", 9).select("person_key", "outer_fold", "permuted")
+
+
+@book("j8_adjusted_p_values", "WITH t AS (SELECT p_brand, p_type, (count(*) * 7919 % 10007) / 10007 AS p FROM part GROUP BY ALL), r AS (SELECT *, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS n FROM t) SELECT p_brand, p_type, round(p, 6) AS p, round(least(min(p * n / k) OVER (ORDER BY k DESC), 1), 6) AS q FROM r")
+def adjusted(spark, d):
+    own = B.table(spark, d, "part").groupBy("p_brand", "p_type").agg((F.count("*") * 7919 % 10007 / 10007).alias("p"))
+    return B.rounded(R.benjamini_hochberg(own))
+
+
+FEATURES = ["l_quantity", "l_partkey", "l_suppkey"]
+LONG = f"""WITH {B.PEOPLE}, {B.folds_sql("people")}, li AS (SELECT f.outer_fold, l.* FROM lineitem l JOIN orders ON l_orderkey = o_orderkey JOIN folds f ON f.person_key = 'P' || o_custkey),
+lg AS ({" UNION ALL ".join(f"SELECT '{f}' AS feature, outer_fold, CAST(CAST({f} AS BIGINT) + CASE WHEN outer_fold = 2 AND '{f}' = 'l_quantity' THEN 20 ELSE 0 END AS DOUBLE) AS value FROM li" for f in FEATURES)}),
+ea AS (SELECT feature, f.k AS fold, outer_fold = f.k AS inside, value FROM lg CROSS JOIN range(5) f(k)),
+st AS (SELECT feature, fold, count(*) FILTER (WHERE inside) AS fn, count(*) FILTER (WHERE NOT inside) AS rn, avg(value) FILTER (WHERE inside) AS fold_mean, avg(value) FILTER (WHERE NOT inside) AS rest_mean, var_pop(value) FILTER (WHERE inside) AS fv, var_pop(value) FILTER (WHERE NOT inside) AS rv,
+ quantile_cont(value, 0.5) FILTER (WHERE inside) AS fold_median, quantile_cont(value, 0.25) FILTER (WHERE inside) AS fold_q25, quantile_cont(value, 0.75) FILTER (WHERE inside) AS fold_q75, quantile_cont(value, 0.5) FILTER (WHERE NOT inside) AS rest_median, quantile_cont(value, 0.25) FILTER (WHERE NOT inside) AS rest_q25, quantile_cont(value, 0.75) FILTER (WHERE NOT inside) AS rest_q75 FROM ea GROUP BY ALL),
+vc AS (SELECT feature, fold, value, count(*) FILTER (WHERE inside) AS a, count(*) FILTER (WHERE NOT inside) AS b FROM ea GROUP BY ALL),
+ks AS (SELECT feature, fold, max(abs(ca / fn - cb / rn)) AS ks FROM (SELECT feature, fold, sum(a) OVER w AS ca, sum(b) OVER w AS cb FROM vc WINDOW w AS (PARTITION BY feature, fold ORDER BY value)) JOIN st USING (feature, fold) GROUP BY ALL)"""
+
+
+def shifts(spark, d):
+    folds = outer_folds(B.people(spark, d), 5, B.SEED).select("person_key", "outer_fold")
+    li = B.table(spark, d, "lineitem").join(B.table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.concat(F.lit("P"), F.col("o_custkey").cast("string")).alias("person_key")), "l_orderkey").join(folds, "person_key")
+    moved = F.when((F.col("outer_fold") == 2) & (F.col("f.n") == "l_quantity"), 20).otherwise(0)
+    each = li.select("outer_fold", F.explode(F.array(*(F.struct(F.lit(f).alias("n"), F.col(f).cast("long").alias("v")) for f in FEATURES))).alias("f"))
+    return R.fold_shifts(each.select(F.col("f.n").alias("feature"), "outer_fold", (F.col("f.v") + moved).cast("double").alias("value")), list(range(5)))
+
+
+@book("j9_mean_differences", f"{LONG} SELECT feature, CAST(fold AS INTEGER) AS fold, round(abs(fold_mean - rest_mean) / sqrt((fv + rv) / 2), 6) AS abs_smd FROM st")
+def mean_differences(spark, d):
+    return B.rounded(shifts(spark, d).select("feature", "fold", "abs_smd"))
+
+
+@book("j10_fold_shifts", f"{LONG} SELECT feature, CAST(fold AS INTEGER) AS fold, round(fold_mean, 6) AS fold_mean, fold_median, fold_q25, fold_q75, round(rest_mean, 6) AS rest_mean, rest_median, rest_q25, rest_q75, round(abs(fold_mean - rest_mean) / sqrt((fv + rv) / 2), 6) AS abs_smd, round(ks, 6) AS ks FROM st JOIN ks USING (feature, fold)")
+def fold_shifts(spark, d):
+    return B.rounded(shifts(spark, d).drop("p"))
+
+
+@book("j10_shift_verdict", f"{LONG} SELECT count(*) AS tests, count(*) FILTER (WHERE abs(fold_mean - rest_mean) / sqrt((fv + rv) / 2) >= 0.5) AS large_shifts, count(*) FILTER (WHERE abs(fold_mean - rest_mean) / sqrt((fv + rv) / 2) >= 0.2) AS moderate_shifts, avg(CAST(abs(fold_mean - rest_mean) / sqrt((fv + rv) / 2) >= 0.2 AS DOUBLE)) >= 0.2 AS broad_shift FROM st")
+def shift_verdict(spark, d):
+    return R.shift_summary(shifts(spark, d), 0.5, 0.2, 0.2, 0.05)
+
+
+@book("j11_rank_correlation", f"WITH {B.LETTERS}, {B.folds_sql('letters', 'lf')}, r AS (SELECT outer_fold, rank() OVER (PARTITION BY outer_fold ORDER BY a) + (count(*) OVER (PARTITION BY outer_fold, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY outer_fold ORDER BY e) + (count(*) OVER (PARTITION BY outer_fold, e) - 1) / 2.0 AS re FROM lf) SELECT outer_fold, round(corr(ra, re), 6) AS rho, count(*) AS n FROM r GROUP BY outer_fold")
+def rank_correlation(spark, d):
+    return B.rounded(R.spearman(outer_folds(B.letters(spark, d), 5, B.SEED), "a", "e", ["outer_fold"]))
