@@ -22,7 +22,8 @@ def rank_of(v: Column, k: Column) -> Column:
 
 
 def normalised(v: Column) -> Column:
-    return F.transform(v, lambda x: x / total(v))
+    """Divided by the total; nulls if it is zero."""
+    return F.transform(v, lambda x: F.try_divide(x, total(v)))
 
 
 def tempered(v: Column, temperature: Column | float) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marlstone.functions.geometry import clipped_at
+from marlstone.sources.tables import written
 
 
 def clipped(df: DataFrame, polygon: str, x1: str, y1: str, x2: str, y2: str) -> DataFrame:
@@ -85,13 +86,13 @@ def greedy_matches(pairs: DataFrame, most_rounds: int = 50) -> DataFrame:
     A mutual best pair is what the greedy order takes too; each round is a window per object, and rounds are as many as an
     image's longest chain of ever better pairs."""
     order = lambda key: W.partitionBy("image_id", key).orderBy(F.desc("iou"), "pred_id", "gt_id")
-    found, left = None, pairs
+    found, left = None, written(pairs, "pairs")
     for _ in range(most_rounds):
-        best = left.withColumn("__p", F.row_number().over(order("pred_id"))).withColumn("__g", F.row_number().over(order("gt_id"))).where("__p = 1 AND __g = 1").drop("__p", "__g").checkpoint()
+        best = written(left.withColumn("__p", F.row_number().over(order("pred_id"))).withColumn("__g", F.row_number().over(order("gt_id"))).where("__p = 1 AND __g = 1").drop("__p", "__g"), "best")
         if best.isEmpty():
             break
         found = best if found is None else found.unionByName(best)
-        left = left.join(best.select("image_id", "pred_id"), ["image_id", "pred_id"], "left_anti").join(best.select("image_id", "gt_id"), ["image_id", "gt_id"], "left_anti").checkpoint()
+        left = written(left.join(best.select("image_id", "pred_id"), ["image_id", "pred_id"], "left_anti").join(best.select("image_id", "gt_id"), ["image_id", "gt_id"], "left_anti"), "left")
     else:
         raise RuntimeError(f"matches did not settle in {most_rounds} rounds")
     return pairs.limit(0) if found is None else found

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.draws import draw
 from marlstone.operators.contracts import counted
+from marlstone.sources.tables import written
 
 BUCKETS = ["existing_positive", "legacy_unlabeled_candidate"]
 
@@ -34,7 +35,7 @@ def build_queue(images: DataFrame, positives: DataFrame, targets: list[str], see
         person = pool.groupBy("bucket", "outer_fold", "diagnosis", "person_key").agg(F.min(F.struct("score", "image_key")).alias("b")).select("bucket", "outer_fold", "diagnosis", "person_key", "b.*")
         turn = person.withColumn("turn", F.row_number().over(W.partitionBy("bucket", "outer_fold", "diagnosis").orderBy("score"))).where(F.col("turn") <= per_cell)
         picked = turn.withColumn("k", F.row_number().over(W.partitionBy("bucket", "outer_fold").orderBy("turn", "score"))).where(F.col("k") <= per_cell)
-        rows = picked.select(F.lit(target).alias("target"), "bucket", "outer_fold", "image_key", "person_key", "diagnosis").checkpoint()
+        rows = written(picked.select(F.lit(target).alias("target"), "bucket", "outer_fold", "image_key", "person_key", "diagnosis"), "queue")
         chosen = rows if chosen is None else chosen.unionByName(rows)
     return chosen
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from marlstone.operators.models import centroid_oof
 from marlstone.operators.splits import outer_folds
+from marlstone.sources.tables import written
 
 #: Class orders, position = id.
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -42,19 +43,20 @@ def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL AND lang IS NOT NULL")
 
     def share(c: str) -> Column:
-        less = F.length(F.translate("text", c + c.upper(), ""))
+        less = F.length(F.replace(F.replace("text", F.lit(c)), F.lit(c.upper())))
         return F.expr("1000").cast("long") * (F.length("text") - less).cast("long")
 
     n = F.greatest(F.length("text"), F.lit(1)).cast("long")
     own = docs.select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("person_key"), F.col("doc_id"), F.col("lang").alias("diagnosis"), place("lang", LANGUAGES).alias("diagnosis_id"), n.alias("n"), *(share(c).alias(f"s_{c}") for c in "aeio"))
-    return own.select("person_key", "doc_id", "diagnosis", "diagnosis_id", *(F.expr(f"s_{c} div n").alias(c) for c in "aeio"))
+    # a few numbers per document from here on: the texts are read once, whatever is computed from them
+    return written(own.select("person_key", "doc_id", "diagnosis", "diagnosis_id", *(F.expr(f"s_{c} div n").alias(c) for c in "aeio")), "letters")
 
 
 def predictions(spark: SparkSession, sf_dir: str, model: str = "A") -> DataFrame:
     """Out-of-fold predictions of the letter models A (a, e, i) and B (o)."""
     features = ["a", "e", "i"] if model == "A" else ["o"]
     folds = outer_folds(letters(spark, sf_dir), 5, SEED)
-    scored = centroid_oof(folds, features, len(LANGUAGES), 1000.0)
+    scored = centroid_oof(written(folds, "folds"), features, len(LANGUAGES), 1000.0)
     return scored.select("person_key", "doc_id", "outer_fold", F.col("diagnosis_id").alias("reference_id"), F.col("diagnosis").alias("reference_class"), "probs", F.lit(1).alias("image_count"), F.lit(f"letters_{model.lower()}").alias("model_id"))
 
 

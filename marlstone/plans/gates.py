@@ -78,7 +78,7 @@ def shortcut_risk(spark, d):
 
 
 FUSED = f"""{PRED}, {PRED_B}, fu AS (SELECT a.person_key, a.outer_fold, CASE WHEN a.reference_id > 2 THEN a.reference_id - 1 ELSE a.reference_id END AS ref, [a.probs[1], a.probs[2], a.probs[4]] AS x, [b.probs[1], b.probs[2], b.probs[4]] AS y FROM pred_a a JOIN pred_b b USING (person_key) WHERE a.reference_id <> 2),
-fv AS (SELECT *, list_transform(x, lambda v: v / (x[1] + x[2] + x[3])) AS ap, list_transform(y, lambda v: v / (y[1] + y[2] + y[3])) AS bp FROM fu),
+fv AS (SELECT *, list_transform(x, lambda v: v / nullif(x[1] + x[2] + x[3], 0)) AS ap, list_transform(y, lambda v: v / nullif(y[1] + y[2] + y[3], 0)) AS bp FROM fu),
 fp AS (SELECT *, list_transform([1, 2, 3], lambda i: 0.75::DOUBLE * ap[i] + 0.25::DOUBLE * bp[i]) AS probs, list_position(ap, list_max(ap)) - 1 <> ref AS aw, list_position(bp, list_max(bp)) - 1 <> ref AS bw FROM fv)"""
 
 
