@@ -79,7 +79,7 @@ def shortcut_risk(spark, d):
 
 FUSED = f"""{PRED}, {PRED_B}, fu AS (SELECT a.person_key, a.outer_fold, CASE WHEN a.reference_id > 2 THEN a.reference_id - 1 ELSE a.reference_id END AS ref, [a.probs[1], a.probs[2], a.probs[4]] AS x, [b.probs[1], b.probs[2], b.probs[4]] AS y FROM pred_a a JOIN pred_b b USING (person_key) WHERE a.reference_id <> 2),
 fv AS (SELECT *, list_transform(x, lambda v: v / nullif(x[1] + x[2] + x[3], 0)) AS ap, list_transform(y, lambda v: v / nullif(y[1] + y[2] + y[3], 0)) AS bp FROM fu),
-fp AS (SELECT *, list_transform([1, 2, 3], lambda i: 0.75::DOUBLE * ap[i] + 0.25::DOUBLE * bp[i]) AS probs, list_position(ap, list_max(ap)) - 1 <> ref AS aw, list_position(bp, list_max(bp)) - 1 <> ref AS bw FROM fv)"""
+fp AS (SELECT *, list_transform([1, 2, 3], lambda i: 0.75::DOUBLE * ap[i] + 0.25::DOUBLE * bp[i]) AS probs, CASE WHEN list_max(ap) IS NOT NULL THEN list_position(ap, list_max(ap)) - 1 <> ref END AS aw, CASE WHEN list_max(bp) IS NOT NULL THEN list_position(bp, list_max(bp)) - 1 <> ref END AS bw FROM fv)"""
 
 
 def fused(spark, d):
@@ -103,7 +103,7 @@ def complementarity(spark, d):
 KINDS = {"fused_accuracy": "blend", "rescue_fraction": "rescue", "n_folds": "rescue", "n_classes": "rescue"}
 
 
-@book("k9_fusion_decision", f"{FUSED}, c AS ({COMPLEMENT}), b AS (SELECT avg(CAST(list_position(probs, list_max(probs)) - 1 = ref AS DOUBLE)) >= 0.99 AS ok FROM fp), r AS (SELECT rescue_fraction >= 0.1 AND n_folds >= 3 AND n_classes >= 2 AS ok FROM c) SELECT b.ok AS blend_passed, r.ok AS rescue_passed, CASE WHEN b.ok OR r.ok THEN 'advance' ELSE 'stop' END AS decision FROM b, r")
+@book("k9_fusion_decision", f"{FUSED}, c AS ({COMPLEMENT}), b AS (SELECT avg(CAST(CASE WHEN list_max(probs) IS NOT NULL THEN list_position(probs, list_max(probs)) - 1 = ref END AS DOUBLE)) >= 0.99 AS ok FROM fp), r AS (SELECT rescue_fraction >= 0.1 AND n_folds >= 3 AND n_classes >= 2 AS ok FROM c) SELECT b.ok AS blend_passed, r.ok AS rescue_passed, CASE WHEN b.ok OR r.ok THEN 'advance' ELSE 'stop' END AS decision FROM b, r")
 def fusion_decision(spark, d):
     own = fused(spark, d)
     c = G.complementarity(own).select(F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), v.cast("double").alias("value")) for n, v in (("rescue_fraction", F.col("rescue_fraction")), ("n_folds", F.size("folds")), ("n_classes", F.size("classes")))))).alias("m")).select("m.*")
@@ -118,7 +118,7 @@ def interpretations(spark, d):
     return G.interpretations(v)
 
 
-@book("k11_wide_output", f"{FUSED} SELECT person_key, outer_fold, round(ap[1], 6) AS a_p0, round(bp[1], 6) AS b_p0, round(probs[1], 6) AS f_p0, CAST(list_position(probs, list_max(probs)) - 1 AS INTEGER) AS top1, list_position(probs, list_max(probs)) - 1 = ref AS correct FROM fp")
+@book("k11_wide_output", f"{FUSED} SELECT person_key, outer_fold, round(ap[1], 6) AS a_p0, round(bp[1], 6) AS b_p0, round(probs[1], 6) AS f_p0, CASE WHEN list_max(probs) IS NOT NULL THEN CAST(list_position(probs, list_max(probs)) - 1 AS INTEGER) END AS top1, CASE WHEN list_max(probs) IS NOT NULL THEN list_position(probs, list_max(probs)) - 1 = ref END AS correct FROM fp")
 def wide_output(spark, d):
     top = V.argmax(F.col("probs"))
     first = lambda c: F.element_at(c, 1)
