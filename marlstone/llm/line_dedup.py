@@ -93,9 +93,10 @@ def _matches(windows: DataFrame) -> DataFrame:
     """(doc_id, at, first_doc, first_at) of windows that stand at an earlier place too."""
     place = F.struct("doc_id", "fp_at")
     repeated = windows.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select("fp")
-    candidates = windows.join(repeated, "fp", "left_semi")
+    # both sides of a join are plain exchanges then, which adaptive execution can split where a line is very common
+    candidates = windows.join(common.written(repeated, "repeated"), "fp", "left_semi")
     first = candidates.groupBy("content", "size").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("content", "size", "first")
-    return candidates.join(first, ["content", "size"]).where(F.struct("doc_id", "at") > F.col("first")).select("doc_id", "at", F.col("first.doc_id").alias("first_doc"), F.col("first.at").alias("first_at"), "size")
+    return candidates.join(common.written(first, "first"), ["content", "size"]).where(F.struct("doc_id", "at") > F.col("first")).select("doc_id", "at", F.col("first.doc_id").alias("first_doc"), F.col("first.at").alias("first_at"), "size")
 
 
 def repeated_runs(docs: DataFrame, window: int = WINDOW, long_line: int = LONG_LINE) -> DataFrame:
