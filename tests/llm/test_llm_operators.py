@@ -299,11 +299,11 @@ def test_substring_index_is_incremental_and_compacts(spark, tmp_path):
     folder, runs, found = "file://" + str(tmp_path), None, None
     every = spark.createDataFrame(texts, "doc_id long, text string")
     for k in range(5):
-        matches, runs = substrings.ingest(every.where(f"doc_id div 6 = {k}"), runs, 64, 17, folder)
+        matches, runs = substrings.ingest(every.where(f"doc_id div 6 = {k}"), runs, 256, 17, folder)
         found = matches if found is None else found.unionByName(matches)
         if k == 2:
             runs = substrings.compact(runs, folder, fan_in=1)
-    assert Counter(map(tuple, substrings.without_matches(every, found, 64, 17).collect())) == Counter(plain_substrings(texts))
+    assert Counter(map(tuple, substrings.without_matches(every, found, 17).collect())) == Counter(plain_substrings(texts))
     before = runs.groupBy("bucket").count().agg(F.max("count")).first()[0]
     small = substrings.compact(runs, folder, fan_in=1)
     assert before > 1 and small.groupBy("bucket").count().agg(F.max("count")).first()[0] == 1
