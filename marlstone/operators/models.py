@@ -42,3 +42,77 @@ def prior_oof(df: DataFrame) -> DataFrame:
     rest = _rest_counts(df, [])
     totals = rest.groupBy("outer_fold").agg(F.sum("n").alias("total"))
     return rest.join(totals, "outer_fold").select("outer_fold", "diagnosis_id", (F.col("n") / F.col("total")).alias("prior"))
+
+
+def _fitted(train: DataFrame, test: DataFrame, features: list[str], target: str, k: int, c: float, iterations: int) -> DataFrame:
+    """Median imputation, population scaling and balanced multinomial logistic regression of one fold; adds ``probs`` to the test rows.
+
+    All statistics are one aggregation of the training rows; a constant feature is scaled by one."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import vector_to_array
+
+    medians = train.agg(*(F.percentile(f, F.lit(0.5)).alias(f) for f in features)).first()
+    filled = lambda df: df.select("*", *(F.coalesce(F.col(f).cast("double"), F.lit(medians[f] if medians[f] is not None else 0.0)).alias(f"__x_{f}") for f in features))
+    own = filled(train)
+    stats = own.agg(*(F.avg(f"__x_{f}").alias(f"m_{f}") for f in features), *(F.stddev_pop(f"__x_{f}").alias(f"s_{f}") for f in features), F.count("*").alias("n")).first()
+    counts = {r[target]: r["count"] for r in train.groupBy(target).count().collect()}
+    if len(counts) < k:
+        raise ValueError(f"a class is missing among the training rows: {sorted(counts)}")
+    scale = lambda df: df.select("*", *(((F.col(f"__x_{f}") - stats[f"m_{f}"]) / (stats[f"s_{f}"] or 1.0)).alias(f"__z_{f}") for f in features))
+    weights = F.create_map(*(F.lit(x) for label, n in counts.items() for x in (label, stats["n"] / (k * n))))
+    assembler = VectorAssembler(inputCols=[f"__z_{f}" for f in features], outputCol="__v")
+    ready = assembler.transform(scale(own).withColumn("__w", F.element_at(weights, F.col(target))).withColumn("__y", F.col(target).cast("double")))
+    model = LogisticRegression(featuresCol="__v", labelCol="__y", weightCol="__w", predictionCol="__p", probabilityCol="__q", rawPredictionCol="__r", family="multinomial", regParam=1.0 / (c * stats["n"]), standardization=False, maxIter=iterations, tol=1e-6).fit(ready)
+    scored = model.transform(assembler.transform(scale(filled(test))))
+    return scored.select(*test.columns, F.transform(vector_to_array("__q"), lambda x: F.round(x, 9)).alias("probs"))
+
+
+def logistic_oof(df: DataFrame, features: list[str], k: int, target: str = "diagnosis_id", c: float = 1.0, iterations: int = 200) -> DataFrame:
+    """Each row is predicted once, by a model of the other folds. The loop is over the few folds; each fit is a Spark job."""
+    out = None
+    for fold in sorted(r.outer_fold for r in df.select("outer_fold").distinct().collect()):
+        scored = _fitted(df.where(F.col("outer_fold") != fold), df.where(F.col("outer_fold") == fold), features, target, k, c, iterations)
+        out = scored if out is None else out.unionByName(scored)
+    return out
+
+
+def ladder(df: DataFrame, sets: dict[str, list[str]], k: int) -> DataFrame:
+    """Predictions of several feature sets, one after the other, with ``model_id``."""
+    out = None
+    for name, features in sets.items():
+        own = logistic_oof(df, features, k).withColumn("model_id", F.lit(name))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def fold_identification(df: DataFrame, features: list[str], folds: int, seed: int) -> DataFrame:
+    """Can features tell the fold? Rows are dealt into new folds inside their fold; returns predictions of the fold as class."""
+    from marlstone.operators.splits import outer_folds
+
+    own = df.withColumn("diagnosis", F.col("outer_fold").cast("string")).withColumn("diagnosis_id", F.col("outer_fold")).drop("outer_fold")
+    return logistic_oof(outer_folds(own, folds, seed), features, folds)
+
+
+def error_prediction(df: DataFrame, predictions: DataFrame, features: list[str]) -> DataFrame:
+    """Can features tell another model's errors? (person_key, outer_fold, positive, score)"""
+    wrong = predictions.select("person_key", (V.argmax(F.col("probs")) != F.col("reference_id")).cast("int").alias("error"))
+    scored = logistic_oof(df.join(wrong, "person_key"), features, 2, target="error")
+    return scored.select("person_key", "outer_fold", (F.col("error") == 1).alias("positive"), F.element_at("probs", 2).alias("score"))
+
+
+def permutation_test(df: DataFrame, features: list[str], k: int, statistic, replicates: int, seed: int) -> DataFrame:
+    """Refits on targets permuted inside folds: observed, null_mean, null_p95, p = (exceed + 1) / (n + 1).
+
+    ``statistic``: predictions -> one number as a one-row DataFrame with ``value``."""
+    from marlstone.operators.resampling import permuted
+
+    ready = lambda x: x.withColumnRenamed("diagnosis_id", "reference_id")
+    rows = statistic(ready(logistic_oof(df, features, k))).select(F.lit(-1).alias("replicate"), "value")
+    for r in range(replicates):
+        own = permuted(df, "outer_fold", "person_key", "diagnosis_id", seed + r).drop("diagnosis_id").withColumnRenamed("permuted", "diagnosis_id")
+        rows = rows.unionByName(statistic(ready(logistic_oof(own, features, k))).select(F.lit(r).alias("replicate"), "value"))
+    observed = F.max(F.when(F.col("replicate") < 0, F.col("value")))
+    null = F.when(F.col("replicate") >= 0, F.col("value"))
+    own = rows.agg(observed.alias("observed"), F.avg(null).alias("null_mean"), F.percentile(null, F.lit(0.95)).alias("null_p95"), F.collect_list(null).alias("x"))
+    return own.select("observed", "null_mean", "null_p95", ((F.size(F.filter("x", lambda v: v >= F.col("observed"))) + 1) / (F.size("x") + 1)).alias("p"))

@@ -96,3 +96,15 @@ def greedy_matches(pairs: DataFrame, most_rounds: int = 50) -> DataFrame:
     else:
         raise RuntimeError(f"matches did not settle in {most_rounds} rounds")
     return pairs.limit(0) if found is None else found
+
+
+def match_summary(matches: DataFrame, predicted: DataFrame, truth: DataFrame, by: str = "category") -> DataFrame:
+    """Per class: gt, pred, matched, precision, recall, mean IoU, false positives and negatives. matches carry the class."""
+    n = lambda df, name: df.groupBy(by).agg(F.count("*").alias(name))
+    own = n(truth, "gt").join(n(predicted, "pred"), by, "full").join(matches.groupBy(by).agg(F.count("*").alias("matched"), F.avg("iou").alias("mean_iou")), by, "left").na.fill(0, ["gt", "pred", "matched"])
+    return own.select(by, "gt", "pred", "matched", F.coalesce(F.try_divide(F.col("matched"), F.col("pred")), F.lit(0.0)).alias("precision"), F.coalesce(F.try_divide(F.col("matched"), F.col("gt")), F.lit(0.0)).alias("recall"), F.coalesce("mean_iou", F.lit(0.0)).alias("mean_iou"), (F.col("pred") - F.col("matched")).alias("false_positives"), (F.col("gt") - F.col("matched")).alias("false_negatives"))
+
+
+def mean_over_images(scores: DataFrame, by: str = "category") -> DataFrame:
+    """scores (image_id, class, dice, iou) of images where the class is in either mask: mean per class and number of images."""
+    return scores.groupBy(by).agg(F.avg("dice").alias("dice"), F.avg("iou").alias("iou"), F.count("*").alias("images"))

@@ -281,3 +281,51 @@ def prompts(spark, d):
 @book("a17_label_inventory", f"{W_OBJ} SELECT DISTINCT trim(raw) AS label FROM obj")
 def inventory(spark, d):
     return objects(spark, d).select(F.trim("raw").alias("label")).distinct()
+
+
+def _sides(spark, d):
+    own = A.with_box(objects(spark, d).where(F.size("polygon") == 4))
+    return own.where("object_id % 2 = 1"), own.where("object_id % 2 = 0")
+
+
+@book("d16_match_summary", f"""WITH RECURSIVE {SPANS.removeprefix("WITH ")}, pairs AS (SELECT image_id, category, pred_id, gt_id, ov / (sa + sb - ov) AS iou FROM (SELECT a.image_id, a.category, a.object_id AS pred_id, b.object_id AS gt_id, a.w * a.h AS sa, b.w * b.h AS sb, greatest(0, least(a.x0 + a.w, b.x0 + b.w) - greatest(a.x0, b.x0)) * greatest(0, least(a.y0 + a.h, b.y0 + b.h) - greatest(a.y0, b.y0)) AS ov FROM a JOIN b ON a.image_id = b.image_id AND a.category = b.category)),
+ c AS (SELECT image_id, category, list_sort(list({{'o': -iou, 'p': pred_id, 'g': gt_id}})) AS l FROM pairs WHERE iou >= 0.1 GROUP BY ALL),
+ s AS (SELECT image_id, category, l, 1 AS k, CAST([] AS INTEGER[]) AS ps, CAST([] AS INTEGER[]) AS gs, CAST([] AS DOUBLE[]) AS os FROM c UNION ALL SELECT image_id, category, l, k + 1, CASE WHEN list_contains(ps, l[k].p) OR list_contains(gs, l[k].g) THEN ps ELSE list_append(ps, l[k].p) END, CASE WHEN list_contains(ps, l[k].p) OR list_contains(gs, l[k].g) THEN gs ELSE list_append(gs, l[k].g) END, CASE WHEN list_contains(ps, l[k].p) OR list_contains(gs, l[k].g) THEN os ELSE list_append(os, -l[k].o) END FROM s WHERE k <= len(l)),
+ m AS (SELECT category, count(*) AS matched, avg(iou) AS mean_iou FROM (SELECT category, unnest(os) AS iou FROM s WHERE k = len(l) + 1) GROUP BY 1), na AS (SELECT category, count(*) AS pred FROM a GROUP BY 1), nb AS (SELECT category, count(*) AS gt FROM b GROUP BY 1),
+ f AS (SELECT category, coalesce(gt, 0) AS gt, coalesce(pred, 0) AS pred, coalesce(matched, 0) AS matched, coalesce(mean_iou, 0) AS mean_iou FROM na FULL JOIN nb USING (category) LEFT JOIN m USING (category))
+ SELECT category, gt, pred, matched, round(coalesce(matched / nullif(pred, 0), 0), 6) AS "precision", round(coalesce(matched / nullif(gt, 0), 0), 6) AS recall, round(mean_iou, 6) AS mean_iou, pred - matched AS false_positives, gt - matched AS false_negatives FROM f""")
+def match_summary(spark, d):
+    predicted, truth = _sides(spark, d)
+    labels = predicted.select("image_id", F.col("object_id").alias("pred_id"), "category")
+    pairs = O.box_iou(predicted, truth).join(labels, ["image_id", "pred_id"]).join(truth.select("image_id", F.col("object_id").alias("gt_id"), F.col("category").alias("gt_category")), ["image_id", "gt_id"])
+    found = O.greedy_matches(pairs.where("iou >= 0.1 AND category = gt_category").drop("gt_category"))
+    return B.rounded(O.match_summary(found, predicted, truth))
+
+
+@book("d17_mean_dice", f"""{SPANS}, px AS (SELECT image_id, category, unnest(range(CAST(x0 AS BIGINT), CAST(x0 + w AS BIGINT))) AS x, y0, h, object_id FROM r), cells AS (SELECT DISTINCT image_id, category, object_id % 2 AS side, x, unnest(range(CAST(y0 AS BIGINT), CAST(y0 + h AS BIGINT))) AS y FROM px),
+ n AS (SELECT image_id, category, x, y, count(*) FILTER (WHERE side = 1) AS p, count(*) FILTER (WHERE side = 0) AS g FROM cells GROUP BY ALL),
+ i AS (SELECT image_id, category, (2 * sum(p * g) + 1e-5) / (sum(p) + sum(g) + 1e-5) AS dice, (sum(p * g) + 1e-5) / (sum(p) + sum(g) - sum(p * g) + 1e-5) AS iou FROM n GROUP BY ALL) SELECT category, round(avg(dice), 6) AS dice, round(avg(iou), 6) AS iou, count(*) AS images FROM i GROUP BY category""")
+def mean_dice(spark, d):
+    own = A.with_box(objects(spark, d).where(F.size("polygon") == 4))
+    spans = O.box_spans(own).join(own.select("image_id", "object_id", "category"), ["image_id", "object_id"])
+    scores = O.dice(spans.where("object_id % 2 = 1"), spans.where("object_id % 2 = 0"), ["image_id", "category"])
+    return B.rounded(O.mean_over_images(scores))
+
+
+@book("d7_polygon_masks", f"{W_OBJ} SELECT image_id, object_id, CAST(w * h AS BIGINT) AS pixels FROM obj WHERE NOT tri")
+def polygon_masks(spark, d):
+    spans = O.polygon_spans(objects(spark, d).where(F.size("polygon") == 4))
+    return spans.groupBy("image_id", "object_id").agg(F.sum(F.col("x1") - F.col("x0")).alias("pixels"))
+
+
+GEO = """WITH {IMG}, b AS (SELECT image_id, width, height, least(greatest(CAST(x1 AS INTEGER), 0), width - 1) AS l, least(greatest(CAST(y1 AS INTEGER), 0), height - 1) AS t, x2, y2 FROM img), c AS (SELECT *, least(greatest(CAST(x2 AS INTEGER), l + 1), width) AS r, least(greatest(CAST(y2 AS INTEGER), t + 1), height) AS o FROM b)
+SELECT image_id, round(ln(1 + width * height), 6) AS log_pixel_count, round(width / height, 6) AS image_aspect_ratio, CAST(r - l AS DOUBLE) AS roi_width_pixels, CAST(o - t AS DOUBLE) AS roi_height_pixels, round((r - l) / (o - t), 6) AS roi_aspect_ratio FROM c""".replace("{IMG}", IMG)
+
+
+@book("f1_geometry_features", GEO)
+def geometry_features(spark, d):
+    from marlstone.sources import pixels
+
+    box = G.clamped_box(*(F.col(c) for c in ("x1", "y1", "x2", "y2", "width", "height")))
+    own = images(spark, d).select(F.col("image_id").alias("path"), "width", "height", *(c.alias(n) for c, n in zip(box, ("left", "top", "right", "bottom"), strict=True)))
+    return B.rounded(pixels.geometry_features(own).select(F.col("path").alias("image_id"), "log_pixel_count", "image_aspect_ratio", "roi_width_pixels", "roi_height_pixels", "roi_aspect_ratio"))
