@@ -36,7 +36,7 @@ def fingerprints(files: DataFrame, cohort: str) -> DataFrame:
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
     """All files below a folder: path relative to it, content, modification time."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return files.select(F.regexp_extract("path", F.lit("^(?:[a-z]+:)?/*" + _escaped(root) + "/*(.*)$"), 1).alias("path"), "content", "modificationTime")
+    return files.select(F.regexp_extract("path", "^(?:[a-z]+:)?/*" + _escaped(root) + "/*(.*)$", 1).alias("path"), "content", "modificationTime")
 
 
 def _escaped(root: str) -> str:
@@ -106,16 +106,13 @@ def publish(df: DataFrame, path: str) -> None:
 
 
 def read_published(spark: SparkSession, path: str) -> DataFrame:
-    if not spark.read.format("binaryFile").option("pathGlobFilter", "_SUCCESS").load(path).count() and not _marked(spark, path):
+    """A published folder; one without its success mark is refused. The mark is looked up in whatever file system the path names."""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    if not mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark):
         raise ValueError(f"{path} isn't complete")
     return spark.read.parquet(path)
 
 
-def _marked(spark: SparkSession, path: str) -> bool:
-    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
-    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
-
-
 def registry_digest(tables: DataFrame) -> DataFrame:
     """(position, name, sha256) -> one digest of named tables in a fixed order."""
     lines = F.transform(F.array_sort(F.collect_list(F.struct("position", "name", "sha256"))), lambda x: F.concat_ws("", x["name"], F.lit("\0"), x["sha256"], F.lit("\n")))
