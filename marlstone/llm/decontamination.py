@@ -186,3 +186,17 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
     """The documents that aren't contaminated, with all their columns; those without a ``doc_id`` stay."""
     gone = judged(find_matches(docs, benchmark, window)).where("contaminated AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+
+
+ORACLE = """
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS l FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS l FROM benchmark),
+iw AS (SELECT DISTINCT item_id, least(len(l), 13) AS size, array_to_string(l[k:k + least(len(l), 13) - 1], ' ') AS c FROM (SELECT item_id, l, unnest(range(1, greatest(len(l) - 12, 1) + 1)) AS k FROM b WHERE len(l) > 0)),
+dw AS (SELECT doc_id, size, k, array_to_string(l[k:k + size - 1], ' ') AS c FROM (SELECT doc_id, l, size, unnest(range(1, len(l) - size + 2)) AS k FROM d CROSS JOIN (SELECT DISTINCT size FROM iw) WHERE len(l) >= size)),
+o AS (SELECT doc_id, dw.size, k, item_id FROM dw JOIN iw ON dw.size = iw.size AND dw.c = iw.c),
+h AS (SELECT doc_id, count(DISTINCT k + s) AS n FROM o CROSS JOIN range(13) r(s) WHERE s < size GROUP BY doc_id),
+i AS (SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM o) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(l) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(i.n, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(l) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
+"""

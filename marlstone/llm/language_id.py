@@ -253,9 +253,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def with_language(docs: DataFrame, vocabulary: str, least_score: float = 0.5) -> DataFrame:
-    """The documents whose language is known with at least ``least_score``, with all their columns.
-
-    Documents without a ``doc_id`` stay if any of their kind does: they are judged by their text alone, as a row of its own."""
+    """The documents whose language is known with at least ``least_score``, with all their columns; those without a ``doc_id`` stay."""
     found = identify(docs, fit(docs, vocabulary))
     gone = found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least_score)).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")

@@ -102,4 +102,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_substrings": op10_substrings,
 }
-ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op3_warc": WARC_ORACLE, "op6_urls": urls.ORACLE}
+ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op3_warc": WARC_ORACLE, "op6_urls": urls.ORACLE, "op9_decontamination": decontamination.ORACLE, "op10_substrings": substrings.ORACLE}
