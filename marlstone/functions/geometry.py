@@ -90,3 +90,23 @@ def letterbox(width: Column, height: Column, size: int) -> dict[str, Column]:
     new_h = F.greatest(F.lit(1), F.bround(height * scale).cast("int"))
     half = lambda x: F.floor(x / 2).cast("int")
     return {"scale": scale, "new_width": new_w, "new_height": new_h, "left": half(F.lit(size) - new_w), "top": half(F.lit(size) - new_h)}
+
+
+def self_crossing(p: Column) -> Column:
+    """Whether two edges without a common point cross each other. Edges that only touch don't count."""
+    n = F.size(p)
+    edges = F.zip_with(p, F.concat(F.slice(p, F.lit(2), n), F.slice(p, 1, 1)), lambda a, b: F.struct(F.element_at(a, 1).alias("ax"), F.element_at(a, 2).alias("ay"), F.element_at(b, 1).alias("bx"), F.element_at(b, 2).alias("by")))
+    numbered = F.transform(edges, lambda e, i: F.struct(e.alias("e"), i.alias("i")))
+
+    def side(e, x, y):
+        return F.signum((e["bx"] - e["ax"]) * (y - e["ay"]) - (e["by"] - e["ay"]) * (x - e["ax"]))
+
+    def cross(a, b):
+        return (side(a, b["ax"], b["ay"]) * side(a, b["bx"], b["by"]) < 0) & (side(b, a["ax"], a["ay"]) * side(b, a["bx"], a["by"]) < 0)
+
+    return F.exists(numbered, lambda u: F.exists(numbered, lambda v: (v["i"] > u["i"] + 1) & cross(u["e"], v["e"])))
+
+
+def originally_valid(p: Column) -> Column:
+    """At least three points, an area, and no crossing edges."""
+    return F.coalesce((F.size(p) >= 3) & (area(p) > 0) & ~self_crossing(p), F.lit(False))

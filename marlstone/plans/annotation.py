@@ -329,3 +329,12 @@ def geometry_features(spark, d):
     box = G.clamped_box(*(F.col(c) for c in ("x1", "y1", "x2", "y2", "width", "height")))
     own = images(spark, d).select(F.col("image_id").alias("path"), "width", "height", *(c.alias(n) for c, n in zip(box, ("left", "top", "right", "bottom"), strict=True)))
     return B.rounded(pixels.geometry_features(own).select(F.col("path").alias("image_id"), "log_pixel_count", "image_aspect_ratio", "roi_width_pixels", "roi_height_pixels", "roi_aspect_ratio"))
+
+
+@book("d9_polygon_validity", f"{W_OBJ} SELECT image_id, object_id, object_id % 3 <> 0 OR tri AS valid, NOT tri AND object_id % 3 = 0 AS crossing FROM obj")
+def polygon_validity(spark, d):
+    """Every third rectangle with two points exchanged is a bow tie."""
+    p = F.col("polygon")
+    tie = F.array(F.element_at(p, 1), F.element_at(p, 3), F.element_at(p, 2), F.try_element_at(p, F.lit(4)))
+    own = objects(spark, d).withColumn("polygon", F.when((F.col("object_id") % 3 == 0) & (F.size(p) == 4), tie).otherwise(p))
+    return own.select("image_id", "object_id", G.originally_valid(F.col("polygon")).alias("valid"), G.self_crossing(F.col("polygon")).alias("crossing"))
