@@ -29,6 +29,13 @@ def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, marked further until no column of ``df`` is called so."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = "_" + name
+    return name
+
+
 def text_of(column: str = "text"):
     """A text column as string, null as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

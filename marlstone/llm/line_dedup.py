@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import common
 
@@ -99,49 +100,78 @@ def _matches(windows: DataFrame) -> DataFrame:
     return candidates.join(common.written(first, "first"), ["content", "size"]).where(F.struct("doc_id", "at") > F.col("first")).select("doc_id", "at", F.col("first.doc_id").alias("first_doc"), F.col("first.at").alias("first_at"), "size")
 
 
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many first values are equal; looks little further than those."""
+    n, at, step = min(len(a), len(b)), 0, 64
+    while at < n:
+        stop = min(n, at + step)
+        other = np.flatnonzero(a[at:stop] != b[at:stop])
+        if len(other):
+            return at + int(other[0])
+        at, step = stop, 2 * step
+    return n
+
+
+def extended(own: np.ndarray, first: np.ndarray, places: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Matches (at, first_at, size) of two documents' hashes -> runs (start, n, first_start) that cover all that are true.
+
+    Matches are taken by place; one inside the runs so far adds nothing, and none is extended to the left into those, so the
+    work grows with the lines even where a document repeats one line throughout."""
+    runs, end = [], 0
+    for at, first_at, size in sorted(places):
+        if at + size <= end:
+            continue
+        n = _common(own[at:], first[first_at:])
+        if n >= size:
+            back = _common(own[min(at, end) : at][::-1], first[:first_at][::-1])
+            runs.append((at - back, n + back, first_at - back))
+            end = at + n
+    return runs
+
+
 def repeated_runs(docs: DataFrame, window: int = WINDOW, long_line: int = LONG_LINE) -> DataFrame:
     """(doc_id, start, n, first_doc, first_start) of runs of lines that stand at an earlier place too, and the document's ``digest``. docs: (doc_id, text)."""
     lines = _lines(docs, long_line)
-    pairs = _matches(_windows(lines, window)).groupBy("doc_id", "first_doc").agg(F.collect_set(F.struct("at", "first_at")).alias("places"))
-    both = pairs.join(lines.select("doc_id", "hashes", "long"), "doc_id").join(lines.select(F.col("doc_id").alias("first_doc"), F.col("hashes").alias("first_hashes")), "first_doc")
+    pairs = _matches(_windows(lines, window)).groupBy("doc_id", "first_doc").agg(F.collect_set(F.struct("at", "first_at", "size")).alias("places"))
+    both = pairs.join(lines.select("doc_id", "hashes"), "doc_id").join(lines.select(F.col("doc_id").alias("first_doc"), F.col("hashes").alias("first_hashes")), "first_doc")
 
-    def extended(batches):
+    def made(batches):
         for batch in batches:
             rows = []
-            for doc_id, first_doc, raw, first_raw, long, places in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "first_doc", "hashes", "first_hashes", "long", "places")), strict=True):
-                own, first, longs = np.frombuffer(raw, dtype=np.uint64), np.frombuffer(first_raw, dtype=np.uint64), np.frombuffer(long, dtype=bool)
-                for shift in {p["at"] - p["first_at"] for p in places}:
-                    low, high = max(0, shift), min(len(own), len(first) + shift)
-                    edges = np.diff(np.concatenate([[False], own[low:high] == first[low - shift : high - shift], [False]]).astype(np.int8))
-                    starts, ends = np.flatnonzero(edges == 1) + low, np.flatnonzero(edges == -1) + low
-                    rows += [(doc_id, s, e - s, first_doc, s - shift) for s, e in zip(starts.tolist(), ends.tolist(), strict=True) if e - s >= window or longs[s:e].any()]
+            for doc_id, first_doc, raw, first_raw, places in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "first_doc", "hashes", "first_hashes", "places")), strict=True):
+                own, first = np.frombuffer(raw, dtype=np.uint64), np.frombuffer(first_raw, dtype=np.uint64)
+                rows += [(doc_id, start, n, first_doc, there) for start, n, there in extended(own, first, [(p["at"], p["first_at"], p["size"]) for p in places])]
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=t) for k, t in enumerate(kinds)], names=["doc_id", "start", "n", "first_doc", "first_start"])
 
-    wanted = both.select("doc_id", "first_doc", "hashes", "first_hashes", "long", "places")
-    found = wanted.mapInArrow(extended, "doc_id long, start int, n int, first_doc long, first_start int")
+    wanted = both.select("doc_id", "first_doc", "hashes", "first_hashes", "places")
+    found = wanted.mapInArrow(made, "doc_id long, start int, n int, first_doc long, first_start int")
     return found.join(lines.select("doc_id", F.xxhash64("hashes").alias("digest"), "hashes"), "doc_id")
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, long_line: int = LONG_LINE, counts: bool = False) -> DataFrame:
-    """The documents, with all their columns, without the lines of later repeated runs; ``counts`` adds n_lines and n_removed."""
+    """The documents, with all their columns, without the lines of later repeated runs; ``counts`` adds n_lines and n_removed, in place of columns of these names."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
-    runs = repeated_runs(own, window, long_line).groupBy("doc_id").agg(F.collect_set(F.struct("start", "n")).alias("__runs"), F.first("hashes").alias("__hashes")).withColumnRenamed("doc_id", "__doc_id")
-    joined = docs.join(runs, docs["doc_id"].cast("long") == runs["__doc_id"], "left").drop("__doc_id")
-    names = docs.columns
-    added = "".join(f", {c} long" for c in ("n_lines", "n_removed")) if counts else ""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + added
+    names = [c for c in docs.columns if not (counts and c in ("n_lines", "n_removed"))]
+    found, seen = (common.free_name(docs, c) for c in ("__runs", "__hashes"))
+    runs = repeated_runs(own, window, long_line).groupBy("doc_id").agg(F.collect_set(F.struct("start", "n")).alias(found), F.first("hashes").alias(seen)).withColumnRenamed("doc_id", common.free_name(docs, "__doc_id"))
+    joined = docs.select(*(docs[c] for c in names)).join(runs, docs["doc_id"].cast("long") == runs[runs.columns[0]], "left").drop(runs.columns[0])
+    fields = StructType([StructField(c, docs.schema[c].dataType) for c in names] + [StructField(c, LongType()) for c in ("n_lines", "n_removed") if counts])
 
     def cleaned(batches):
         for batch in common.slices(batches, "text", TEXT_BYTES):
             texts, n_lines, n_removed = [], [], []
-            for text, runs, hashes in zip(batch.column("text").to_pylist(), batch.column("__runs").to_pylist(), batch.column("__hashes").to_pylist(), strict=True):
+            for text, runs, hashes in zip(batch.column("text").to_pylist(), batch.column(found).to_pylist(), batch.column(seen).to_pylist(), strict=True):
                 raw = (text or "").encode()
                 lines = raw.split(b"\n")
                 full = [k for k, line in enumerate(lines) if line.strip()]
                 gone: set[int] = set()
                 if runs and line_hashes(raw, long_line)[0].tobytes() == hashes:
-                    gone = {full[k] for r in runs for k in range(r["start"], r["start"] + r["n"])}
+                    edges = np.zeros(len(full) + 1, dtype=np.int64)
+                    for r in runs:
+                        edges[r["start"]] += 1
+                        edges[r["start"] + r["n"]] -= 1
+                    gone = {full[k] for k in np.flatnonzero(np.cumsum(edges)).tolist()}
                 texts.append(b"\n".join(x for k, x in enumerate(lines) if k not in gone).decode() if gone else text)
                 n_lines.append(len(full))
                 n_removed.append(len(gone))

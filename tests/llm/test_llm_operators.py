@@ -343,6 +343,26 @@ def test_line_dedup_is_brute_force(spark, docs, none):
     assert Counter((r.doc_id, r.n_lines, r.n_removed, r.text) for r in got) == Counter(plain_lines(rows))
     wide = line_dedup.deduplicated(docs)
     assert wide.columns == docs.columns and wide.count() == docs.count() and line_dedup.deduplicated(none).count() == 0
+    clashing = df.selectExpr("*", "'r' AS __runs", "'h' AS __hashes", "1 AS __doc_id", "'n' AS n_lines")
+    again = line_dedup.deduplicated(clashing)
+    assert again.columns == clashing.columns and Counter((r.doc_id, r.text, r["__runs"], r.n_lines) for r in again.collect()) == Counter((r.doc_id, r.text, "r", "n") for r in got)
+    assert Counter((r.doc_id, r.n_lines, r.text) for r in line_dedup.deduplicated(clashing, counts=True).collect()) == Counter((r.doc_id, r.n_lines, r.text) for r in got)
+
+
+def test_extension_covers_all_matches_and_stays_linear():
+    rng = random.Random(4)
+    for _ in range(300):
+        first = np.array([rng.randrange(3) for _ in range(rng.randrange(2, 30))], dtype=np.uint64)
+        own = np.array([rng.randrange(3) for _ in range(rng.randrange(2, 30))], dtype=np.uint64)
+        seen = {}
+        for k in range(len(first) - 1):
+            seen.setdefault((first[k], first[k + 1]), k)
+        places = [(k, seen[own[k], own[k + 1]], 2) for k in range(len(own) - 1) if (own[k], own[k + 1]) in seen]
+        runs = line_dedup.extended(own, first, places + [(0, 0, 2)] * (tuple(own[:2]) != tuple(first[:2])))
+        assert all((own[a : a + n] == first[b : b + n]).all() and n >= 2 for a, n, b in runs)
+        assert {p for a, n, _ in runs for p in range(a, a + n)} == {p for a, _, n in places for p in range(a, a + n)}
+    same = np.zeros(300_000, dtype=np.uint64)
+    assert line_dedup.extended(same, same, [(k, 0, 2) for k in range(1, len(same) - 1)]) == [(1, len(same) - 1, 0)]
 
 
 def test_winnowing_shares_a_fingerprint_of_equal_runs():
@@ -372,6 +392,16 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(alpha[-1][0], [brute(word, 0), brute(word, 1)]) and np.allclose(beta[0], alpha[-1])
 
 
+def test_fit_takes_about_as_many_documents_as_stated(spark, monkeypatch):
+    vocab = vocabulary("piece_bpe_32k.model")
+    df = spark.range(20_000).selectExpr("id AS doc_id", "concat('w', id % 7) AS text", "if(id % 10 = 0, 'b', 'a') AS lang")
+    sizes = []
+    original = language_id._word_counts
+    monkeypatch.setattr(language_id, "_word_counts", lambda labelled: (sizes.append({r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}), original(labelled))[1])
+    language_id.fit(df, vocab, fit_docs=400, rounds=1)
+    assert all(300 < sizes[0][lang] < 500 for lang in "ab")
+
+
 def test_language_identification(spark, docs, none):
     vocab = vocabulary("piece_bpe_32k.model")
     sentences = {"en": "the cat and the other thing that was in this house with them", "de": "der Hund und die Katze sind nicht mehr auf dem großen Haus", "fr": "le chat et les autres choses qui sont dans cette maison pour nous"}
