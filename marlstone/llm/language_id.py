@@ -223,8 +223,9 @@ def fit(docs: DataFrame, vocabulary: str, fit_docs: int = FIT_DOCS, rounds: int
     languages = [lang for lang, _ in counts]
     if not languages:
         return Model(pieces, [], np.zeros((len(pieces) + 2, 0)))
-    share = F.create_map(*(F.lit(x) for lang, n in counts for x in (lang, int(min(1, fit_docs / n) * 1_000_000))))
-    words = common.written(_word_counts(labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")])), "words")
+    share = F.create_map(*(F.lit(x) for lang, n in counts for x in (lang, min(1.0, fit_docs / n))))
+    drawn = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(2.0**53)  # as fine as a double, so any number of labels leaves a sample
+    words = common.written(_word_counts(labelled.where(drawn < share[F.col("lang")])), "words")
     model = Model(pieces, languages, _probabilities(np.zeros((len(pieces), len(languages)))))
     for _ in range(rounds):
         found = np.zeros((len(pieces), len(languages)))
