@@ -110,3 +110,59 @@ def self_crossing(p: Column) -> Column:
 def originally_valid(p: Column) -> Column:
     """At least three points, an area, and no crossing edges."""
     return F.coalesce((F.size(p) >= 3) & (area(p) > 0) & ~self_crossing(p), F.lit(False))
+
+
+def _edges(p: Column) -> Column:
+    """Edges that aren't level."""
+    n = F.size(p)
+    own = F.zip_with(p, F.concat(F.slice(p, F.lit(2), n), F.slice(p, 1, 1)), lambda a, b: F.struct(F.element_at(a, 1).alias("x1"), F.element_at(a, 2).alias("y1"), F.element_at(b, 1).alias("x2"), F.element_at(b, 2).alias("y2")))
+    return F.filter(own, lambda e: e["y1"] != e["y2"])
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _crossing_heights(edges: Column) -> Column:
+    """Heights at which two edges cross or touch."""
+
+    def crossing(u, v):
+        ux, uy, vx, vy = u["x2"] - u["x1"], u["y2"] - u["y1"], v["x2"] - v["x1"], v["y2"] - v["y1"]
+        dx, dy, turn = v["x1"] - u["x1"], v["y1"] - u["y1"], ux * vy - uy * vx
+        along, other = F.try_divide(dx * vy - dy * vx, turn), F.try_divide(dx * uy - dy * ux, turn)
+        return F.when((along > 0) & (along < 1) & (other >= 0) & (other <= 1), u["y1"] + along * uy)
+
+    return F.array_compact(F.flatten(F.transform(edges, lambda u: F.transform(edges, lambda v: crossing(u, v)))))
+
+
+def _inside(edges: Column, y: Column) -> Column:
+    """Spans of a scan line inside by the even-odd rule."""
+    met = F.filter(edges, lambda e: (e["y1"] <= y) != (e["y2"] <= y))
+    xs = F.array_sort(F.transform(met, lambda e: e["x1"] + (y - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"])))
+    return _let(xs, lambda xs: F.filter(F.transform(xs, lambda x, i: F.struct(x.alias("lo"), F.try_element_at(xs, i + 2).alias("hi"), (i % 2 == 0).alias("own"))), lambda s: s["own"]))
+
+
+def common_area(a: Column, b: Column) -> Column:
+    """Exact area inside both polygons, each by the even-odd rule; 0 where one has fewer than three points.
+
+    Between two heights where corners or crossings lie, the common width is linear, so its middle gives the area."""
+
+    def area_of(edges_a, edges_b):
+        both = F.concat(edges_a, edges_b)
+        ys = F.array_sort(F.array_distinct(F.flatten(F.array(F.transform(both, lambda e: e["y1"]), F.transform(both, lambda e: e["y2"]), _crossing_heights(both)))))
+        slabs = _let(ys, lambda ys: F.filter(F.transform(ys, lambda y, i: F.struct(y.alias("y"), F.try_element_at(ys, i + 2).alias("z"))), lambda s: s["z"].isNotNull()))
+
+        def width(y):
+            met = lambda t, u, v: t + F.greatest(F.lit(0.0), F.least(u["hi"], v["hi"]) - F.greatest(u["lo"], v["lo"]))
+            return _let(_inside(edges_b, y), lambda right: F.aggregate(_inside(edges_a, y), F.lit(0.0), lambda t, u: F.aggregate(right, t, lambda s, v: met(s, u, v))))
+
+        return F.aggregate(slabs, F.lit(0.0), lambda t, s: t + (s["z"] - s["y"]) * width((s["y"] + s["z"]) / 2))
+
+    found = _let(_edges(a), lambda edges_a: _let(_edges(b), lambda edges_b: area_of(edges_a, edges_b)))
+    return F.when((F.size(a) >= 3) & (F.size(b) >= 3), F.coalesce(found, F.lit(0.0))).otherwise(0.0)
+
+
+def repaired_area(p: Column) -> Column:
+    """Area after repair of crossing edges: what the even-odd rule takes for inside."""
+    return F.when(self_crossing(p), common_area(p, p)).otherwise(area(p))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marlstone.functions.geometry import clipped_at
+from marlstone.functions.geometry import clipped_at, common_area
 from marlstone.sources.tables import written
 
 
@@ -28,8 +28,17 @@ def _overlap(a: str, b: str):
 
 def overlapping_boxes(objects: DataFrame) -> DataFrame:
     """Pairs of an image's objects whose boxes share an area: left before right, overlap. Only overlapping pairs leave the join."""
-    columns = ["image_id", "object_id", "category", "bx1", "by1", "bx2", "by2"]
-    a, b = _renamed(objects.select(columns), "left"), _renamed(objects.select(columns), "right")
+    return _meeting(objects.select("image_id", "object_id", "category", "bx1", "by1", "bx2", "by2"))
+
+
+def overlapping_polygons(objects: DataFrame) -> DataFrame:
+    """Pairs of an image's objects whose polygons share an area of over 1e-6, the exact ``area``; computed only where the boxes do."""
+    pairs = _meeting(objects.select("image_id", "object_id", "category", "polygon", "bx1", "by1", "bx2", "by2"))
+    return pairs.withColumn("area", common_area(F.col("left_polygon"), F.col("right_polygon"))).where("area > 1e-6").drop("left_polygon", "right_polygon", "overlap")
+
+
+def _meeting(objects: DataFrame) -> DataFrame:
+    a, b = _renamed(objects, "left"), _renamed(objects, "right")
     meet = (F.col("left_object_id") < F.col("right_object_id")) & (F.col("left_bx1") < F.col("right_bx2")) & (F.col("right_bx1") < F.col("left_bx2")) & (F.col("left_by1") < F.col("right_by2")) & (F.col("right_by1") < F.col("left_by2"))
     return a.join(b, "image_id").where(meet).withColumn("overlap", _overlap("left", "right")).where("overlap > 1e-6")
 

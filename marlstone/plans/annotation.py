@@ -180,6 +180,19 @@ def overlapping(spark, d):
     return pairs.groupBy(F.when(F.col("left_category") == F.col("right_category"), "same").otherwise("cross").alias("kind")).agg(F.count("*").alias("pairs"), F.countDistinct("image_id").alias("images"), F.round(F.sum("overlap"), 6).alias("area"))
 
 
+SPAN_PAIRS = f"""{W_OBJ}, r AS (SELECT *, CASE WHEN tri THEN w / h ELSE 0 END AS s FROM obj),
+ p AS (SELECT a, b, greatest(a.y0, b.y0) AS lo, least(a.y0 + a.h, b.y0 + b.h) AS hi, least(a.x0 + a.w, b.x0 + b.w) AS e FROM r a JOIN r b ON a.image_id = b.image_id AND a.object_id < b.object_id AND a.x0 < b.x0 + b.w AND b.x0 < a.x0 + a.w AND a.y0 < b.y0 + b.h AND b.y0 < a.y0 + a.h),
+ q AS (SELECT *, list_sort(list_transform([lo, hi, coalesce(a.y0 + (e - a.x0) / nullif(a.s, 0), lo), coalesce(b.y0 + (e - b.x0) / nullif(b.s, 0), lo), coalesce((b.x0 - b.s * b.y0 - a.x0 + a.s * a.y0) / nullif(a.s - b.s, 0), lo)], lambda y: least(greatest(y, lo), hi))) AS ys FROM p),
+ m AS (SELECT a, b, e, ys[k + 1] - ys[k] AS dy, (ys[k] + ys[k + 1]) / 2 AS y, lo FROM q, range(1, 5) t(k)),
+ o AS (SELECT a.image_id AS image_id, a.object_id AS oa, b.object_id AS ob, any_value(a.category) AS ca, any_value(b.category) AS cb, sum(dy * greatest(0, e - greatest(a.x0 + a.s * (y - a.y0), b.x0 + b.s * (y - b.y0)))) AS area FROM m GROUP BY 1, 2, 3)"""
+
+
+@book("d12_overlapping_polygons", f"{SPAN_PAIRS} SELECT CASE WHEN ca = cb THEN 'same' ELSE 'cross' END AS kind, count(*) AS pairs, count(DISTINCT image_id) AS images, round(sum(area), 3) AS area FROM o WHERE area > 1e-6 GROUP BY 1")
+def overlapping_polygons(spark, d):
+    pairs = O.overlapping_polygons(A.with_box(objects(spark, d)))
+    return pairs.groupBy(F.when(F.col("left_category") == F.col("right_category"), "same").otherwise("cross").alias("kind")).agg(F.count("*").alias("pairs"), F.countDistinct("image_id").alias("images"), F.round(F.sum("area"), 3).alias("area"))
+
+
 @book("d13_area_share", f"{W_ALL} SELECT category, round(quantile_cont(true_area / ((x2 - x1) * (y2 - y1)), 0.5), 6) AS median_share FROM obj JOIN img USING (image_id) GROUP BY category")
 def area_share(spark, d):
     own = objects(spark, d).join(images(spark, d), "image_id")
@@ -331,10 +344,18 @@ def geometry_features(spark, d):
     return B.rounded(pixels.geometry_features(own).select(F.col("path").alias("image_id"), "log_pixel_count", "image_aspect_ratio", "roi_width_pixels", "roi_height_pixels", "roi_aspect_ratio"))
 
 
-@book("d9_polygon_validity", f"{W_OBJ} SELECT image_id, object_id, object_id % 3 <> 0 OR tri AS valid, NOT tri AND object_id % 3 = 0 AS crossing FROM obj")
-def polygon_validity(spark, d):
+def _with_bow_ties(spark, d):
     """Every third rectangle with two points exchanged is a bow tie."""
     p = F.col("polygon")
     tie = F.array(F.element_at(p, 1), F.element_at(p, 3), F.element_at(p, 2), F.try_element_at(p, F.lit(4)))
-    own = objects(spark, d).withColumn("polygon", F.when((F.col("object_id") % 3 == 0) & (F.size(p) == 4), tie).otherwise(p))
-    return own.select("image_id", "object_id", G.originally_valid(F.col("polygon")).alias("valid"), G.self_crossing(F.col("polygon")).alias("crossing"))
+    return objects(spark, d).withColumn("polygon", F.when((F.col("object_id") % 3 == 0) & (F.size(p) == 4), tie).otherwise(p))
+
+
+@book("d9_polygon_validity", f"{W_OBJ} SELECT image_id, object_id, object_id % 3 <> 0 OR tri AS valid, NOT tri AND object_id % 3 = 0 AS crossing FROM obj")
+def polygon_validity(spark, d):
+    return _with_bow_ties(spark, d).select("image_id", "object_id", G.originally_valid(F.col("polygon")).alias("valid"), G.self_crossing(F.col("polygon")).alias("crossing"))
+
+
+@book("d9_repaired_areas", f"{W_OBJ} SELECT image_id, object_id, round(CASE WHEN NOT tri AND object_id % 3 = 0 THEN w * h / 2 ELSE true_area END, 6) AS area FROM obj")
+def repaired_areas(spark, d):
+    return _with_bow_ties(spark, d).select("image_id", "object_id", F.round(G.repaired_area(F.col("polygon")), 6).alias("area"))

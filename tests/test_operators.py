@@ -215,3 +215,17 @@ def test_fitted_models_find_a_planted_signal(spark):
     assert found.count() == 200 and auc(found) > 0.8 and abs(auc(models.logistic_oof(df, ["noise"], 2)) - 0.5) < 0.15
     with pytest.raises(ValueError):
         models.logistic_oof(df.where("diagnosis_id = 0"), ["signal"], 2)
+
+
+def test_common_area_of_concave_and_crossing_polygons(spark):
+
+    square, u, bar, tie = [[0, 0], [4, 0], [4, 4], [0, 4]], [[0, 0], [6, 0], [6, 5], [4, 5], [4, 2], [2, 2], [2, 5], [0, 5]], [[-1, 3], [7, 3], [7, 4], [-1, 4]], [[0, 0], [4, 4], [4, 0], [0, 4]]
+    cases = [(square, u, 12.0), (u, bar, 4.0), (tie, tie, 8.0), (tie, square, 8.0), (square, [[4, 0], [8, 0], [8, 4]], 0.0), (square, [[2, 2], [6, 2], [2, 6]], 4.0), (square, [[1, 1], [2, 2]], 0.0), (tie, bar, 1.0), ([], square, 0.0)]
+    rows = [(k, [[float(v) for v in q] for q in a], [[float(v) for v in q] for q in b]) for k, (a, b, _) in enumerate(cases)]
+    df = spark.createDataFrame([*rows, (99, None, rows[0][2])], "k int, a array<array<double>>, b array<array<double>>")
+    got = {r.k: (r.x, r.y) for r in df.select("k", geometry.common_area(F.col("a"), F.col("b")).alias("x"), geometry.common_area(F.col("b"), F.col("a")).alias("y")).collect()}
+    for k, (_, _, area) in enumerate(cases):
+        assert got[k] == pytest.approx((area, area), abs=1e-9), k
+    assert got[99] == (0.0, 0.0)
+    areas = {r.k: r.area for r in df.where("k < 3").select("k", geometry.repaired_area(F.col("a")).alias("area")).collect()}
+    assert areas == pytest.approx({0: 16.0, 1: 24.0, 2: 8.0})
