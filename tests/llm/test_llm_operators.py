@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.llm import blobs, components, decontamination, huffman, language_id, line_dedup, media, packing, simhash, substrings, token_files, tokens, urls, warc
+from marlstone.llm import blobs, components, decontamination, huffman, language_id, line_dedup, media, near_copies, packing, simhash, substrings, token_files, tokens, urls, warc
 from marlstone.llm.queries import vocabulary
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, words string, fp long, matches string, chunk int, runs string, kept string"
@@ -535,3 +535,51 @@ def test_cuts_stand_out():
     histograms = np.zeros((30, 16))
     histograms[:12, 0] = histograms[12:, 9] = 10
     assert media.cuts(histograms) == [0, 12] and media.cuts(histograms[:1]) == [0]
+
+
+# near copies of the pipeline
+
+
+def plain_shingles(text):
+    own = [w.lower() for w in (text or "").encode().split()]
+    return frozenset(tuple(own[k : k + 5]) for k in range(len(own) - 4)) if len(own) >= 5 else frozenset([tuple(own)] if own else [])
+
+
+def near_texts():
+    """Odd texts, a family of close variants, a chain whose ends are far apart, pairs around the limit, one passage in texts of many kinds."""
+    own, rng, rows = {i: t for i, t in odd_texts() if i is not None}, random.Random(6), []
+    base = [f"w{k}" for k in range(200)]
+    for k in range(120):
+        at = rng.sample(range(200), 1 + k % 6)
+        rows.append(" ".join(f"v{k}x{p}" if p in at else w for p, w in enumerate(base)))
+    rows += [" ".join(f"c{p}" for p in range(4 * k, 4 * k + 100)) for k in range(12)]
+    for cut in range(2, 40, 2):
+        rows += [" ".join(f"p{cut}q{p}" for p in range(150)), " ".join(f"p{cut}q{p}" for p in range(150 - cut))]
+    passage = " ".join(f"h{p}" for p in range(40))
+    rows += [f"{passage} " + " ".join(f"z{k}y{p}" for p in range(k % 25)) for k in range(90)]
+    return list(own.items()) + [(1000 + k, t) for k, t in enumerate(rows)]
+
+
+def test_near_copies_are_those_of_brute_force_jaccard(spark, docs, none, monkeypatch):
+    rows = near_texts()
+    df = spark.createDataFrame([*rows, (None, rows[0][1])], "doc_id long, text string").repartition(5)
+    sets = {i: plain_shingles(t) for i, t in rows}
+    pairs = [(i, j) for i, a in sets.items() for j, b in sets.items() if i < j and len(a & b) * 5 >= 4 * len(a | b)]
+    roots = smallest_reachable(sorted(sets), pairs)
+    for tile, sampled in ((near_copies.TILE, near_copies.SAMPLED), (16, 1)):
+        monkeypatch.setattr(near_copies, "TILE", tile)
+        monkeypatch.setattr(near_copies, "SAMPLED", sampled)
+        assert {r.doc_id: r.component_id for r in near_copies.near_copies(df).collect()} == roots
+    kept = near_copies.deduplicated(df)
+    assert kept.columns == df.columns and Counter(r.doc_id for r in kept.collect()) == Counter({None: 1} | {i: 1 for i in set(roots.values())})
+    assert near_copies.deduplicated(none).count() == 0 and near_copies.deduplicated(docs).columns == docs.columns
+
+
+def test_pipeline_drops_near_copies_that_fingerprints_miss(spark):
+    import corpus_pipeline
+
+    own = [f"w{k}" for k in range(300)]
+    far = " ".join(f"x{k}" if k in (40, 140, 240) else w for k, w in enumerate(own))
+    assert (plain_fingerprint(" ".join(own)) ^ plain_fingerprint(far)).bit_count() > 2
+    df = spark.createDataFrame([(1, " ".join(own)), (2, far)], "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.without_near_copies(spark, df, "").collect()] == [1]
