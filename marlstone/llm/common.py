@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder name below ``spark.checkpoint.dir``. Only where that setting is absent, as in tests, is a local one taken."""
+    """A new folder name below ``spark.checkpoint.dir``. Only where that setting is absent and all runs in this one process, as in tests, is a local folder taken."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         root = getattr(spark, "_marlstone_folder", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
         spark._marlstone_folder = root
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
@@ -36,6 +38,30 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def in_place(docs: DataFrame, run, schema=None) -> DataFrame:
+    """``docs.mapInArrow(run)`` for columns of any name: ``run`` sees those but ``doc_id`` and ``text`` by place, and keeps their order.
+
+    ``schema``: that of the result, by default that of ``docs``."""
+    schema = schema or docs.schema
+    seen, names = [c if c in ("doc_id", "text") else f"c{k}" for k, c in enumerate(docs.columns)], schema.names
+
+    def named(batches):
+        for batch in run(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, names=names)
+
+    return docs.toDF(*seen).mapInArrow(named, schema)
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows that ``gone`` (doc_id, digest: the 64-bit hash of the text) names; null ids count like others.
+
+    The names are written first, so their size is known: few of them are broadcast by Spark's own threshold, more are joined by sorting."""
+    names = written(gone.distinct(), "gone")
+    seen = [c if c in ("doc_id", "text") else f"c{k}" for k, c in enumerate(docs.columns)]
+    plain = docs.toDF(*seen)
+    return plain.join(names, plain["doc_id"].cast("long").eqNullSafe(names["doc_id"]) & (F.xxhash64(text_of()) == names["digest"]), "left_anti").toDF(*docs.columns)
+
+
 def text_of(column: str = "text"):
     """A text column as string, null as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

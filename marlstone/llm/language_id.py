@@ -9,8 +9,9 @@ comes to the driver, whatever the input's size.
 The fit takes at most about ``FIT_DOCS`` labelled documents of each language, chosen by a hash of ``doc_id``; every
 document is scored whole.
 
-Defined cases: null text and text without a letter are ``und`` with score 0, as is everything if no labelled document is
-there to learn from; ties go to the smaller language value; repeated rows get a row each; a null ``doc_id`` counts as the
+Defined cases: null text and text without a letter (Unicode category L; ``½``, ``²`` and ``Ⅷ`` are none) are ``und`` with
+score 0, as is everything if no labelled document is there to learn from; a run of letters of any length is one word, with
+all its segmentations; ties go to the smaller language value; repeated rows get a row each; a null ``doc_id`` counts as the
 empty text for the fold, so it is held out; an empty table gives no row; other columns are not read.
 """
 
@@ -27,10 +28,15 @@ from . import common
 
 #: Labelled documents of a language that the fit takes at most (in expectation), rounds of EM, count added to each piece.
 FIT_DOCS, ROUNDS, PRIOR = 1500, 3, 0.05
-#: Letters of a word scored at once; a longer run of letters is cut. Words remembered by a worker, bytes of text at a time.
-LONGEST, REMEMBERED_WORDS, TEXT_BYTES = 24, 1_000_000, 4_000_000
+#: Words remembered by a worker, bytes of text at a time, letters of words of one length whose passes run side by side.
+REMEMBERED_WORDS, TEXT_BYTES, LETTERS_AT_ONCE = 1_000_000, 4_000_000, 100_000
+#: Words of more letters go through the pass one by one, in stretches of ``STRETCH`` letters.
+LONG_WORD, STRETCH = 64, 1 << 14
+#: A sum below ``TINY`` is raised by ``RAISE`` = 1 / TINY, and its exponent counted, so words of any length keep their sums.
+TINY, RAISE = 1e-100, 1e100
 #: Probability of a letter that is no piece.
 FLOOR = 1e-8
+#: Runs of word characters; what among them is no letter is taken out afterwards.
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 #: Mark of a word's beginning in the vocabulary.
@@ -86,42 +92,82 @@ class Pieces:
         return out
 
 
-def forward(spans: np.ndarray, probs: np.ndarray) -> np.ndarray:
-    """[word, place, language]: probability of all segmentations up to each place. probs: [piece, language], with the floor and zero as last rows."""
+def forward(spans: np.ndarray, probs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """[place, word, language]: sums over all segmentations up to each place, and how often each sum was raised.
+
+    probs: [piece, language], with the floor and zero as last rows."""
     words, size, depth = spans.shape
-    alpha = np.zeros((size + 1, words, probs.shape[1]))
+    alpha, raised = np.zeros((size + 1, words, probs.shape[1])), np.zeros((size + 1, words, probs.shape[1]), dtype=np.int64)
     alpha[0] = 1
     for end in range(1, size + 1):
+        own = alpha[end]
         for k in range(min(depth, end)):
-            alpha[end] += alpha[end - k - 1] * probs[spans[:, end - k - 1, k]]
-    return alpha
+            # sums of a window were all raised alike, so they add up as they are
+            own += alpha[end - k - 1] * probs[spans[:, end - k - 1, k]]
+        raised[end] = raised[end - 1]
+        small = own < TINY
+        if small.any():
+            _raise(alpha, raised, small, range(end, max(-1, end - depth), -1))
+    return alpha, raised
 
 
-def backward(spans: np.ndarray, probs: np.ndarray) -> np.ndarray:
+def backward(spans: np.ndarray, probs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     words, size, depth = spans.shape
-    beta = np.zeros((size + 1, words, probs.shape[1]))
+    beta, raised = np.zeros((size + 1, words, probs.shape[1])), np.zeros((size + 1, words, probs.shape[1]), dtype=np.int64)
     beta[size] = 1
     for start in range(size - 1, -1, -1):
+        own = beta[start]
         for k in range(min(depth, size - start)):
-            beta[start] += beta[start + k + 1] * probs[spans[:, start, k]]
-    return beta
+            own += beta[start + k + 1] * probs[spans[:, start, k]]
+        raised[start] = raised[start + 1]
+        small = own < TINY
+        if small.any():
+            _raise(beta, raised, small, range(start, min(size + 1, start + depth)))
+    return beta, raised
+
+
+def _raise(sums: np.ndarray, raised: np.ndarray, small: np.ndarray, places: range) -> None:
+    for place in places:
+        sums[place][small] *= RAISE
+        raised[place][small] += 1
+
+
+def long_word_log(word: str, pieces: Pieces, probs: np.ndarray) -> np.ndarray:
+    """Log probability of one word by language, letter by letter; memory for one stretch of letters only."""
+    depth, logs = pieces.longest, np.zeros(probs.shape[1])
+    ahead = np.zeros((depth, probs.shape[1]))
+    ahead[0] = 1
+    for begin in range(0, len(word), STRETCH):
+        own = min(STRETCH, len(word) - begin)
+        spans = pieces.spans([word[begin : begin + own + depth - 1]])[0]
+        alpha = np.zeros((own + depth, probs.shape[1]))
+        alpha[:depth] = ahead
+        for at in range(own):
+            alpha[at + 1 : at + 1 + spans.shape[1]] += alpha[at] * probs[spans[at]]
+            small = alpha[at + 1] < TINY
+            if small.any():
+                alpha[at + 1 : at + 1 + depth, small] *= RAISE
+                logs[small] -= np.log(RAISE)
+        ahead = alpha[own : own + depth]
+    return logs + np.log(ahead[0])
 
 
 def text_words(text: str) -> list[str]:
-    """The words of a text as the model sees them: lower-case runs of letters, marked at their beginning, cut if long."""
+    """The words of a text as the model sees them: lower-case runs of letters, marked at their beginning."""
     found = LETTERS.findall(text.lower())
-    if any(len(w) >= LONGEST for w in found):
-        return [x[k : k + LONGEST] for w in found for x in [BEGIN + w] for k in range(0, len(x), LONGEST)]
+    if found and not "".join(found).isalpha():  # some signs count as word characters without being letters
+        found = "".join(c if c.isalpha() else " " for c in " ".join(found)).split()
     return [BEGIN + w for w in found]
 
 
-def by_length(words: list[str], most: int = 4000):
+def by_length(words: list[str]):
     """Positions of the words, in groups of one length."""
     sizes = np.array([len(w) for w in words], dtype=np.int64)
     order = np.argsort(sizes, kind="stable")
     for own in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1):
-        for k in range(0, len(own), most):
-            if len(own):
+        if len(own):
+            most = max(1, LETTERS_AT_ONCE // int(sizes[own[0]]))
+            for k in range(0, len(own), most):
                 yield own[k : k + most]
 
 
@@ -134,7 +180,12 @@ class Scorer:
     def word_logs(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), self.probs.shape[1]))
         for own in by_length(words):
-            out[own] = np.log(np.maximum(forward(self.pieces.spans([words[k] for k in own]), self.probs)[-1], 1e-300))
+            if len(words[own[0]]) > LONG_WORD:
+                for k in own:
+                    out[k] = long_word_log(words[k], self.pieces, self.probs)
+            else:
+                alpha, raised = forward(self.pieces.spans([words[k] for k in own]), self.probs)
+                out[own] = np.log(alpha[-1]) - raised[-1] * np.log(RAISE)
         return out
 
     def text_logs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -195,14 +246,16 @@ def _expected(words: DataFrame, model: Model) -> DataFrame:
             words_, n = batch.column("word").to_pylist(), np.array(batch.column("n").to_pylist(), dtype=np.float64)
             for own in by_length(words_):
                 spans = pieces.spans([words_[k] for k in own])
-                alpha, beta = forward(spans, model.probs), backward(spans, model.probs)
+                (alpha, up), (beta, down) = forward(spans, model.probs), backward(spans, model.probs)
                 lang, each = langs[own], np.arange(len(own))
-                weight = n[own] / np.maximum(alpha[-1][each, lang], 1e-300)
-                for start in range(spans.shape[1]):
-                    for k in range(min(spans.shape[2], spans.shape[1] - start)):
-                        piece = spans[:, start, k]
-                        use = weight * alpha[start][each, lang] * model.probs[piece, lang] * beta[start + k + 1][each, lang]
-                        np.add.at(total, (lang, piece), use)
+                alpha, beta, up, down = (x[:, each, lang] for x in (alpha, beta, up, down))
+                weight = n[own] / alpha[-1]
+                for k in range(spans.shape[2]):
+                    # all pieces of one length, at every place of every word
+                    piece = spans[:, : spans.shape[1] - k, k].T
+                    left, right = slice(0, len(piece)), slice(k + 1, k + 1 + len(piece))
+                    use = weight * alpha[left] * model.probs[piece, lang] * beta[right] * RAISE ** (up[-1] - up[left] - down[right]).astype(float)
+                    np.add.at(total, (np.broadcast_to(lang, piece.shape), piece), use)
         lang, piece = np.nonzero(total[:, : len(model.pieces)])
         yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(piece), pa.array(total[lang, piece])], names=["lang", "piece", "n"])
 
@@ -235,26 +288,46 @@ def fit(docs: DataFrame, vocabulary: str, fit_docs: int = FIT_DOCS, rounds: int
     return model
 
 
+def _judge(model: Model):
+    """A function from texts to their languages (``und`` where none can be told) and scores; remembers words."""
+    scorer, languages = Scorer(Pieces(model.pieces), model.probs), model.languages
+
+    def judge(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        logs, counts = scorer.text_logs([x or "" for x in texts])
+        if not languages:
+            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+        known, best = counts > 0, logs.argmax(1)
+        score = 1 / np.exp(logs - logs.max(1, keepdims=True)).sum(1)
+        return [languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], np.where(known, score, 0.0)
+
+    return judge
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """Rows (doc_id, lang_pred, score) for whole texts; the score is the language's posterior under equal priors."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the vocabulary and the number of languages
 
     def scored(batches):
-        model = sent.value
-        scorer = Scorer(Pieces(model.pieces), model.probs)
+        judge = _judge(sent.value)
         for batch in common.slices(batches, "text", TEXT_BYTES):
-            logs, counts = scorer.text_logs([x or "" for x in batch.column("text").to_pylist()])
-            known = (counts > 0) & bool(model.languages)
-            best = logs.argmax(1) if model.languages else np.zeros(len(counts), dtype=np.int64)
-            score = 1 / np.exp(logs - logs.max(1, keepdims=True)).sum(1) if model.languages else np.zeros(len(counts))
-            names = [model.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, type=pa.string()), pa.array(np.where(known, score, 0.0))], names=["doc_id", "lang_pred", "score"])
+            names, scores = judge(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, type=pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scored, "doc_id long, lang_pred string, score double")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return own.mapInArrow(scored, "doc_id long, lang_pred string, score double")
 
 
 def with_language(docs: DataFrame, vocabulary: str, least_score: float = 0.5) -> DataFrame:
-    """The documents whose language is known with at least ``least_score``, with all their columns; those without a ``doc_id`` stay."""
-    found = identify(docs, fit(docs, vocabulary))
-    gone = found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least_score)).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    """The documents whose language is known with at least ``least_score``, with all their columns.
+
+    Each row is judged by its own text where it is read, whatever its ``doc_id``; nothing is shuffled."""
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, vocabulary))
+
+    def kept(batches):
+        judge = _judge(sent.value)
+        for batch in common.slices(batches, "text", TEXT_BYTES):
+            names, scores = judge(batch.column("text").to_pylist())
+            stays = [name != UNKNOWN and score >= least_score for name, score in zip(names, scores.tolist(), strict=True)]
+            yield batch.filter(pa.array(stays, type=pa.bool_()))
+
+    return common.in_place(docs, kept)
