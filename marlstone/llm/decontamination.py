@@ -1,191 +1,318 @@
 """Benchmark decontamination by suffix arrays over the training text.
 
-Training documents are cut into shards of bounded bytes; each shard's suffixes are sorted by their words to the depth of
-a window, and every window that starts at a suffix of a benchmark item is looked up in every shard by binary search.
-Occurrences on one diagonal of a document and an item are joined into longest verbatim matches with their places.
-A suffix enters the array only if enough words of the benchmark's vocabulary follow it for the shortest window that
-begins with its first word: no other suffix can match.
+Training documents are cut into shards of bounded bytes. All suffixes of a shard's words are sorted to full depth (by
+prefix doubling), whatever the benchmark is; every benchmark suffix is then binary-searched in every shard, first for its
+window, whose interval of the array has all occurrences, and, where there is one, for its longest verbatim match.
 
-The benchmark is sent to the tasks in blocks of at most ``BLOCK_CHARS`` characters, one pass of the shards for each
-block, so its size is not limited by a worker's memory.
+No list of (place in a document, place in an item) is ever made: occurrences are intervals per distinct window, marked
+once per place of the shard, and windows know the set of their items. So a text that repeats one word against an item that
+repeats it costs no more than other texts.
+
+The benchmark is written to the shared folder in blocks of at most about ``BLOCK_CHARS`` characters; a task holds one block
+at a time and the driver none.
 
 Defined cases: null text has no words and no match; items without words match nothing; items with fewer words than a
-window are one window; repeated items count once by ``item_id``; an item without id adds hits but no id; repeated
-documents get a row each; empty tables give no rows or no matches; other columns are not read.
+window are one window; repeated items count once by ``item_id``; an item without id adds hits but no id; rows are judged
+one by one, whatever their ``doc_id``, repeated or null; a text of over ``SEGMENT_WORDS`` words has several arrays, whose
+parts overlap by a window (a longest match ends with its part); empty tables give no rows or no matches; other columns,
+of any name, stay as they are.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import blobs, common
 
 WINDOW = 13
-#: Characters of benchmark text in one block, bytes of training text in one shard.
-BLOCK_CHARS, SHARD_BYTES = 8_000_000, 8_000_000
+#: Characters of benchmark text in one block, bytes of training text in one shard, words of one array, bytes cut into words at a time.
+BLOCK_CHARS, SHARD_BYTES, SEGMENT_WORDS, PIECE_BYTES = 8_000_000, 8_000_000, 1 << 21, 1 << 23
+#: Words compared at a time in a search, benchmark places searched at a time.
+STEP, PLACES = 16, 50_000
 #: A-Z to a-z, ASCII without letters and digits to space.
 PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 MATCH = "struct<item_id: string, item_start: int, doc_start: int, n_words: int>"
-RESULT = f"doc_id long, n_words long, n_hit long, matches array<{MATCH}>"
+MATCHES = pa.list_(pa.struct([("item_id", pa.string()), ("item_start", pa.int32()), ("doc_start", pa.int32()), ("n_words", pa.int32())]))
+RESULT = f"doc_id long, n_words long, n_hit long, items array<string>, matches array<{MATCH}>"
 
 
 def words(text: bytes) -> list[bytes]:
     return text.translate(PLAIN).split()
 
 
-class _Words(dict):
+class _Numbers(dict):
+    """Words to numbers from 1 on, in order of their first use."""
+
     def __missing__(self, word: bytes) -> int:
-        return 0
-
-
-class Windows:
-    """The distinct windows of a block of items, as rows of word numbers, and where each stands in which items."""
-
-    def __init__(self, items: list[tuple[str | None, bytes]], window: int):
-        self.window, self.number, own = window, _Words(), {}
-        self.item_ids = [item_id for item_id, _ in items]
-        for k, (_, text) in enumerate(items):
-            row = [self.number.setdefault(w, len(self.number) + 1) for w in words(text)]
-            for at in range(max(0, len(row) - window) + 1 if row else 0):
-                own.setdefault(tuple(row[at : at + window]), []).append((k, at))
-        self.bits = max(1, len(self.number).bit_length())
-        self.per_key = max(1, 63 // self.bits)
-        self.n_keys = -(-window // self.per_key)
-        self.rows, self.size = list(own), np.array([len(x) for x in own], dtype=np.int64)
-        self.places = [np.array(x, dtype=np.int64) for x in own.values()]
-        depth = self.n_keys * self.per_key
-        low, high = np.zeros((len(own), depth), dtype=np.int64), np.full((len(own), depth), (1 << self.bits) - 1, dtype=np.int64)
-        for k, row in enumerate(self.rows):
-            low[k, : len(row)] = high[k, : len(row)] = row
-        self.low, self.high = self._keys(low), self._keys(high)
-        #: by first word: words of the shortest window that begins with it
-        self.least = np.full(len(self.number) + 1, 1 << 40, dtype=np.int64)
-        if len(own):
-            np.minimum.at(self.least, np.array([row[0] for row in self.rows]), self.size)
-
-    def _keys(self, rows: np.ndarray) -> list[np.ndarray]:
-        return [sum(rows[:, k * self.per_key + j] << self.bits * (self.per_key - 1 - j) for j in range(self.per_key)) for k in range(self.n_keys)]
-
-
-class SuffixArray:
-    """The suffixes of a shard (word numbers, 0 between documents) that a window may match, in order of their first words."""
-
-    def __init__(self, numbers: np.ndarray, windows: Windows):
-        self.windows, n, depth = windows, len(numbers), windows.n_keys * windows.per_key
-        here = np.arange(n)
-        until = np.minimum.accumulate(np.where(numbers == 0, here, n)[::-1])[::-1] - here
-        at = np.flatnonzero((numbers > 0) & (until >= windows.least[numbers]))
-        padded = np.concatenate([numbers, np.zeros(depth, dtype=np.int64)])
-        self.keys = [sum(padded[at + k * windows.per_key + j] << windows.bits * (windows.per_key - 1 - j) for j in range(windows.per_key)) for k in range(windows.n_keys)]
-        order = np.lexsort(self.keys[::-1])
-        self.at, self.keys = at[order], [x[order] for x in self.keys]
-
-    def _search(self, wanted: list[np.ndarray], after: bool) -> np.ndarray:
-        """For each wanted key row, how many suffixes come before it (with ``after``: before or equal)."""
-        low, high = np.zeros(len(wanted[0]), dtype=np.int64), np.full(len(wanted[0]), len(self.at), dtype=np.int64)
-        while (open_ := low < high).any():
-            mid = np.minimum((low + high) // 2, len(self.at) - 1)
-            less, equal = np.zeros(len(mid), dtype=bool), np.ones(len(mid), dtype=bool)
-            for own, want in zip(self.keys, wanted, strict=True):
-                value = own[mid]
-                less |= equal & (value < want)
-                equal &= value == want
-            if after:
-                less |= equal
-            low, high = np.where(open_ & less, mid + 1, low), np.where(open_ & ~less, mid, high)
+        number = self[word] = len(self) + 1
+        return number
+
+    def of(self, text: bytes) -> np.ndarray:
+        """A text's word numbers; its words are held for a piece at a time only."""
+        parts, at = [], 0
+        while at < len(text):
+            end = min(len(text), at + PIECE_BYTES)
+            while end < len(text) and PLAIN[text[end]] != 32:
+                end += 1
+            own = words(text[at:end])
+            parts.append(np.fromiter(map(self.__getitem__, own), dtype=np.int64, count=len(own)))
+            at = end
+        return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
+
+
+def suffix_array(numbers: np.ndarray) -> np.ndarray:
+    """Places of all suffixes in order. numbers: words from 1 on; 0 ends a document (and the last one), each end unlike all others."""
+    n, ends = len(numbers), numbers == 0
+    first = np.where(ends, np.cumsum(ends) - 1, numbers + ends.sum())
+    order = np.argsort(first, kind="stable")
+    fresh = np.ones(n, dtype=bool)
+    fresh[1:] = first[order[1:]] != first[order[:-1]]
+    rank = np.empty(n, dtype=np.int64)
+    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    tied, depth = np.flatnonzero(~(fresh & np.append(fresh[1:], True))), 1
+    while len(tied):
+        # a rank is the number of smaller suffixes so far; suffixes that are still tied are sorted by the rank after them
+        at = order[tied]
+        key = rank[at] * (n + 1) + rank[at + depth]
+        by = np.argsort(key)
+        at, key = at[by], key[by]
+        order[tied] = at
+        fresh = np.ones(len(at), dtype=bool)
+        fresh[1:] = key[1:] != key[:-1]
+        rank[at] = tied[np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))]
+        tied, depth = tied[~(fresh & np.append(fresh[1:], True))], 2 * depth
+    return order
+
+
+class Block:
+    """Benchmark items as one row of word numbers, their distinct windows, and the items of each."""
+
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int = WINDOW):
+        numbers, self.item_ids = _Numbers(), [item_id for item_id, _ in items]
+        rows = [numbers.of(text) for _, text in items]
+        self.words, sizes = list(numbers), np.array([len(x) for x in rows], dtype=np.int64)
+        starts = np.cumsum(sizes) - sizes
+        self.text = np.concatenate([*rows, np.zeros(window + STEP, dtype=np.int64)])
+        counts = np.where(sizes, np.maximum(sizes - window, 0) + 1, 0)
+        #: every suffix that begins with a window: item, place in it, place in the text, words left in the item
+        self.item = np.repeat(np.arange(len(items)), counts)
+        self.item_at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        self.at = starts[self.item] + self.item_at
+        self.left = sizes[self.item] - self.item_at
+        self.size = np.minimum(window, sizes[self.item])
+        own = self.text[self.at[:, None] + np.arange(window)] * (np.arange(window) < self.size[:, None])
+        _, first, self.window = np.unique(own, axis=0, return_index=True, return_inverse=True)
+        #: by distinct window: a suffix that begins with it, and the number of its set of items
+        self.first, self.window = first, self.window.reshape(-1)
+        pairs = np.unique(self.window * max(1, len(items)) + self.item)
+        cuts, numbers_of = np.split(pairs % max(1, len(items)), np.flatnonzero(np.diff(pairs // max(1, len(items)))) + 1), {}
+        self.set_of = np.array([numbers_of.setdefault(x.tobytes(), len(numbers_of)) for x in cuts] if len(pairs) else [], dtype=np.int64)
+        self.sets = [np.frombuffer(x, dtype=np.int64).tolist() for x in numbers_of]
+
+
+class Shard:
+    """The suffix array of training words (documents end with 0) and the searches in it for a block's suffixes."""
+
+    def __init__(self, numbers: np.ndarray):
+        self.n, self.order = len(numbers), suffix_array(numbers)
+        self.text = np.append(numbers, np.zeros(STEP, dtype=np.int64))
+
+    def _compared(self, at: np.ndarray, wanted: np.ndarray, start: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sign of the array's suffixes ``at`` against ``limit`` words of ``wanted`` from ``start`` on, and how many words are equal."""
+        sign, same, open_, done = np.zeros(len(at), dtype=np.int64), limit.copy(), np.arange(len(at)), 0
+        while len(open_):
+            ahead = done + np.arange(STEP)
+            own, other = self.text[at[open_, None] + ahead], wanted[start[open_, None] + ahead]
+            differ = (own != other) & (ahead < limit[open_, None])
+            found, k = differ.any(1), differ.argmax(1)
+            row = np.flatnonzero(found)
+            sign[open_[row]] = np.sign(own[row, k[row]] - other[row, k[row]])
+            same[open_[row]] = done + k[row]
+            done += STEP
+            open_ = open_[~found & (limit[open_] > done)]
+        return sign, same
+
+    def _bound(self, wanted, start, limit, low, high, after: bool) -> np.ndarray:
+        """How many suffixes come before the wanted words (with ``after``: or begin with them), known to be within low .. high."""
+        low, high = low.copy(), high.copy()
+        while len(open_ := np.flatnonzero(low < high)):
+            mid = (low[open_] + high[open_]) // 2
+            sign, _ = self._compared(self.order[mid], wanted, start[open_], limit[open_])
+            less = sign <= 0 if after else sign < 0
+            low[open_[less]], high[open_[~less]] = mid[less] + 1, mid[~less]
         return low
 
-    def occurrences(self) -> tuple[np.ndarray, np.ndarray]:
-        """(place in the shard, window) of every occurrence of every window."""
-        if not len(self.at) or not len(self.windows.rows):
-            return (np.zeros(0, dtype=np.int64),) * 2
-        low, high = self._search(self.windows.low, False), self._search(self.windows.high, True)
-        n = np.maximum(high - low, 0)
-        window = np.repeat(np.arange(len(n)), n)
-        return self.at[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())], window
-
-
-def longest_matches(numbers: np.ndarray, windows: Windows) -> np.ndarray:
-    """Rows (place in the shard, words, item, place in the item) of all longest verbatim matches."""
-    place, window = SuffixArray(numbers, windows).occurrences()
-    if not len(place):
-        return np.zeros((0, 4), dtype=np.int64)
-    n = np.array([len(x) for x in windows.places])[window]
-    pairs = np.concatenate([windows.places[w] for w in window])
-    place, size = np.repeat(place, n), np.repeat(windows.size[window], n)
-    item, item_at = pairs[:, 0], pairs[:, 1]
-    order = np.lexsort((place, place - item_at, item))
-    place, size, item, item_at = place[order], size[order], item[order], item_at[order]
-    fresh = np.ones(len(place), dtype=bool)
-    fresh[1:] = (item[1:] != item[:-1]) | (place[1:] != place[:-1] + 1) | (item_at[1:] != item_at[:-1] + 1)
-    first = np.flatnonzero(fresh)
-    last = np.append(first[1:], len(place)) - 1
-    return np.stack([place[first], place[last] + size[last] - place[first], item[first], item_at[first]], axis=1)
-
-
-def _blocks(benchmark: DataFrame, window: int) -> list[Windows]:
+    def interval(self, wanted, start, limit, low=None, high=None) -> tuple[np.ndarray, np.ndarray]:
+        low = np.zeros(len(start), dtype=np.int64) if low is None else low
+        high = np.full(len(start), self.n, dtype=np.int64) if high is None else high
+        low = self._bound(wanted, start, limit, low, high, False)
+        return low, self._bound(wanted, start, limit, low, high, True)
+
+    def longest(self, wanted, start, limit, low, high) -> np.ndarray:
+        """Words of the longest match of each wanted suffix with one of the suffixes low .. high (not empty)."""
+        at = self._bound(wanted, start, limit, low, high, False)
+        sames = [self._compared(self.order[np.clip(at + k, low, high - 1)], wanted, start, limit)[1] for k in (-1, 0)]
+        return np.maximum(*sames)
+
+
+def _members(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of intervals of the array, and the interval of each."""
+    n = high - low
+    return np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum()), np.repeat(np.arange(len(n)), n)
+
+
+def _matched(shard: Shard, block: Block, wanted: np.ndarray):
+    """(places, sizes, item sets) of all occurrences of windows; (place, item, place in it, words) of longest matches' every place."""
+    nothing = np.zeros(0, dtype=np.int64)
+    absent = np.concatenate([[0], np.cumsum(wanted < 0)])
+    first = block.first
+    asked = np.flatnonzero(absent[block.at[first] + block.size[first]] == absent[block.at[first]])  # all words are in the shard
+    lows, highs = np.zeros(len(first), dtype=np.int64), np.zeros(len(first), dtype=np.int64)
+    for k in range(0, len(asked), PLACES):
+        own = asked[k : k + PLACES]
+        lows[own], highs[own] = shard.interval(wanted, block.at[first[own]], block.size[first[own]])
+    hit = np.flatnonzero(highs > lows)
+    if not len(hit):
+        return (nothing,) * 3, (nothing,) * 4
+    where, row = _members(lows[hit], highs[hit])
+    occurrences = shard.order[where], block.size[first[hit[row]]], block.set_of[hit[row]]
+    places = np.flatnonzero(highs[block.window] > lows[block.window])
+    length = np.zeros(len(places), dtype=np.int64)
+    for k in range(0, len(places), PLACES):
+        own = places[k : k + PLACES]
+        length[k : k + PLACES] = shard.longest(wanted, block.at[own], block.left[own], lows[block.window[own]], highs[block.window[own]])
+    # a match that is the rest of the one a place before says nothing new
+    rest = np.zeros(len(places), dtype=bool)
+    rest[1:] = (np.diff(block.at[places]) == 1) & (block.item[places[1:]] == block.item[places[:-1]]) & (length[:-1] == length[1:] + 1)
+    places, length = places[~rest], length[~rest]
+    low, high = shard.interval(wanted, block.at[places], length, lows[block.window[places]], highs[block.window[places]])
+    where, row = _members(low, high)
+    return occurrences, (shard.order[where], block.item[places[row]], block.item_at[places[row]], length[row])
+
+
+class _Judged:
+    """What a slice of documents shares with the benchmark, block by block."""
+
+    def __init__(self, texts: list[bytes], window: int):
+        self.numbers = _Numbers()
+        runs = [self.numbers.of(text) for text in texts]
+        self.counts = np.array([len(x) for x in runs], dtype=np.int64)
+        self.starts = np.cumsum(self.counts + 1) - self.counts - 1
+        self.text = np.concatenate([part for own in runs for part in (own, [0])]).astype(np.int64)
+        self.doc = np.repeat(np.arange(len(texts)), self.counts + 1)
+        self.edges = np.zeros(len(self.text) + 1, dtype=np.int64)
+        self.items: list[set] = [set() for _ in texts]
+        self.matches: list[list[dict]] = [[] for _ in texts]
+        step = SEGMENT_WORDS - window + 1
+        self.segments = range(0, max(1, len(self.text) - window + 1), step) if len(self.text) > SEGMENT_WORDS else [0]
+        self.shard = None
+
+    def _shards(self):
+        if len(self.segments) > 1:
+            for begin in self.segments:
+                yield begin, Shard(np.append(self.text[begin : begin + SEGMENT_WORDS], 0))
+        else:
+            self.shard = self.shard or Shard(self.text)
+            yield 0, self.shard
+
+    def ask(self, block: Block) -> None:
+        numbers = np.fromiter((self.numbers.get(w, -1) for w in block.words), dtype=np.int64, count=len(block.words))
+        wanted = np.append(numbers, -1)[block.text - 1]  # ends of items and words that aren't there: -1
+        for begin, shard in self._shards():
+            (at, size, sets), (place, item, item_at, n) = _matched(shard, block, wanted)
+            if not len(at):
+                continue
+            np.add.at(self.edges, begin + at, 1)
+            np.add.at(self.edges, begin + at + size, -1)
+            for pair in np.unique(self.doc[begin + at] * len(block.sets) + sets).tolist():
+                doc, own = divmod(pair, len(block.sets))
+                self.items[doc].update(block.item_ids[k] for k in block.sets[own])
+            # of each document and benchmark place the first occurrence
+            doc = self.doc[begin + place]
+            order = np.lexsort((place, item_at, item, doc))
+            keys = np.stack([doc, item, item_at])[:, order]
+            fresh = np.ones(len(order), dtype=bool)
+            fresh[1:] = (keys[:, 1:] != keys[:, :-1]).any(0)
+            for k in order[fresh].tolist():
+                self.matches[doc[k]].append({"item_id": block.item_ids[item[k]], "item_start": int(item_at[k]), "doc_start": int(begin + place[k] - self.starts[doc[k]]), "n_words": int(n[k])})
+
+    def hits(self) -> np.ndarray:
+        """Words of each document inside an occurrence."""
+        inside = np.concatenate([[0], np.cumsum(np.cumsum(self.edges[:-1]) > 0)])
+        return inside[self.starts + self.counts] - inside[self.starts]
+
+
+@lru_cache(maxsize=1)
+def _loaded(path: str, window: int) -> Block:
+    with blobs.read_at(path) as file:
+        table = pa.ipc.open_stream(file.read()).read_all()
+    items = set(zip(table.column("item_id").to_pylist(), common.as_bytes(table.column("text").combine_chunks()), strict=True))
+    return Block(sorted(items, key=lambda x: (x[0] is None, x[0] or "", x[1])), window)
+
+
+def written_blocks(benchmark: DataFrame, folder: str | None = None) -> list[str]:
+    """Writes the benchmark in blocks of bounded size and returns their paths."""
+    folder = folder or f"{common.shared_folder(benchmark.sparkSession)}/blocks"
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), common.text_of().alias("text"))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-chars // BLOCK_CHARS)
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, n)))
-    return [Windows(sorted({(r.item_id, r.text.encode()) for r in items.where(block == k).collect()}, key=lambda x: (x[0] is None, x[0] or "", x[1])), window) for k in range(n)]
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, -(-chars // BLOCK_CHARS))))
+
+    def write(table: pa.Table) -> pa.Table:
+        path = blobs.attempt_name(folder, table.column("block")[0].as_py(), ".arrow")
+        own = table.select(["item_id", "text"])
+        with blobs.create(path) as out, pa.ipc.new_stream(out, own.schema) as stream:
+            stream.write_table(own)
+        return pa.table({"path": [path]})
+
+    return sorted(r.path for r in common.written(items.withColumn("block", block).groupBy("block").applyInArrow(write, "path string"), "blocks").collect())
+
+
+def _judge(batches, paths: list[str], window: int):
+    """(slice, what it shares) of Arrow batches with a column ``text``."""
+    for batch in common.slices(batches, "text", SHARD_BYTES):
+        text = batch.column("text")
+        own = _Judged(common.as_bytes(text if pa.types.is_string(text.type) or pa.types.is_binary(text.type) else text.cast(pa.string())), window)
+        for path in paths:
+            own.ask(_loaded(path, window))
+        yield batch, own
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """A row per document: its words, those inside an occurrence of a window, and all longest matches."""
-    spark, blocks = docs.sparkSession, _blocks(benchmark, window)
-    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"), F.expr(f"cast(array() as array<{MATCH}>)").alias("matches"))
-    kind = pa.list_(pa.struct([("item_id", pa.string()), ("item_start", pa.int32()), ("doc_start", pa.int32()), ("n_words", pa.int32())]))
-    for k, block in enumerate(blocks or [Windows([], window)]):
-        last, sent = k >= len(blocks) - 1, spark.sparkContext.broadcast(block)
-
-        def run(batches, last=last, sent=sent):
-            windows = sent.value
-            for batch in common.slices(batches, "text", SHARD_BYTES):
-                flat, counts = [], []
-                for text in common.as_bytes(batch.column("text")):
-                    own = words(text)
-                    counts.append(len(own))
-                    flat += own
-                    flat.append(b"")
-                numbers = np.fromiter(map(windows.number.__getitem__, flat), dtype=np.int64, count=len(flat))
-                starts = np.cumsum([0, *(n + 1 for n in counts)])
-                found = batch.column("matches").to_pylist()
-                matches = longest_matches(numbers, windows)
-                for doc, (place, n, item, item_at) in zip((np.searchsorted(starts, matches[:, 0], side="right") - 1).tolist(), matches.tolist(), strict=True):
-                    found[doc].append({"item_id": windows.item_ids[item], "item_start": item_at, "doc_start": place - int(starts[doc]), "n_words": n})
-                rows = [batch.column("doc_id"), pa.array(counts, type=pa.int64())]
-                if last:
-                    yield pa.RecordBatch.from_arrays([*rows, pa.array([_covered(x) for x in found], type=pa.int64()), pa.array(found, type=kind)], names=["doc_id", "n_words", "n_hit", "matches"])
-                else:
-                    yield pa.RecordBatch.from_arrays([rows[0], batch.column("text"), pa.array(found, type=kind)], names=["doc_id", "text", "matches"])
-
-        df = df.mapInArrow(run, RESULT if last else f"doc_id long, text string, matches array<{MATCH}>")
-    return df
-
-
-def _covered(matches: list[dict]) -> int:
-    """Words of a document inside at least one match."""
-    total, end = 0, 0
-    for at, n in sorted((x["doc_start"], x["n_words"]) for x in matches):
-        total += max(0, at + n - max(at, end))
-        end = max(end, at + n)
-    return total
+    """A row per document: its words, those inside an occurrence of a window, the items whose windows occur, and the matches.
+
+    ``matches`` are the longest verbatim matches of benchmark suffixes in the document's shard that the document has, each at
+    its first place there; one that is the rest of another is left out."""
+    paths = written_blocks(benchmark)
+
+    def run(batches):
+        for batch, own in _judge(batches, paths, window):
+            items = [sorted(x for x in found if x is not None) for found in own.items]
+            columns = [batch.column("doc_id"), pa.array(own.counts), pa.array(own.hits()), pa.array(items, type=pa.list_(pa.string())), pa.array(own.matches, type=MATCHES)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_hit", "items", "matches"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text")).mapInArrow(run, RESULT)
 
 
 def judged(found: DataFrame) -> DataFrame:
-    """Matches -> items and verdict: contaminated if at least a twentieth of the words is hit."""
-    items = F.array_sort(F.array_distinct(F.filter(F.transform("matches", lambda m: m["item_id"]), lambda x: x.isNotNull())))
-    return found.select("doc_id", "n_words", "n_hit", items.alias("items"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    """Matches -> verdict: contaminated if at least a twentieth of the words is hit."""
+    return found.select("doc_id", "n_words", "n_hit", "items", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents that aren't contaminated, with all their columns; those without a ``doc_id`` stay."""
-    gone = judged(find_matches(docs, benchmark, window)).where("contaminated AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    """The documents that aren't contaminated, with all their columns; each row is judged where it is read, nothing is shuffled."""
+    paths = written_blocks(benchmark)
+
+    def kept(batches):
+        for batch, own in _judge(batches, paths, window):
+            hits = own.hits()
+            yield batch.filter(pa.array((hits == 0) | (20 * hits < own.counts)))
+
+    return common.in_place(docs, kept)
 
 
 ORACLE = """
