@@ -1,15 +1,16 @@
 """SimHash near-duplicates: 64-bit fingerprints of word shingles, linked through a vantage-point tree.
 
 Only distinct fingerprints enter the tree. Its top levels are cut from a bounded sample and deal the fingerprints out
-into shards: at a node, those within the median distance of the vantage point go to the inner side, the others to the
+into shards, in further rounds where there are more shards than one tree should have: at a node, those within the median distance of the vantage point go to the inner side, the others to the
 outer one. By the triangle inequality a pair within ``radius`` on two sides has its inner member in the last ``radius``
 distances before the boundary; those members go to the outer side as well, so each pair meets in a shard. Within a shard
 the same rule prunes branches down to small leaves that are compared in full. A shard returns a spanning forest, not its
 pairs, and connected components join the forests.
 
 Defined cases: null or blank text has fingerprint zero, which is linked like any other; texts with fewer words than a
-shingle count as one shingle; repeated rows get a row each; a null ``doc_id`` is never a component's name (null where
-the whole component has none); an empty table gives no row; other columns are not read.
+shingle count as one shingle; a very long text's shingle hashes are held in memory once; repeated rows get a row each; a
+null ``doc_id`` is never a component's name (null where the whole component has none); an empty table gives no row; other
+columns are not read. ``deduplicated`` judges rows by their own text, whatever their ``doc_id``.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from . import common
 from .components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
-#: Fingerprints meant for one shard, most levels above the shards, sampled fingerprints per shard for placing the vantage points.
-SHARD, MOST_LEVELS, SAMPLED = 8192, 14, 16
+#: Fingerprints meant for one shard, levels that one tree has (a deeper tree comes in rounds), sampled fingerprints per shard for placing the vantage points.
+SHARD, TREE_LEVELS, SAMPLED = 8192, 14, 16
 #: Fingerprints compared in full, bytes of text hashed at a time.
 LEAF, TEXT_BYTES = 512, 4_000_000
 LANES = np.uint64(0x0101010101010101)
@@ -61,14 +62,15 @@ def fingerprints(texts: list[bytes], shingle: int = SHINGLE, seed: int = SEED) -
 
 
 def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """Rows (doc_id, fp); fp is the fingerprint as a signed long."""
+    """Rows (doc_id, digest of the text, fp); fp is the fingerprint as a signed long."""
 
     def made(batches):
         for batch in common.slices(batches, "text", TEXT_BYTES):
             own = fingerprints(common.as_bytes(batch.column("text")), shingle, seed).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(own)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(own)], names=["doc_id", "digest", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text")).mapInArrow(made, "doc_id long, fp long")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text")).withColumn("digest", F.xxhash64("text"))
+    return own.mapInArrow(made, "doc_id long, digest long, fp long")
 
 
 def _vantage(points: np.ndarray) -> tuple[np.uint64, int, np.ndarray]:
@@ -146,15 +148,33 @@ def _forest(points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return at, root[at]
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+def _deeper(dealt: DataFrame, n: int, done: int, more: int, radius: int) -> DataFrame:
+    """(shard, fp) after ``done`` levels -> the same after ``more`` others: each shard gets a tree of its own, from a bounded sample of it."""
+    dealt = common.written(dealt, "dealt")
+    share = min(1.0, (SAMPLED << more) * float(1 << done) / n)
+    sample = dealt.where(F.shiftrightunsigned(F.xxhash64("fp"), 11) / F.lit(2.0**53) < share)
+
+    def parted(points: pa.Table, sampled: pa.Table) -> pa.Table:
+        own, few = (np.unique(np.asarray(t.column("fp").to_numpy(), dtype=np.int64)).view(np.uint64) for t in (points, sampled))
+        at, names = deal(own, build_tree(few, more, radius), radius)
+        shard = points.column("shard")[0].as_py() if points.num_rows else 0
+        return pa.table({"shard": names + (shard << more + 1), "fp": own[at].view(np.int64)})
+
+    parts = max(1 << min(done, TREE_LEVELS), int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    both = (x.repartition(parts, "shard").groupBy("shard") for x in (dealt, sample))
+    return next(both).cogroup(next(both)).applyInArrow(parted, "shard long, fp long")
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, shard: int = SHARD, tree_levels: int = TREE_LEVELS) -> DataFrame:
     """Distinct fingerprints ``fp`` -> links (a, b) that connect the same fingerprints as all pairs within ``radius``."""
     spark = distinct.sparkSession
     n = distinct.count()
-    levels = min(MOST_LEVELS, max(0, int(np.ceil(np.log2(max(1, n / shard))))))
-    sample = [r.fp for r in distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLED << levels).collect()] if levels else []
-    tree = build_tree(np.array(sample, dtype=np.int64).view(np.uint64), levels, radius)
+    levels = max(0, int(np.ceil(np.log2(max(1, n / shard)))))
+    done = min(levels, tree_levels)
+    sample = [r.fp for r in distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLED << done).collect()] if levels else []
+    tree = build_tree(np.array(sample, dtype=np.int64).view(np.uint64), done, radius)
 
-    def dealt(batches):
+    def top(batches):
         for batch in batches:
             points = np.asarray(batch.column("fp").to_numpy(zero_copy_only=False), dtype=np.int64)
             at, shards = deal(points.view(np.uint64), tree, radius)
@@ -165,23 +185,27 @@ def links(distinct: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> Data
         at, root = _forest(points.view(np.uint64), radius)
         return pa.table({"a": points[at], "b": points[root]})
 
-    parts = max(1 << levels, int(spark.conf.get("spark.sql.shuffle.partitions"))) if levels else 1
-    return distinct.select("fp").mapInArrow(dealt, "shard long, fp long").repartition(parts, "shard").groupBy("shard").applyInArrow(linked, "a long, b long")
+    dealt = distinct.select("fp").mapInArrow(top, "shard long, fp long")
+    while done < levels:
+        more = min(tree_levels, levels - done)
+        dealt, done = _deeper(dealt, n, done, more, radius), done + more
+    parts = max(1 << min(levels, TREE_LEVELS), int(spark.conf.get("spark.sql.shuffle.partitions"))) if levels else 1
+    return dealt.repartition(parts, "shard").groupBy("shard").applyInArrow(linked, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """A row per document: doc_id, fp, component_id (the smallest doc_id that links reach)."""
+    """A row per document: doc_id, digest (of its text), fp, component_id (the smallest doc_id that links reach), first_digest (of that document's text)."""
     marked = common.written(with_fingerprints(docs, shingle, seed), "fingerprints")
-    distinct = common.written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    rep = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    distinct = common.written(marked.groupBy("fp").agg(F.min(rep).alias("first")), "distinct")
     roots = components(links(distinct, radius))
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     # the smallest member of a component comes over its root; both joins are on distinct fingerprints
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return marked.join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    least = named.groupBy("root").agg(F.min("first").alias("least"))
+    found = named.join(least, "root").select("fp", F.col("least.doc_id").alias("component_id"), F.col("least.digest").alias("first_digest"))
+    return marked.join(found, "fp").select("doc_id", "digest", "fp", "component_id", "first_digest")
 
 
 def deduplicated(docs: DataFrame, **settings) -> DataFrame:
-    """The documents that name their component, with all their columns; those without a ``doc_id`` stay."""
-    found = near_duplicates(docs, **settings)
-    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    """The first text of each component, with all its columns."""
+    return common.without_rows(docs, near_duplicates(docs, **settings).where("NOT (doc_id <=> component_id AND digest = first_digest)").select("doc_id", "digest"))
