@@ -25,3 +25,10 @@ def read_at(uri: str):
     """A file to seek in."""
     store, path = fs.FileSystem.from_uri(uri)
     return store.open_input_file(path)
+
+
+def remove(uri: str) -> None:
+    """A file that no manifest names any more; one that is gone already, as after a repeated attempt, is no error."""
+    store, path = fs.FileSystem.from_uri(uri)
+    if store.get_file_info(path).type == fs.FileType.File:
+        store.delete_file(path)

@@ -1,52 +1,71 @@
 """Substring dedup through a log-structured index of window fingerprints.
 
-Documents come in batches of rising ``doc_id``. A batch's windows are hashed, dealt out by the hash's top bits into
-buckets and, bucket by bucket, merge-joined with the sorted immutable runs of all earlier batches and with each other: a
-window whose words already started in a smaller document is a repeat. The batch's own hashes then become a new run, and
-``compact`` merges a bucket's runs when there are many. Runs are files of sorted keys; a manifest table names them.
-
-Equal windows of one slice of documents go to the bucket once, with the slice's smallest document; the slice reports its
-other documents by itself. So a passage in a third of all documents adds one entry per slice to its bucket.
-
-Matches are kept as keys per document and looked up again where the documents' words are at hand; words under a matched
-window go. A window's hash has 64 bits: the bucket is its top ones, the key the others. It stands in for comparing words;
-see the README for the odds.
-
-Defined cases: null text has no words; texts shorter than a window keep all words; a null ``doc_id`` takes no part in
-matching; rows of equal ``doc_id`` are one document for matching and get a row each; empty tables give no row.
+Documents come in batches of rising ``doc_id``. A batch's windows are hashed and dealt out by the hash's top bits into
+buckets. Bucket by bucket their keys (the next 32 bits) are merge-joined with the sorted immutable runs of all earlier
+batches and with each other; the batch's own keys, each with its document, then become a new run, and ``compact`` merges a
+bucket's runs when there are more than ``FAN_IN``. Runs are files; a manifest table names them.
+
+Equal keys are candidates only. They are verified by the words: every candidate's document is asked for a digest of the
+words of its window, and a window is a repeat if a smaller document has the same key and the same digest. So a collision of
+keys never removes a word, and none hides a repeat: a run keeps every document that came with a key.
+
+Equal windows of one slice of documents are verified there and go to the bucket once, with the slice's smallest document;
+the slice reports its other documents by itself. So a passage in a third of all documents adds one entry per slice. Texts
+are dealt into chunks by a hash of ``doc_id``; both passes over the texts, for digests and for removal, use one exchange.
+
+Defined cases: null text has no words; texts shorter than a window keep all words; a very long text is held with its words
+and hashes once; a null ``doc_id`` takes no part in matching; rows of equal ``doc_id`` are one document for matching and
+get a row each; empty tables give no row; other columns are not read.
 """
 
 from __future__ import annotations
 
-from itertools import compress
+from functools import lru_cache
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs, common
 
 WINDOW = 13
-#: Bits that a stored key has room for (with 256 buckets it uses them all), windows meant for a bucket, characters of a chunk of documents, bytes of text hashed at a time.
-KEY_BITS, BUCKET_WINDOWS, CHUNK_CHARS, TEXT_BYTES = 56, 1 << 20, 24_000_000, 8_000_000
-#: So many buckets at least that what is left of a hash fits into a key.
-LEAST_BUCKETS, BATCHES, FAN_IN = 256, 2, 8
+#: Bits of a key in its bucket, windows meant for a bucket, characters of a chunk and of a batch, bytes of text hashed at a time.
+KEY_BITS, BUCKET_WINDOWS, CHUNK_CHARS, BATCH_CHARS, TEXT_BYTES = 32, 1 << 20, 8_000_000, 64_000_000_000, 8_000_000
+#: Buckets and batches at least, runs of a bucket before they are merged, words whose hashes a worker remembers.
+LEAST_BUCKETS, BATCHES, FAN_IN, REMEMBERED_WORDS = 128, 2, 8, 1_000_000
 #: Multipliers of the window hash: golden ratio and a mixing constant.
 STEP, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 MANIFEST = "bucket int, path string, n long"
-STEPS = "kind int, bucket int, chunk int, docs binary, counts binary, keys binary, path string, n long"
+#: Rows between the steps: many values of one kind, packed. ``docs`` with ``counts`` each; ``marks`` are hash bits down to a
+#: key's last one, or without the bucket's where a row has a bucket.
+STEPS = "kind int, bucket int, chunk int, docs binary, counts binary, marks binary, digests binary, path string, n long"
+ENTRY, ASKED, LOCAL, RUN, KNOWN, VERIFIED = range(6)
+
+
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        value = self[word] = xxhash.xxh64_intdigest(word)
+        return value
+
+
+@lru_cache(maxsize=1)
+def _hashes() -> _Hashes:
+    return _Hashes()
 
 
 def windows(texts: list[bytes], window: int = WINDOW) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
     """Words of each text; for each window its hash, its text and its first word's place there."""
-    import xxhash
-
+    known = _hashes()
+    if len(known) > REMEMBERED_WORDS:
+        known.clear()
     split = [text.split() for text in texts]
     counts = np.array([len(x) for x in split], dtype=np.int64)
     total = int(counts.sum())
-    values = np.fromiter((xxhash.xxh64_intdigest(w) for own in split for w in own), dtype=np.uint64, count=total)
+    values = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), dtype=np.uint64, count=total)
     n = max(0, total - window + 1)
     hashes = np.zeros(n, dtype=np.uint64)
     for k in range(window):
@@ -61,50 +80,73 @@ def windows(texts: list[bytes], window: int = WINDOW) -> tuple[list[list[bytes]]
     return split, hashes[inside], doc[inside], place[inside]
 
 
+def digests(split: list[list[bytes]], doc: np.ndarray, place: np.ndarray, window: int) -> np.ndarray:
+    """Of the words of windows: a hash of their text, unlike that of the index."""
+    import xxhash
+
+    digest, join = xxhash.xxh3_64_intdigest, b" ".join
+    return np.fromiter((digest(join(split[d][p : p + window])) for d, p in zip(doc.tolist(), place.tolist(), strict=True)), dtype=np.uint64, count=len(doc))
+
+
 def _shift(buckets: int) -> int:
-    """Bits of a hash below its bucket's."""
-    if buckets < 1 << (64 - KEY_BITS) or buckets & (buckets - 1):
-        raise ValueError(f"{buckets} buckets: a power of two from {1 << (64 - KEY_BITS)} on is needed")
-    return 64 - (buckets.bit_length() - 1)
+    """Bits of a hash below those of its mark, which are its bucket's and its key's."""
+    if buckets & (buckets - 1) or buckets > 1 << 64 - KEY_BITS:
+        raise ValueError(f"{buckets} buckets: a power of two up to {1 << 64 - KEY_BITS} is needed")
+    return 64 - KEY_BITS - (buckets.bit_length() - 1)
 
 
-def _narrow(keys: np.ndarray) -> bytes:
-    """Keys as seven bytes each."""
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8]).tobytes()
+def _marks(hashes: np.ndarray, buckets: int, key_bits: int) -> np.ndarray:
+    """Bucket and key of hashes; ``key_bits`` below KEY_BITS leave more to the verification."""
+    return hashes >> np.uint64(_shift(buckets)) & np.uint64((1 << 64) - (1 << KEY_BITS) + (1 << key_bits) - 1)
 
 
-def _wide(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) * 8 // KEY_BITS, 8), dtype=np.uint8)
-    out[:, : KEY_BITS // 8] = np.frombuffer(data, dtype=np.uint8).reshape(-1, KEY_BITS // 8)
-    return out.view("<u8").reshape(-1)
+def _planes(values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T).tobytes()
 
 
-def write_run(folder: str, bucket: int, keys: np.ndarray) -> str:
-    """keys: sorted, distinct; stored as compressed planes of bytes."""
+def _of_planes(data: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+
+
+def write_run(folder: str, bucket: int, keys: np.ndarray, docs: np.ndarray) -> str:
+    """keys: sorted, stored as differences; compressed planes of bytes."""
     import zstandard
 
-    path = blobs.attempt_name(folder, bucket, ".run")
-    planes = np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8].T)
+    path, packer = blobs.attempt_name(folder, bucket, ".run"), zstandard.ZstdCompressor(level=1)
+    parts = [packer.compress(_planes(x)) for x in (np.diff(keys.astype("<u4"), prepend=np.uint32(0)).astype("<u4"), docs.astype("<i8"))]
     with blobs.create(path) as out:
-        out.write(zstandard.ZstdCompressor(level=1).compress(planes.tobytes()))
+        out.write(len(parts[0]).to_bytes(8, "little") + b"".join(parts))
     return path
 
 
-def read_run(path: str) -> np.ndarray:
+def read_run(path: str) -> tuple[np.ndarray, np.ndarray]:
     import zstandard
 
     with blobs.read_at(path) as file:
-        data = zstandard.ZstdDecompressor().decompress(file.read())
-    return _wide(np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(KEY_BITS // 8, -1).T).tobytes())
+        data, unpacker = file.read(), zstandard.ZstdDecompressor()
+    end = 8 + int.from_bytes(data[:8], "little")
+    return np.cumsum(_of_planes(unpacker.decompress(data[8:end]), "<u4"), dtype=np.uint32), _of_planes(unpacker.decompress(data[end:]), "<i8")
 
 
 def is_in(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    """Merge join: which of the sorted ``values`` stand in the sorted array."""
+    """Merge join: which of the ``values`` stand in the sorted array."""
     at = np.searchsorted(ordered, values)
     at[at == len(ordered)] = 0
     return ordered[at] == values if len(ordered) else np.zeros(len(values), dtype=bool)
 
 
+def _fresh(*columns: np.ndarray) -> np.ndarray:
+    """Where rows of sorted columns differ from the row before."""
+    out = np.ones(len(columns[0]), dtype=bool)
+    out[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in columns])
+    return out
+
+
+def _first(values: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    """For each row the value of its group's first row."""
+    return values[np.flatnonzero(fresh)][np.cumsum(fresh) - 1] if len(values) else values
+
+
 def _runs_of(parts: np.ndarray, n: int) -> list[slice]:
     """Slices of the sorted ``parts`` for 0 .. n-1."""
     bounds = np.searchsorted(parts, np.arange(n + 1))
@@ -121,148 +163,249 @@ def _chunk_of(doc_ids: np.ndarray, chunks: int) -> np.ndarray:
 class _Out:
     """Step rows on their way out."""
 
-    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.string(), pa.int64()]
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.string(), pa.int64()]
 
     def __init__(self):
         self.rows = []
 
-    def entries(self, bucket: int, docs: np.ndarray, counts: np.ndarray, keys: np.ndarray) -> None:
-        self.rows.append((0, bucket, None, docs.astype("<i8").tobytes(), counts.tobytes(), _narrow(keys), None, len(keys)))
+    def put(self, kind: int, bucket: int | None, chunk: int | None, docs: np.ndarray, marks: np.ndarray, digest: np.ndarray | None = None) -> None:
+        """Values with sorted ``docs``."""
+        fresh = np.flatnonzero(_fresh(docs))
+        counts = np.diff(np.append(fresh, len(docs)))
+        own = (marks.astype("<u8") if bucket is None else (marks & np.uint64((1 << KEY_BITS) - 1)).astype("<u4")).tobytes()
+        self.rows.append((kind, bucket, chunk, docs[fresh].astype("<i8").tobytes(), counts.astype("<u4").tobytes(), own, None if digest is None else digest.astype("<u8").tobytes(), None, len(docs)))
 
-    def matches(self, bucket: int, chunk: int, docs: np.ndarray, keys: np.ndarray) -> None:
-        """docs: one per key, sorted."""
-        own, counts = np.unique(docs, return_counts=True)
-        self.rows.append((1, bucket, chunk, own.astype("<i8").tobytes(), counts.astype("<u4").tobytes(), keys.astype("<u8").tobytes(), None, len(keys)))
+    def by_chunk(self, kind: int, bucket: int | None, docs: np.ndarray, marks: np.ndarray, chunks: int, digest: np.ndarray | None = None) -> None:
+        chunk = _chunk_of(docs, chunks)
+        order = np.lexsort((docs, chunk))
+        docs, marks, chunk, digest = docs[order], marks[order], chunk[order], None if digest is None else digest[order]
+        edges = np.append(np.flatnonzero(_fresh(chunk)), len(chunk)) if len(chunk) else []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            self.put(kind, bucket, int(chunk[a]), docs[a:b], marks[a:b], None if digest is None else digest[a:b])
+
+    def by_bucket(self, kind: int, docs: np.ndarray, marks: np.ndarray, digest: np.ndarray | None = None) -> None:
+        bucket = (marks >> np.uint64(KEY_BITS)).astype(np.int64)
+        order = np.lexsort((docs, bucket))
+        docs, marks, bucket, digest = docs[order], marks[order], bucket[order], None if digest is None else digest[order]
+        edges = np.append(np.flatnonzero(_fresh(bucket)), len(bucket)) if len(bucket) else []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            self.put(kind, int(bucket[a]), None, docs[a:b], marks[a:b], None if digest is None else digest[a:b])
 
     def batch(self) -> pa.RecordBatch:
         rows, self.rows = self.rows, []
         columns = zip(*rows, strict=True) if rows else [[]] * len(self.kinds)
         return pa.RecordBatch.from_arrays([pa.array(x, type=k) for x, k in zip(columns, self.kinds, strict=True)], names=[x.split()[0] for x in STEPS.split(", ")])
 
-    def by_chunk(self, bucket_of, docs: np.ndarray, full: np.ndarray, chunks: int) -> None:
-        chunk = _chunk_of(docs, chunks)
-        order = np.lexsort((docs, chunk))
-        docs, full, chunk = docs[order], full[order], chunk[order]
-        for k, own in enumerate(_runs_of(chunk, chunks)):
-            if own.stop > own.start:
-                self.matches(bucket_of(k), k, docs[own], full[own])
+
+def _values(table: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(docs, marks, digests) of the step rows of a kind."""
+    own = table.filter(pa.array(np.asarray(table.column("kind").to_numpy()) == kind))
+    none = [np.zeros(0, dtype=t) for t in (np.int64, np.uint64, np.uint64)]
+    docs, marks, digest = [none[0]], [none[1]], [none[2]]
+    for bucket, d, c, m, x in zip(*(own.column(k).to_pylist() for k in ("bucket", "docs", "counts", "marks", "digests")), strict=True):
+        docs.append(np.repeat(np.frombuffer(d, "<i8"), np.frombuffer(c, "<u4")))
+        marks.append(np.frombuffer(m, "<u8") if bucket is None else np.frombuffer(m, "<u4").astype(np.uint64) | np.uint64(bucket << KEY_BITS))
+        digest.append(np.frombuffer(x or b"", "<u8"))
+    return np.concatenate(docs), np.concatenate(marks), np.concatenate(digest)
 
 
-def _hashed(docs: DataFrame, buckets: int, chunks: int, window: int) -> DataFrame:
-    """Step rows of a batch: entries (kind 0) for the buckets, and matches (kind 1) that a slice finds by itself."""
-    shift = _shift(buckets)
+def _hashed(docs: DataFrame, buckets: int, chunks: int, window: int, key_bits: int) -> DataFrame:
+    """Step rows of a batch: entries for the buckets, and the repeats that a slice of documents has within itself."""
 
     def hashed(batches):
         for batch in common.slices(batches, "text", TEXT_BYTES):
             ids = np.asarray(batch.column("doc_id").to_numpy(zero_copy_only=False), dtype=np.int64)
-            _, full, doc, _ = windows(common.as_bytes(batch.column("text")), window)
-            doc_ids, out = ids[doc], _Out()
-            order = np.lexsort((doc_ids, full))
-            full, doc_ids = full[order], doc_ids[order]
-            fresh = np.ones(len(full), dtype=bool)
-            fresh[1:] = full[1:] != full[:-1]
-            first = doc_ids[np.flatnonzero(fresh)][np.cumsum(fresh) - 1] if len(full) else doc_ids
-            later = doc_ids > first
-            later[1:] &= ~((full[1:] == full[:-1]) & (doc_ids[1:] == doc_ids[:-1]))
-            out.by_chunk(lambda k: k % buckets, doc_ids[later], full[later], chunks)
-            full, doc_ids = full[fresh], doc_ids[fresh]
-            known, number = np.unique(doc_ids, return_inverse=True)
-            bucket = (full >> np.uint64(shift)).astype(np.int64)
-            order = np.lexsort((number, bucket))
-            full, number, bucket = full[order], number[order], bucket[order]
-            for k, own in enumerate(_runs_of(bucket, buckets)):
-                if own.stop > own.start:
-                    counts = np.bincount(number[own], minlength=len(known)).astype("<u4")
-                    used = counts > 0
-                    out.entries(k, known[used], counts[used], full[own] & np.uint64((1 << shift) - 1))
+            split, full, doc, place = windows(common.as_bytes(batch.column("text")), window)
+            marks, doc_ids, out = _marks(full, buckets, key_bits), ids[doc], _Out()
+            order = np.lexsort((doc_ids, marks))
+            marks, doc_ids, doc, place = marks[order], doc_ids[order], doc[order], place[order]
+            fresh = _fresh(marks)
+            shared = np.zeros(len(marks), dtype=bool)
+            shared[1:] = ~fresh[1:] & (doc_ids[1:] != doc_ids[:-1])
+            shared = np.repeat(np.logical_or.reduceat(shared, np.flatnonzero(fresh)), np.diff(np.append(np.flatnonzero(fresh), len(marks)))) if len(marks) else shared
+            alone = fresh & ~shared
+            rows = np.flatnonzero(shared)
+            digest = digests(split, doc[rows], place[rows], window)
+            order = np.lexsort((doc_ids[rows], digest, marks[rows]))
+            rows, digest = rows[order], digest[order]
+            own, own_ids = marks[rows], doc_ids[rows]
+            first = _fresh(own, digest)
+            later = (own_ids > _first(own_ids, first)) & _fresh(own, digest, own_ids)
+            out.by_chunk(LOCAL, None, own_ids[later], own[later], chunks, digest[later])
+            out.by_bucket(ENTRY, np.concatenate([doc_ids[alone], own_ids[first]]), np.concatenate([marks[alone], own[first]]))
             yield out.batch()
 
     return docs.mapInArrow(hashed, STEPS)
 
 
-def ingest(docs: DataFrame, runs: DataFrame | None, buckets: int, chunks: int, folder: str, window: int = WINDOW, keep: bool = True) -> tuple[DataFrame, DataFrame | None]:
+def _parts(spark, buckets: int) -> int:
+    """Partitions of an exchange by bucket: one for every few buckets."""
+    return min(buckets, max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 4))
+
+
+def ingest(docs: DataFrame, runs: DataFrame | None, buckets: int, chunks: int, folder: str, window: int = WINDOW, key_bits: int = KEY_BITS) -> tuple[DataFrame, DataFrame]:
     """Merges a batch (doc_id, text; every ``doc_id`` above all in ``runs``) into the index.
 
-    Returns the matches of its documents and, with ``keep``, the manifest with the batch's run."""
-    steps, shift = _hashed(docs, buckets, chunks, window), _shift(buckets)
+    Returns step rows by chunk (the slices' own repeats, and the documents asked for digests) and the manifest with the batch's runs."""
+    steps = _hashed(docs, buckets, chunks, window, key_bits)
     if runs is not None:
-        known = runs.select(F.lit(2).alias("kind"), "bucket", F.lit(None).cast("int").alias("chunk"), *(F.lit(None).cast("binary").alias(c) for c in ("docs", "counts", "keys")), "path", "n")
+        known = runs.select(F.lit(KNOWN).alias("kind"), "bucket", F.lit(None).cast("int").alias("chunk"), *(F.lit(None).cast("binary").alias(c) for c in ("docs", "counts", "marks", "digests")), "path", "n")
         steps = steps.unionByName(known)
 
     def merged(table: pa.Table) -> pa.Table:
-        out, bucket = _Out(), table.column("bucket")[0].as_py()
-        kinds = np.asarray(table.column("kind").to_numpy())
-        entries = table.take(np.flatnonzero(kinds == 0))
-        keys = np.concatenate([_wide(x) for x in entries.column("keys").to_pylist()] or [np.zeros(0, dtype=np.uint64)])
-        docs_ = [np.repeat(np.frombuffer(d, "<i8"), np.frombuffer(c, "<u4")) for d, c in zip(entries.column("docs").to_pylist(), entries.column("counts").to_pylist(), strict=True)]
-        doc_ids = np.concatenate(docs_ or [np.zeros(0, dtype=np.int64)])
+        out, bucket, kinds = _Out(), table.column("bucket")[0].as_py(), np.asarray(table.column("kind").to_numpy())
+        if bucket is None:
+            return table
+        doc_ids, marks, _ = _values(table, ENTRY)
+        keys = (marks & np.uint64((1 << KEY_BITS) - 1)).astype(np.uint32)
         order = np.lexsort((doc_ids, keys))
         keys, doc_ids = keys[order], doc_ids[order]
-        fresh = np.ones(len(keys), dtype=bool)
-        fresh[1:] = keys[1:] != keys[:-1]
-        later = doc_ids > (doc_ids[np.flatnonzero(fresh)][np.cumsum(fresh) - 1] if len(keys) else doc_ids)
-        for path in table.take(np.flatnonzero(kinds == 2)).column("path").to_pylist():
-            later |= is_in(keys, read_run(path))
-        out.by_chunk(lambda _: bucket, doc_ids[later], keys[later] | np.uint64(bucket << shift), chunks)
-        if keep and len(keys):
-            out.rows.append((2, bucket, None, None, None, None, write_run(folder, bucket, keys[fresh]), int(fresh.sum())))
-        return pa.Table.from_batches([out.batch(), *table.take(np.flatnonzero(kinds == 1)).combine_chunks().to_batches()])
-
-    # the groups are as many as the buckets, so the exchange has a partition for every few of them
-    done = steps.repartition(min(buckets, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets // 4)), "bucket").groupBy("bucket").applyInArrow(merged, STEPS)
-    if not keep:
-        return done.where("kind = 1").select("chunk", "docs", "counts", "keys"), runs
+        every, owners, new = [keys], [doc_ids], [np.ones(len(keys), dtype=bool)]
+        for path in table.filter(pa.array(kinds == KNOWN)).column("path").to_pylist():
+            old, old_docs = read_run(path)
+            met = is_in(old, keys)
+            every.append(old[met])
+            owners.append(old_docs[met])
+            new.append(np.zeros(int(met.sum()), dtype=bool))
+        own, owner, fresh_here = (np.concatenate(x) for x in (every, owners, new))
+        order = np.lexsort((owner, own))
+        own, owner, fresh_here = own[order], owner[order], fresh_here[order]
+        if len(own):
+            starts = np.flatnonzero(_fresh(own))
+            sizes = np.diff(np.append(starts, len(own)))
+            # a key that only one document has needs no digest
+            asked = np.repeat((owner[starts] != owner[starts + sizes - 1]) & np.logical_or.reduceat(fresh_here, starts), sizes) & _fresh(own, owner)
+            out.by_chunk(ASKED, bucket, owner[asked], own[asked].astype(np.uint64), chunks)
+        if len(keys):
+            out.rows.append((RUN, bucket, None, None, None, None, None, write_run(folder, bucket, keys, doc_ids), len(keys)))
+        return pa.Table.from_batches([out.batch()])
+
+    parts = _parts(docs.sparkSession, buckets)
+    # rows without a bucket pass through; they are spread by their chunk
+    spread = F.when(F.col("bucket").isNull(), F.struct(F.lit(-1).alias("bucket"), "chunk")).otherwise(F.struct(F.col("bucket"), F.lit(-1).alias("chunk")))
+    done = steps.withColumn("to", spread).repartition(parts, "to").groupBy("to").applyInArrow(lambda t: merged(t.drop_columns(["to"])), STEPS)
     done = common.written(done, "steps")
-    added = done.where("kind = 2").select("bucket", "path", "n")
-    return done.where("kind = 1").select("chunk", "docs", "counts", "keys"), added if runs is None else runs.unionByName(added)
+    added = done.where(F.col("kind") == RUN).select("bucket", "path", "n")
+    return done.where(F.col("kind").isin(ASKED, LOCAL)), added if runs is None else runs.unionByName(added)
 
 
 def compact(runs: DataFrame, folder: str, fan_in: int = FAN_IN) -> DataFrame:
-    """The manifest with one run for every bucket that had more than ``fan_in``."""
+    """The manifest with one run for every bucket that had more than ``fan_in``; the merged runs' files are removed."""
 
     def merged(table: pa.Table) -> pa.Table:
         if table.num_rows <= fan_in:
             return table.select(["bucket", "path", "n"])
-        bucket, keys = table.column("bucket")[0].as_py(), np.zeros(0, dtype=np.uint64)
-        for path in table.column("path").to_pylist():
-            keys = np.union1d(keys, read_run(path))
-        return pa.table({"bucket": pa.array([bucket], pa.int32()), "path": [write_run(folder, bucket, keys)], "n": pa.array([len(keys)], pa.int64())})
-
-    return common.written(runs.groupBy("bucket").applyInArrow(merged, MANIFEST), "runs")
-
-
-def without_matches(docs: DataFrame, matches: DataFrame, chunks: int, window: int = WINDOW) -> DataFrame:
-    """Rows (doc_id, n_words, n_removed, kept): each document without the words under its matched windows."""
-
-    def kept(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = {name: right.column(name).to_pylist() for name in ("docs", "counts", "keys")}
-        ids = np.concatenate([np.repeat(np.frombuffer(d, "<i8"), np.frombuffer(c, "<u4")) for d, c in zip(rows["docs"], rows["counts"], strict=True)] or [np.zeros(0, dtype=np.int64)])
-        keys = np.concatenate([np.frombuffer(k, "<u8") for k in rows["keys"]] or [np.zeros(0, dtype=np.uint64)])
-        order = np.lexsort((keys, ids))
-        ids, keys = ids[order], keys[order]
-        pieces = []
-        for batch in common.slices(left.to_batches(), "text", TEXT_BYTES):
-            split, full, doc, place = windows(common.as_bytes(batch.column("text")), window)
-            own, texts, removed = _runs_of(doc, len(split)), [], []
-            doc_ids = batch.column("doc_id").to_pylist()
-            for k, words in enumerate(split):
-                gone = 0
-                if doc_ids[k] is not None and (a := np.searchsorted(ids, doc_ids[k])) < len(ids) and ids[a] == doc_ids[k]:
-                    hit = place[own[k]][is_in(full[own[k]], keys[a : np.searchsorted(ids, doc_ids[k], side="right")])]
+        bucket, parts = table.column("bucket")[0].as_py(), [read_run(path) for path in table.column("path").to_pylist()]
+        keys, docs = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((docs, keys))
+        keys, docs = keys[order], docs[order]
+        return pa.table({"bucket": pa.array([bucket], pa.int32()), "path": [write_run(folder, bucket, keys, docs)], "n": pa.array([len(keys)], pa.int64())})
+
+    def removed(batches):
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                blobs.remove(path)
+            yield batch
+
+    # a repeated attempt would read files that are removed later only: the new manifest is a table before
+    done = common.written(runs.groupBy("bucket").applyInArrow(merged, MANIFEST), "runs")
+    runs.select("path").join(done.select("path"), "path", "left_anti").mapInArrow(removed, "path string").count()
+    return done
+
+
+def _found(texts: pa.Table, asked: tuple[np.ndarray, np.ndarray], buckets: int, window: int, key_bits: int):
+    """Windows of a chunk's documents whose marks are ``asked`` (docs, marks): (slice, its words, row in it, place, doc, mark, digest) by slice."""
+    order = np.lexsort((asked[1], asked[0]))
+    ids, marks = asked[0][order], asked[1][order]
+    for batch in common.slices(texts.to_batches(), "text", TEXT_BYTES):
+        split, full, doc, place = windows(common.as_bytes(batch.column("text")), window)
+        own, rows, doc_ids = _marks(full, buckets, key_bits), [], batch.column("doc_id").to_pylist()
+        for k, part in enumerate(_runs_of(doc, len(split))):
+            if doc_ids[k] is not None and (a := np.searchsorted(ids, doc_ids[k])) < len(ids) and ids[a] == doc_ids[k]:
+                rows.append(part.start + np.flatnonzero(is_in(own[part], marks[a : np.searchsorted(ids, doc_ids[k], side="right")])))
+        rows = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
+        owner = np.array([doc_ids[k] for k in doc[rows].tolist()], dtype=np.int64)
+        yield batch, split, doc[rows], place[rows], owner, own[rows], digests(split, doc[rows], place[rows], window)
+
+
+def _pair_numbers(*pairs: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Numbers that are equal where (mark, digest) are, and where (mark, digest, doc) are, for several lists of (doc, mark, digest)."""
+    docs, marks, digest = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    order = np.lexsort((docs, digest, marks))
+    window, whole = np.empty(len(docs), dtype=np.int64), np.empty(len(docs), dtype=np.int64)
+    window[order] = np.cumsum(_fresh(marks[order], digest[order]))
+    whole[order] = np.cumsum(_fresh(marks[order], digest[order], docs[order]))
+    ends = np.cumsum([len(x[0]) for x in pairs])
+    return [(window[b - len(x[0]) : b], whole[b - len(x[0]) : b]) for x, b in zip(pairs, ends.tolist(), strict=True)]
+
+
+def without_matches(docs: DataFrame, steps: DataFrame, buckets: int, chunks: int, window: int = WINDOW, key_bits: int = KEY_BITS) -> DataFrame:
+    """Rows (doc_id, n_words, n_removed, kept): each document without the words under its verified repeats."""
+    spark = docs.sparkSession
+
+    def digested(texts: pa.Table, right: pa.Table) -> pa.Table:
+        """A chunk's smallest document of each asked window, with its digest, for the window's bucket."""
+        out, (ids, marks, _) = _Out(), _values(right, ASKED)
+        found = [x[4:] for x in _found(texts, (ids, marks), buckets, window, key_bits)]
+        if found:
+            owner, own, digest = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((owner, digest, own))
+            owner, own, digest = owner[order], own[order], digest[order]
+            first = _fresh(own, digest)
+            out.by_bucket(ENTRY, owner[first], own[first], digest[first])
+        return pa.Table.from_batches([out.batch()])
+
+    def verified(table: pa.Table) -> pa.Table:
+        out, (owner, own, digest) = _Out(), _values(table, ENTRY)
+        order = np.lexsort((owner, digest, own))
+        owner, own, digest = owner[order], own[order], digest[order]
+        later = owner > _first(owner, _fresh(own, digest))
+        out.by_chunk(VERIFIED, table.column("bucket")[0].as_py(), owner[later], own[later], chunks, digest[later])
+        return pa.Table.from_batches([out.batch()])
+
+    def kept(texts: pa.Table, right: pa.Table) -> pa.Table:
+        asked, local, known = (_values(right, kind) for kind in (ASKED, LOCAL, VERIFIED))
+        wanted = tuple(np.concatenate([a, b]) for a, b in zip(asked[:2], local[:2], strict=True))
+        found, none = [], np.zeros(0, dtype=np.int64)
+        for batch, _, row, place, *hits in _found(texts, wanted, buckets, window, key_bits):
+            found.append((batch, row, place, hits))
+        if found:
+            hits = [np.concatenate(x) for x in zip(*(x[3] for x in found), strict=True)]
+            (own, whole), (_, sure) = _pair_numbers(tuple(hits), tuple(np.concatenate([a, b]) for a, b in zip(local, known, strict=True)))
+            gone = is_in(whole, np.unique(sure))
+            # of equal windows in this chunk all but those of the smallest document are repeats
+            order = np.lexsort((hits[0], own))
+            gone[order] |= hits[0][order] > _first(hits[0][order], _fresh(own[order]))
+        pieces, end = [], 0
+        for batch, row, place, _ in found:
+            own = gone[end : end + len(row)]
+            end += len(row)
+            row, place = row[own], place[own]
+            starts = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            words_of, removed = [], []
+            for k, text in enumerate(common.as_bytes(batch.column("text"))):
+                words, hit = text.split(), place[starts[k] : starts[k + 1]]
+                stays, n = words, 0
+                if len(hit):
                     edges = np.zeros(len(words) + 1, dtype=np.int64)
                     np.add.at(edges, hit, 1)
                     np.add.at(edges, hit + window, -1)
-                    stays = np.cumsum(edges[:-1]) == 0
-                    gone = len(words) - int(stays.sum())
-                    texts.append(b" ".join(compress(words, stays.tolist())).decode())
-                else:
-                    texts.append(b" ".join(words).decode())
-                removed.append((len(words), gone))
-            pieces.append(pa.table({"doc_id": batch.column("doc_id"), "n_words": pa.array([x for x, _ in removed], pa.int64()), "n_removed": pa.array([x for _, x in removed], pa.int64()), "kept": pa.array(texts, pa.string())}))
-        return pa.concat_tables(pieces) if pieces else pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept": pa.array([], pa.string())})
-
-    chunked = docs.withColumn("chunk", _chunk(chunks))
-    return chunked.groupBy("chunk").cogroup(matches.groupBy("chunk")).applyInArrow(kept, "doc_id long, n_words long, n_removed long, kept string")
+                    free = np.cumsum(edges[:-1]) == 0
+                    n, stays = len(words) - int(free.sum()), compress(words, free.tolist())
+                words_of.append(b" ".join(stays).decode())
+                removed.append((len(words), n))
+            pieces.append(pa.table({"doc_id": batch.column("doc_id"), "n_words": pa.array([x for x, _ in removed], pa.int64()), "n_removed": pa.array([x for _, x in removed], pa.int64()), "kept": pa.array(words_of, pa.string())}))
+        empty = pa.table({"doc_id": pa.array(none, pa.int64()), "n_words": pa.array(none, pa.int64()), "n_removed": pa.array(none, pa.int64()), "kept": pa.array([], pa.string())})
+        return pa.concat_tables(pieces) if pieces else empty
+
+    # a number of partitions that grows with the chunks, on both sides of each cogroup; the texts' exchange is used twice
+    parts = max(chunks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    texts = docs.withColumn("chunk", _chunk(chunks)).repartition(parts, "chunk").groupBy("chunk")
+    asked = steps.where(F.col("kind") == ASKED).repartition(parts, "chunk").groupBy("chunk")
+    entries = texts.cogroup(asked).applyInArrow(digested, STEPS)
+    sure = entries.repartition(_parts(spark, buckets), "bucket").groupBy("bucket").applyInArrow(verified, STEPS)
+    every = steps.unionByName(sure).repartition(parts, "chunk").groupBy("chunk")
+    return texts.cogroup(every).applyInArrow(kept, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def _chunk(chunks: int):
@@ -279,25 +422,31 @@ def _prime(n: int) -> int:
     return n
 
 
-def sizes(docs: DataFrame, bucket_windows: int = BUCKET_WINDOWS, chunk_chars: int = CHUNK_CHARS) -> tuple[int, int]:
-    """Numbers of buckets (a power of two) and chunks for documents (doc_id, text)."""
+def sizes(docs: DataFrame, bucket_windows: int = BUCKET_WINDOWS, chunk_chars: int = CHUNK_CHARS, batch_chars: int = BATCH_CHARS) -> tuple[int, int, int]:
+    """Numbers of buckets (a power of two), chunks and batches for documents (doc_id, text)."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    return max(LEAST_BUCKETS, 1 << (max(1, chars // 6 // bucket_windows) - 1).bit_length()), _prime(max(17, -(-chars // chunk_chars)))
+    buckets = max(LEAST_BUCKETS, 1 << (max(1, chars // 6 // bucket_windows) - 1).bit_length())
+    return buckets, _prime(max(17, -(-chars // chunk_chars))), max(BATCHES, -(-chars // batch_chars))
+
 
+def substring_deduplicated(docs: DataFrame, window: int = WINDOW, batches: int | None = None, fan_in: int = FAN_IN, folder: str | None = None, key_bits: int = KEY_BITS) -> DataFrame:
+    """All documents without the words whose windows start in a smaller document, by ingesting them into an empty index in batches.
 
-def substring_deduplicated(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES, keep_last: bool = False) -> DataFrame:
-    """All documents without the words whose windows start in a smaller document, by ingesting them into an empty index in batches."""
-    folder = f"{common.shared_folder(docs.sparkSession)}/runs"
+    The index with all documents is left in ``folder``."""
+    folder = folder or f"{common.shared_folder(docs.sparkSession)}/runs"
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
-    buckets, chunks = sizes(own)
+    buckets, chunks, grown = sizes(own)
+    batches = batches or grown
     cuts = own.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)] or [0.5], 10_000)).first()[0] or []
     cuts = sorted(set(cuts)) if batches > 1 else []
-    runs, found = None, None
+    runs, found, since = None, None, 0
     for k in range(len(cuts) + 1):
         batch = own.where(F.col("doc_id").isNotNull() & (F.col("doc_id") > cuts[k - 1] if k else F.lit(True)) & (F.col("doc_id") <= cuts[k] if k < len(cuts) else F.lit(True)))
-        matches, runs = ingest(batch, runs, buckets, chunks, folder, window, keep=keep_last or k < len(cuts))
-        found = matches if found is None else found.unionByName(matches)
-    return without_matches(own, found, chunks, window)
+        steps, runs = ingest(batch, runs, buckets, chunks, folder, window, key_bits)
+        found, since = steps if found is None else found.unionByName(steps), since + 1
+        if since > fan_in:
+            runs, since = compact(runs, folder, fan_in), 1
+    return without_matches(own, found, buckets, chunks, window, key_bits)
 
 
 ORACLE = """

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, and on odd rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -192,7 +193,16 @@ def test_near_duplicates_are_those_of_all_pairs(docs, none):
     kept = simhash.deduplicated(docs)
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
-    assert {7, 6} & set(ids) == {6} and set(ids) - {None} == {min(x) for x in least.values()}
+    assert {7, 6} & set(ids) == {6} and set(ids) == {min(x) for x in least.values()}
+
+
+@pytest.mark.parametrize("operator", [simhash, near_copies])
+def test_near_duplicates_judge_rows_not_ids(spark, operator):
+    a, b, c = words(60, 1), words(60, 2), words(60, 3)
+    rows = [(1, a, 1), (5, a, 2), (5, b, 3), (None, a, 4), (None, c, 5), (7, None, 6), (8, "", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` long").withColumn("__gone", F.lit(1)).withColumn("digest", F.lit(2)).withColumn("fp", F.lit(2))
+    kept = operator.deduplicated(df)
+    assert kept.schema == df.schema and sorted(r["a.b"] for r in kept.collect()) == [1, 3, 5, 6]
 
 
 def test_tree_finds_all_close_pairs(spark):
@@ -205,10 +215,11 @@ def test_tree_finds_all_close_pairs(spark):
     want = {(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True) if a < b}
     assert set(zip(*(x.tolist() for x in simhash.close_pairs(points, 2)), strict=True)) == want
     signed = points.view(np.int64).tolist()
-    links = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), 2, shard=200)
-    found = {r.node: r.root for r in components.components(links).collect()}
     roots = smallest_reachable(signed, [(signed[a], signed[b]) for a, b in want])
-    assert {x: found.get(x, x) for x in signed} == roots
+    for tree_levels in (14, 2):
+        links = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), 2, shard=200, tree_levels=tree_levels)
+        found = {r.node: r.root for r in components.components(links).collect()}
+        assert {x: found.get(x, x) for x in signed} == roots
 
 
 def test_components_of_paths_and_stars(spark):
@@ -234,7 +245,6 @@ def benchmark_rows():
 @pytest.mark.parametrize("block", [8_000_000, 120])
 def test_decontamination_is_brute_force(spark, docs, none, block, monkeypatch):
     monkeypatch.setattr(decontamination, "BLOCK_CHARS", block)
-    monkeypatch.setattr(decontamination, "SHARD_BYTES", 3000)
     bench = spark.createDataFrame(benchmark_rows(), "item_id long, text string")
     rows = decontamination.judged(decontamination.find_matches(docs, bench)).collect()
     windows = defaultdict(set)
@@ -256,15 +266,75 @@ def test_decontamination_is_brute_force(spark, docs, none, block, monkeypatch):
     assert decontamination.find_matches(docs, bench.limit(0)).where("n_hit > 0").count() == 0
     kept = decontamination.decontaminated(docs, bench)
     assert kept.columns == docs.columns
-    assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in rows if not r.contaminated or r.doc_id is None)
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in rows if not r.contaminated)
 
 
-def test_longest_matches_are_longest():
-    items = [("a", b"one two three four five six seven")]
-    windows = decontamination.Windows(items, 3)
-    text = b"x two three four five y one two three z five six seven".split()
-    found = decontamination.longest_matches(np.array([windows.number[w] for w in text] + [0]), windows)
-    assert sorted(map(tuple, found.tolist())) == [(1, 4, 0, 1), (6, 3, 0, 0), (10, 3, 0, 4)]
+def test_decontamination_judges_rows_not_ids(spark):
+    bench = spark.createDataFrame(benchmark_rows(), "item_id long, text string")
+    hit, clean = words(60, 1), words(60, 77)
+    rows = [(5, hit, 1, 1), (5, clean, 2, 2), (None, hit, 3, 3), (None, clean, 4, 4), (6, None, 5, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __gone long, `a.b` long")
+    kept = decontamination.decontaminated(df, bench)
+    assert kept.schema == df.schema and sorted(r["a.b"] for r in kept.collect()) == [2, 4, 5]
+    assert "Exchange" not in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_suffix_array_is_sorted_to_full_depth():
+    rng = random.Random(1)
+    for _ in range(30):
+        text = [rng.choice([0, 1, 1, 2, 3]) for _ in range(rng.randint(0, 80))] + [1, 1, 2] * rng.randint(0, 20) + [0]
+        ends, keyed = sum(x == 0 for x in text), []
+        for k, x in enumerate(text):
+            keyed.append(sum(y == 0 for y in text[:k]) if x == 0 else ends + x)
+        assert decontamination.suffix_array(np.array(text)).tolist() == sorted(range(len(text)), key=lambda k: keyed[k:])
+
+
+@pytest.mark.parametrize("segment", [1 << 21, 40])
+def test_longest_matches_are_longest(segment, monkeypatch):
+    monkeypatch.setattr(decontamination, "SEGMENT_WORDS", segment)
+    own = decontamination._Judged([b"x two three four five y one two three z five six seven", b"", b"two three four"], 3)
+    own.ask(decontamination.Block([("a", b"one two three four five six seven"), ("b", b"three FOUR")], 3))
+    found = [{(m["item_id"], m["item_start"], m["doc_start"], m["n_words"]) for m in x} for x in own.matches]
+    # the suffix from "two" matches four words in the first document; three of them, in the last one, are not its longest
+    assert found[0] == {("a", 0, 6, 3), ("a", 1, 1, 4), ("a", 4, 10, 3), ("b", 0, 2, 2)} and found[1] == [] or found[1] == set()
+    assert {x for x in found[2]} == {("b", 0, 1, 2)}
+    assert own.hits().tolist() == [10, 0, 3] and [sorted(x) for x in own.items] == [["a", "b"], [], ["a", "b"]]
+    rng = random.Random(segment)
+    for _ in range(20):
+        texts, items = [[" ".join(rng.choices("abc", k=rng.randint(0, 60))).encode() for _ in range(n)] for n in (4, 5)]
+        own = decontamination._Judged(texts, 4)
+        own.ask(decontamination.Block(list(enumerate(items)), 4))
+        for doc, text in enumerate(texts):
+            row, hit, found = text.split(), set(), set()
+            for k, item in enumerate(items):
+                wanted = item.split()
+                for at in range(max(0, len(wanted) - 4) + 1 if wanted else 0):
+                    window = wanted[at : at + 4]
+                    for p in range(len(row) - len(window) + 1):
+                        if row[p : p + len(window)] == window:
+                            hit |= set(range(p, p + len(window)))
+                            found.add(k)
+            assert own.hits()[doc] == len(hit) and own.items[doc] == found
+            for m in own.matches[doc]:
+                assert row[m["doc_start"] : m["doc_start"] + m["n_words"]] == items[m["item_id"]].split()[m["item_start"] : m["item_start"] + m["n_words"]]
+            if segment > 1000:  # the longest match of any item and this document is reported if no other document has a longer one
+                for k, item in enumerate(items):
+                    best = max((m["n_words"] for x in own.matches for m in x if m["item_id"] == k), default=0)
+                    wanted = item.split()
+                    assert best == max((n for n in range(min(4, len(wanted)), len(wanted) + 1) if n and any(wanted[a : a + n] == x.split()[p : p + n] for x in texts for a in range(len(wanted) - n + 1) for p in range(len(x.split()) - n + 1))), default=0)
+
+
+def test_a_repeated_word_costs_no_pairs():
+    import tracemalloc
+
+    text, item = b"a " * 100_000, b"a " * 5_000
+    tracemalloc.start()
+    own = decontamination._Judged([text], 13)
+    own.ask(decontamination.Block([("i", item)], 13))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert own.hits().tolist() == [100_000] and own.items == [{"i"}] and [(m["item_start"], m["n_words"]) for m in own.matches[0]] == [(0, 5000)]
+    assert most < 300e6
 
 
 # substring dedup
@@ -286,83 +356,130 @@ def plain_substrings(rows, window=13):
         yield i, len(own), len(gone), b" ".join(w for k, w in enumerate(own) if k not in gone).decode()
 
 
-@pytest.mark.parametrize("batches", [1, 2, 4])
-def test_substrings_are_brute_force(docs, none, batches, monkeypatch):
-    monkeypatch.setattr(substrings, "TEXT_BYTES", 2000)
-    rows = substrings.substring_deduplicated(docs, batches=batches).collect()
+@pytest.mark.parametrize("batches,key_bits", [(1, 32), (2, 32), (4, 32), (3, 1)])
+def test_substrings_are_brute_force(docs, none, batches, key_bits):
+    rows = substrings.substring_deduplicated(docs, batches=batches, fan_in=2, key_bits=key_bits).collect()
     assert Counter(map(tuple, rows)) == Counter(plain_substrings(odd_texts()))
     assert substrings.substring_deduplicated(none, batches=batches).count() == 0
 
 
+@pytest.mark.parametrize("key_bits", [32, 0])
+def test_colliding_keys_remove_and_hide_nothing(spark, key_bits):
+    """With keys of no bits all windows of a bucket collide; only equal words count, over all batches."""
+    texts = [(k, words(30, 900 + k % 11) + " " + words(20, 1000 + k % 5)) for k in range(40)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    rows = substrings.substring_deduplicated(df, batches=4, fan_in=1, key_bits=key_bits).collect()
+    assert Counter(map(tuple, rows)) == Counter(plain_substrings(texts))
+
+
 def test_substring_index_is_incremental_and_compacts(spark, tmp_path):
     texts = [(k, words(40, 50 + k % 7)) for k in range(30)]
     folder, runs, found = "file://" + str(tmp_path), None, None
     every = spark.createDataFrame(texts, "doc_id long, text string")
     for k in range(5):
-        matches, runs = substrings.ingest(every.where(f"doc_id div 6 = {k}"), runs, 256, 17, folder)
-        found = matches if found is None else found.unionByName(matches)
+        steps, runs = substrings.ingest(every.where(f"doc_id div 6 = {k}"), runs, 128, 17, folder)
+        found = steps if found is None else found.unionByName(steps)
         if k == 2:
             runs = substrings.compact(runs, folder, fan_in=1)
-    assert Counter(map(tuple, substrings.without_matches(every, found, 17).collect())) == Counter(plain_substrings(texts))
+    assert Counter(map(tuple, substrings.without_matches(every, found, 128, 17).collect())) == Counter(plain_substrings(texts))
     before = runs.groupBy("bucket").count().agg(F.max("count")).first()[0]
+    files = len(list(tmp_path.iterdir()))
     small = substrings.compact(runs, folder, fan_in=1)
     assert before > 1 and small.groupBy("bucket").count().agg(F.max("count")).first()[0] == 1
-    keys = sorted((r.bucket, k) for r in small.collect() for k in substrings.read_run(r.path).tolist())
-    assert len(keys) == len(set(keys)) == len({tuple(t.split()[k : k + 13]) for _, t in texts for k in range(28)})
+    assert len(list(tmp_path.iterdir())) == small.count() < files
+    keys = {(r.bucket, k) for r in small.collect() for k in substrings.read_run(r.path)[0].tolist()}
+    assert len(keys) == len({tuple(t.split()[k : k + 13]) for _, t in texts for k in range(28)})
+
+
+def test_the_query_leaves_an_index_of_all_documents(spark, tmp_path):
+    texts = [(k, words(40, 50 + k % 7)) for k in range(30)]
+    folder = "file://" + str(tmp_path)
+    substrings.substring_deduplicated(spark.createDataFrame(texts, "doc_id long, text string"), batches=5, fan_in=2, folder=folder).count()
+    keys = {int(p.name.split("-")[0]): set() for p in tmp_path.iterdir()}
+    for p in tmp_path.iterdir():
+        keys[int(p.name.split("-")[0])] |= set(substrings.read_run("file://" + str(p))[0].tolist())
+    assert sum(map(len, keys.values())) == len({tuple(t.split()[k : k + 13]) for _, t in texts for k in range(28)})
+    assert max(Counter(p.name.split("-")[0] for p in tmp_path.iterdir()).values()) <= 3
 
 
 # line dedup
 
 
-def plain_lines(rows, long=20):
-    own = {(i, t): [(k, x.strip()) for k, x in enumerate((t or "").split("\n")) if x.strip()] for i, t in rows}
-    first = {}
-    for (i, t), lines in own.items():
-        if i is None:
-            continue
-        for k in range(len(lines)):
-            for size in (1, 2):
-                if size == 2 and k + 2 <= len(lines) or size == 1 and len(lines[k][1].split()) >= long:
-                    key = tuple(x for _, x in lines[k : k + size])
-                    first[key] = min(first.get(key, (i, k)), (i, k))
+def plain_lines(rows, window=4, long=8, reach=8):
+    """(doc_id, text, n_lines, n_removed) of each row: windows of an earlier place, and what surrounds long lines as it does at their first place."""
+    docs, first, seen, gone = {}, {}, {}, {}
+    for i, t in sorted({(i, t or "") for i, t in rows}, key=lambda r: (r[0] is None, r[0] or 0)):
+        docs[i, t] = [line.strip(" \t\r\v\f") for line in t.split("\n") if line.strip(" \t\r\v\f")]
+    for key, lines in docs.items():
+        gone[key] = set()
+        for k, line in enumerate(lines):
+            own = tuple(lines[k : k + window])
+            if len(own) == window and seen.setdefault(own, (key, k)) != (key, k):
+                gone[key] |= set(range(k, k + window))
+            if len(re.findall("[^ \t-\r]+", line)) < long:
+                continue
+            other, j = first.setdefault(line, (key, k))
+            if (other, j) == (key, k):
+                continue
+            back = ahead = 0
+            while back < reach and min(k, j) - back > 0 and lines[k - back - 1] == docs[other][j - back - 1]:
+                back += 1
+            while ahead < reach and k + ahead + 1 < len(lines) and j + ahead + 1 < len(docs[other]) and lines[k + ahead + 1] == docs[other][j + ahead + 1]:
+                ahead += 1
+            gone[key] |= set(range(k - back, k + ahead + 1))
+    out = []
     for i, t in rows:
-        lines, gone = own[i, t], set()
-        for k in range(len(lines)):
-            for size in (1, 2):
-                key = tuple(x for _, x in lines[k : k + size])
-                if i is not None and len(key) == size and (size == 2 or len(key[0].split()) >= long) and first[key] < (i, k):
-                    gone |= {p for p, _ in lines[k : k + size]}
-        yield i, len(lines), len(gone), None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
+        kept, k = [], -1
+        for line in (t or "").split("\n"):
+            k += bool(line.strip(" \t\r\v\f"))
+            if not (line.strip(" \t\r\v\f") and k in gone[i, t or ""]):
+                kept.append(line)
+        text = "\n".join(kept) if gone[i, t or ""] else t
+        out.append((i, text, len(docs[i, t or ""]), len(gone[i, t or ""])))
+    return out
 
 
-def test_line_dedup_is_brute_force(spark, docs, none):
-    extra = [(20, "a b\nc d\ne f\n\ng h"), (21, "z\nc d\ne f\ny"), (22, "e f\nc d\nz"), (23, "z\n  c d\ne f\ny"), (24, "a b\nc d\nc d\nc d\nc d")]
-    rows = [(i, t) for i, t in odd_texts() + extra]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = line_dedup.deduplicated(df, counts=True).collect()
-    assert Counter((r.doc_id, r.n_lines, r.n_removed, r.text) for r in got) == Counter(plain_lines(rows))
-    wide = line_dedup.deduplicated(docs)
-    assert wide.columns == docs.columns and wide.count() == docs.count() and line_dedup.deduplicated(none).count() == 0
-    clashing = df.selectExpr("*", "'r' AS __runs", "'h' AS __hashes", "1 AS __doc_id", "'n' AS n_lines")
-    again = line_dedup.deduplicated(clashing)
-    assert again.columns == clashing.columns and Counter((r.doc_id, r.text, r["__runs"], r.n_lines) for r in again.collect()) == Counter((r.doc_id, r.text, "r", "n") for r in got)
-    assert Counter((r.doc_id, r.n_lines, r.text) for r in line_dedup.deduplicated(clashing, counts=True).collect()) == Counter((r.doc_id, r.n_lines, r.text) for r in got)
-
-
-def test_extension_covers_all_matches_and_stays_linear():
+def line_rows():
     rng = random.Random(4)
-    for _ in range(300):
-        first = np.array([rng.randrange(3) for _ in range(rng.randrange(2, 30))], dtype=np.uint64)
-        own = np.array([rng.randrange(3) for _ in range(rng.randrange(2, 30))], dtype=np.uint64)
-        seen = {}
-        for k in range(len(first) - 1):
-            seen.setdefault((first[k], first[k + 1]), k)
-        places = [(k, seen[own[k], own[k + 1]], 2) for k in range(len(own) - 1) if (own[k], own[k + 1]) in seen]
-        runs = line_dedup.extended(own, first, places + [(0, 0, 2)] * (tuple(own[:2]) != tuple(first[:2])))
-        assert all((own[a : a + n] == first[b : b + n]).all() and n >= 2 for a, n, b in runs)
-        assert {p for a, n, _ in runs for p in range(a, a + n)} == {p for a, _, n in places for p in range(a, a + n)}
-    same = np.zeros(300_000, dtype=np.uint64)
-    assert line_dedup.extended(same, same, [(k, 0, 2) for k in range(1, len(same) - 1)]) == [(1, len(same) - 1, 0)]
+    short = ["a b", "c", "d e f", "g", "h i", "j k", "l"]
+    lines = [words(9, k) for k in range(6)] + short
+    rows = [(k, "\n".join(rng.choice([*lines, "", words(3, 500 + 7 * k + j), words(11, 900 + 7 * k + j)]) for j in range(rng.randint(1, 14)))) for k in range(60)]
+    run = "\n".join(short)
+    return rows + [(100, f"x y\n{run}\nz"), (101, f"q\n{run}\nr s"), (102, "c\nd e f"), (103, "\n".join(f"n{k}" for k in range(40))), (104, "k\n" + "\n".join(f"n{k}" for k in range(40)) + "\nm")]
+
+
+def test_line_dedup_is_brute_force(spark, docs, none):
+    for rows, df in ((odd_texts(), docs), (line_rows(), spark.createDataFrame(line_rows(), "doc_id long, text string").repartition(4))):
+        found = line_dedup.deduplicated(df, counts=True)
+        assert found.columns == [*df.columns, "n_lines", "n_removed"]
+        assert Counter((r.doc_id, r.text, r.n_lines, r.n_removed) for r in found.collect()) == Counter(plain_lines(rows))
+    assert line_dedup.deduplicated(none).count() == 0
+    found = {r.doc_id: r for r in line_dedup.deduplicated(df, counts=True).collect()}
+    assert found[101].n_removed == 7 and found[104].n_removed == 40 and found[102].n_removed == 0 and found[100].text.startswith("x y")
+
+
+def test_line_dedup_takes_columns_of_any_name_and_rows_of_any_id(spark):
+    a, b = "\n".join(words(9, k) for k in range(3)), "\n".join(words(9, 50 + k) for k in range(3))
+    rows = [(1, a, 1), (5, a, 2), (5, b, 3), (5, b, 4), (None, b, 5), (None, None, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` long")
+    for name in ("__runs", "digest", "n_lines", "c2", "fp"):
+        df = df.withColumn(name, F.lit(7))
+    kept = line_dedup.deduplicated(df)
+    assert kept.schema == df.schema and {r["a.b"]: r.text for r in kept.collect()} == {1: a, 2: "", 3: b, 4: b, 5: "", 6: None}
+
+
+def test_line_dedup_goes_through_its_fingerprints(spark, monkeypatch):
+    """What is joined are the chosen places only: fewer than there are lines, and without them runs of short lines stay."""
+    rows = [(k, "\n".join(f"{x} {(k if k > 1 else 0) * 50 + j}" for j, x in enumerate("abcdefghij" * 4))) for k in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lines = line_dedup._lines(df, 8)
+    n = line_dedup._fingerprints(lines, 4).count()
+    assert 8 * 40 / 4 <= n < 8 * 40 * 0.6
+    removed = lambda: {r.doc_id: r.n_removed for r in line_dedup.deduplicated(df, counts=True).collect()}
+    assert removed() == {0: 0, 1: 40} | dict.fromkeys(range(2, 8), 0)
+    original = line_dedup._fingerprints
+    monkeypatch.setattr(line_dedup, "_fingerprints", lambda lines, window: original(lines, window).limit(0))
+    assert not any(removed().values())
 
 
 def test_winnowing_shares_a_fingerprint_of_equal_runs():
@@ -388,8 +505,87 @@ def test_forward_sums_all_segmentations():
     own = language_id.Pieces(pieces)
     for word in ["▁abab", "▁bca", "▁a", "▁", "漢漢"]:
         spans = own.spans([word])
-        alpha, beta = language_id.forward(spans, probs), language_id.backward(spans, probs)
-        assert np.allclose(alpha[-1][0], [brute(word, 0), brute(word, 1)]) and np.allclose(beta[0], alpha[-1])
+        (alpha, up), (beta, down) = language_id.forward(spans, probs), language_id.backward(spans, probs)
+        assert np.allclose(alpha[-1][0], [brute(word, 0), brute(word, 1)]) and np.allclose(beta[0], alpha[-1]) and not up.any() and not down.any()
+
+
+def exact_log(word, pieces, probs, lang):
+    from fractions import Fraction
+
+    sums = [Fraction(1)]
+    for end in range(1, len(word) + 1):
+        ways = [(sums[end - k], word[end - k : end]) for k in range(1, end + 1)]
+        sums.append(sum(x * Fraction(float(probs[pieces.index(w), lang] if w in pieces else 1e-8 if len(w) == 1 else 0)) for x, w in ways))
+    return math.log(sums[-1].numerator) - math.log(sums[-1].denominator)
+
+
+def test_words_of_any_length_keep_all_segmentations(monkeypatch):
+    pieces = ["a", "ab", "aba", "b", "ba", "▁", "▁a"]
+    probs = np.concatenate([np.random.default_rng(0).dirichlet(np.ones(7), 2).T, [[1e-8, 1e-8], [0, 0]]])
+    scorer = language_id.Scorer(language_id.Pieces(pieces), probs)
+    monkeypatch.setattr(language_id, "STRETCH", 30)
+    found = ["▁" + w for w in ("abba" * 15, "q" * 40, "ab" * 31, "abq" * 50, "qqqa" * 40, "ba" * 15 + "q" * 33)]
+    assert np.allclose(scorer.word_logs(found), [[exact_log(w, pieces, probs, lang) for lang in (0, 1)] for w in found])
+    for word in found[:3] + found[5:]:  # the raised sums of both passes give one whole posterior
+        spans = scorer.pieces.spans([word])
+        (alpha, up), (beta, down) = language_id.forward(spans, probs), language_id.backward(spans, probs)
+        assert np.allclose(np.log(beta[0]) - down[0] * np.log(language_id.RAISE), np.log(alpha[-1]) - up[-1] * np.log(language_id.RAISE))
+    assert np.isfinite(scorer.word_logs(["▁" + "ab" * 50_000])).all()
+
+
+def test_only_letters_are_letters():
+    assert language_id.text_words("½ ² Ⅷ ① 12 _") == [] and language_id.text_words("a²b ½Ça x1y") == ["▁a", "▁b", "▁ça", "▁x", "▁y"]
+
+
+def test_language_of_whole_texts_is_the_plain_posterior(spark):
+    pieces, languages = ["a", "ab", "b", "ba", "▁", "▁a"], ["x", "y"]
+    probs = np.concatenate([np.random.default_rng(5).dirichlet(np.ones(6), 2).T, [[1e-8, 1e-8], [0, 0]]])
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choices("abAc", k=rng.randint(1, 9))) for _ in range(rng.randint(1, 12))) for _ in range(40)] + [None, "½", "ab " * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in language_id.identify(df, language_id.Model(pieces, languages, probs)).collect():
+        own = language_id.text_words(texts[r.doc_id] or "")
+        logs = [sum(exact_log(w, pieces, probs, lang) for w in own) for lang in (0, 1)] if len(own) < 1000 else [3000 * exact_log("▁ab", pieces, probs, lang) for lang in (0, 1)]
+        best = int(logs[1] > logs[0])
+        want = ("und", 0.0) if not own else (languages[best], 1 / (1 + math.exp(min(700, logs[1 - best] - logs[best]))))
+        assert r.lang_pred == want[0] and abs(r.score - want[1]) < 1e-9
+
+
+def plain_fit(words, pieces, rounds, prior=language_id.PRIOR):
+    """EM over all segmentations, written out, for one language: words with counts -> probability of each piece."""
+
+    def all_of(word):
+        if not word:
+            return [[]]
+        return [[k, *rest] for k in range(1, len(word) + 1) if word[:k] in pieces or k == 1 for rest in all_of(word[k:])]
+
+    p = {x: 1 / len(pieces) for x in pieces}
+    for _ in range(rounds):
+        uses = Counter()
+        for word, n in words.items():
+            ways = []
+            for sizes in all_of(word):
+                ends = np.cumsum(sizes)
+                own = [word[e - k : e] for e, k in zip(ends, sizes, strict=True)]
+                ways.append((math.prod(p.get(w, 1e-8) for w in own), own))
+            total = sum(x for x, _ in ways)
+            for x, own in ways:
+                for w in own:
+                    uses[w] += n * x / total
+        whole = sum(uses[x] + prior for x in pieces)
+        p = {x: (uses[x] + prior) / whole for x in pieces}
+    return p
+
+
+def test_fit_is_plain_expectation_maximisation(spark, monkeypatch):
+    pieces = sorted(["a", "ab", "b", "ba", "▁", "▁a"])
+    monkeypatch.setattr(language_id, "vocabulary_pieces", lambda path: pieces)
+    rows = [(k, " ".join(random.Random(k).choices(["ab", "ba", "aab", "abc", "b"], k=5)), "x" if k % 2 else "y") for k in range(60)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "")
+    for lang in "xy":
+        counts = Counter(w for k, t, own in rows if own == lang and zlib.crc32(str(k).encode()) % 5 for w in language_id.text_words(t))
+        want = plain_fit(counts, pieces, language_id.ROUNDS)
+        assert np.allclose(model.probs[:-2, model.languages.index(lang)], [want[x] for x in pieces])
 
 
 def test_fit_takes_about_as_many_documents_as_stated(spark, monkeypatch):
@@ -569,9 +765,9 @@ def test_near_copies_are_those_of_brute_force_jaccard(spark, docs, none, monkeyp
     for tile, sampled in ((near_copies.TILE, near_copies.SAMPLED), (16, 1)):
         monkeypatch.setattr(near_copies, "TILE", tile)
         monkeypatch.setattr(near_copies, "SAMPLED", sampled)
-        assert {r.doc_id: r.component_id for r in near_copies.near_copies(df).collect()} == roots
+        assert {r.doc_id: r.component_id for r in near_copies.near_copies(df).collect()} == roots | {None: roots[rows[0][0]]}
     kept = near_copies.deduplicated(df)
-    assert kept.columns == df.columns and Counter(r.doc_id for r in kept.collect()) == Counter({None: 1} | {i: 1 for i in set(roots.values())})
+    assert kept.columns == df.columns and Counter(r.doc_id for r in kept.collect()) == Counter(set(roots.values()))
     assert near_copies.deduplicated(none).count() == 0 and near_copies.deduplicated(docs).columns == docs.columns
 
 
