@@ -8,8 +8,9 @@ the fill closest to the capacity, whose counts are then backtracked. Pieces of s
 into the next window; the last ones of a task are cut into sequences of full capacity and then of powers of two, which
 need no padding.
 
-Defined cases: null text is empty (one end id); an empty table gives no row; repeated rows are packed each on its own;
-a null ``doc_id`` stays null; other columns are not read. Sequence ids are unique, not dense, and depend on how the
+Defined cases: null text is empty (one end id); a text of any length is encoded whole and needs memory of several times
+its own size; an empty table gives no row; repeated rows are packed each on its own; a null ``doc_id`` stays null; other
+columns are not read. Sequence ids are unique, not dense, and depend on how the
 input is split.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import END_ID, WordEncoder, with_ends
+from .tokens import END_ID, encoder_of, with_ends
 
 CAPACITY = 4096
 #: Tokens that one packing window holds at least before it is packed, and bytes of text encoded at a time.
@@ -134,7 +135,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
     """Every document's ids as pieces in sequences of at most ``capacity`` ids; ``ids`` are little-endian unsigned 32-bit."""
 
     def packed(batches):
-        encoder, out = WordEncoder(vocabulary), _Pieces(TaskContext.get().partitionId())
+        encoder, out = encoder_of(vocabulary), _Pieces(TaskContext.get().partitionId())
         pieces, held = [], 0
         for batch in common.slices(batches, "text", TEXT_BYTES):
             ids, counts = with_ends(*encoder.encode(common.as_bytes(batch.column("text"))), end_id)

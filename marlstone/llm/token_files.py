@@ -1,6 +1,6 @@
 """Token ids of whole documents in Huffman-coded files, in ascending ``doc_id`` order.
 
-Tokens are made once and kept as a table; their global counts (one row per vocabulary id) give one canonical
+Tokens are made once, counted on the way, and kept as a table; their global counts (one row per vocabulary id) give one canonical
 length-limited code for all files. Documents are then dealt out by ranges of ``doc_id``; each task writes one file of
 independent blocks, which hold whole documents, a bit offset for every ``EVERY`` ids, and their CRC-32. Reading needs no
 other file: a file begins with the code's lengths.
@@ -24,11 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs, common, huffman
-from .tokens import END_ID, WordEncoder, with_ends
+from .tokens import END_ID, encoder_of, with_ends
 
 MAGIC, HEADER = b"MTOK\x01", "<IIIII"
 #: Ids between two checkpoints, ids of a block (one document may be longer), bytes of text encoded at a time.
 EVERY, BLOCK_IDS, TEXT_BYTES = 64, 1_000_000, 4_000_000
+TOKENS = ["doc_id", "n_tokens", "blob", "counts"]
 MANIFEST = "part long, path string, bytes long, documents long, tokens long"
 
 
@@ -42,37 +43,41 @@ def _spread(blob: bytes, unpacker) -> np.ndarray:
 
 
 def tokenized(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
-    """Rows (doc_id, n_tokens, blob)."""
+    """Rows (doc_id, n_tokens, blob), and at a task's end one with ``counts`` alone: how often each id occurs in the task."""
 
     def made(batches):
         import zstandard
 
-        encoder, packer = WordEncoder(vocabulary), zstandard.ZstdCompressor(level=1)
+        encoder, packer, total = encoder_of(vocabulary), zstandard.ZstdCompressor(level=1), np.zeros(0, dtype=np.int64)
         for batch in common.slices(batches, "text", TEXT_BYTES):
             ids, counts = with_ends(*encoder.encode(common.as_bytes(batch.column("text"))), end_id)
-            ends = np.cumsum(counts)
+            own = np.bincount(ids, minlength=len(total))
+            own[: len(total)] += total
+            total, ends = own, np.cumsum(counts)
             rows = [_squeezed(ids[b - n : b], packer) for b, n in zip(ends, counts, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, type=pa.int64()), pa.array(rows, type=pa.binary())], names=["doc_id", "n_tokens", "blob"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(counts, type=pa.int64()), pa.array(rows, type=pa.binary()), pa.nulls(len(rows), pa.binary())],
+                names=TOKENS,
+            )
+        if len(total):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()])], names=TOKENS)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text")).mapInArrow(made, "doc_id long, n_tokens long, blob binary")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
+    return own.mapInArrow(made, "doc_id long, n_tokens long, blob binary, counts binary")
 
 
 def id_counts(tokens: DataFrame) -> np.ndarray:
     """How often each id occurs. What comes to the driver has one row per vocabulary id, whatever the input's size."""
 
-    def counted(batches):
-        import zstandard
-
-        unpacker, total = zstandard.ZstdDecompressor(), np.zeros(0, dtype=np.int64)
+    def spread(batches):
         for batch in batches:
-            for blob in batch.column("blob").to_pylist():
-                own = np.bincount(_spread(blob, unpacker), minlength=len(total))
-                own[: len(total)] += total
-                total = own
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, type=pa.int64()), pa.array(total[seen], type=pa.int64())], names=["id", "n"])
-
-    rows = tokens.select("blob").mapInArrow(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+            for blob in batch.column("counts").to_pylist():
+                total = np.frombuffer(blob, dtype="<i8")
+                seen = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(seen, type=pa.int64()), pa.array(total[seen], type=pa.int64())], names=["id", "n"])
+
+    # of the written tokens only the column of counts is read
+    rows = tokens.where("counts IS NOT NULL").select("counts").mapInArrow(spread, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(max((r.id for r in rows), default=-1) + 1, dtype=np.int64)
     for r in rows:
         out[r.id] = r.n
@@ -121,7 +126,8 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str | None = Non
             out.close()
             yield pa.RecordBatch.from_pylist([{"part": part, "path": path, "bytes": size, "documents": documents, "tokens": total}])
 
-    ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n_tokens", "blob")
+    kept = tokens.where("counts IS NULL").select("doc_id", "n_tokens", "blob")
+    ordered = kept.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n_tokens", "blob")
     return common.written(ordered.mapInArrow(write, MANIFEST), "manifest")
 
 

@@ -7,6 +7,7 @@ is encoded once per worker and looked up afterwards. ``WordEncoder`` bounds that
 from __future__ import annotations
 
 from array import array
+from functools import lru_cache
 
 import numpy as np
 
@@ -118,6 +119,12 @@ class WordEncoder:
         return ids, np.diff(bounds)
 
 
+@lru_cache(maxsize=1)
+def encoder_of(vocabulary: str) -> WordEncoder:
+    """The worker's own encoder: a Python worker that Spark uses for several tasks keeps the words it has learned."""
+    return WordEncoder(vocabulary)
+
+
 class _Codes(dict):
     def __init__(self, pending: list[bytes]):
         super().__init__()
