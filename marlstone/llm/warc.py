@@ -26,6 +26,8 @@ from . import blobs, common
 LEAST_SHARED = 1000
 #: Bytes of an archive before the next is begun, of a reader's range, read at a time, and decoded to judge a candidate.
 ARCHIVE_BYTES, RANGE_BYTES, READ_BYTES, PROBE_BYTES = 256_000_000, 8_000_000, 1 << 20, 1 << 12
+#: Ranges that a reading task gets on average at most.
+RANGES_A_TASK = 16
 MAGIC, NAME = b"\x1f\x8b\x08", "urn:page:"
 MANIFEST = "path string, bytes long, records long"
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
@@ -160,4 +162,8 @@ def read_archives(manifest: DataFrame, range_bytes: int = RANGE_BYTES, read_byte
                             rows, held = [], 0
                 yield batch_of(rows)
 
-    return ranges.repartition("path", "start").mapInArrow(read, RECORD)
+    # as many partitions as the session deals out, and more where each would get over RANGES_A_TASK ranges; a number that
+    # is given keeps adaptive execution from merging the small table of ranges into one task
+    n = ranges.count()
+    parts = max(1, min(n, max(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // RANGES_A_TASK))))
+    return ranges.repartition(parts, "path", "start").mapInArrow(read, RECORD)
