@@ -1,17 +1,18 @@
 """Substring dedup through a log-structured index of window fingerprints.
 
-Documents come in batches of rising ``doc_id``. A batch's windows are hashed and dealt out by the hash's top bits into
-buckets. Bucket by bucket their keys (the next 32 bits) are merge-joined with the sorted immutable runs of all earlier
-batches and with each other; the batch's own keys, each with its document, then become a new run, and ``compact`` merges a
-bucket's runs when there are more than ``FAN_IN``. Runs are files; a manifest table names them.
+Documents come in batches of rising ``doc_id``; by a hash of it each belongs to a chunk. A batch's windows are hashed and
+dealt out by the hash's top bits into buckets. Bucket by bucket their keys (the next 32 bits) are merge-joined with the
+sorted immutable runs of all earlier batches and with each other; the batch's own keys, each with its chunk, then become a
+new run, and ``compact`` merges a bucket's runs when there are more than ``FAN_IN``. Runs are files; a manifest names them.
 
-Equal keys are candidates only. They are verified by the words: every candidate's document is asked for a digest of the
-words of its window, and a window is a repeat if a smaller document has the same key and the same digest. So a collision of
-keys never removes a word, and none hides a repeat: a run keeps every document that came with a key.
+Equal keys are candidates only. They are verified by the words: each chunk that came with such a key is asked for digests of
+the words of its windows with that key, and a window is a repeat if a smaller document has the same key and digest. So a
+collision of keys never removes a word, and none hides a repeat: a run keeps every chunk that came with a key. What is found
+is the place of a window in its document; a last pass over the texts removes the words there.
 
-Equal windows of one slice of documents are verified there and go to the bucket once, with the slice's smallest document;
-the slice reports its other documents by itself. So a passage in a third of all documents adds one entry per slice. Texts
-are dealt into chunks by a hash of ``doc_id``; both passes over the texts, for digests and for removal, use one exchange.
+Equal windows of one slice of documents are verified there and go to the bucket once; the slice reports the places in its
+other documents by itself, and so does a chunk. So a passage in a third of all documents adds one entry per slice and one
+digest per chunk. Both passes over the chunks' texts, for digests and for removal, use one exchange.
 
 Defined cases: null text has no words; texts shorter than a window keep all words; a very long text is held with its words
 and hashes once; a null ``doc_id`` takes no part in matching; rows of equal ``doc_id`` are one document for matching and
@@ -38,10 +39,11 @@ LEAST_BUCKETS, BATCHES, FAN_IN, REMEMBERED_WORDS = 128, 2, 8, 1_000_000
 #: Multipliers of the window hash: golden ratio and a mixing constant.
 STEP, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 MANIFEST = "bucket int, path string, n long"
-#: Rows between the steps: many values of one kind, packed. ``docs`` with ``counts`` each; ``marks`` are hash bits down to a
-#: key's last one, or without the bucket's where a row has a bucket.
-STEPS = "kind int, bucket int, chunk int, docs binary, counts binary, marks binary, digests binary, path string, n long"
-ENTRY, ASKED, LOCAL, RUN, KNOWN, VERIFIED = range(6)
+#: Rows between the steps: many values of one kind, packed. An owner (a chunk, a document, or a text by its hash) and, with a
+#: document, its text's hash, has ``counts`` keys, digests and places.
+STEPS = "kind int, bucket int, chunk int, owners binary, texts binary, counts binary, keys binary, digests binary, places binary, path string, n long"
+ENTRY, ASKED, PLACES, RUN, KNOWN = range(5)
+KEY_MASK = np.uint64((1 << KEY_BITS) - 1)
 
 
 class _Hashes(dict):
@@ -108,24 +110,26 @@ def _of_planes(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
 
 
-def write_run(folder: str, bucket: int, keys: np.ndarray, docs: np.ndarray) -> str:
-    """keys: sorted, stored as differences; compressed planes of bytes."""
+def write_run(folder: str, bucket: int, entries: np.ndarray) -> str:
+    """entries: sorted, key and chunk. Keys are stored as differences, both as compressed planes of bytes."""
     import zstandard
 
     path, packer = blobs.attempt_name(folder, bucket, ".run"), zstandard.ZstdCompressor(level=1)
-    parts = [packer.compress(_planes(x)) for x in (np.diff(keys.astype("<u4"), prepend=np.uint32(0)).astype("<u4"), docs.astype("<i8"))]
+    keys, chunks = (entries >> np.uint64(KEY_BITS)).astype("<u4"), (entries & KEY_MASK).astype("<u4")
+    parts = [packer.compress(_planes(x)) for x in (np.diff(keys, prepend=np.uint32(0)).astype("<u4"), chunks)]
     with blobs.create(path) as out:
         out.write(len(parts[0]).to_bytes(8, "little") + b"".join(parts))
     return path
 
 
-def read_run(path: str) -> tuple[np.ndarray, np.ndarray]:
+def read_run(path: str) -> np.ndarray:
     import zstandard
 
     with blobs.read_at(path) as file:
         data, unpacker = file.read(), zstandard.ZstdDecompressor()
     end = 8 + int.from_bytes(data[:8], "little")
-    return np.cumsum(_of_planes(unpacker.decompress(data[8:end]), "<u4"), dtype=np.uint32), _of_planes(unpacker.decompress(data[end:]), "<i8")
+    keys, chunks = (_of_planes(unpacker.decompress(x), "<u4") for x in (data[8:end], data[end:]))
+    return np.cumsum(keys, dtype=np.uint32).astype(np.uint64) << np.uint64(KEY_BITS) | chunks.astype(np.uint64)
 
 
 def is_in(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -160,79 +164,89 @@ def _chunk_of(doc_ids: np.ndarray, chunks: int) -> np.ndarray:
     return ((x & np.uint64((1 << 63) - 1)) % np.uint64(chunks)).astype(np.int32)
 
 
+def _text_keys(texts: list[bytes], doc_ids: list) -> np.ndarray:
+    """A hash of each text and its ``doc_id``, so that rows of one id and other texts keep their own places."""
+    import xxhash
+
+    return np.array([xxhash.xxh64_intdigest(x, (i or 0) % 2**64) for x, i in zip(texts, doc_ids, strict=True)], dtype=np.uint64).view(np.int64)
+
+
 class _Out:
     """Step rows on their way out."""
 
-    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.string(), pa.int64()]
+    names = [x.split()[0] for x in STEPS.split(", ")]
+    kinds = [pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 6, pa.string(), pa.int64()]
 
     def __init__(self):
         self.rows = []
 
-    def put(self, kind: int, bucket: int | None, chunk: int | None, docs: np.ndarray, marks: np.ndarray, digest: np.ndarray | None = None) -> None:
-        """Values with sorted ``docs``."""
-        fresh = np.flatnonzero(_fresh(docs))
-        counts = np.diff(np.append(fresh, len(docs)))
-        own = (marks.astype("<u8") if bucket is None else (marks & np.uint64((1 << KEY_BITS) - 1)).astype("<u4")).tobytes()
-        self.rows.append((kind, bucket, chunk, docs[fresh].astype("<i8").tobytes(), counts.astype("<u4").tobytes(), own, None if digest is None else digest.astype("<u8").tobytes(), None, len(docs)))
-
-    def by_chunk(self, kind: int, bucket: int | None, docs: np.ndarray, marks: np.ndarray, chunks: int, digest: np.ndarray | None = None) -> None:
-        chunk = _chunk_of(docs, chunks)
-        order = np.lexsort((docs, chunk))
-        docs, marks, chunk, digest = docs[order], marks[order], chunk[order], None if digest is None else digest[order]
-        edges = np.append(np.flatnonzero(_fresh(chunk)), len(chunk)) if len(chunk) else []
+    def spread(self, kind: int, over: np.ndarray, to: str, fixed: int | None, owners: np.ndarray, texts=None, keys=None, digests=None, places=None) -> None:
+        """A row for each value of ``over``, which are the rows' buckets or chunks (``to``); ``fixed`` is the other one of the two."""
+        if not len(over):
+            return
+        columns = {"owners": (owners, "<i8"), "texts": (texts, "<i8"), "keys": (keys, "<u4"), "digests": (digests, "<u8"), "places": (places, "<u4")}
+        order = np.lexsort((owners, over) if texts is None else (texts, owners, over))
+        over, columns = over[order], {c: (None if x is None else x[order], t) for c, (x, t) in columns.items()}
+        names = [c for c in ("owners", "texts") if columns[c][0] is not None]
+        edges = np.append(np.flatnonzero(_fresh(over)), len(over)).tolist()
+        fresh = _fresh(over, *(columns[c][0] for c in names))
         for a, b in zip(edges[:-1], edges[1:], strict=True):
-            self.put(kind, bucket, int(chunk[a]), docs[a:b], marks[a:b], None if digest is None else digest[a:b])
-
-    def by_bucket(self, kind: int, docs: np.ndarray, marks: np.ndarray, digest: np.ndarray | None = None) -> None:
-        bucket = (marks >> np.uint64(KEY_BITS)).astype(np.int64)
-        order = np.lexsort((docs, bucket))
-        docs, marks, bucket, digest = docs[order], marks[order], bucket[order], None if digest is None else digest[order]
-        edges = np.append(np.flatnonzero(_fresh(bucket)), len(bucket)) if len(bucket) else []
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            self.put(kind, int(bucket[a]), None, docs[a:b], marks[a:b], None if digest is None else digest[a:b])
+            own = a + np.flatnonzero(fresh[a:b])
+            row = dict.fromkeys(self.names) | {"kind": kind, "bucket": fixed, "chunk": fixed, to: int(over[a]), "counts": np.diff(np.append(own, b)).astype("<u4").tobytes(), "n": b - a}
+            for c, (x, t) in columns.items():
+                if x is not None:
+                    row[c] = (x[own] if c in names else x[a:b]).astype(t).tobytes()
+            self.rows.append(row)
 
     def batch(self) -> pa.RecordBatch:
         rows, self.rows = self.rows, []
-        columns = zip(*rows, strict=True) if rows else [[]] * len(self.kinds)
-        return pa.RecordBatch.from_arrays([pa.array(x, type=k) for x, k in zip(columns, self.kinds, strict=True)], names=[x.split()[0] for x in STEPS.split(", ")])
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], type=k) for c, k in zip(self.names, self.kinds, strict=True)], names=self.names)
+
+    def table(self) -> pa.Table:
+        return pa.Table.from_batches([self.batch()])
 
 
-def _values(table: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(docs, marks, digests) of the step rows of a kind."""
+def _values(table: pa.Table, kind: int, *names: str) -> list[np.ndarray]:
+    """Values of the step rows of a kind; keys come as marks where the rows have a bucket."""
     own = table.filter(pa.array(np.asarray(table.column("kind").to_numpy()) == kind))
-    none = [np.zeros(0, dtype=t) for t in (np.int64, np.uint64, np.uint64)]
-    docs, marks, digest = [none[0]], [none[1]], [none[2]]
-    for bucket, d, c, m, x in zip(*(own.column(k).to_pylist() for k in ("bucket", "docs", "counts", "marks", "digests")), strict=True):
-        docs.append(np.repeat(np.frombuffer(d, "<i8"), np.frombuffer(c, "<u4")))
-        marks.append(np.frombuffer(m, "<u8") if bucket is None else np.frombuffer(m, "<u4").astype(np.uint64) | np.uint64(bucket << KEY_BITS))
-        digest.append(np.frombuffer(x or b"", "<u8"))
-    return np.concatenate(docs), np.concatenate(marks), np.concatenate(digest)
+    kinds = {"owners": "<i8", "texts": "<i8", "keys": "<u4", "digests": "<u8", "places": "<u4"}
+    counts = [np.frombuffer(x, "<u4") for x in own.column("counts").to_pylist()]
+    out = []
+    for name in names:
+        parts = [np.frombuffer(x, kinds[name]) for x in own.column(name).to_pylist()]
+        if name in ("owners", "texts"):
+            parts = [np.repeat(x, n) for x, n in zip(parts, counts, strict=True)]
+        elif name == "keys":
+            parts = [x.astype(np.uint64) | np.uint64(b << KEY_BITS) for x, b in zip(parts, own.column("bucket").to_pylist(), strict=True)]
+        out.append(np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64 if name == "keys" else kinds[name]))
+    return out
+
+
+def _bucket(marks: np.ndarray) -> np.ndarray:
+    return (marks >> np.uint64(KEY_BITS)).astype(np.int64)
 
 
 def _hashed(docs: DataFrame, buckets: int, chunks: int, window: int, key_bits: int) -> DataFrame:
-    """Step rows of a batch: entries for the buckets, and the repeats that a slice of documents has within itself."""
+    """Step rows of a batch: entries for the buckets, and the places of repeats that a slice of documents has within itself."""
 
     def hashed(batches):
         for batch in common.slices(batches, "text", TEXT_BYTES):
-            ids = np.asarray(batch.column("doc_id").to_numpy(zero_copy_only=False), dtype=np.int64)
-            split, full, doc, place = windows(common.as_bytes(batch.column("text")), window)
-            marks, doc_ids, out = _marks(full, buckets, key_bits), ids[doc], _Out()
-            order = np.lexsort((doc_ids, marks))
-            marks, doc_ids, doc, place = marks[order], doc_ids[order], doc[order], place[order]
-            fresh = _fresh(marks)
-            shared = np.zeros(len(marks), dtype=bool)
-            shared[1:] = ~fresh[1:] & (doc_ids[1:] != doc_ids[:-1])
-            shared = np.repeat(np.logical_or.reduceat(shared, np.flatnonzero(fresh)), np.diff(np.append(np.flatnonzero(fresh), len(marks)))) if len(marks) else shared
-            alone = fresh & ~shared
-            rows = np.flatnonzero(shared)
+            ids, texts, out = np.asarray(batch.column("doc_id").to_numpy(zero_copy_only=False), dtype=np.int64), common.as_bytes(batch.column("text")), _Out()
+            split, full, doc, place = windows(texts, window)
+            marks, chunk = _marks(full, buckets, key_bits), _chunk_of(ids, chunks)
+            order = np.argsort(marks)
+            starts = np.flatnonzero(_fresh(marks[order]))
+            sizes = np.diff(np.append(starts, len(order)))
+            alone, rows = order[starts[sizes == 1]], order[np.repeat(sizes > 1, sizes)]
             digest = digests(split, doc[rows], place[rows], window)
-            order = np.lexsort((doc_ids[rows], digest, marks[rows]))
-            rows, digest = rows[order], digest[order]
-            own, own_ids = marks[rows], doc_ids[rows]
-            first = _fresh(own, digest)
-            later = (own_ids > _first(own_ids, first)) & _fresh(own, digest, own_ids)
-            out.by_chunk(LOCAL, None, own_ids[later], own[later], chunks, digest[later])
-            out.by_bucket(ENTRY, np.concatenate([doc_ids[alone], own_ids[first]]), np.concatenate([marks[alone], own[first]]))
+            by = np.lexsort((ids[doc[rows]], digest, marks[rows]))
+            rows, digest = rows[by], digest[by]
+            owner, first = ids[doc[rows]], _fresh(marks[rows], digest)
+            later = owner > _first(owner, first)
+            at = rows[later]
+            out.spread(PLACES, chunk[doc[at]], "chunk", None, _text_keys(texts, ids.tolist())[doc[at]], places=place[at])
+            entries = np.concatenate([alone, rows[first]])
+            out.spread(ENTRY, _bucket(marks[entries]), "bucket", None, chunk[doc[entries]], keys=marks[entries])
             yield out.batch()
 
     return docs.mapInArrow(hashed, STEPS)
@@ -243,50 +257,50 @@ def _parts(spark, buckets: int) -> int:
     return min(buckets, max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 4))
 
 
+def _by_bucket(steps: DataFrame, parts: int, run) -> DataFrame:
+    """``run`` on the rows of each bucket; rows without one go past it, spread by their chunk."""
+    to = F.struct(F.coalesce("bucket", F.lit(-1)).alias("bucket"), F.when(F.col("bucket").isNull(), F.col("chunk")).alias("chunk"))
+
+    def each(table: pa.Table) -> pa.Table:
+        table = table.drop_columns(["to"])
+        return table if table.column("bucket")[0].as_py() is None else run(table)
+
+    return steps.withColumn("to", to).repartition(parts, "to").groupBy("to").applyInArrow(each, STEPS)
+
+
 def ingest(docs: DataFrame, runs: DataFrame | None, buckets: int, chunks: int, folder: str, window: int = WINDOW, key_bits: int = KEY_BITS) -> tuple[DataFrame, DataFrame]:
     """Merges a batch (doc_id, text; every ``doc_id`` above all in ``runs``) into the index.
 
-    Returns step rows by chunk (the slices' own repeats, and the documents asked for digests) and the manifest with the batch's runs."""
+    Returns step rows by chunk (places of the slices' own repeats, and the keys to verify) and the manifest with the batch's runs."""
     steps = _hashed(docs, buckets, chunks, window, key_bits)
     if runs is not None:
-        known = runs.select(F.lit(KNOWN).alias("kind"), "bucket", F.lit(None).cast("int").alias("chunk"), *(F.lit(None).cast("binary").alias(c) for c in ("docs", "counts", "marks", "digests")), "path", "n")
-        steps = steps.unionByName(known)
+        empty = [F.lit(None).cast("binary").alias(c) for c in ("owners", "texts", "counts", "keys", "digests", "places")]
+        steps = steps.unionByName(runs.select(F.lit(KNOWN).alias("kind"), "bucket", F.lit(None).cast("int").alias("chunk"), *empty, "path", "n"))
 
     def merged(table: pa.Table) -> pa.Table:
-        out, bucket, kinds = _Out(), table.column("bucket")[0].as_py(), np.asarray(table.column("kind").to_numpy())
-        if bucket is None:
-            return table
-        doc_ids, marks, _ = _values(table, ENTRY)
-        keys = (marks & np.uint64((1 << KEY_BITS) - 1)).astype(np.uint32)
-        order = np.lexsort((doc_ids, keys))
-        keys, doc_ids = keys[order], doc_ids[order]
-        every, owners, new = [keys], [doc_ids], [np.ones(len(keys), dtype=bool)]
-        for path in table.filter(pa.array(kinds == KNOWN)).column("path").to_pylist():
-            old, old_docs = read_run(path)
-            met = is_in(old, keys)
-            every.append(old[met])
-            owners.append(old_docs[met])
-            new.append(np.zeros(int(met.sum()), dtype=bool))
-        own, owner, fresh_here = (np.concatenate(x) for x in (every, owners, new))
-        order = np.lexsort((owner, own))
-        own, owner, fresh_here = own[order], owner[order], fresh_here[order]
-        if len(own):
-            starts = np.flatnonzero(_fresh(own))
-            sizes = np.diff(np.append(starts, len(own)))
-            # a key that only one document has needs no digest
-            asked = np.repeat((owner[starts] != owner[starts + sizes - 1]) & np.logical_or.reduceat(fresh_here, starts), sizes) & _fresh(own, owner)
-            out.by_chunk(ASKED, bucket, owner[asked], own[asked].astype(np.uint64), chunks)
-        if len(keys):
-            out.rows.append((RUN, bucket, None, None, None, None, None, write_run(folder, bucket, keys, doc_ids), len(keys)))
-        return pa.Table.from_batches([out.batch()])
-
-    parts = _parts(docs.sparkSession, buckets)
-    # rows without a bucket pass through; they are spread by their chunk
-    spread = F.when(F.col("bucket").isNull(), F.struct(F.lit(-1).alias("bucket"), "chunk")).otherwise(F.struct(F.col("bucket"), F.lit(-1).alias("chunk")))
-    done = steps.withColumn("to", spread).repartition(parts, "to").groupBy("to").applyInArrow(lambda t: merged(t.drop_columns(["to"])), STEPS)
-    done = common.written(done, "steps")
+        out, bucket = _Out(), table.column("bucket")[0].as_py()
+        chunk, marks = _values(table, ENTRY, "owners", "keys")
+        new = np.sort((marks & KEY_MASK) << np.uint64(KEY_BITS) | chunk.astype(np.uint64))
+        keys, every = np.unique(new >> np.uint64(KEY_BITS)), [new]
+        for path in table.filter(pa.array(np.asarray(table.column("kind").to_numpy()) == KNOWN)).column("path").to_pylist():
+            old = read_run(path)
+            every.append(old[is_in(old >> np.uint64(KEY_BITS), keys)])
+        every = np.sort(np.concatenate(every))
+        if len(new):
+            # a key that came once needs no digest
+            key = every >> np.uint64(KEY_BITS)
+            starts = np.flatnonzero(_fresh(key))
+            sizes = np.diff(np.append(starts, len(key)))
+            asked = every[np.repeat(sizes > 1, sizes) & _fresh(every)]
+            owner = (asked & KEY_MASK).astype(np.int64)
+            out.spread(ASKED, owner, "chunk", bucket, owner, keys=asked >> np.uint64(KEY_BITS))
+            new = new[_fresh(new)]
+            out.rows.append(dict.fromkeys(out.names) | {"kind": RUN, "bucket": bucket, "path": write_run(folder, bucket, new), "n": len(new)})
+        return out.table()
+
+    done = common.written(_by_bucket(steps, _parts(docs.sparkSession, buckets), merged), "steps")
     added = done.where(F.col("kind") == RUN).select("bucket", "path", "n")
-    return done.where(F.col("kind").isin(ASKED, LOCAL)), added if runs is None else runs.unionByName(added)
+    return done.where(F.col("kind").isin(ASKED, PLACES)), added if runs is None else runs.unionByName(added)
 
 
 def compact(runs: DataFrame, folder: str, fan_in: int = FAN_IN) -> DataFrame:
@@ -296,10 +310,8 @@ def compact(runs: DataFrame, folder: str, fan_in: int = FAN_IN) -> DataFrame:
         if table.num_rows <= fan_in:
             return table.select(["bucket", "path", "n"])
         bucket, parts = table.column("bucket")[0].as_py(), [read_run(path) for path in table.column("path").to_pylist()]
-        keys, docs = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((docs, keys))
-        keys, docs = keys[order], docs[order]
-        return pa.table({"bucket": pa.array([bucket], pa.int32()), "path": [write_run(folder, bucket, keys, docs)], "n": pa.array([len(keys)], pa.int64())})
+        entries = np.unique(np.concatenate(parts))
+        return pa.table({"bucket": pa.array([bucket], pa.int32()), "path": [write_run(folder, bucket, entries)], "n": pa.array([len(entries)], pa.int64())})
 
     def removed(batches):
         for batch in batches:
@@ -313,99 +325,73 @@ def compact(runs: DataFrame, folder: str, fan_in: int = FAN_IN) -> DataFrame:
     return done
 
 
-def _found(texts: pa.Table, asked: tuple[np.ndarray, np.ndarray], buckets: int, window: int, key_bits: int):
-    """Windows of a chunk's documents whose marks are ``asked`` (docs, marks): (slice, its words, row in it, place, doc, mark, digest) by slice."""
-    order = np.lexsort((asked[1], asked[0]))
-    ids, marks = asked[0][order], asked[1][order]
-    for batch in common.slices(texts.to_batches(), "text", TEXT_BYTES):
-        split, full, doc, place = windows(common.as_bytes(batch.column("text")), window)
-        own, rows, doc_ids = _marks(full, buckets, key_bits), [], batch.column("doc_id").to_pylist()
-        for k, part in enumerate(_runs_of(doc, len(split))):
-            if doc_ids[k] is not None and (a := np.searchsorted(ids, doc_ids[k])) < len(ids) and ids[a] == doc_ids[k]:
-                rows.append(part.start + np.flatnonzero(is_in(own[part], marks[a : np.searchsorted(ids, doc_ids[k], side="right")])))
-        rows = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
-        owner = np.array([doc_ids[k] for k in doc[rows].tolist()], dtype=np.int64)
-        yield batch, split, doc[rows], place[rows], owner, own[rows], digests(split, doc[rows], place[rows], window)
-
-
-def _pair_numbers(*pairs: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Numbers that are equal where (mark, digest) are, and where (mark, digest, doc) are, for several lists of (doc, mark, digest)."""
-    docs, marks, digest = (np.concatenate(x) for x in zip(*pairs, strict=True))
-    order = np.lexsort((docs, digest, marks))
-    window, whole = np.empty(len(docs), dtype=np.int64), np.empty(len(docs), dtype=np.int64)
-    window[order] = np.cumsum(_fresh(marks[order], digest[order]))
-    whole[order] = np.cumsum(_fresh(marks[order], digest[order], docs[order]))
-    ends = np.cumsum([len(x[0]) for x in pairs])
-    return [(window[b - len(x[0]) : b], whole[b - len(x[0]) : b]) for x, b in zip(pairs, ends.tolist(), strict=True)]
-
-
 def without_matches(docs: DataFrame, steps: DataFrame, buckets: int, chunks: int, window: int = WINDOW, key_bits: int = KEY_BITS) -> DataFrame:
     """Rows (doc_id, n_words, n_removed, kept): each document without the words under its verified repeats."""
     spark = docs.sparkSession
 
-    def digested(texts: pa.Table, right: pa.Table) -> pa.Table:
-        """A chunk's smallest document of each asked window, with its digest, for the window's bucket."""
-        out, (ids, marks, _) = _Out(), _values(right, ASKED)
-        found = [x[4:] for x in _found(texts, (ids, marks), buckets, window, key_bits)]
+    def digested(table: pa.Table, right: pa.Table) -> pa.Table:
+        """The digests of a chunk's windows that are asked for: those of the smallest document go to the window's bucket, the others' places are repeats."""
+        out, found = _Out(), []
+        asked = np.unique(_values(right, ASKED, "keys")[0])
+        for batch in common.slices(table.to_batches() if len(asked) else [], "text", TEXT_BYTES):
+            texts, doc_ids = common.as_bytes(batch.column("text")), batch.column("doc_id").to_pylist()
+            split, full, doc, place = windows(texts, window)
+            own, named = _marks(full, buckets, key_bits), np.array([i is not None for i in doc_ids])
+            rows = np.flatnonzero(is_in(own, asked) & named[doc])
+            ids, texts = np.array([i or 0 for i in doc_ids], dtype=np.int64), _text_keys(texts, doc_ids)
+            found.append((ids[doc[rows]], texts[doc[rows]], own[rows], digests(split, doc[rows], place[rows], window), place[rows]))
         if found:
-            owner, own, digest = (np.concatenate(x) for x in zip(*found, strict=True))
+            owner, texts, own, digest, place = (np.concatenate(x) for x in zip(*found, strict=True))
             order = np.lexsort((owner, digest, own))
-            owner, own, digest = owner[order], own[order], digest[order]
-            first = _fresh(own, digest)
-            out.by_bucket(ENTRY, owner[first], own[first], digest[first])
-        return pa.Table.from_batches([out.batch()])
+            owner, texts, own, digest, place = (x[order] for x in (owner, texts, own, digest, place))
+            later = owner > _first(owner, _fresh(own, digest))
+            out.spread(PLACES, np.full(int(later.sum()), right.column("chunk")[0].as_py()), "chunk", None, texts[later], places=place[later])
+            out.spread(ENTRY, _bucket(own[~later]), "bucket", None, owner[~later], texts[~later], own[~later], digest[~later], place[~later])
+        return out.table()
 
     def verified(table: pa.Table) -> pa.Table:
-        out, (owner, own, digest) = _Out(), _values(table, ENTRY)
+        out, (owner, texts, own, digest, place) = _Out(), _values(table, ENTRY, "owners", "texts", "keys", "digests", "places")
         order = np.lexsort((owner, digest, own))
-        owner, own, digest = owner[order], own[order], digest[order]
-        later = owner > _first(owner, _fresh(own, digest))
-        out.by_chunk(VERIFIED, table.column("bucket")[0].as_py(), owner[later], own[later], chunks, digest[later])
-        return pa.Table.from_batches([out.batch()])
-
-    def kept(texts: pa.Table, right: pa.Table) -> pa.Table:
-        asked, local, known = (_values(right, kind) for kind in (ASKED, LOCAL, VERIFIED))
-        wanted = tuple(np.concatenate([a, b]) for a, b in zip(asked[:2], local[:2], strict=True))
-        found, none = [], np.zeros(0, dtype=np.int64)
-        for batch, _, row, place, *hits in _found(texts, wanted, buckets, window, key_bits):
-            found.append((batch, row, place, hits))
-        if found:
-            hits = [np.concatenate(x) for x in zip(*(x[3] for x in found), strict=True)]
-            (own, whole), (_, sure) = _pair_numbers(tuple(hits), tuple(np.concatenate([a, b]) for a, b in zip(local, known, strict=True)))
-            gone = is_in(whole, np.unique(sure))
-            # of equal windows in this chunk all but those of the smallest document are repeats
-            order = np.lexsort((hits[0], own))
-            gone[order] |= hits[0][order] > _first(hits[0][order], _fresh(own[order]))
-        pieces, end = [], 0
-        for batch, row, place, _ in found:
-            own = gone[end : end + len(row)]
-            end += len(row)
-            row, place = row[own], place[own]
-            starts = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            words_of, removed = [], []
-            for k, text in enumerate(common.as_bytes(batch.column("text"))):
-                words, hit = text.split(), place[starts[k] : starts[k + 1]]
-                stays, n = words, 0
-                if len(hit):
+        own_sorted, digest = own[order], digest[order]
+        later = order[owner[order] > _first(owner[order], _fresh(own_sorted, digest))]
+        out.spread(PLACES, _chunk_of(owner[later], chunks), "chunk", None, texts[later], places=place[later])
+        return out.table()
+
+    def kept(table: pa.Table, right: pa.Table) -> pa.Table:
+        owner, place = _values(right, PLACES, "owners", "places")
+        order = np.argsort(owner, kind="stable")
+        owner, place = owner[order], place[order].astype(np.int64)
+        columns = [[], [], [], []]
+        for batch in common.slices(table.to_batches(), "text", TEXT_BYTES):
+            texts, doc_ids = common.as_bytes(batch.column("text")), batch.column("doc_id").to_pylist()
+            keys = _text_keys(texts, doc_ids)
+            first, last = np.searchsorted(owner, keys), np.searchsorted(owner, keys, side="right")
+            own = [[], [], []]
+            for text, doc_id, a, b in zip(texts, doc_ids, first.tolist(), last.tolist(), strict=True):
+                words, n = text.split(), 0
+                stays = words
+                if a < b and doc_id is not None:
                     edges = np.zeros(len(words) + 1, dtype=np.int64)
-                    np.add.at(edges, hit, 1)
-                    np.add.at(edges, hit + window, -1)
+                    np.add.at(edges, place[a:b], 1)
+                    np.add.at(edges, place[a:b] + window, -1)
                     free = np.cumsum(edges[:-1]) == 0
                     n, stays = len(words) - int(free.sum()), compress(words, free.tolist())
-                words_of.append(b" ".join(stays).decode())
-                removed.append((len(words), n))
-            pieces.append(pa.table({"doc_id": batch.column("doc_id"), "n_words": pa.array([x for x, _ in removed], pa.int64()), "n_removed": pa.array([x for _, x in removed], pa.int64()), "kept": pa.array(words_of, pa.string())}))
-        empty = pa.table({"doc_id": pa.array(none, pa.int64()), "n_words": pa.array(none, pa.int64()), "n_removed": pa.array(none, pa.int64()), "kept": pa.array([], pa.string())})
-        return pa.concat_tables(pieces) if pieces else empty
+                for column, value in zip(own, (len(words), n, b" ".join(stays).decode()), strict=True):
+                    column.append(value)
+            columns[0].append(batch.column("doc_id"))
+            for column, values, kind in zip(columns[1:], own, (pa.int64(), pa.int64(), pa.string()), strict=True):
+                column.append(pa.array(values, type=kind))
+        kinds = zip(("doc_id", "n_words", "n_removed", "kept"), columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)
+        return pa.table({name: pa.chunked_array(own, type=kind) for name, own, kind in kinds})
 
     # a number of partitions that grows with the chunks, on both sides of each cogroup; the texts' exchange is used twice
     parts = max(chunks, int(spark.conf.get("spark.sql.shuffle.partitions")))
     texts = docs.withColumn("chunk", _chunk(chunks)).repartition(parts, "chunk").groupBy("chunk")
     asked = steps.where(F.col("kind") == ASKED).repartition(parts, "chunk").groupBy("chunk")
     entries = texts.cogroup(asked).applyInArrow(digested, STEPS)
-    sure = entries.repartition(_parts(spark, buckets), "bucket").groupBy("bucket").applyInArrow(verified, STEPS)
-    every = steps.unionByName(sure).repartition(parts, "chunk").groupBy("chunk")
-    return texts.cogroup(every).applyInArrow(kept, "doc_id long, n_words long, n_removed long, kept string")
+    sure = _by_bucket(entries, _parts(spark, buckets), verified)
+    places = steps.where(F.col("kind") == PLACES).unionByName(sure).repartition(parts, "chunk").groupBy("chunk")
+    return texts.cogroup(places).applyInArrow(kept, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def _chunk(chunks: int):
