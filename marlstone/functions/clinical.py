@@ -10,6 +10,7 @@ MISSING = ["", "/", "未查", "未检查", "无"]
 # Words for sex and marker results.
 MALE, FEMALE = ["男", "male", "m", "1"], ["女", "female", "f", "0"]
 POSITIVE, NEGATIVE = ["阳性", "positive", "+", "1"], ["阴性", "negative", "-", "0"]
+# Fixed value: the form that a number in a cell has, an optional bound before it.
 NUMBER = r"^(<=|>=|<|>|≤|≥)?\s*([-+]?\d+(?:\.\d+)?)$"
 
 

@@ -1,10 +1,13 @@
 """Bootstrap, permutation and shift tests with hash draws.
 
-Class metrics are resampled from the few cells of a matrix: a draw in a class is a place among its cumulative cell counts,
-so no row is copied. Score metrics carry a weight per replicate and row."""
+Class metrics are resampled from the few cells of a matrix: a replicate draws a class's cell counts at once, from the
+multinomial distribution that drawing its rows with replacement gives, so the work grows with replicates times cells and not
+with rows. Score metrics carry a weight per replicate and row."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,17 +17,17 @@ from marlstone.operators import metrics as M
 
 
 def resampled_cells(cells: DataFrame, stratum: str, replicates: int, seed: int) -> DataFrame:
-    """cells (stratum, cell, n) -> (replicate, cell, n) of as many draws per stratum as it has rows.
+    """cells (stratum, cell, n) -> (replicate, cell, n) of as many draws per stratum as it has rows; seeded by replicate and stratum."""
+
+    @F.pandas_udf("array<long>")
+    def multinomial(counts: pd.Series, seeds: pd.Series) -> pd.Series:
+        return pd.Series([np.random.default_rng(s).multinomial(sum(n), np.asarray(n) / sum(n)) for n, s in zip(counts, seeds, strict=True)])
 
-    The cells of a stratum are one array; each draw finds its cell there."""
     own = cells.where("n > 0").groupBy(stratum).agg(F.array_sort(F.collect_list(F.struct("cell", "n"))).alias("c"))
-    ends = F.transform("c", lambda x, i: F.struct(x["cell"].alias("cell"), F.aggregate(F.slice(F.col("c"), F.lit(1), i + 1), F.lit(0).cast("long"), lambda s, y: s + y["n"]).alias("end")))
-    own = own.select(stratum, ends.alias("c")).withColumn("total", F.element_at("c", -1)["end"])
-    each = own.select(stratum, "c", "total", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1)).alias("k"))
-    place = uniform(draw(seed, "replicate", stratum, "k"), F.col("total"))
-    drawn = each.select("replicate", "c", place.alias("place"))
-    cell = F.element_at(F.filter("c", lambda x: x["end"] > F.col("place")), 1)["cell"]
-    return drawn.select("replicate", cell.alias("cell")).groupBy("replicate", "cell").agg(F.count("*").alias("n"))
+    each = own.select(stratum, "c", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    drawn = each.withColumn("drawn", multinomial(F.col("c.n"), F.conv(F.substring(draw(seed, "replicate", stratum), 1, 13), 16, 10).cast("long")))
+    pairs = drawn.select("replicate", F.explode(F.arrays_zip(F.col("c.cell").alias("cell"), F.col("drawn").alias("n"))).alias("x"))
+    return pairs.select("replicate", "x.cell", "x.n").where("n > 0")
 
 
 def interval(values: DataFrame, observed: DataFrame | None = None) -> DataFrame:

@@ -125,14 +125,15 @@ def agreement_of_cells(cells: DataFrame, by: list[str] = []) -> DataFrame:  # no
 
 
 def agreement_intervals(pairs: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """Row bootstrap of raw agreement and kappa, by resampling cells."""
+    """Row bootstrap of raw agreement, kappa, positive and negative agreement, by resampling cells."""
     from marlstone.operators.resampling import resampled_cells
 
     cells = pairs.groupBy("reviewer_1", "reviewer_2").agg(F.count("*").alias("n")).withColumn("stratum", F.lit("all"))
     drawn = resampled_cells(cells.withColumn("cell", F.struct("reviewer_1", "reviewer_2")), "stratum", replicates, seed).select("replicate", "cell.*", "n")
     own = agreement_of_cells(drawn, ["replicate"])
-    q = lambda c, p, n: F.percentile(c, F.lit(p)).alias(n)
-    return own.agg(q("raw_agreement", 0.025, "raw_low"), q("raw_agreement", 0.975, "raw_high"), q("kappa", 0.025, "kappa_low"), q("kappa", 0.975, "kappa_high"), F.count("*").alias("replicates"))
+    names = {"raw_agreement": "raw", "kappa": "kappa", "positive_agreement": "positive", "negative_agreement": "negative"}
+    limits = [F.percentile(c, F.lit(p)).alias(f"{n}_{side}") for c, n in names.items() for side, p in (("low", 0.025), ("high", 0.975))]
+    return own.agg(*limits, F.count("*").alias("replicates"))
 
 
 def final_states(rows: DataFrame) -> DataFrame:

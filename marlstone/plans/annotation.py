@@ -12,6 +12,7 @@ from marlstone.plans import bindings as B
 from marlstone.plans.book import Book
 
 book = Book()
+# Label words as annotators write them, right and wrong.
 PREFIXES = ["N", "RA", "OA", "GA", "SPA-", "损伤-", "滑膜囊肿-", ""]
 NAMES = ["骨皮质", "积液", "腘窝囊肿", "髌骨前浅筋膜", "髌前浅筋膜", "股二头肌腱", "内侧半月板", "内测半月板", "髌下深囊炎", "股二头肌建", "内测副韧带", "滑膜那种"]
 

@@ -8,45 +8,25 @@ from marlstone.operators import resampling as R
 from marlstone.operators.splits import outer_folds
 from marlstone.plans import bindings as B
 from marlstone.plans.book import Book
-from marlstone.plans.evaluation import GATE, K, PRED, PRED_B, TOP
+from marlstone.plans.evaluation import GATE, K, PRED
 
 book = Book()
-REPLICATES = 20
+#: Replicates of metrics of cells; of metrics of scores, where each replicate draws every row (the README says so).
+CELL_REPLICATES, REPLICATES = 2000, 20
 
 
 def drawn(seed, parts):
     return f"(('0x' || substr(sha256('{seed}|' || {parts}), 1, 13))::BIGINT)"
 
 
-def macro(source, ref, pred, by):
-    """SQL: mean F1 over four classes from rows (by, ref, pred, n)."""
-    keys = ", ".join(by + ["c.k"])
-    outer = f"SELECT {', '.join(by)}, " if by else "SELECT "
-    group = f" GROUP BY {', '.join(by)}" if by else ""
-    return f"""{outer}avg(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)) AS value FROM (SELECT {keys}, coalesce(sum(n) FILTER (WHERE {ref} = c.k AND {pred} = c.k), 0) AS tp, coalesce(sum(n) FILTER (WHERE {ref} = c.k AND {pred} <> c.k), 0) AS fn, coalesce(sum(n) FILTER (WHERE {ref} <> c.k AND {pred} = c.k), 0) AS fp FROM {source} CROSS JOIN range(4) c(k) GROUP BY {keys}){group}"""
-
-
-CELL = f"""cell AS (SELECT reference_id, CAST({TOP} AS INTEGER) AS top, count(*) AS n FROM pred_a GROUP BY ALL),
-cum AS (SELECT *, sum(n) OVER (PARTITION BY reference_id ORDER BY top) AS hi, sum(n) OVER (PARTITION BY reference_id) AS total FROM cell),
-dr AS (SELECT r.k AS replicate, t.reference_id, {drawn(5, "r.k || '|' || t.reference_id || '|' || g.k")} % t.total AS place FROM range({REPLICATES}) r(k) CROSS JOIN (SELECT DISTINCT reference_id, CAST(total AS BIGINT) AS total FROM cum) t CROSS JOIN LATERAL (SELECT unnest(range(t.total)) AS k) g),
-res AS (SELECT replicate, c.reference_id, c.top, count(*) AS n FROM dr JOIN cum c ON c.reference_id = dr.reference_id AND place >= hi - n AND place < hi GROUP BY ALL)"""
-
-
-@book("j1_bootstrap_macro_f1", f"{PRED}, {CELL}, v AS ({macro('res', 'reference_id', 'top', ['replicate'])}), o AS ({macro('cell', 'reference_id', 'top', [])}) SELECT round(quantile_cont(v.value, 0.025), 6) AS low, round(quantile_cont(v.value, 0.975), 6) AS high, count(*) AS replicates, round((SELECT value FROM o), 6) AS observed FROM v")
+@book("j1_bootstrap_macro_f1")
 def bootstrap_macro_f1(spark, d):
-    return B.rounded(R.bootstrap_macro_f1(B.predictions(spark, d), K, REPLICATES, 5))
-
-
-PAIR = f"""pair AS (SELECT a.reference_id, CAST(list_position(a.probs, list_max(a.probs)) - 1 AS INTEGER) AS pa, CAST(list_position(b.probs, list_max(b.probs)) - 1 AS INTEGER) AS pb, count(*) AS n FROM pred_a a JOIN pred_b b USING (person_key) GROUP BY ALL),
-pcum AS (SELECT *, sum(n) OVER (PARTITION BY reference_id ORDER BY pa, pb) AS hi, sum(n) OVER (PARTITION BY reference_id) AS total FROM pair),
-pdr AS (SELECT r.k AS replicate, t.reference_id, {drawn(5, "r.k || '|' || t.reference_id || '|' || g.k")} % t.total AS place FROM range({REPLICATES}) r(k) CROSS JOIN (SELECT DISTINCT reference_id, CAST(total AS BIGINT) AS total FROM pcum) t CROSS JOIN LATERAL (SELECT unnest(range(t.total)) AS k) g),
-pres AS (SELECT replicate, c.reference_id, pa, pb, count(*) AS n FROM pdr JOIN pcum c ON c.reference_id = pdr.reference_id AND place >= hi - n AND place < hi GROUP BY ALL),
-va AS ({macro('pres', 'reference_id', 'pa', ['replicate'])}), vb AS ({macro('pres', 'reference_id', 'pb', ['replicate'])}), oa AS ({macro('pair', 'reference_id', 'pa', [])}), ob AS ({macro('pair', 'reference_id', 'pb', [])}), dv AS (SELECT vb.value - va.value AS value FROM va JOIN vb USING (replicate))"""
+    return B.rounded(R.bootstrap_macro_f1(B.predictions(spark, d), K, CELL_REPLICATES, 5))
 
 
-@book("j3_paired_macro_f1", f"{PRED}, {PRED_B}, {PAIR} SELECT round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, count(*) AS replicates, round((SELECT value FROM ob) - (SELECT value FROM oa), 6) AS observed, round(avg(CAST(value > 0 AS DOUBLE)), 6) AS share_above FROM dv")
+@book("j3_paired_macro_f1")
 def paired(spark, d):
-    return B.rounded(R.paired_macro_f1(B.predictions(spark, d, "A"), B.predictions(spark, d, "B"), K, REPLICATES, 5))
+    return B.rounded(R.paired_macro_f1(B.predictions(spark, d, "A"), B.predictions(spark, d, "B"), K, CELL_REPLICATES, 5))
 
 
 def weighted(source, stratum, key="person_key"):

@@ -132,14 +132,9 @@ def agreement(spark, d):
     return B.rounded(R.agreement(labelled(spark, d), ["target"]))
 
 
-@book("l9_agreement_intervals", f"""WITH {LAB}, ce AS (SELECT reviewer_1, reviewer_2, count(*) AS n FROM lab GROUP BY ALL), cu AS (SELECT *, sum(n) OVER (ORDER BY reviewer_1, reviewer_2) AS hi, CAST(sum(n) OVER () AS BIGINT) AS total FROM ce),
- dr AS (SELECT r.k AS replicate, {drawn(3, "r.k || '|all|' || g.k")} % total AS place FROM range(20) r(k) CROSS JOIN (SELECT DISTINCT total FROM cu) t CROSS JOIN LATERAL (SELECT unnest(range(t.total)) AS k) g),
- rs AS (SELECT replicate, reviewer_1, reviewer_2, count(*) AS n FROM dr JOIN cu ON place >= hi - n AND place < hi GROUP BY ALL),
- s AS (SELECT replicate, sum(n) AS rows, sum(n) FILTER (WHERE reviewer_1 = reviewer_2) AS same FROM rs GROUP BY 1), a AS (SELECT replicate, reviewer_1 AS v, sum(n) AS n FROM rs GROUP BY ALL), b AS (SELECT replicate, reviewer_2 AS v, sum(n) AS n FROM rs GROUP BY ALL),
- c AS (SELECT a.replicate, sum(a.n * b.n) AS chance FROM a JOIN b ON a.replicate = b.replicate AND a.v = b.v GROUP BY 1), k AS (SELECT same / rows AS raw, (same / rows - chance / (rows * rows)) / (1 - chance / (rows * rows)) AS kappa FROM s JOIN c USING (replicate))
- SELECT round(quantile_cont(raw, 0.025), 6) AS raw_low, round(quantile_cont(raw, 0.975), 6) AS raw_high, round(quantile_cont(kappa, 0.025), 6) AS kappa_low, round(quantile_cont(kappa, 0.975), 6) AS kappa_high, count(*) AS replicates FROM k""")
+@book("l9_agreement_intervals")
 def intervals(spark, d):
-    return B.rounded(R.agreement_intervals(labelled(spark, d), 20, 3))
+    return B.rounded(R.agreement_intervals(labelled(spark, d), 2000, 3))
 
 
 @book("l10_final_states", f"WITH {LAB} SELECT target, CASE WHEN reviewer_1 = reviewer_2 THEN reviewer_1 ELSE adjudicated END AS state, count(*) AS n FROM lab GROUP BY 1, 2")

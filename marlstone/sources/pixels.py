@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 #: Pixels of a group of strips that its statistics take at most, evenly spaced; share of a side that a border is wide.
 SAMPLE, BAND = 4096, 0.03
-SUFFIXES = ["red_mean", "green_mean", "blue_mean", "red_std", "green_std", "blue_std", "luminance_mean", "luminance_std", "black_share", "white_share", "grey_share", "vivid_share"]
+#: Weights of the channels in luminance, and what counts as black, white, grey and vivid.
+LUMINANCE = {"red": 0.2126, "green": 0.7152, "blue": 0.0722}
+SHARES = {"black": "high < 16", "white": "low > 240", "grey": "high - low < 3", "vivid": "high - low > 64 AND high > 128"}
 GROUPS = ["full_border", "outside_roi", "roi_border"]
+PIXEL = "red int, green int, blue int"
 
 
 def read_images(spark: SparkSession, folder: str) -> DataFrame:
@@ -23,44 +26,56 @@ def rgb(data: bytes, width: int, height: int, channels: int) -> np.ndarray:
     return np.repeat(own, 3, axis=2) if channels == 1 else own[:, :, 2::-1]
 
 
-def evenly(pixels: np.ndarray, most: int) -> np.ndarray:
-    return pixels if len(pixels) <= most else pixels[np.linspace(0, len(pixels) - 1, most, dtype=np.int64)]
+def ring(outer: tuple, inner: tuple) -> list[tuple]:
+    """The rectangles (top, left, bottom, right) between two boxes: above, below, left and right of the inner one."""
+    (t, le, b, r), (it, il, ib, ir) = outer, inner
+    return [x for x in ((t, le, it, r), (ib, le, b, r), (it, le, ib, il), (it, ir, ib, r)) if x[0] < x[2] and x[1] < x[3]]
 
 
-def sampled(strips: list[np.ndarray], most: int = SAMPLE) -> np.ndarray:
-    """Each strip is sampled before they are joined; no strip at all is one black pixel."""
-    flat = [s.reshape(-1, 3) for s in strips if s.size]
-    return evenly(np.concatenate([evenly(s, max(1, most // len(flat))) for s in flat]), most) if flat else np.zeros((1, 3), dtype=np.uint8)
+def shrunk(box: tuple, by: int) -> tuple:
+    return box[0] + by, box[1] + by, box[2] - by, box[3] - by
 
 
-def frame(image: np.ndarray, band: int) -> list[np.ndarray]:
-    return [image[:band], image[-band:], image[band:-band, :band], image[band:-band, -band:]]
+def spaced(image: np.ndarray, rectangles: list[tuple], most: int) -> np.ndarray:
+    """At most ``most`` pixels of the rectangles, taken as one row of pixels, evenly spaced. Only these are read."""
+    top, left, bottom, right = np.array(rectangles, dtype=np.int64).reshape(-1, 4).T
+    ends = np.cumsum((bottom - top) * (right - left))
+    total = int(ends[-1]) if len(ends) else 0
+    k = np.arange(total) if total <= most else np.linspace(0, total - 1, most, dtype=np.int64)
+    which = np.searchsorted(ends, k, side="right")
+    row, column = np.divmod(k - np.append(0, ends)[which], (right - left)[which])
+    return image[top[which] + row, left[which] + column]
 
 
-def statistics(pixels: np.ndarray) -> list[float]:
-    v = pixels.astype(np.float64)
-    light = v @ np.array([0.2126, 0.7152, 0.0722]) / 255
-    high, low = v.max(1), v.min(1)
-    return [*(v.mean(0) / 255), *(v.std(0) / 255), light.mean(), light.std(), (high < 16).mean(), (low > 240).mean(), (high - low < 3).mean(), ((high - low > 64) & (high > 128)).mean()]
+def strip_pixels(images: DataFrame) -> DataFrame:
+    """images with the box left, top, right, bottom -> a row (path, part, red, green, blue) for each pixel that a group of strips takes.
 
-
-def strip_statistics(images: DataFrame) -> DataFrame:
-    """images with the box left, top, right, bottom -> path and 3 x 12 statistics. One image at a time in a task."""
-    names = [f"{g}_{s}" for g in GROUPS for s in SUFFIXES]
+    A group's strips share ``SAMPLE`` evenly; a group without a pixel has a black one."""
 
     def run(frames):
         for df in frames:
-            rows = []
+            found = []
             for r in df.itertuples(index=False):
-                image = rgb(r.data, r.width, r.height, r.channels)
-                inside = image[r.top : r.bottom, r.left : r.right]
-                width = lambda a, b: max(1, round(min(a, b) * BAND))
-                around = [image[: r.top], image[r.bottom :], image[r.top : r.bottom, : r.left], image[r.top : r.bottom, r.right :]]
-                strips = [frame(image, width(r.width, r.height)), around, frame(inside, width(inside.shape[1], inside.shape[0]))]
-                rows.append([r.path, *(x for s in strips for x in statistics(sampled(s)))])
-            yield pd.DataFrame(rows, columns=["path", *names])
+                image, whole, box = rgb(r.data, r.width, r.height, r.channels), (0, 0, r.height, r.width), (r.top, r.left, r.bottom, r.right)
+                band = lambda x: max(1, round(min(x[2] - x[0], x[3] - x[1]) * BAND))
+                for part, strips in zip(GROUPS, (ring(whole, shrunk(whole, band(whole))), ring(whole, box), ring(box, shrunk(box, band(box)))), strict=True):
+                    own = [spaced(image, [x], max(1, SAMPLE // len(strips))) for x in strips] or [np.zeros((1, 3), dtype=np.uint8)]
+                    found.append(pd.DataFrame(np.concatenate(own), columns=list(LUMINANCE)).astype("int32").assign(path=r.path, part=part))
+            yield from found
+
+    return images.select("path", "width", "height", "channels", "data", "left", "top", "right", "bottom").mapInPandas(run, f"{PIXEL}, path string, part string")
 
-    return images.select("path", "width", "height", "channels", "data", "left", "top", "right", "bottom").mapInPandas(run, "path string, " + ", ".join(f"{n} double" for n in names))
+
+def strip_statistics(images: DataFrame) -> DataFrame:
+    """path and 12 statistics of each of the 3 groups of strips: aggregates of their pixels, combined where they are made."""
+    light = sum(F.col(c) * w for c, w in LUMINANCE.items())
+    pixels = strip_pixels(images).withColumn("luminance", light).withColumn("high", F.greatest(*LUMINANCE)).withColumn("low", F.least(*LUMINANCE))
+    moments = [f((F.col(c) / 255)).alias(f"{c}_{n}") for n, f in (("mean", F.avg), ("std", F.stddev_pop)) for c in (*LUMINANCE, "luminance")]
+    shares = [F.avg(F.expr(rule).cast("double")).alias(f"{name}_share") for name, rule in SHARES.items()]
+    own = pixels.groupBy("path", "part").agg(*moments, *shares)
+    names = own.columns[2:]
+    of = lambda part, name: F.max(F.when(F.col("part") == part, F.col(name))).alias(f"{part}_{name}")
+    return own.groupBy("path").agg(*(of(part, name) for part in GROUPS for name in names))
 
 
 def border_fill(images: DataFrame, most_images: int = 512, most_pixels: int = 512) -> DataFrame:
@@ -69,11 +84,13 @@ def border_fill(images: DataFrame, most_images: int = 512, most_pixels: int = 51
 
     def run(frames):
         for df in frames:
-            parts = [evenly(np.concatenate([s.reshape(-1, 3) for s in frame(rgb(r.data, r.width, r.height, r.channels), 1) if s.size]), most_pixels) for r in df.itertuples(index=False)]
-            yield pd.DataFrame(np.concatenate(parts) if parts else np.zeros((0, 3), dtype=np.uint8), columns=["red", "green", "blue"]).astype("int32")
+            for r in df.itertuples(index=False):
+                whole = (0, 0, r.height, r.width)
+                pixels = spaced(rgb(r.data, r.width, r.height, r.channels), ring(whole, shrunk(whole, 1)), most_pixels)
+                yield pd.DataFrame(pixels, columns=list(LUMINANCE)).astype("int32")
 
-    pixels = own.select("path", "width", "height", "channels", "data").mapInPandas(run, "red int, green int, blue int")
-    return pixels.agg(*(F.percentile(c, F.lit(0.5)).alias(c) for c in ("red", "green", "blue")))
+    pixels = own.select("path", "width", "height", "channels", "data").mapInPandas(run, PIXEL)
+    return pixels.agg(*(F.percentile(c, F.lit(0.5)).alias(c) for c in LUMINANCE))
 
 
 def geometry_features(images: DataFrame) -> DataFrame:

@@ -206,6 +206,42 @@ def test_pixels(spark, tmp_path):
     assert tuple(pixels.border_fill(own).first()) == (255, 0, 0)
 
 
+def test_strip_statistics_are_those_of_all_pixels_of_small_strips(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    boxes = {"a": (5, 3, 17, 12), "b": (0, 0, 30, 20), "c": (1, 1, 2, 2)}
+    images = {name: rng.integers(0, 256, (20, 30, 3), dtype=np.uint8) for name in boxes}
+    for name, image in images.items():
+        (tmp_path / f"{name}.png").write_bytes(png(image))
+    name = F.regexp_extract("path", r"(\w)\.png$", 1)
+    side = lambda k: F.element_at(F.create_map(*(F.lit(x) for n, b in boxes.items() for x in (n, b[k]))), name)
+    own = pixels.read_images(spark, str(tmp_path)).select("*", side(0).alias("left"), side(1).alias("top"), side(2).alias("right"), side(3).alias("bottom"))
+    for r in pixels.strip_statistics(own).collect():
+        image, (x0, y0, x1, y1) = images[r.path[-5]], boxes[r.path[-5]]
+        outside = np.ones((20, 30), dtype=bool)
+        outside[y0:y1, x0:x1] = False
+        v = (image[outside] if outside.any() else np.zeros((1, 3))).astype(float)
+        light = v @ [0.2126, 0.7152, 0.0722] / 255
+        want = [v[:, 0].mean() / 255, v[:, 2].std() / 255, light.mean(), light.std(), (v.max(1) < 16).mean(), ((v.max(1) - v.min(1) > 64) & (v.max(1) > 128)).mean()]
+        got = [r.outside_roi_red_mean, r.outside_roi_blue_std, r.outside_roi_luminance_mean, r.outside_roi_luminance_std, r.outside_roi_black_share, r.outside_roi_vivid_share]
+        assert np.allclose(got, want)
+    assert pixels.ring((0, 0, 1, 9), pixels.shrunk((0, 0, 1, 9), 1)) == [(0, 0, 1, 9), (0, 0, 1, 9)]
+    big = np.arange(10_000).reshape(100, 100)
+    assert pixels.spaced(big, [(0, 0, 50, 100), (50, 0, 100, 100)], 5).tolist() == [0, 2499, 4999, 7499, 9999]
+
+
+def test_cells_are_resampled_within_their_stratum(spark):
+    cells = spark.createDataFrame([("x", 1, 30), ("x", 2, 10), ("x", 3, 0), ("y", 4, 7)], "stratum string, cell int, n long")
+    rows = resampling.resampled_cells(cells, "stratum", 2000, 1).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.replicate, {})[r.cell] = r.n
+    assert len(by) == 2000 and all(x.get(1, 0) + x.get(2, 0) == 40 and x[4] == 7 and 3 not in x for x in by.values())
+    ones = np.array([x.get(1, 0) for x in by.values()])
+    assert abs(ones.mean() - 30) < 0.3 and abs(ones.std() - np.sqrt(40 * 0.75 * 0.25)) < 0.15
+    again = {(r.replicate, r.cell): r.n for r in resampling.resampled_cells(cells.repartition(3), "stratum", 2000, 1).collect()}
+    assert again == {(r.replicate, r.cell): r.n for r in rows}
+
+
 def test_fitted_models_find_a_planted_signal(spark):
     rng = np.random.default_rng(0)
     rows = [(f"p{k}", k % 2, k // 2 % 5, float(k % 2 * 2 + rng.normal()) if k % 17 else None, float(rng.normal()), 1.0) for k in range(200)]
