@@ -79,6 +79,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int) -> I
             end = max(at + 1, int(np.searchsorted(sizes, before + most_bytes, side="right")))
             yield batch.slice(at, end - at)
             at = end
+    pa.default_memory_pool().release_unused()  # a worker is kept for other tasks
 
 
 def lengths(column: pa.Array) -> list[int | None]:

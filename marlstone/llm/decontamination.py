@@ -31,7 +31,7 @@ from . import blobs, common
 
 WINDOW = 13
 #: Characters of benchmark text in one block, bytes of training text in one shard, words of one array, bytes cut into words at a time.
-BLOCK_CHARS, SHARD_BYTES, SEGMENT_WORDS, PIECE_BYTES = 8_000_000, 8_000_000, 1 << 21, 1 << 23
+BLOCK_CHARS, SHARD_BYTES, SEGMENT_WORDS, PIECE_BYTES = 8_000_000, 4_000_000, 1 << 21, 1 << 23
 #: Words compared at a time in a search, benchmark places searched at a time.
 STEP, PLACES = 16, 50_000
 #: A-Z to a-z, ASCII without letters and digits to space.

@@ -29,7 +29,7 @@ from . import common
 #: Labelled documents of a language that the fit takes at most (in expectation), rounds of EM, count added to each piece.
 FIT_DOCS, ROUNDS, PRIOR = 1500, 3, 0.05
 #: Words remembered by a worker, bytes of text at a time, letters of words of one length whose passes run side by side.
-REMEMBERED_WORDS, TEXT_BYTES, LETTERS_AT_ONCE = 1_000_000, 4_000_000, 100_000
+REMEMBERED_WORDS, TEXT_BYTES, LETTERS_AT_ONCE = 400_000, 4_000_000, 100_000
 #: Words of more letters go through the pass one by one, in stretches of ``STRETCH`` letters.
 LONG_WORD, STRETCH = 64, 1 << 14
 #: A sum below ``TINY`` is raised by ``RAISE`` = 1 / TINY, and its exponent counted, so words of any length keep their sums.

@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Words that one worker remembers at most.
-REMEMBERED_WORDS = 1_500_000
+REMEMBERED_WORDS = 700_000
 #: How the vocabulary spells bytes as letters: printable ones as themselves, the others from U+0100 on.
 BYTE_LETTERS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 #: Marks that may end a word; without those that can begin a contraction or belong to a special token.

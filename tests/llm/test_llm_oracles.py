@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from marlstone.llm import decontamination, packing, queries
-from tests.llm.test_llm_operators import ids_of, plain_fingerprint, plain_lines, plain_words, smallest_reachable
+from tests.llm.test_llm_operators import ids_of, plain_lines, plain_shingles, plain_words, smallest_reachable
 
 duckdb = pytest.importorskip("duckdb")
 DATA = "/root/testdata/sf0.001"
@@ -43,17 +43,13 @@ def test_pipeline_stages_are_brute_force(spark, db):
 
     lines = stages["lines"](spark, kept, DATA)
     got = take(lines)
-    assert lines.columns == docs.columns and got == {i: t for i, _, _, t in plain_lines([(r[0], r[1]) for r in rows])}
+    assert lines.columns == docs.columns and got == {i: t for i, t, _, _ in plain_lines([(r[0], r[1]) for r in rows])}
     assert lines.where("n_chars != length(text)").count() == 0
 
     near = stages["near_copies"](spark, lines, DATA)
-    prints = {i: plain_fingerprint(t) for i, t in got.items()}
-    nodes = sorted(set(prints.values()))
-    roots = smallest_reachable(nodes, [(a, b) for a in nodes for b in nodes if a < b and (a ^ b).bit_count() <= 2])
-    groups = defaultdict(list)
-    for i, f in prints.items():
-        groups[roots[f]].append(i)
-    assert near.columns == docs.columns and set(take(near)) == {min(g) for g in groups.values()}
+    sets = {i: plain_shingles(t) for i, t in got.items()}
+    close = [(i, j) for i, a in sets.items() for j, b in sets.items() if i < j and len(a & b) * 5 >= 4 * len(a | b)]
+    assert near.columns == docs.columns and set(take(near)) == set(smallest_reachable(sorted(sets), close).values())
 
     clean = stages["benchmark"](spark, near, DATA)
     windows = set()
