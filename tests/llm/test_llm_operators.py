@@ -769,9 +769,9 @@ def test_near_copies_are_those_of_brute_force_jaccard(spark, docs, none, monkeyp
     sets = {i: plain_shingles(t) for i, t in rows}
     pairs = [(i, j) for i, a in sets.items() for j, b in sets.items() if i < j and len(a & b) * 5 >= 4 * len(a | b)]
     roots = smallest_reachable(sorted(sets), pairs)
-    for tile, sampled in ((near_copies.TILE, near_copies.SAMPLED), (16, 1)):
+    for tile, small in ((near_copies.TILE, near_copies.SMALL), (16, 3)):
         monkeypatch.setattr(near_copies, "TILE", tile)
-        monkeypatch.setattr(near_copies, "SAMPLED", sampled)
+        monkeypatch.setattr(near_copies, "SMALL", small)
         assert {r.doc_id: r.component_id for r in near_copies.near_copies(df).collect()} == roots | {None: roots[rows[0][0]]}
     kept = near_copies.deduplicated(df)
     assert kept.columns == df.columns and Counter(r.doc_id for r in kept.collect()) == Counter(set(roots.values()))
