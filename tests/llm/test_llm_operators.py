@@ -778,6 +778,23 @@ def test_near_copies_are_those_of_brute_force_jaccard(spark, docs, none, monkeyp
     assert near_copies.deduplicated(none).count() == 0 and near_copies.deduplicated(docs).columns == docs.columns
 
 
+def test_sketches_of_similar_sets_agree():
+    rng = np.random.default_rng(3)
+    hashes = lambda n: np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+    as_row = lambda x: np.frombuffer(near_copies.sketch(x), dtype=np.uint8)
+    for n in (1, 4, 5, 9, 30, 146, 500, 2000, 20_000):
+        for _ in range(20):
+            own = hashes(n)
+            less, other = own[rng.random(len(own)).argsort() >= len(own) // 5], hashes(len(own) // 9)
+            more = np.unique(np.concatenate([own[len(own) // 10 :], other[: len(own) // 10]]))
+            for near in (less, more):
+                assert not near_copies.similar(own, near) or near_copies.agreeing(as_row(own), as_row(near)[None])[0]
+            far = np.unique(np.concatenate([own[len(own) // 2 :], hashes(len(own) // 2)]))
+            assert n < 30 or not near_copies.agreeing(as_row(own), as_row(far)[None])[0]
+    empty = as_row(hashes(0))
+    assert near_copies.agreeing(empty, np.stack([empty, as_row(hashes(30))])).tolist() == [True, False]
+
+
 def test_pipeline_drops_near_copies_that_fingerprints_miss(spark):
     import corpus_pipeline
 
