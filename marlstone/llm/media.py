@@ -5,8 +5,9 @@ up to ``WIDTH`` pixels; the last frame may be lower, as its own header says. Eac
 predictor 1) within an AVI file with headers, a movie list and an index. The Huffman table gives the difference category
 s a code of 9 - s bits, so every sample takes nine bits and whole batches of frames are coded and decoded as arrays.
 
-The reader walks the RIFF chunks, goes through the index, decodes every frame, and cuts the film where the histogram
-difference of two frames stands out from those before it. It yields timed clips.
+The reader walks the RIFF chunks, goes through the index, decodes every frame by the Huffman table that it holds, and cuts the
+film where the histogram difference of two frames stands out from those before it. It yields timed clips. Frames other than
+lossless ones of one component, ``WIDTH`` samples a line, predictor 1, are refused with an error.
 
 Defined cases: null text is empty and has one frame of one line; equal texts have equal files; repeated rows get a row
 each; an empty table gives no row; other columns are not read.
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from . import common
 
 WIDTH, RATE = 64, 25
+#: The difference that stands for bits that are no code.
+NO_CODE = 1000
 #: Bytes of text or media coded at a time.
 TEXT_BYTES = 4_000_000
 #: Histogram cells, frames before a cut that it is held against, deviations and least difference that make a cut.
@@ -43,8 +46,6 @@ def _code_table() -> np.ndarray:
 
 
 CODES = _code_table()
-DIFFERENCES = np.zeros(512, dtype=np.int16)
-DIFFERENCES[CODES] = np.arange(-255, 256)
 
 
 def jpeg_head(height: int) -> bytes:
@@ -56,8 +57,6 @@ def jpeg_head(height: int) -> bytes:
     return b"\xff\xd8" + segment(0xC4, table) + segment(0xC3, frame) + segment(0xDA, scan)
 
 
-HEAD = len(jpeg_head(1))
-
 
 def encode_frames(lines: np.ndarray, heights: np.ndarray) -> list[bytes]:
     """JPEG files of the frames; lines: [line, WIDTH] samples of all frames in a row."""
@@ -88,34 +87,108 @@ def encode_frames(lines: np.ndarray, heights: np.ndarray) -> list[bytes]:
     return out
 
 
-def decode_frames(frames: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Samples [line, WIDTH] and heights of the frames."""
-    heights = np.zeros(len(frames), dtype=np.int64)
-    for k, frame in enumerate(frames):
-        at = 2
-        if frame[:2] != b"\xff\xd8" or frame[-2:] != b"\xff\xd9":
-            raise ValueError("not a JPEG frame")
-        while frame[at + 1] != 0xDA:
-            (n,) = struct.unpack_from(">H", frame, at + 2)
-            if frame[at + 1] == 0xC3:
-                heights[k], width = struct.unpack_from(">HH", frame, at + 5)
-                if width != WIDTH:
-                    raise ValueError(f"a frame of width {width}")
-            at += 2 + n
-    raw = np.frombuffer(b"".join(frame[HEAD:-2] for frame in frames), dtype=np.uint8)
-    stays = np.ones(len(raw), dtype=bool)
-    stays[1:] = raw[:-1] != 255
-    b = raw[stays].reshape(-1, 9).astype(np.uint16)
-    codes = np.empty((len(b), 8), dtype=np.uint16)
+class Table:
+    """A Huffman table of a lossless scan: for every next 16 bits the bits that a sample takes and its difference."""
+
+    def __init__(self, body: bytes):
+        if len(body) < 17 or body[0] or len(body) != 17 + sum(body[1:17]):
+            raise ValueError("a Huffman table that isn't the scan's only one")
+        self.widths, self.differences = np.zeros(1 << 16, dtype=np.int64), np.full(1 << 16, NO_CODE, dtype=np.int16)
+        code, at, every = 0, 17, set()
+        for length, count in enumerate(body[1:17], 1):
+            for s in body[at : at + count]:
+                end = code + 1 << 16 - length
+                if s > 8 or length + s > 16 or end > 1 << 16:
+                    raise ValueError(f"a code of {length} bits for differences of {s} bits")
+                ahead = np.arange(code << 16 - length, end)
+                low = ahead >> 16 - length - s & (1 << s) - 1
+                self.widths[ahead], self.differences[ahead] = length + s, np.where(low >> max(s - 1, 0), low, low + 1 - (1 << s)) if s else 0
+                every.add(length + s)
+                code += 1
+            at += count
+            code <<= 1
+        #: Bits of a sample where all take equally many, else None.
+        self.width = every.pop() if len(every) == 1 else None
+
+
+def _parsed(frame: bytes) -> tuple[int, bytes, bytes]:
+    """Lines, Huffman table and entropy-coded bytes of a frame; frames of other kinds are refused."""
+    if frame[:2] != b"\xff\xd8" or frame[-2:] != b"\xff\xd9":
+        raise ValueError("not a JPEG frame")
+    at, lines, table = 2, 0, b""
+    while True:
+        mark, n = struct.unpack_from(">HH", frame, at)
+        body = frame[at + 4 : at + 2 + n]
+        at += 2 + n
+        if mark == 0xFFC4:
+            table = body
+        elif mark == 0xFFC3:
+            bits, lines, width, parts = struct.unpack_from(">BHHB", body)
+            if (bits, width, parts) != (8, WIDTH, 1):
+                raise ValueError(f"a frame of {parts} components, {width} samples a line, {bits} bits a sample")
+        elif mark == 0xFFDA:
+            # one component, its table 0, predictor 1, no point transform
+            if len(body) != 6 or (body[0], body[2] >> 4, body[3], body[5]) != (1, 0, 1, 0) or not lines or not table:
+                raise ValueError("a scan that isn't lossless with predictor 1")
+            return lines, table, frame[at:-2]
+        elif not 0xFFE0 <= mark <= 0xFFFE:
+            raise ValueError(f"a segment {mark:x} that isn't known")
+
+
+def _equally_wide(raw: bytes, table: Table, n: int) -> np.ndarray:
+    """Differences of n samples that all take ``table.width`` bits, of frames without bits between them."""
+    b, w = np.frombuffer(raw, dtype=np.uint8).reshape(-1, table.width).astype(np.uint32), table.width
+    b = np.concatenate([b, np.zeros((len(b), 2), dtype=np.uint32)], axis=1)
+    out = np.empty((len(b), 8), dtype=np.int16)
     for k in range(8):
-        codes[:, k] = (b[:, k] << (k + 1) | b[:, k + 1] >> (7 - k)) & 511
-    diff = DIFFERENCES[codes].reshape(-1, WIDTH).astype(np.int64)
-    # first samples add up down a frame, the others along a line
+        at, off = divmod(k * w, 8)
+        out[:, k] = table.differences[(b[:, at] << 16 | b[:, at + 1] << 8 | b[:, at + 2]) >> 8 - off & 0xFFFF]
+    return out.reshape(-1)[:n]
+
+
+def _side_by_side(raws: list[bytes], table: Table, counts: np.ndarray) -> np.ndarray:
+    """Differences of frames whose samples take unequal numbers of bits: a sample of every frame at a time."""
+    data = np.frombuffer(b"".join(x + bytes(4) for x in raws), dtype=np.uint8).astype(np.uint32)
+    sizes = np.array([len(x) + 4 for x in raws], dtype=np.int64)
+    bit = (np.cumsum(sizes) - sizes) * 8
+    ends = np.cumsum(sizes) * 8 - 32
+    out, begin = np.empty(int(counts.sum()), dtype=np.int16), np.cumsum(counts) - counts
+    for k in range(int(counts.max())):
+        own = np.flatnonzero(counts > k)
+        at, off = bit[own] >> 3, (bit[own] & 7).astype(np.uint32)
+        ahead = (data[at] << 16 | data[at + 1] << 8 | data[at + 2]) >> 8 - off & 0xFFFF
+        out[begin[own] + k] = table.differences[ahead]
+        bit[own] += table.widths[ahead]
+        if (bit[own] > ends[own]).any():
+            raise ValueError("a frame that ends before its last sample")
+    return out
+
+
+def decode_frames(frames: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Samples [line, WIDTH] and heights of the frames, each decoded by the Huffman table it holds."""
+    parsed = [_parsed(x) for x in frames]
+    heights = np.array([x[0] for x in parsed], dtype=np.int64)
     starts = np.cumsum(heights) - heights
-    first = np.cumsum(diff[:, 0])
-    base = np.repeat(first[starts] - diff[starts, 0], heights)
-    diff[:, 0] = 128 + first - base
-    return (np.cumsum(diff, axis=1) & 255).astype(np.uint8), heights
+    diff = np.empty((int(heights.sum()), WIDTH), dtype=np.uint8)  # samples are sums modulo 256
+    for body in sorted({x[1] for x in parsed}):
+        table, own = Table(body), np.array([k for k, x in enumerate(parsed) if x[1] == body], dtype=np.int64)
+        raws = [parsed[k][2].replace(b"\xff\x00", b"\xff") for k in own]
+        counts = heights[own] * WIDTH
+        if table.width and [len(x) for x in raws] == (counts * table.width // 8).tolist():
+            found = _equally_wide(b"".join(raws), table, int(counts.sum()))
+        else:
+            found = _side_by_side(raws, table, counts)
+        if (found == NO_CODE).any():
+            raise ValueError("bits that are no code of the frame's table")
+        lines = found.reshape(-1, WIDTH).astype(np.uint8)
+        if len(own) == len(parsed):
+            diff = lines
+        else:
+            diff[np.repeat(starts[own] - (np.cumsum(heights[own]) - heights[own]), heights[own]) + np.arange(len(lines))] = lines
+    # first samples add up down a frame, the others along a line
+    first = np.cumsum(diff[:, 0], dtype=np.uint8)
+    diff[:, 0] = 128 + first - np.repeat(first[starts] - diff[starts, 0], heights)
+    return np.cumsum(diff, axis=1, dtype=np.uint8), heights
 
 
 def _chunk(name: bytes, body: bytes) -> bytes:

@@ -1,7 +1,7 @@
 """URL rules by Bloom filter cascades.
 
 A cascade answers membership in a list exactly for every key of a known universe: its first Bloom filter holds the listed
-keys, the second those other keys that the first takes by mistake, the third the listed keys that the second takes, and
+keys, the second those other keys of the universe that the first takes by mistake, the third the listed keys that the second takes, and
 so on until a level makes no mistake. The universe is every key that any url of the corpus can ask for, so no url needs a
 join. Keys are host suffixes with path prefixes of the lengths that rules have.
 
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Bytes of the filters of one slice, levels before giving up (only equal 128-bit hashes get there), distinct path lengths of rules.
-MOST_BYTES, MOST_LEVELS, MOST_LENGTHS = 32_000_000, 64, 256
+#: Bytes of the filters of one slice, levels before giving up (only equal 128-bit hashes get there), words of a bitmap that come to the driver as one row.
+MOST_BYTES, MOST_LEVELS, CHUNK = 32_000_000, 64, 1 << 13
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HASHES = ("h1", "h2")
 
@@ -94,7 +94,7 @@ def _taken(keys: DataFrame, level: Level) -> DataFrame:
 
 
 def _filled(keys: DataFrame, level: Level) -> Level:
-    """The level with the keys' bits: partial bitmaps per task, or-ed by word in Spark."""
+    """The level with the keys' bits: partial bitmaps per task, or-ed by word in Spark, sent as packed chunks."""
 
     def run(batches):
         bits = np.zeros(level.words, dtype=np.uint64)
@@ -105,24 +105,32 @@ def _filled(keys: DataFrame, level: Level) -> Level:
         used = np.flatnonzero(bits)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(bits[used].view(np.int64))], names=["word", "bits"])
 
-    for r in keys.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect():
-        level.bits[r.word] = r.bits % 2**64
+    def packed(chunk: pa.Table) -> pa.Table:
+        own, word = np.zeros(CHUNK, dtype=np.int64), np.asarray(chunk.column("word").to_numpy())
+        own[word % CHUNK] = np.asarray(chunk.column("bits").to_numpy())
+        return pa.table({"chunk": pa.array([int(word[0]) // CHUNK], type=pa.int64()), "packed": pa.array([own.tobytes()], type=pa.binary())})
+
+    words = keys.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    chunks = words.groupBy((F.col("word") / CHUNK).cast("long").alias("chunk")).applyInArrow(packed, "chunk long, packed binary")
+    for r in chunks.toLocalIterator():  # MOST_BYTES in all
+        own = level.bits[r.chunk * CHUNK : (r.chunk + 1) * CHUNK]
+        own[:] = np.frombuffer(r.packed, dtype=np.uint64)[: len(own)]
     return level
 
 
 def build(listed: DataFrame, universe: DataFrame, most_bytes: int = MOST_BYTES) -> list[Cascade]:
     """Cascades (one per slice of the hash space) for the listed keys among the universe's. Both: (key)."""
-    inside = common.written(with_hashes(universe.where("key IS NOT NULL")).distinct(), "universe")
-    wanted = common.written(with_hashes(listed.where("key IS NOT NULL")).distinct().join(inside, list(HASHES), "left_semi"), "listed")
-    others = common.written(inside.join(wanted, list(HASHES), "left_anti"), "others")
-    n, m = wanted.count(), others.count()
+    universe = common.written(with_hashes(universe.where("key IS NOT NULL")).distinct(), "universe")
+    wanted = common.written(with_hashes(listed.where("key IS NOT NULL")).distinct(), "listed")
+    n, m = wanted.count(), universe.count()
     rate = min(0.5, max(1e-9, n / (math.sqrt(2) * m))) if m else 0.5
     slices = max(1, math.ceil(2 * n * (2 - math.log2(rate)) / 8 / most_bytes))
-    return [_cascade(*(x.where(F.pmod("h1", F.lit(slices)) == k) for x in (wanted, others)), rate) if n else Cascade([]) for k in range(slices)]
+    return [_cascade(*(x.where(F.pmod("h1", F.lit(slices)) == k) for x in (wanted, universe)), rate) if n else Cascade([]) for k in range(slices)]
 
 
-def _cascade(wanted: DataFrame, others: DataFrame, rate: float) -> Cascade:
-    levels, keys, rest = [], wanted, others
+def _cascade(wanted: DataFrame, universe: DataFrame, rate: float) -> Cascade:
+    """The first level is asked for the whole universe; only what it takes is told from the listed keys, and later levels only see that."""
+    levels, keys, rest = [], wanted, None
     while len(levels) < MOST_LEVELS:
         n = keys.count()
         if not n:
@@ -130,7 +138,8 @@ def _cascade(wanted: DataFrame, others: DataFrame, rate: float) -> Cascade:
         level = _filled(keys, Level(len(levels), n, rate))
         levels.append(level)
         # what the level takes by mistake is the next level's content
-        keys, rest, rate = common.written(_taken(rest, level), "mistakes"), keys, 0.5
+        mistakes = _taken(universe, level).join(wanted, list(HASHES), "left_anti") if rest is None else _taken(rest, level)
+        keys, rest, rate = common.written(mistakes, "mistakes"), keys, 0.5
     raise RuntimeError("a listed key and another one have equal hashes")
 
 
@@ -160,14 +169,13 @@ def first_member(df: DataFrame, keys: str, cascades: list[Cascade], out: str) ->
 
 def judged(pages: DataFrame, rules: DataFrame, listed_hosts: DataFrame) -> DataFrame:
     """(page_id, host, path, rule, verdict). rules: (host, path, action allow or block); listed_hosts: (host), blocked with their subdomains where no rule fits."""
-    lengths = sorted(r.n for r in rules.select(F.length("path").alias("n")).distinct().limit(MOST_LENGTHS + 1).collect())
-    if len(lengths) > MOST_LENGTHS:
-        raise ValueError(f"rules have paths of more than {MOST_LENGTHS} lengths")
+    # as many numbers as rules have lengths of paths: at most the longest one's
+    lengths = sorted((r.n for r in rules.where("path IS NOT NULL").select(F.length("path").alias("n")).distinct().collect()), reverse=True)
     host, path = host_and_path(F.col("url"))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).select("page_id", host.alias("host"), path.alias("path"))
     parts = F.split("host", r"\.")
     own = own.withColumn("hosts", F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ".")))
-    prefixes = F.transform(F.filter(F.array(*(F.lit(n) for n in reversed(lengths))), lambda n: n <= F.length("path")), lambda n: F.substring("path", 1, n)) if lengths else F.expr("cast(array() as array<string>)")
+    prefixes = F.transform(F.filter(F.split(F.lit(",".join(map(str, lengths))), ",").cast("array<int>"), lambda n: n <= F.length("path")), lambda n: F.substring("path", 1, n)) if lengths else F.expr("cast(array() as array<string>)")
     keyed = own.withColumn("prefixes", prefixes)
     every = F.flatten(F.transform("hosts", lambda h: F.transform("prefixes", lambda p: F.struct((-F.length(F.concat(h, p))).alias("n"), (-F.length(h)).alias("m"), F.concat(h, p).alias("key")))))
     keyed = keyed.withColumn("keys", F.transform(F.array_sort(every), lambda x: x["key"])).drop("prefixes")

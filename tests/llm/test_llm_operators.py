@@ -708,7 +708,7 @@ def test_one_frame_by_a_plain_decoder():
             codes[format(code, f"0{bits}b")] = values[k]
             code, k = code + 1, k + 1
         code *= 2
-    scan = frame[media.HEAD : -2].replace(b"\xff\x00", b"\xff")
+    scan = frame[len(media.jpeg_head(5)) : -2].replace(b"\xff\x00", b"\xff")
     stream, at, rows = "".join(format(b, "08b") for b in scan), 0, []
     for y in range(5):
         row = []
@@ -725,6 +725,50 @@ def test_one_frame_by_a_plain_decoder():
     assert rows == lines.tolist()
 
 
+def plain_frame(lines, lengths):
+    """A frame coded bit by bit with code lengths of our own for the sizes of differences; sizes of equal length are in ascending order."""
+    order = sorted(lengths, key=lambda s: (lengths[s], s))
+    codes, code, last = {}, 0, 0
+    for s in order:
+        code <<= lengths[s] - last
+        codes[s], last = format(code, f"0{lengths[s]}b"), lengths[s]
+        code += 1
+    bits = ""
+    for y, line in enumerate(lines.tolist()):
+        for x, v in enumerate(line):
+            diff = v - (line[x - 1] if x else int(lines[y - 1, 0]) if y else 128)
+            size = abs(diff).bit_length()
+            bits += codes[size] + (format(diff if diff > 0 else diff + (1 << size) - 1, f"0{size}b") if size else "")
+    bits += "1" * (-len(bits) % 8)
+    data = bytes(int(bits[k : k + 8], 2) for k in range(0, len(bits), 8)).replace(b"\xff", b"\xff\x00")
+    table = bytes([0]) + bytes(sum(n == k for n in lengths.values()) for k in range(1, 17)) + bytes(order)
+    head = media.jpeg_head(len(lines))
+    return head[:4] + (len(table) + 2).to_bytes(2, "big") + table + head[4 + int.from_bytes(head[4:6], "big") :] + data + b"\xff\xd9"
+
+
+def test_frames_are_decoded_by_their_own_tables():
+    rng = np.random.default_rng(2)
+    parts = [rng.integers(0, 256, (n, 64)).astype(np.uint8) for n in (5, 64, 1, 7, 64)]
+    swapped = {0: 8, 1: 9} | {s: 9 - s for s in range(2, 9)}
+    swapped[8], swapped[7] = 2, 1  # the shortest two codes name each other's size
+    tables = [swapped, {s: 4 for s in range(9)}, {s: 10 - s for s in range(9)}]
+    frames = [plain_frame(x, tables[k % 3]) if k < 4 else media.encode_frames(x, np.array([64]))[0] for k, x in enumerate(parts)]
+    got, heights = media.decode_frames(frames)
+    assert heights.tolist() == [5, 64, 1, 7, 64] and (got == np.concatenate(parts)).all()
+
+
+def test_unsupported_frames_are_refused():
+    frame = media.encode_frames(np.random.default_rng(3).integers(0, 256, (4, 64)).astype(np.uint8), np.array([4]))[0]
+    broken = {
+        "a longer size": frame.replace(bytes(range(8, -1, -1)), bytes(range(9, 0, -1))), "another predictor": frame.replace(b"\xff\xda\x00\x08\x01\x01\x00\x01", b"\xff\xda\x00\x08\x01\x01\x00\x04"),
+        "a baseline frame": frame.replace(b"\xff\xc3", b"\xff\xc0"), "cut": frame[:150] + b"\xff\xd9", "no code": frame[: len(media.jpeg_head(4))] + b"\xff\x00" * 288 + b"\xff\xd9",
+    }
+    for name, own in broken.items():
+        with pytest.raises(ValueError):
+            media.decode_frames([own])
+            pytest.fail(name)
+
+
 def test_media_columns(docs, none):
     got = media.decoded(media.stored(docs)).collect()
     want = Counter((i, len((t or "").encode()), (t or "").encode().ljust(max(1, -(-len((t or "").encode()) // 64)) * 64, b"\0")) for i, t in odd_texts())
