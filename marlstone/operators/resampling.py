@@ -2,18 +2,25 @@
 
 Class metrics are resampled from the few cells of a matrix: a replicate draws a class's cell counts at once, from the
 multinomial distribution that drawing its rows with replacement gives, so the work grows with replicates times cells and not
-with rows. Score metrics carry a weight per replicate and row."""
+with rows. Score metrics need a weight per replicate and row: a row carries all of its weights as one value."""
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from marlstone.functions.draws import draw, uniform
+from marlstone.functions.draws import draw, hash_rank, running_sums
 from marlstone.operators import metrics as M
+from marlstone.sources.tables import written
+
+#: Rows of a stratum or of neighbouring scores that are handled together; replicates at a time.
+PIECE, BLOCK = 2048, 250
 
 
 def resampled_cells(cells: DataFrame, stratum: str, replicates: int, seed: int) -> DataFrame:
@@ -66,31 +73,110 @@ def paired_macro_f1(a: DataFrame, b: DataFrame, k: int, replicates: int, seed: i
     return interval(values, delta(cells, []).select(F.col("value").alias("observed"))).crossJoin(F.broadcast(share))
 
 
-def weighted_rows(df: DataFrame, stratum: str, key: str, replicates: int, seed: int) -> DataFrame:
-    """Adds replicate and weight: how often a row is drawn among its stratum's, with replacement. Rows never drawn are gone.
+def with_weights(df: DataFrame, strata: list[str], key: str, replicates: int, seed: int) -> DataFrame:
+    """Adds ``weights``: how often each replicate draws the row (binary, unsigned 16-bit integers), drawing as many rows of each stratum as it has, with replacement.
+
+    A stratum's rows are cut into pieces by the rank of a draw. A replicate first draws how many of its rows fall into each
+    piece, then the rows inside it, so no stratum meets in one task and no row is copied per replicate."""
+    own = df.withColumn("__s", F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in strata)))
+    ranked = hash_rank(own.withColumn("__h", draw(seed, F.lit("rank"), key)), ["__s"], "__h", "__rank").withColumn("__piece", F.floor((F.col("__rank") - 1) / PIECE))
+    ranked = written(ranked.drop("__h"), "ranked")
+    sizes = ranked.groupBy("__s", "__piece").agg(F.count("*").alias("n")).withColumn("cell", F.struct("__s", "__piece"))
+    drawn, columns = resampled_cells(sizes, "__s", replicates, seed).select("replicate", "cell.*", "n"), df.columns
+
+    def weighted(rows: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+        rows, each = rows.sort_values("__rank"), np.zeros(replicates, dtype=np.int64)
+        each[counts["replicate"]] = counts["n"]
+        rng = np.random.default_rng([seed, zlib.crc32(rows["__s"].iloc[0].encode()), int(rows["__piece"].iloc[0])])
+        drawn = rng.multinomial(each, np.full(len(rows), 1 / len(rows))).T.astype("<u2")
+        return rows[columns].assign(weights=[w.tobytes() for w in drawn])
+
+    keys, schema = ["__s", "__piece"], T.StructType([*df.schema.fields, T.StructField("weights", T.BinaryType())])
+    return written(ranked.groupBy(keys).cogroup(drawn.groupBy(keys)).applyInPandas(weighted, schema), "weighted")
+
+
+def _matrix(weights: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(weights), dtype="<u2").reshape(len(weights), -1)
+
+
+def weighted_auc(df: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """(by, score, positive, weights) -> (by, replicate, value): the mid-rank AUC of each replicate; null where one kind isn't drawn.
+
+    Scores are cut into pieces of about ``PIECE`` rows in order; a score with more rows is a piece by itself, whose rows are
+    dealt over several groups, as only their sums count. Pieces give three numbers a replicate."""
+    counts = df.groupBy(*by, "score").agg(F.count("*").alias("n"))
+    placed = running_sums(counts, by, "score", F.floor(F.col("score") * M.SCORE_BUCKETS), ["n"])
+    hot = F.col("n") > PIECE
+    placed = placed.select(*by, "score", (F.floor(F.col("before_n") / PIECE) * 2 + hot.cast("long")).alias("piece"), F.when(hot, F.ceil(F.col("n") / PIECE)).otherwise(1).cast("long").alias("parts"))
+    keys = [*by, "piece", "part"]
+    own = df.join(placed, [*by, "score"]).withColumn("part", F.pmod(F.xxhash64("weights"), "parts")).select(*keys, "score", "positive", "weights")
+
+    def summed(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("score")
+        score, positive, weights = rows["score"].to_numpy(), rows["positive"].to_numpy(dtype=bool)[:, None], _matrix(rows["weights"])
+        starts, out = np.flatnonzero(np.r_[True, score[1:] != score[:-1]]), []
+        for k in range(0, weights.shape[1], BLOCK):
+            w = weights[:, k : k + BLOCK].astype(np.int64)
+            p, q = (np.add.reduceat(w * side, starts, axis=0) for side in (positive, ~positive))
+            out.append((p.sum(0), q.sum(0), (p * (np.cumsum(q, axis=0) - q + q / 2)).sum(0)))
+        p, q, won = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pd.DataFrame([{**{c: rows[c].iloc[0] for c in keys}, "p": p, "q": q, "won": won}])
+
+    fields = [T.StructField(c, own.schema[c].dataType) for c in keys]
+    schema = T.StructType([*fields, *(T.StructField(n, T.ArrayType(t)) for n, t in (("p", T.LongType()), ("q", T.LongType()), ("won", T.DoubleType())))])
+    parts = own.groupBy(keys).applyInPandas(summed, schema).select(*by, "piece", F.posexplode(F.arrays_zip("p", "q", "won")).alias("replicate", "x"))
+    pieces = parts.groupBy(*by, "piece", "replicate").agg(*(F.sum(f"x.{c}").alias(c) for c in ("p", "q", "won")))
+    pieces = pieces.withColumn("won", F.when(F.col("piece") % 2 == 1, F.col("p") * F.col("q") / 2).otherwise(F.col("won")))
+    below = F.sum("q").over(W.partitionBy(*by, "replicate").orderBy("piece").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("q")
+    won = pieces.withColumn("won", F.col("won") + F.col("p") * below)
+    return won.groupBy(*by, "replicate").agg(F.try_divide(F.sum("won"), F.sum("p").cast("double") * F.sum("q")).alias("value"))
 
-    A draw names a rank in its stratum; ranks come from counts in buckets, see ``hash_rank``."""
-    from marlstone.functions.draws import hash_rank
 
-    ranked = hash_rank(df.withColumn("__h", draw(seed, F.lit("rank"), key)), [stratum], "__h", "__rank").drop("__h")
-    totals = df.groupBy(stratum).agg(F.count("*").alias("__n"))
-    drawn = totals.select(stratum, "__n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))).alias("__k"))
-    drawn = drawn.select(F.col(stratum), "replicate", (uniform(draw(seed, "replicate", stratum, "__k"), F.col("__n")) + 1).alias("__rank")).groupBy(stratum, "replicate", "__rank").agg(F.count("*").alias("weight"))
-    return ranked.join(drawn, [stratum, "__rank"]).drop("__rank")
+def weighted_macro_auc(df: DataFrame) -> DataFrame:
+    """(reference_id, probs, weights) -> (replicate, value): the mean of the one-vs-rest AUCs that can be told."""
+    each = df.select("reference_id", "weights", F.posexplode("probs").alias("class_id", "score"))
+    own = weighted_auc(each.select("class_id", "score", (F.col("reference_id") == F.col("class_id")).alias("positive"), "weights"), ["class_id"])
+    return own.groupBy("replicate").agg(F.avg("value").alias("value"))
 
 
-def bootstrap_auc(df: DataFrame, replicates: int, seed: int, by_fold: bool = False) -> DataFrame:
-    """Interval of the AUC of (person_key, positive, score), resampling inside each kind; replicates that can't be estimated are left out."""
-    own = weighted_rows(df, "stratum" if by_fold else "positive", "person_key", replicates, seed)
-    values = M.auc_of(M.score_counts(own, F.col("score"), F.col("positive"), ["replicate"], F.col("weight")), ["replicate"]).withColumnRenamed("auc", "value").where("value IS NOT NULL")
+def weighted_mean(df: DataFrame, column: str) -> DataFrame:
+    """(replicate, value): the mean of a column of numbers in each replicate; its null rows are left out."""
+
+    def summed(batches):
+        total = None
+        for batch in batches:
+            if len(batch):
+                w = _matrix(batch["weights"]).astype(np.float64)
+                own = np.stack([batch[column].to_numpy(dtype=float) @ w, w.sum(0)])
+                total = own if total is None else total + own
+        if total is not None:
+            yield pd.DataFrame({"replicate": np.arange(total.shape[1]), "s": total[0], "n": total[1]})
+
+    own = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias(column), "weights")
+    return own.mapInPandas(summed, "replicate int, s double, n double").groupBy("replicate").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("value"))
+
+
+def bootstrap(df: DataFrame, strata: list[str], key: str, replicates: int, seed: int, statistic, observed: DataFrame | None = None) -> DataFrame:
+    """Interval of any statistic, resampling inside strata; replicates that can't be estimated are left out.
+
+    ``statistic``: rows with ``weights`` -> (replicate, value)."""
+    return interval(statistic(with_weights(df, strata, key, replicates, seed)).where("value IS NOT NULL"), observed)
+
+
+def bootstrap_auc(df: DataFrame, replicates: int, seed: int, strata: list[str] = ["positive"]) -> DataFrame:  # noqa: B006
+    """Interval of the AUC of (person_key, positive, score)."""
     observed = M.auc_of(M.score_counts(df, F.col("score"), F.col("positive"))).select(F.col("auc").alias("observed"))
-    return interval(values, observed)
+    return bootstrap(df, strata, "person_key", replicates, seed, weighted_auc, observed)
+
+
+def bootstrap_macro_auc(predictions: DataFrame, k: int, replicates: int, seed: int) -> DataFrame:
+    """Interval of the macro one-vs-rest AUC, resampling people inside their class."""
+    observed = M.one_vs_rest(predictions, k).agg(F.avg("auc").alias("observed"))
+    return bootstrap(predictions.select("person_key", "reference_id", "probs"), ["reference_id"], "person_key", replicates, seed, weighted_macro_auc, observed)
 
 
 def permuted(df: DataFrame, stratum: str, key: str, target: str, seed: int) -> DataFrame:
     """``permuted``: the targets of a stratum dealt out anew, its counts kept."""
-    from marlstone.functions.draws import hash_rank
-
     order = hash_rank(df.withColumn("__h", F.sha2(F.col(key).cast("string"), 256)), [stratum], "__h", "__k").drop("__h")
     other = hash_rank(df.select(stratum, key, F.col(target).alias("permuted")).withColumn("__h", draw(seed, F.lit("permute"), key)), [stratum], "__h", "__k").select(F.col(stratum).alias("__s"), "__k", "permuted")
     return order.join(other, (order[stratum] == other["__s"]) & (order["__k"] == other["__k"])).drop("__k", "__s")
@@ -145,8 +231,6 @@ def shift_summary(shifts: DataFrame, large: float, broad: float, fraction: float
 
 def spearman(df: DataFrame, a: str, b: str, by: list[str] = []) -> DataFrame:  # noqa: B006
     """Correlation of mid-ranks; ranks come from counts per distinct value."""
-    from marlstone.functions.draws import running_sums
-
     def ranks(column: str, name: str) -> DataFrame:
         counts = df.groupBy(*by, column).agg(F.count("*").alias("__n"))
         own = running_sums(counts, by, column, F.floor(F.col(column)), ["__n"])

@@ -47,6 +47,15 @@ def tree_version(spark, d):
     return S.tree_version(S.fingerprints(tree(spark, d), "docs"))
 
 
+BUCKETED = """b4 AS (SELECT substr(sha256(path), 1, 4) AS p, sha256(string_agg(path || chr(0) || sha256 || chr(10), '' ORDER BY path)) AS d FROM prints GROUP BY 1),
+b2 AS (SELECT substr(p, 1, 2) AS q, sha256(string_agg(p || chr(0) || d || chr(10), '' ORDER BY p)) AS d FROM b4 GROUP BY 1)"""
+
+
+@book("a3_bucketed_version", f"WITH {TREE}, {BUCKETED} SELECT sha256(string_agg(q || chr(0) || d || chr(10), '' ORDER BY q)) AS version FROM b2")
+def bucketed_version(spark, d):
+    return S.bucketed_version(S.fingerprints(tree(spark, d), "docs"))
+
+
 @book("a4_version_summary", f"WITH {TREE} SELECT cohort, kind, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM prints GROUP BY ALL")
 def version_summary(spark, d):
     return S.summary(S.fingerprints(tree(spark, d), "docs"))

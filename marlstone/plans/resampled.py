@@ -11,52 +11,47 @@ from marlstone.plans.book import Book
 from marlstone.plans.evaluation import GATE, K, PRED
 
 book = Book()
-#: Replicates of metrics of cells; of metrics of scores, where each replicate draws every row (the README says so).
-CELL_REPLICATES, REPLICATES = 2000, 20
-
-
-def drawn(seed, parts):
-    return f"(('0x' || substr(sha256('{seed}|' || {parts}), 1, 13))::BIGINT)"
+REPLICATES = 2000
 
 
 @book("j1_bootstrap_macro_f1")
 def bootstrap_macro_f1(spark, d):
-    return B.rounded(R.bootstrap_macro_f1(B.predictions(spark, d), K, CELL_REPLICATES, 5))
+    return B.rounded(R.bootstrap_macro_f1(B.predictions(spark, d), K, REPLICATES, 5))
 
 
 @book("j3_paired_macro_f1")
 def paired(spark, d):
-    return B.rounded(R.paired_macro_f1(B.predictions(spark, d, "A"), B.predictions(spark, d, "B"), K, CELL_REPLICATES, 5))
-
-
-def weighted(source, stratum, key="person_key"):
-    """SQL: rows of source with replicate and weight."""
-    return f"""rnk AS (SELECT *, row_number() OVER (PARTITION BY {stratum} ORDER BY sha256('5|rank|' || {key})) AS rk FROM {source}), tot AS (SELECT {stratum} AS s, count(*) AS n FROM {source} GROUP BY 1),
-wd AS (SELECT s, r.k AS replicate, {drawn(5, "r.k || '|' || s || '|' || g.k")} % n + 1 AS rk, count(*) AS weight FROM tot CROSS JOIN range({REPLICATES}) r(k) CROSS JOIN LATERAL (SELECT unnest(range(1, n + 1)) AS k) g GROUP BY ALL),
-wr AS (SELECT rnk.*, replicate, weight FROM rnk JOIN wd ON wd.s = rnk.{stratum} AND wd.rk = rnk.rk),
-ws AS (SELECT replicate, score, sum(CASE WHEN positive THEN weight ELSE 0 END) AS p, sum(CASE WHEN positive THEN 0 ELSE weight END) AS q FROM wr GROUP BY ALL),
-wa AS (SELECT replicate, sum(p * (below + q / 2)) / nullif(sum(p) * sum(q), 0) AS value FROM (SELECT *, sum(q) OVER (PARTITION BY replicate ORDER BY score) - q AS below FROM ws) GROUP BY replicate),
-os AS (SELECT score, count(*) FILTER (WHERE positive) AS p, count(*) FILTER (WHERE NOT positive) AS q FROM {source} GROUP BY score), oa AS (SELECT sum(p * (below + q / 2)) / (sum(p) * sum(q)) AS value FROM (SELECT *, sum(q) OVER (ORDER BY score) - q AS below FROM os))
-SELECT round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, count(value) AS replicates, round((SELECT value FROM oa), 6) AS observed FROM wa"""
+    return B.rounded(R.paired_macro_f1(B.predictions(spark, d, "A"), B.predictions(spark, d, "B"), K, REPLICATES, 5))
 
 
-@book("j4_bootstrap_auc", f"{GATE}, {weighted('gate_a', 'positive')}")
+@book("j4_bootstrap_auc")
 def bootstrap_auc(spark, d):
     return B.rounded(R.bootstrap_auc(B.gate(spark, d), REPLICATES, 5))
 
 
-@book("j5_stratified_bootstrap", f"{GATE}, gs_ AS (SELECT *, outer_fold || '_' || positive AS stratum FROM gate_a), {weighted('gs_', 'stratum')}")
+@book("j5_stratified_bootstrap")
 def stratified(spark, d):
-    own = B.gate(spark, d).withColumn("stratum", F.concat_ws("_", F.col("outer_fold").cast("string"), F.col("positive").cast("string")))
-    return B.rounded(R.bootstrap_auc(own, REPLICATES, 5, by_fold=True))
+    return B.rounded(R.bootstrap_auc(B.gate(spark, d), REPLICATES, 5, ["outer_fold", "positive"]))
 
 
-@book("j2_bootstrap_class_auc", f"{PRED}, one AS (SELECT person_key, reference_id = 1 AS positive, probs[2] AS score FROM pred_a), {weighted('one', 'positive')}")
+@book("j5_stratified_accuracy")
+def stratified_accuracy(spark, d):
+    own = B.gate(spark, d).withColumn("right", (F.col("predicted") == F.col("positive")).cast("double"))
+    observed = own.agg(F.avg("right").alias("observed"))
+    return B.rounded(R.bootstrap(own, ["outer_fold", "positive"], "person_key", REPLICATES, 5, lambda df: R.weighted_mean(df, "right"), observed))
+
+
+@book("j2_bootstrap_class_auc")
 def class_auc(spark, d):
     own = B.predictions(spark, d).select("person_key", (F.col("reference_id") == 1).alias("positive"), F.element_at("probs", 2).alias("score"))
     return B.rounded(R.bootstrap_auc(own, REPLICATES, 5))
 
 
+@book("j2_bootstrap_macro_auc")
+def macro_auc(spark, d):
+    return B.rounded(R.bootstrap_macro_auc(B.predictions(spark, d), K, REPLICATES, 5))
+
+
 @book("j6_permuted_targets", f"WITH {B.LETTERS}, {B.folds_sql('letters', 'lf')}, a AS (SELECT *, row_number() OVER (PARTITION BY outer_fold ORDER BY sha256(person_key)) AS k FROM lf), b AS (SELECT outer_fold, diagnosis_id AS permuted, row_number() OVER (PARTITION BY outer_fold ORDER BY sha256('9|permute|' || person_key)) AS k FROM lf) SELECT person_key, a.outer_fold, b.permuted FROM a JOIN b ON a.outer_fold = b.outer_fold AND a.k = b.k")
 def permuted(spark, d):
     own = outer_folds(B.letters(spark, d), 5, B.SEED)

@@ -9,7 +9,6 @@ from marlstone.operators import review as R
 from marlstone.operators.splits import outer_folds
 from marlstone.plans import bindings as B
 from marlstone.plans.book import Book
-from marlstone.plans.resampled import drawn
 
 book = Book()
 SEED, PER_CELL, TARGETS = 11, 3, ["src1", "src2", "src3"]

@@ -46,9 +46,29 @@ def _escaped(root: str) -> str:
 
 
 def dataset_version(prints: DataFrame) -> DataFrame:
-    """One SHA-256 over path, zero byte, hash and newline of all files by path: one group of one row per file."""
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("path", "sha256"))), lambda x: F.concat(x["path"].cast("binary"), F.lit(b"\0"), x["sha256"].cast("binary"), F.lit(b"\n")))
-    return prints.agg(F.sha2(F.aggregate(lines, F.lit(b""), lambda a, x: F.concat(a, x)), 256).alias("version"))
+    """One SHA-256 over path, zero byte, hash and newline of all files by path: a digest of one stream, so one task holds a row per file. ``bucketed_version`` is for large trees."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("path", "sha256"))), lambda x: F.concat_ws("", x["path"], F.lit("\0"), x["sha256"], F.lit("\n")))
+    return prints.agg(F.sha2(F.array_join(lines, ""), 256).alias("version"))
+
+
+def digests(df: DataFrame, groups: list[str], key: str, line: Column, name: str) -> DataFrame:
+    """One SHA-256 per group of any number of rows, as column ``name``; keys are distinct in a group.
+
+    Rows fall into buckets by the first four hex digits of their key's SHA-256. A bucket's digest is that of its lines by
+    key; buckets with the same two first digits are digested as lines of prefix, zero byte, digest and newline, and so are
+    those of a group. So a task holds a 65,536th of a group's rows, or 256 digests."""
+    whole = lambda order, text: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x["t"]), ""), 256)
+    own = df.select(*groups, F.col(key).alias("k"), line.alias("t"), F.substring(F.sha2(F.col(key).cast("binary"), 256), 1, 4).alias("p"))
+    own = own.groupBy(*groups, "p").agg(whole("k", "t").alias("d"))
+    for digits in (2, 0):
+        lines = own.withColumn("t", F.concat_ws("", "p", F.lit("\0"), "d", F.lit("\n")))
+        own = lines.groupBy(*groups, F.substring("p", 1, digits).alias("q")).agg(whole("p", "t").alias("d")).withColumnRenamed("q", "p")
+    return own.select(*groups, F.col("d").alias(name))
+
+
+def bucketed_version(prints: DataFrame) -> DataFrame:
+    """A version of a tree of any size, another number than ``dataset_version`` on purpose: ``digests`` of the same lines."""
+    return digests(prints, [], "path", F.concat_ws("", "path", F.lit("\0"), "sha256", F.lit("\n")), "version")
 
 
 def folder_versions(prints: DataFrame) -> DataFrame:
@@ -59,7 +79,7 @@ def folder_versions(prints: DataFrame) -> DataFrame:
 
 
 def tree_version(prints: DataFrame) -> DataFrame:
-    """The scalable form, another number on purpose: SHA-256 over the folders' versions."""
+    """SHA-256 over the folders' versions, another number on purpose: a task holds one folder's files."""
     lines = F.transform(F.array_sort(F.collect_list(F.struct("folder", "version"))), lambda x: F.concat_ws("", x["folder"], F.lit("\0"), x["version"], F.lit("\n")))
     return folder_versions(prints).agg(F.sha2(F.array_join(lines, ""), 256).alias("version"))
 

@@ -97,6 +97,40 @@ def test_perfect_predictions(spark):
     assert tuple(resampling.bootstrap_macro_f1(df, 3, 5, 1).first()) == (1.0, 1.0, 5, 1.0)
 
 
+def plain_auc(scores, positive, weights):
+    at = sorted(range(len(scores)), key=lambda k: scores[k])
+    won = sum(weights[i] * weights[j] * (1 if scores[i] > scores[j] else 0.5 if scores[i] == scores[j] else 0) for i in at if positive[i] for j in at if not positive[j])
+    both = sum(w for w, p in zip(weights, positive, strict=True) if p) * sum(w for w, p in zip(weights, positive, strict=True) if not p)
+    return won / both if both else None
+
+
+@pytest.mark.parametrize("piece", [2048, 7])
+def test_bootstrap_weights_and_weighted_auc(spark, monkeypatch, piece):
+    monkeypatch.setattr(resampling, "PIECE", piece)
+    rng = np.random.default_rng(4)
+    # a third of all rows share one score
+    rows = [(f"p{k}", int(k % 3), [float(x) for x in rng.dirichlet(np.ones(3)).round(2)] if k % 3 else [0.25, 0.5, 0.25]) for k in range(60)]
+    df = spark.createDataFrame(rows, "person_key string, reference_id int, probs array<double>")
+    own = resampling.with_weights(df, ["reference_id"], "person_key", 40, 3)
+    got = {r.person_key: np.frombuffer(r.weights, dtype="<u2").astype(int) for r in own.collect()}
+    again = {r.person_key: np.frombuffer(r.weights, dtype="<u2").astype(int) for r in resampling.with_weights(df.repartition(5), ["reference_id"], "person_key", 40, 3).collect()}
+    assert len(got) == 60 and all((got[k] == again[k]).all() for k in got)
+    for c in range(3):
+        drawn = np.stack([got[k] for k, r, _ in rows if r == c])
+        assert (drawn.sum(0) == 20).all() and 0.5 < drawn.var() < 1.5
+    values = {r.replicate: r.value for r in resampling.weighted_macro_auc(own).collect()}
+    assert len(values) == 40
+    for r in range(0, 40, 7):
+        weights = [int(got[k][r]) for k, _, _ in rows]
+        want = np.mean([plain_auc([x[c] for _, _, x in rows], [y == c for _, y, _ in rows], weights) for c in range(3)])
+        assert abs(values[r] - want) < 1e-12
+    means = {r.replicate: r.value for r in resampling.weighted_mean(own, "reference_id").collect()}
+    assert all(abs(v - 1) < 1e-12 for v in means.values())
+    low, high, n, observed = resampling.bootstrap_macro_auc(df, 3, 40, 3).first()
+    assert n == 40 and low <= high and abs(observed - np.mean([plain_auc([x[c] for _, _, x in rows], [y == c for _, y, _ in rows], [1] * 60) for c in range(3)])) < 1e-12
+    assert resampling.with_weights(df.limit(0), ["reference_id"], "person_key", 40, 3).count() == 0
+
+
 def test_thresholds_and_gates(spark):
     df = spark.createDataFrame(list(zip([False, False, False, True, True, True], [0.1, 0.2, 0.6, 0.7, 0.8, 0.9], strict=True)), "positive boolean, score double")
     assert tuple(gates.thresholds(df, 0.9).first()) == (0.7, 1.0, 1.0, True)
