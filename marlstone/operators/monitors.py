@@ -16,15 +16,28 @@ def start_reasons(disk_gb: Column, memory_gb: Column, gpu_gb: Column, bounds: tu
     return F.array_compact(F.array(F.when(disk_gb < bounds[0], "disk_free_low"), F.when(memory_gb < bounds[1], "memory_available_low"), F.when(gpu_gb > bounds[2], "gpu_memory_used_high")))
 
 
-def sustained(samples: DataFrame, limit: float, seconds: float, run: str = "run", at: str = "at", value: str = "value", order: list[str] = []) -> DataFrame:  # noqa: B006
+def sustained(samples: DataFrame, limit: float, seconds: float, run: str = "run", at: str = "at", value: str = "value", order: list[str] = [], width: float = 86400) -> DataFrame:  # noqa: B006
     """Adds ``fired``: the value has been above the limit since a sample at least ``seconds`` earlier, without a break.
 
-    Islands of high samples are numbered by the low samples before them; an island's first sample never fires."""
-    w = W.partitionBy(run).orderBy(at, *order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    own = samples.withColumn("__high", F.coalesce(F.col(value) > limit, F.lit(False))).withColumn("__island", F.sum((~F.col("__high")).cast("long")).over(w))
-    inner = W.partitionBy(run, "__island", "__high").orderBy(at, *order)
+    Islands of high samples are numbered by the low samples before them; an island's first sample never fires. A run is cut
+    into spans of ``width`` seconds, so that a long one doesn't meet in one task; what is open at a span's end is carried on
+    over a table with a row per run and span."""
+    span = W.partitionBy("__run", "__span").orderBy(at, *order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    own = samples.withColumn("__run", F.col(run)).withColumn("__span", F.floor(F.col(at) / width)).withColumn("__high", F.coalesce(F.col(value) > limit, F.lit(False)))
+    own = own.withColumn("__island", F.sum((~F.col("__high")).cast("long")).over(span))
+    inner = W.partitionBy("__run", "__span", "__island", "__high").orderBy(at, *order)
     own = own.withColumn("__since", F.min(at).over(inner.rowsBetween(W.unboundedPreceding, W.currentRow))).withColumn("__k", F.row_number().over(inner))
-    return own.withColumn("fired", F.col("__high") & (F.col("__k") > 1) & (F.col(at) - F.col("__since") >= seconds)).drop("__high", "__island", "__since", "__k")
+    # where a span's last sample is high, the time since when
+    last = F.max_by(F.when(F.col("__high"), F.col("__since")), F.struct(at, *order))
+    spans = own.groupBy("__run", "__span").agg(F.max("__island").alias("lows"), last.alias("open"))
+    runs = W.partitionBy("__run").orderBy("__span")
+    spans = spans.withColumn("broken", F.sum((F.col("lows") > 0).cast("long")).over(runs.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    spans = spans.withColumn("open", F.min("open").over(W.partitionBy("__run", "broken").orderBy("__span").rowsBetween(W.unboundedPreceding, W.currentRow)))
+    spans = spans.select(F.col("__run").alias("__r"), F.col("__span").alias("__s"), F.lag("open").over(runs).alias("__open"))
+    own = own.join(spans, F.col("__run").eqNullSafe(F.col("__r")) & F.col("__span").eqNullSafe(F.col("__s")))
+    carried = F.when(F.col("__island") == 0, F.col("__open"))
+    fired = F.col("__high") & ((F.col("__k") > 1) | carried.isNotNull()) & (F.col(at) - F.coalesce(carried, F.col("__since")) >= seconds)
+    return own.withColumn("fired", fired).drop("__run", "__span", "__high", "__island", "__since", "__k", "__r", "__s", "__open")
 
 
 def early_stopping(scores: DataFrame, patience: int, run: str = "run", at: str = "epoch", value: str = "score") -> DataFrame:

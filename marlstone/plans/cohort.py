@@ -9,6 +9,7 @@ from marlstone.operators import bags, manifest, splits
 from marlstone.plans import bindings as B
 from marlstone.plans.book import Book
 from marlstone.sources import files as S
+from marlstone.sources.tables import shared_folder
 
 book = Book()
 SECRET = bytes(range(32))
@@ -61,6 +62,20 @@ def version_summary(spark, d):
     return S.summary(S.fingerprints(tree(spark, d), "docs"))
 
 
+@book("a5_csv_round_trip", "SELECT c_custkey, c_name, c_mktsegment, c_nationkey FROM customer")
+def csv_round_trip(spark, d):
+    own, path = B.table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey"), shared_folder(spark)
+    S.write_csv(own, path, own.columns)
+    return S.read_csv(spark, path, own.schema)
+
+
+@book("a12_published", "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
+def published(spark, d):
+    path = shared_folder(spark)
+    S.publish(B.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), path)
+    return S.read_published(spark, path)
+
+
 @book("a7_split_list", "SELECT item, count(*) AS n FROM (SELECT trim(unnest(string_split(text, chr(10)))) AS item FROM documents) WHERE item <> '' GROUP BY item")
 def split_list(spark, d):
     lines = B.table(spark, d, "documents").select(F.explode(F.split("text", "\n")).alias("value"))

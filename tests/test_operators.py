@@ -192,6 +192,23 @@ def test_stream_is_the_batch(spark, tmp_path):
     assert got == want and any(want.values())
 
 
+@pytest.mark.parametrize("width", [86400, 250])
+def test_sustained_over_spans(spark, width):
+    """Runs that stay high over several spans, end at a span's edge or have null values, against a loop."""
+    rng = np.random.default_rng(8)
+    rows = [(r, float(t * 50), k, None if rng.random() < 0.02 else 60.0 if rng.random() < high else 10.0) for r, high in (("a", 0.97), ("b", 0.8), ("c", 1.0)) for k, t in enumerate(sorted(rng.integers(0, 60, 60).tolist()))]
+    want = {}
+    for run in "abc":
+        since = None
+        for _, at, k, v in sorted((x for x in rows if x[0] == run), key=lambda x: (x[1], x[2])):
+            high = v is not None and v > 50
+            want[run, k] = high and since is not None and at - since >= 300
+            since = (at if since is None else since) if high else None
+    df = spark.createDataFrame(rows, "run string, at double, k int, value double").repartition(3)
+    got = {(r.run, r.k): r.fired for r in monitors.sustained(df, 50.0, 300.0, order=["k"], width=width).collect()}
+    assert got == want and any(want.values()) and not all(want.values())
+
+
 def test_early_stopping(spark):
     df = spark.createDataFrame([("r", k, s) for k, s in enumerate([0.1, 0.5, 0.4, 0.5, 0.6, 0.1, 0.2])], "run string, epoch int, score double")
     rows = monitors.early_stopping(df, 2).orderBy("epoch").collect()
