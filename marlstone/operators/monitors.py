@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def runtime_state(elapsed_hours: Column, memory_gb: Column, soft: float, hard: float, least_memory: float) -> Column:
@@ -50,17 +52,20 @@ def early_stopping(scores: DataFrame, patience: int, run: str = "run", at: str =
 
 
 def early_stopping_gain(scores: DataFrame, patience: int, gain: float, run: str = "run", at: str = "epoch", value: str = "score") -> DataFrame:
-    """With a least gain: the running state of each run's ordered scores. (run, epoch, improved, best, stale, stop)"""
-    rows = scores.groupBy(run).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("a"), F.col(value).cast("double").alias("s")))).alias("x"))
-    start = F.struct(F.lit(float("-inf")).alias("best"), F.lit(0).alias("stale"), F.expr("cast(array() as array<struct<a: bigint, improved: boolean, best: double, stale: int>>)").alias("out"))
-
-    def step(acc, e):
-        better = e["s"] > acc["best"] + F.lit(gain)
-        best, stale = F.when(better, e["s"]).otherwise(acc["best"]), F.when(better, 0).otherwise(acc["stale"] + 1)
-        return F.struct(best.alias("best"), stale.alias("stale"), F.array_append(acc["out"], F.struct(e["a"].cast("long").alias("a"), better.alias("improved"), best.alias("best"), stale.alias("stale"))).alias("out"))
-
-    own = rows.select(run, F.aggregate("x", start, step)["out"].alias("o")).select(run, F.explode("o").alias("o"))
-    return own.select(run, F.col("o.a").alias(at), "o.improved", "o.best", "o.stale", (F.col("o.stale") >= patience).alias("stop"))
+    """With a least gain: one pass over each run's ordered scores; a run's epochs meet in one task. (run, epoch, improved, best, stale, stop)"""
+
+    def passed(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, best, stale, out = rows.sort_values(["a", "s"]), float("-inf"), 0, []
+        for score in rows["s"]:
+            better = score > best + gain
+            best, stale = (score, 0) if better else (best, stale + 1)
+            out.append((better, best, stale))
+        improved, bests, stales = zip(*out, strict=True)
+        return pd.DataFrame({run: rows["r"], at: rows["a"], "improved": improved, "best": bests, "stale": stales})
+
+    own = scores.select(F.col(run).alias("r"), F.col(at).cast("long").alias("a"), F.col(value).cast("double").alias("s"))
+    schema = T.StructType([T.StructField(run, own.schema["r"].dataType), T.StructField(at, T.LongType()), T.StructField("improved", T.BooleanType()), T.StructField("best", T.DoubleType()), T.StructField("stale", T.IntegerType())])
+    return own.groupBy("r").applyInPandas(passed, schema).withColumn("stop", F.col("stale") >= patience)
 
 
 def elapsed_hours(attempts: DataFrame, run: str = "run") -> DataFrame:

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder name below ``spark.checkpoint.dir``. Only where that setting is absent, as in tests, is a local one taken."""
+    """A new folder name below ``spark.checkpoint.dir``. Only where that setting is absent and all runs in this one process, as in tests, is a local one taken."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         root = getattr(spark, "_marlstone_folder", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
         spark._marlstone_folder = root
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
