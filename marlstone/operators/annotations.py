@@ -151,7 +151,7 @@ def _positions(df: DataFrame, key: str, name: str, width: int = 10_000) -> DataF
 def detection_rows(images: DataFrame, objects: DataFrame, categories: DataFrame) -> DataFrame:
     """One row per object with running ids over the split; image numbers are places among all images."""
     places = _positions(images, "image_id", "image_no")
-    kept = objects.where(F.size("polygon") >= 3).join(F.broadcast(categories), "category").join(images.select("image_id"), "image_id", "left_semi")
+    kept = objects.where(F.size("polygon") >= 3).join(categories, "category").join(images.select("image_id"), "image_id", "left_semi")
     counts = kept.groupBy("image_id").agg(F.count("*").alias("__n"))
     before = running_sums(counts, [], "image_id", F.floor(F.col("image_id") / 10_000), ["__n"]).select("image_id", "before___n")
     own = with_box(kept).join(before, "image_id").join(places, "image_id")
@@ -161,7 +161,7 @@ def detection_rows(images: DataFrame, objects: DataFrame, categories: DataFrame)
 
 def polygon_text(images: DataFrame, objects: DataFrame, categories: DataFrame) -> DataFrame:
     """One text per image: a line of class id and normalised points per object, empty where there is none."""
-    own = objects.join(F.broadcast(categories), "category").join(images.select("image_id", "width", "height"), "image_id")
+    own = objects.join(categories, "category").join(images.select("image_id", "width", "height"), "image_id")
     share = lambda v, n: F.format_string("%.6f", F.least(F.greatest(v / F.col(n), F.lit(0.0)), F.lit(1.0)))
     points = F.flatten(F.transform("polygon", lambda p: F.array(share(F.element_at(p, 1), "width"), share(F.element_at(p, 2), "height"))))
     lines = own.select("image_id", "object_id", F.concat_ws(" ", F.col("category_id").cast("string"), F.array_join(points, " ")).alias("line"))

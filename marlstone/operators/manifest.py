@@ -60,7 +60,7 @@ def fold_records(split_rows: DataFrame, images: DataFrame, paths: DataFrame, fol
 
 def remapped(df: DataFrame, mapping: DataFrame) -> DataFrame:
     """mapping (diagnosis, source_id, target_id): classes without a row are dropped; ids must agree with the source."""
-    return df.join(F.broadcast(mapping), (df["diagnosis"] == mapping["diagnosis"]) & (df["diagnosis_id"] == mapping["source_id"])).drop(mapping["diagnosis"]).drop("source_id")
+    return df.join(mapping, (df["diagnosis"] == mapping["diagnosis"]) & (df["diagnosis_id"] == mapping["source_id"])).drop(mapping["diagnosis"]).drop("source_id")
 
 
 def folder_matches(items: DataFrame) -> DataFrame:

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from marlstone.functions.geometry import clipped_at, common_area
 from marlstone.sources.tables import written
 
+#: Side of a grid cell, in pixels.
+CELL = 256
+
 
 def clipped(df: DataFrame, polygon: str, x1: str, y1: str, x2: str, y2: str) -> DataFrame:
     """Replaces a polygon column by its part in a rectangle; a projection for each of the four edges, so none is computed twice."""
@@ -40,13 +43,26 @@ def overlapping_polygons(objects: DataFrame) -> DataFrame:
 def _meeting(objects: DataFrame) -> DataFrame:
     a, b = _renamed(objects, "left"), _renamed(objects, "right")
     meet = (F.col("left_object_id") < F.col("right_object_id")) & (F.col("left_bx1") < F.col("right_bx2")) & (F.col("right_bx1") < F.col("left_bx2")) & (F.col("left_by1") < F.col("right_by2")) & (F.col("right_by1") < F.col("left_by2"))
-    return a.join(b, "image_id").where(meet).withColumn("overlap", _overlap("left", "right")).where("overlap > 1e-6")
+    return _in_cells(a, b, "left", "right").where(meet).withColumn("overlap", _overlap("left", "right")).where("overlap > 1e-6")
+
+
+def _in_cells(a: DataFrame, b: DataFrame, left: str, right: str) -> DataFrame:
+    """Pairs of boxes of an image, each pair once: where both cover the cell that their overlap begins in. So an image of many objects isn't one key of all its pairs."""
+
+    def dealt(df: DataFrame, side: str) -> DataFrame:
+        cell = lambda c: F.floor(F.col(f"{side}_{c}") / CELL)
+        own = df.where((F.col(f"{side}_bx1") < F.col(f"{side}_bx2")) & (F.col(f"{side}_by1") < F.col(f"{side}_by2")))
+        return own.withColumn("__cx", F.explode(F.sequence(cell("bx1"), cell("bx2")))).withColumn("__cy", F.explode(F.sequence(cell("by1"), cell("by2"))))
+
+    begins = lambda c: F.floor(F.greatest(f"{left}_{c}", f"{right}_{c}") / CELL)
+    own = dealt(a, left).join(dealt(b, right), ["image_id", "__cx", "__cy"])
+    return own.where((F.col("__cx") == begins("bx1")) & (F.col("__cy") == begins("by1"))).drop("__cx", "__cy")
 
 
 def box_iou(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     """image_id, pred_id, gt_id, iou of boxes that overlap."""
     columns = ["image_id", "object_id", "bx1", "by1", "bx2", "by2"]
-    own = _renamed(predicted.select(columns), "a").join(_renamed(truth.select(columns), "b"), "image_id").withColumn("o", _overlap("a", "b")).where("o > 0")
+    own = _in_cells(_renamed(predicted.select(columns), "a"), _renamed(truth.select(columns), "b"), "a", "b").withColumn("o", _overlap("a", "b")).where("o > 0")
     size = lambda s: (F.col(f"{s}_bx2") - F.col(f"{s}_bx1")) * (F.col(f"{s}_by2") - F.col(f"{s}_by1"))
     return own.select("image_id", F.col("a_object_id").alias("pred_id"), F.col("b_object_id").alias("gt_id"), (F.col("o") / (size("a") + size("b") - F.col("o"))).alias("iou"))
 

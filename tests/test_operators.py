@@ -209,6 +209,19 @@ def test_sustained_over_spans(spark, width):
     assert got == want and any(want.values()) and not all(want.values())
 
 
+def test_boxes_meet_across_cells(spark):
+    """Boxes smaller and larger than a grid cell, touching, negative and empty ones, against all pairs."""
+    rng = np.random.default_rng(6)
+    boxes = [(k % 2, k, "c", *(float(v) for v in (x, y, x + w, y + h))) for k, (x, y, w, h) in enumerate(rng.integers([-300, -300, 0, 0], [900, 900, 700, 300], (60, 4)).tolist())]
+    boxes += [(0, 100, "c", 0.0, 0.0, 256.0, 256.0), (0, 101, "c", 256.0, 0.0, 512.0, 256.0), (1, 102, "c", 50.0, 50.0, 10.0, 90.0), (1, 103, "c", None, 0.0, 9.0, 9.0)]
+    df = spark.createDataFrame(boxes, "image_id int, object_id int, category string, bx1 double, by1 double, bx2 double, by2 double")
+    side = lambda a, b, k: min(a[k + 2], b[k + 2]) - max(a[k], b[k])
+    kept = [b for b in boxes if b[3] is not None]
+    want = sorted((a[1], b[1]) for a in kept for b in kept if a[0] == b[0] and a[1] < b[1] and min(side(a, b, 3), side(a, b, 4)) > 0)
+    assert sorted((r.left_object_id, r.right_object_id) for r in overlap.overlapping_boxes(df).collect()) == want and len(want) > 50
+    assert overlap.box_iou(df, df).where("pred_id < gt_id").count() == len(want)
+
+
 def test_early_stopping(spark):
     df = spark.createDataFrame([("r", k, s) for k, s in enumerate([0.1, 0.5, 0.4, 0.5, 0.6, 0.1, 0.2])], "run string, epoch int, score double")
     rows = monitors.early_stopping(df, 2).orderBy("epoch").collect()
