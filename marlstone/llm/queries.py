@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontamination, language_id, line_dedup, media, packing, simhash, substrings, token_files, urls, warc
+from . import bpe, common, decontamination, divergence, language_id, line_dedup, media, packing, prefix_trie, simhash, substrings, token_files, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,23 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe.decoded(bpe.encoded(table(spark, sf_dir, "documents"), vocabulary()), vocabulary())
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, ends = prefix_trie.trie(table(spark, sf_dir, "conversations"))
+    none = F.sha2(F.lit(b""), 256)
+    return nodes.join(prefix_trie.ends_digests(ends), "key", "left").select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", none).alias("ends_sha256")
+    )
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 WARC_ORACLE = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS digest FROM pages),
 m AS (SELECT *, octet_length(b) AS n, max(page_id) OVER (PARTITION BY digest) AS kept FROM p)
@@ -101,5 +118,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media": op8_media,
     "op9_decontamination": op9_decontamination,
     "op10_substrings": op10_substrings,
+    "op11_bpe": op11_bpe,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_divergence": op13_divergence,
+}
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": line_dedup.ORACLE,
+    "op3_warc": WARC_ORACLE,
+    "op6_urls": urls.ORACLE,
+    "op9_decontamination": decontamination.ORACLE,
+    "op10_substrings": substrings.ORACLE,
+    "op12_prefix_trie": prefix_trie.ORACLE,
+    "op13_divergence": divergence.ORACLE,
 }
-ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op3_warc": WARC_ORACLE, "op6_urls": urls.ORACLE, "op9_decontamination": decontamination.ORACLE, "op10_substrings": substrings.ORACLE}
