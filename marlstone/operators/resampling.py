@@ -2,12 +2,11 @@
 
 Class metrics are resampled from the few cells of a matrix: a replicate draws a class's cell counts at once, from the
 multinomial distribution that drawing its rows with replacement gives, so the work grows with replicates times cells and not
-with rows. Score metrics need a weight per replicate and row: a row carries all of its weights as one value."""
+with rows. Score metrics need a weight per replicate and row: a row carries all of its weights as one value. Both kinds of
+draws are made by ``operators/dealing.py``."""
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,24 +16,10 @@ from pyspark.sql import types as T
 
 from marlstone.functions.draws import draw, hash_rank, running_sums
 from marlstone.operators import metrics as M
-from marlstone.sources.tables import written
-
-#: Rows of a stratum or of neighbouring scores that are handled together; replicates at a time.
-PIECE, BLOCK = 2048, 250
-
-
-def resampled_cells(cells: DataFrame, stratum: str, replicates: int, seed: int) -> DataFrame:
-    """cells (stratum, cell, n) -> (replicate, cell, n) of as many draws per stratum as it has rows; seeded by replicate and stratum."""
-
-    @F.pandas_udf("array<long>")
-    def multinomial(counts: pd.Series, seeds: pd.Series) -> pd.Series:
-        return pd.Series([np.random.default_rng(s).multinomial(sum(n), np.asarray(n) / sum(n)) for n, s in zip(counts, seeds, strict=True)])
+from marlstone.operators.dealing import PIECE, resampled_cells, with_weights
 
-    own = cells.where("n > 0").groupBy(stratum).agg(F.array_sort(F.collect_list(F.struct("cell", "n"))).alias("c"))
-    each = own.select(stratum, "c", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    drawn = each.withColumn("drawn", multinomial(F.col("c.n"), F.conv(F.substring(draw(seed, "replicate", stratum), 1, 13), 16, 10).cast("long")))
-    pairs = drawn.select("replicate", F.explode(F.arrays_zip(F.col("c.cell").alias("cell"), F.col("drawn").alias("n"))).alias("x"))
-    return pairs.select("replicate", "x.cell", "x.n").where("n > 0")
+#: Replicates at a time.
+BLOCK = 250
 
 
 def interval(values: DataFrame, observed: DataFrame | None = None) -> DataFrame:
@@ -73,28 +58,6 @@ def paired_macro_f1(a: DataFrame, b: DataFrame, k: int, replicates: int, seed: i
     return interval(values, delta(cells, []).select(F.col("value").alias("observed"))).crossJoin(F.broadcast(share))
 
 
-def with_weights(df: DataFrame, strata: list[str], key: str, replicates: int, seed: int) -> DataFrame:
-    """Adds ``weights``: how often each replicate draws the row (binary, unsigned 16-bit integers), drawing as many rows of each stratum as it has, with replacement.
-
-    A stratum's rows are cut into pieces by the rank of a draw. A replicate first draws how many of its rows fall into each
-    piece, then the rows inside it, so no stratum meets in one task and no row is copied per replicate."""
-    own = df.withColumn("__s", F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in strata)))
-    ranked = hash_rank(own.withColumn("__h", draw(seed, F.lit("rank"), key)), ["__s"], "__h", "__rank").withColumn("__piece", F.floor((F.col("__rank") - 1) / PIECE))
-    ranked = written(ranked.drop("__h"), "ranked")
-    sizes = ranked.groupBy("__s", "__piece").agg(F.count("*").alias("n")).withColumn("cell", F.struct("__s", "__piece"))
-    drawn, columns = resampled_cells(sizes, "__s", replicates, seed).select("replicate", "cell.*", "n"), df.columns
-
-    def weighted(rows: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-        rows, each = rows.sort_values("__rank"), np.zeros(replicates, dtype=np.int64)
-        each[counts["replicate"]] = counts["n"]
-        rng = np.random.default_rng([seed, zlib.crc32(rows["__s"].iloc[0].encode()), int(rows["__piece"].iloc[0])])
-        drawn = rng.multinomial(each, np.full(len(rows), 1 / len(rows))).T.astype("<u2")
-        return rows[columns].assign(weights=[w.tobytes() for w in drawn])
-
-    keys, schema = ["__s", "__piece"], T.StructType([*df.schema.fields, T.StructField("weights", T.BinaryType())])
-    return written(ranked.groupBy(keys).cogroup(drawn.groupBy(keys)).applyInPandas(weighted, schema), "weighted")
-
-
 def _matrix(weights: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(weights), dtype="<u2").reshape(len(weights), -1)
 

@@ -5,51 +5,97 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marlstone.operators import resampling as R
+from marlstone.operators.dealing import cells_sql, weights_sql
 from marlstone.operators.splits import outer_folds
 from marlstone.plans import bindings as B
 from marlstone.plans.book import Book
-from marlstone.plans.evaluation import GATE, K, PRED
+from marlstone.plans.evaluation import K, PRED_B, TOP
 
 book = Book()
-REPLICATES = 2000
+REPLICATES, DRAWS = 2000, 5
 
 
-@book("j1_bootstrap_macro_f1")
+def macro_sql(source, predicted, by):
+    """Mean F1 over four classes from rows (by, reference_id, predicted, n)."""
+    keys, own = ", ".join([*by, "c.k"]), ", ".join(by)
+    return f"""SELECT {own + ', ' if by else ''}avg(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)) AS value FROM (
+  SELECT {keys}, coalesce(sum(n) FILTER (WHERE reference_id = c.k AND {predicted} = c.k), 0) AS tp, coalesce(sum(n) FILTER (WHERE reference_id = c.k AND {predicted} <> c.k), 0) AS fn,
+         coalesce(sum(n) FILTER (WHERE reference_id <> c.k AND {predicted} = c.k), 0) AS fp FROM {source} CROSS JOIN range(4) c(k) GROUP BY {keys}){' GROUP BY ' + own if by else ''}"""
+
+
+def limits_sql(values, observed, more=""):
+    return f"SELECT round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, count(value) AS replicates, round(({observed}), 6) AS observed{more} FROM {values}"
+
+
+def auc_sql(name, source, by, weight="w"):
+    """CTEs up to ``name`` (by, value): mid-rank AUC of (by, score, positive, weight)."""
+    keys = ", ".join(by)
+    return f"""{name}_s AS (SELECT {keys}{', ' if by else ''}score, coalesce(sum({weight}) FILTER (WHERE positive), 0) AS p, coalesce(sum({weight}) FILTER (WHERE NOT positive), 0) AS q FROM {source} GROUP BY ALL),
+{name} AS (SELECT {keys}{', ' if by else ''}sum(p * (below + q / 2)) / nullif(sum(p)::DOUBLE * sum(q), 0) AS value FROM (SELECT *, sum(q) OVER ({'PARTITION BY ' + keys if by else ''} ORDER BY score) - q AS below FROM {name}_s){' GROUP BY ' + keys if by else ''})"""
+
+
+J1 = f"""WITH RECURSIVE {B.predictions_sql('A')}, cell AS (SELECT reference_id, CAST({TOP} AS INTEGER) AS predicted_id, count(*) AS n FROM pred_a GROUP BY ALL),
+{cells_sql('drawn', 'cell', 'reference_id', ['reference_id', 'predicted_id'], REPLICATES, DRAWS)}, v AS ({macro_sql('drawn', 'predicted_id', ['replicate'])}), o AS ({macro_sql('cell', 'predicted_id', [])}) {limits_sql('v', 'SELECT value FROM o')}"""
+
+
+@book("j1_bootstrap_macro_f1", J1)
 def bootstrap_macro_f1(spark, d):
-    return B.rounded(R.bootstrap_macro_f1(B.predictions(spark, d), K, REPLICATES, 5))
+    return B.rounded(R.bootstrap_macro_f1(B.predictions(spark, d), K, REPLICATES, DRAWS))
 
 
-@book("j3_paired_macro_f1")
+J3 = f"""WITH RECURSIVE {B.predictions_sql('A')}, {PRED_B},
+cell AS (SELECT a.reference_id, CAST({TOP.replace('probs', 'a.probs')} AS INTEGER) AS pa, CAST({TOP.replace('probs', 'b.probs')} AS INTEGER) AS pb, count(*) AS n FROM pred_a a JOIN pred_b b USING (person_key) GROUP BY ALL),
+{cells_sql('drawn', 'cell', 'reference_id', ['reference_id', 'pa', 'pb'], REPLICATES, DRAWS)},
+va AS ({macro_sql('drawn', 'pa', ['replicate'])}), vb AS ({macro_sql('drawn', 'pb', ['replicate'])}), oa AS ({macro_sql('cell', 'pa', [])}), ob AS ({macro_sql('cell', 'pb', [])}),
+v AS (SELECT vb.value - va.value AS value FROM va JOIN vb USING (replicate)) {limits_sql('v', '(SELECT value FROM ob) - (SELECT value FROM oa)', ', round(avg(CAST(value > 0 AS DOUBLE)), 6) AS share_above')}"""
+
+
+@book("j3_paired_macro_f1", J3)
 def paired(spark, d):
-    return B.rounded(R.paired_macro_f1(B.predictions(spark, d, "A"), B.predictions(spark, d, "B"), K, REPLICATES, 5))
+    return B.rounded(R.paired_macro_f1(B.predictions(spark, d, "A"), B.predictions(spark, d, "B"), K, REPLICATES, DRAWS))
+
+
+def auc_limits_sql(source, before, strata):
+    return f"""WITH RECURSIVE {before}, {weights_sql('drawn', source, strata, 'person_key', REPLICATES, DRAWS)},
+{auc_sql('v', 'drawn', ['replicate'])}, {auc_sql('o', source, [], '1')} {limits_sql('v', 'SELECT value FROM o')}"""
 
 
-@book("j4_bootstrap_auc")
+@book("j4_bootstrap_auc", auc_limits_sql("gate_a", B.gate_sql("A"), ["positive"]))
 def bootstrap_auc(spark, d):
-    return B.rounded(R.bootstrap_auc(B.gate(spark, d), REPLICATES, 5))
+    return B.rounded(R.bootstrap_auc(B.gate(spark, d), REPLICATES, DRAWS))
 
 
-@book("j5_stratified_bootstrap")
+@book("j5_stratified_bootstrap", auc_limits_sql("gate_a", B.gate_sql("A"), ["outer_fold", "positive"]))
 def stratified(spark, d):
-    return B.rounded(R.bootstrap_auc(B.gate(spark, d), REPLICATES, 5, ["outer_fold", "positive"]))
+    return B.rounded(R.bootstrap_auc(B.gate(spark, d), REPLICATES, DRAWS, ["outer_fold", "positive"]))
 
 
-@book("j5_stratified_accuracy")
+J5 = f"""WITH RECURSIVE {B.gate_sql('A')}, {weights_sql('drawn', 'gate_a', ['outer_fold', 'positive'], 'person_key', REPLICATES, DRAWS)},
+v AS (SELECT replicate, sum(CASE WHEN predicted = positive THEN w ELSE 0 END) / sum(w)::DOUBLE AS value FROM drawn GROUP BY replicate) {limits_sql('v', 'SELECT avg(CAST(predicted = positive AS DOUBLE)) FROM gate_a')}"""
+
+
+@book("j5_stratified_accuracy", J5)
 def stratified_accuracy(spark, d):
     own = B.gate(spark, d).withColumn("right", (F.col("predicted") == F.col("positive")).cast("double"))
     observed = own.agg(F.avg("right").alias("observed"))
-    return B.rounded(R.bootstrap(own, ["outer_fold", "positive"], "person_key", REPLICATES, 5, lambda df: R.weighted_mean(df, "right"), observed))
+    return B.rounded(R.bootstrap(own, ["outer_fold", "positive"], "person_key", REPLICATES, DRAWS, lambda df: R.weighted_mean(df, "right"), observed))
 
 
-@book("j2_bootstrap_class_auc")
+@book("j2_bootstrap_class_auc", auc_limits_sql("one", B.predictions_sql("A") + ", one AS (SELECT person_key, reference_id = 1 AS positive, probs[2] AS score FROM pred_a)", ["positive"]))
 def class_auc(spark, d):
     own = B.predictions(spark, d).select("person_key", (F.col("reference_id") == 1).alias("positive"), F.element_at("probs", 2).alias("score"))
-    return B.rounded(R.bootstrap_auc(own, REPLICATES, 5))
+    return B.rounded(R.bootstrap_auc(own, REPLICATES, DRAWS))
+
+
+J2 = f"""WITH RECURSIVE {B.predictions_sql('A')}, {weights_sql('drawn', 'pred_a', ['reference_id'], 'person_key', REPLICATES, DRAWS)},
+each AS (SELECT replicate, w, class_id, probs[class_id + 1] AS score, reference_id = class_id AS positive FROM drawn CROSS JOIN range(4) c(class_id)), {auc_sql('a', 'each', ['replicate', 'class_id'])},
+every AS (SELECT class_id, probs[class_id + 1] AS score, reference_id = class_id AS positive FROM pred_a CROSS JOIN range(4) c(class_id)), {auc_sql('o', 'every', ['class_id'], '1')},
+v AS (SELECT replicate, avg(value) AS value FROM a GROUP BY replicate) {limits_sql('v', 'SELECT avg(value) FROM o')}"""
 
 
-@book("j2_bootstrap_macro_auc")
+@book("j2_bootstrap_macro_auc", J2)
 def macro_auc(spark, d):
-    return B.rounded(R.bootstrap_macro_auc(B.predictions(spark, d), K, REPLICATES, 5))
+    return B.rounded(R.bootstrap_macro_auc(B.predictions(spark, d), K, REPLICATES, DRAWS))
 
 
 @book("j6_permuted_targets", f"WITH {B.LETTERS}, {B.folds_sql('letters', 'lf')}, a AS (SELECT *, row_number() OVER (PARTITION BY outer_fold ORDER BY sha256(person_key)) AS k FROM lf), b AS (SELECT outer_fold, diagnosis_id AS permuted, row_number() OVER (PARTITION BY outer_fold ORDER BY sha256('9|permute|' || person_key)) AS k FROM lf) SELECT person_key, a.outer_fold, b.permuted FROM a JOIN b ON a.outer_fold = b.outer_fold AND a.k = b.k")

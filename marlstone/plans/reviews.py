@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.draws import uniform
 from marlstone.operators import review as R
+from marlstone.operators.dealing import cells_sql
 from marlstone.operators.splits import outer_folds
 from marlstone.plans import bindings as B
 from marlstone.plans.book import Book
 
 book = Book()
-SEED, PER_CELL, TARGETS = 11, 3, ["src1", "src2", "src3"]
+SEED, PER_CELL, TARGETS, REPLICATES = 11, 3, ["src1", "src2", "src3"], 2000
 #: Documents as images: people are groups of three ids in a language, categories are the sources of the id and its neighbours.
 
 
@@ -131,9 +132,22 @@ def agreement(spark, d):
     return B.rounded(R.agreement(labelled(spark, d), ["target"]))
 
 
-@book("l9_agreement_intervals")
+MEASURES = {
+    "raw_agreement": "same / rows", "kappa": "(same / rows - chance / (rows * rows)) / nullif(1 - chance / (rows * rows), 0)",
+    "positive_agreement": "2 * pp / nullif(2 * pp + dd, 0)", "negative_agreement": "2 * nn / nullif(2 * nn + dd, 0)",
+}
+LIMITS = ", ".join(f"round(quantile_cont({m}, {p}), 6) AS {m.replace('_agreement', '')}_{side}" for m in MEASURES for side, p in (("low", 0.025), ("high", 0.975)))
+L9 = f"""{LAB}, cell AS (SELECT 'all' AS stratum, reviewer_1, reviewer_2, count(*) AS n FROM lab GROUP BY ALL), {cells_sql('drawn', 'cell', 'stratum', ['reviewer_1', 'reviewer_2'], REPLICATES, 3)},
+s AS (SELECT replicate, sum(n)::DOUBLE AS rows, coalesce(sum(n) FILTER (WHERE reviewer_1 = reviewer_2), 0) AS same, coalesce(sum(n) FILTER (WHERE reviewer_1 = 'present' AND reviewer_2 = 'present'), 0) AS pp, coalesce(sum(n) FILTER (WHERE reviewer_1 = 'absent_visible' AND reviewer_2 = 'absent_visible'), 0) AS nn,
+ coalesce(sum(n) FILTER (WHERE reviewer_1 <> 'not_assessable' AND reviewer_2 <> 'not_assessable' AND reviewer_1 <> reviewer_2), 0) AS dd FROM drawn GROUP BY replicate),
+m AS (SELECT replicate, reviewer_1 AS v, sum(n) AS l, 0 AS r FROM drawn GROUP BY ALL UNION ALL SELECT replicate, reviewer_2, 0, sum(n) FROM drawn GROUP BY ALL),
+c AS (SELECT replicate, sum(l * r) AS chance FROM (SELECT replicate, v, sum(l) AS l, sum(r) AS r FROM m GROUP BY ALL) GROUP BY replicate),
+x AS (SELECT {', '.join(f'{e} AS {n}' for n, e in MEASURES.items())} FROM s JOIN c USING (replicate)) SELECT {LIMITS}, count(*) AS replicates FROM x"""
+
+
+@book("l9_agreement_intervals", f"WITH RECURSIVE {L9}")
 def intervals(spark, d):
-    return B.rounded(R.agreement_intervals(labelled(spark, d), 2000, 3))
+    return B.rounded(R.agreement_intervals(labelled(spark, d), REPLICATES, 3))
 
 
 @book("l10_final_states", f"WITH {LAB} SELECT target, CASE WHEN reviewer_1 = reviewer_2 THEN reviewer_1 ELSE adjudicated END AS state, count(*) AS n FROM lab GROUP BY 1, 2")

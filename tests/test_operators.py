@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from marlstone.functions import clinical, geometry, identity, labels
 from marlstone.functions.draws import hash_rank, running_sums
-from marlstone.operators import bags, contracts, gates, metrics, models, monitors, overlap, resampling, review, splits
+from marlstone.operators import bags, contracts, dealing, gates, metrics, models, monitors, overlap, resampling, review, splits
 from marlstone.sources import files, pixels
 
 
@@ -107,6 +107,7 @@ def plain_auc(scores, positive, weights):
 @pytest.mark.parametrize("piece", [2048, 7])
 def test_bootstrap_weights_and_weighted_auc(spark, monkeypatch, piece):
     monkeypatch.setattr(resampling, "PIECE", piece)
+    monkeypatch.setattr(dealing, "PIECE", piece)
     rng = np.random.default_rng(4)
     # a third of all rows share one score
     rows = [(f"p{k}", int(k % 3), [float(x) for x in rng.dirichlet(np.ones(3)).round(2)] if k % 3 else [0.25, 0.5, 0.25]) for k in range(60)]
