@@ -6,6 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions import vectors as V
+from marlstone.operators import logistic as L
+from marlstone.operators import metrics as M
+from marlstone.operators import resampling as R
+from marlstone.operators.dealing import with_permutations, with_weights
+from marlstone.operators.splits import outer_folds
+from marlstone.sources.tables import written
 
 
 def _rest_counts(df: DataFrame, features: list[str]) -> DataFrame:
@@ -44,75 +50,147 @@ def prior_oof(df: DataFrame) -> DataFrame:
     return rest.join(totals, "outer_fold").select("outer_fold", "diagnosis_id", (F.col("n") / F.col("total")).alias("prior"))
 
 
-def _fitted(train: DataFrame, test: DataFrame, features: list[str], target: str, k: int, c: float, iterations: int) -> DataFrame:
-    """Median imputation, population scaling and balanced multinomial logistic regression of one fold; adds ``probs`` to the test rows.
-
-    All statistics are one aggregation of the training rows; a constant feature is scaled by one."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import vector_to_array
-
-    medians = train.agg(*(F.percentile(f, F.lit(0.5)).alias(f) for f in features)).first()
-    filled = lambda df: df.select("*", *(F.coalesce(F.col(f).cast("double"), F.lit(medians[f] if medians[f] is not None else 0.0)).alias(f"__x_{f}") for f in features))
-    own = filled(train)
-    stats = own.agg(*(F.avg(f"__x_{f}").alias(f"m_{f}") for f in features), *(F.stddev_pop(f"__x_{f}").alias(f"s_{f}") for f in features), F.count("*").alias("n")).first()
-    counts = {r[target]: r["count"] for r in train.groupBy(target).count().collect()}
-    if len(counts) < k:
-        raise ValueError(f"a class is missing among the training rows: {sorted(counts)}")
-    scale = lambda df: df.select("*", *(((F.col(f"__x_{f}") - stats[f"m_{f}"]) / (stats[f"s_{f}"] or 1.0)).alias(f"__z_{f}") for f in features))
-    weights = F.create_map(*(F.lit(x) for label, n in counts.items() for x in (label, stats["n"] / (k * n))))
-    assembler = VectorAssembler(inputCols=[f"__z_{f}" for f in features], outputCol="__v")
-    ready = assembler.transform(scale(own).withColumn("__w", F.element_at(weights, F.col(target))).withColumn("__y", F.col(target).cast("double")))
-    model = LogisticRegression(featuresCol="__v", labelCol="__y", weightCol="__w", predictionCol="__p", probabilityCol="__q", rawPredictionCol="__r", family="multinomial", regParam=1.0 / (c * stats["n"]), standardization=False, maxIter=iterations, tol=1e-6).fit(ready)
-    scored = model.transform(assembler.transform(scale(filled(test))))
-    return scored.select(*test.columns, F.transform(vector_to_array("__q"), lambda x: F.round(x, 9)).alias("probs"))
-
-
-def logistic_oof(df: DataFrame, features: list[str], k: int, target: str = "diagnosis_id", c: float = 1.0, iterations: int = 200) -> DataFrame:
-    """Each row is predicted once, by a model of the other folds. The loop is over the few folds; each fit is a Spark job."""
-    out = None
-    for fold in sorted(r.outer_fold for r in df.select("outer_fold").distinct().collect()):
-        scored = _fitted(df.where(F.col("outer_fold") != fold), df.where(F.col("outer_fold") == fold), features, target, k, c, iterations)
-        out = scored if out is None else out.unionByName(scored)
-    return out
+def logistic_oof(df: DataFrame, features: list[str], k: int, target: str = "diagnosis_id", c: float = 1.0) -> DataFrame:
+    """Adds ``probs``: each row is predicted once, by a model of the other folds; all folds are fitted together."""
+    rows = written(L.packed(df, features, L.byte(F.col(target)), L.byte(F.col("outer_fold")), df.columns), "packed")
+    return L.predicted(rows, L.fitted(rows, k, [0], c), df.columns).drop("column", "target")
 
 
 def ladder(df: DataFrame, sets: dict[str, list[str]], k: int) -> DataFrame:
-    """Predictions of several feature sets, one after the other, with ``model_id``."""
-    out = None
-    for name, features in sets.items():
-        own = logistic_oof(df, features, k).withColumn("model_id", F.lit(name))
-        out = own if out is None else out.unionByName(own)
-    return out
-
-
-def fold_identification(df: DataFrame, features: list[str], folds: int, seed: int) -> DataFrame:
-    """Can features tell the fold? Rows are dealt into new folds inside their fold; returns predictions of the fold as class."""
-    from marlstone.operators.splits import outer_folds
-
-    own = df.withColumn("diagnosis", F.col("outer_fold").cast("string")).withColumn("diagnosis_id", F.col("outer_fold")).drop("outer_fold")
-    return logistic_oof(outer_folds(own, folds, seed), features, folds)
-
-
-def error_prediction(df: DataFrame, predictions: DataFrame, features: list[str]) -> DataFrame:
-    """Can features tell another model's errors? (person_key, outer_fold, positive, score)"""
-    wrong = predictions.select("person_key", (V.argmax(F.col("probs")) != F.col("reference_id")).cast("int").alias("error"))
-    scored = logistic_oof(df.join(wrong, "person_key"), features, 2, target="error")
-    return scored.select("person_key", "outer_fold", (F.col("error") == 1).alias("positive"), F.element_at("probs", 2).alias("score"))
-
+    """Predictions of several feature sets with ``model_id``; a set is one fit of all its folds."""
+    return M.union_all([logistic_oof(df, features, k).withColumn("model_id", F.lit(name)) for name, features in sets.items()])
 
-def permutation_test(df: DataFrame, features: list[str], k: int, statistic, replicates: int, seed: int) -> DataFrame:
-    """Refits on targets permuted inside folds: observed, null_mean, null_p95, p = (exceed + 1) / (n + 1).
 
-    ``statistic``: predictions -> one number as a one-row DataFrame with ``value``."""
-    from marlstone.operators.resampling import permuted
+def paired_ladder(predictions: DataFrame, pairs: list[tuple[str, str]], k: int, replicates: int, seed: int) -> DataFrame:
+    """(baseline, candidate, observed, low, high, share_above, replicates): differences of macro-F1 on the same people.
 
-    ready = lambda x: x.withColumnRenamed("diagnosis_id", "reference_id")
-    rows = statistic(ready(logistic_oof(df, features, k))).select(F.lit(-1).alias("replicate"), "value")
-    for r in range(replicates):
-        own = permuted(df, "outer_fold", "person_key", "diagnosis_id", seed + r).drop("diagnosis_id").withColumnRenamed("permuted", "diagnosis_id")
-        rows = rows.unionByName(statistic(ready(logistic_oof(own, features, k))).select(F.lit(r).alias("replicate"), "value"))
-    observed = F.max(F.when(F.col("replicate") < 0, F.col("value")))
-    null = F.when(F.col("replicate") >= 0, F.col("value"))
-    own = rows.agg(observed.alias("observed"), F.avg(null).alias("null_mean"), F.percentile(null, F.lit(0.95)).alias("null_p95"), F.collect_list(null).alias("x"))
-    return own.select("observed", "null_mean", "null_p95", ((F.size(F.filter("x", lambda v: v >= F.col("observed"))) + 1) / (F.size("x") + 1)).alias("p"))
+    ``predictions`` has (person_key, reference_id, probs, model_id). One draw of the joint cells of all models serves all
+    pairs, so they are compared on the same resampled people."""
+    names = sorted({m for pair in pairs for m in pair})
+    own = M.with_predicted(predictions.where(F.col("model_id").isin(names)))
+    each = F.map_from_entries(F.collect_list(F.struct("model_id", "predicted_id")))  # a person has one row per model
+    joint = own.groupBy("person_key", "reference_id").agg(each.alias("m")).select("reference_id", F.array(*(F.col("m")[n] for n in names)).alias("each"))
+    cells = written(joint.groupBy("reference_id", "each").agg(F.count("*").alias("n")), "cells")
+    drawn = R.resampled_cells(cells.withColumn("cell", F.struct("reference_id", "each")), "reference_id", replicates, seed).select("replicate", "cell.*", "n")
+
+    def deltas(df: DataFrame) -> DataFrame:
+        by_model = df.select("replicate", "reference_id", F.posexplode("each").alias("model", "predicted_id"), "n").groupBy("replicate", "model", "reference_id", "predicted_id").agg(F.sum("n").alias("n"))
+        f1 = R.macro_f1(by_model, k, ["replicate", "model"]).groupBy("replicate").agg(F.map_from_entries(F.collect_list(F.struct("model", "value"))).alias("f"))
+        compared = F.explode(F.array(*(F.struct(F.lit(a).alias("baseline"), F.lit(b).alias("candidate"), (F.col("f")[names.index(b)] - F.col("f")[names.index(a)]).alias("value")) for a, b in pairs)))
+        return f1.select("replicate", compared.alias("d")).select("replicate", "d.*")
+
+    keys = ["baseline", "candidate"]
+    limits = deltas(drawn).groupBy(keys).agg(F.percentile("value", F.lit(0.025)).alias("low"), F.percentile("value", F.lit(0.975)).alias("high"), F.avg((F.col("value") > 0).cast("double")).alias("share_above"), F.count("value").alias("replicates"))
+    observed = deltas(cells.withColumn("replicate", F.lit(0))).select(*keys, F.col("value").alias("observed"))
+    return observed.join(limits, keys)
+
+
+def presence_design(people: DataFrame, presence: DataFrame, categories: list[str]) -> DataFrame:
+    """``people`` with ``__x``, a 0 or 1 for each category; ``presence`` has (person_key, category), repeats allowed.
+
+    People carry the list of what they have; no column per category is made before the fit."""
+    place = F.array_position(F.array(*(F.lit(c) for c in categories)), F.col("category"))
+    had = presence.where(F.col("category").isin(categories)).select("person_key", place.alias("p")).groupBy("person_key").agg(F.collect_set("p").alias("had"))
+    x = F.transform(F.sequence(F.lit(1), F.lit(len(categories))), lambda k: F.coalesce(F.array_contains("had", k.cast("long")), F.lit(False)).cast("double"))
+    return people.join(had, "person_key", "left").select(*people.columns, x.alias("__x"), L.byte(F.col("diagnosis_id")).alias("__y"), L.byte(F.col("outer_fold")).alias("__f"))
+
+
+def presence_models(people: DataFrame, presence: DataFrame, sets: dict[str, list[str]], k: int) -> tuple[DataFrame, DataFrame]:
+    """Predictions (with ``feature_set``) and coefficients (feature_set, outer_fold, class_id, feature, coef) of classifiers that
+    see nothing but which categories a person has; features aren't scaled."""
+    predictions, tables = [], []
+    for name, categories in sets.items():
+        rows = written(presence_design(people, presence, categories), "presence")
+        models = L.fitted(rows, k, [0], scaled=False)
+        predictions.append(L.predicted(rows, models, people.columns).drop("column", "target").withColumn("feature_set", F.lit(name)))
+        tables.append(L.coefficients(people.sparkSession, models, categories).drop("column").withColumn("feature_set", F.lit(name)))
+    return M.union_all(predictions), M.union_all(tables)
+
+
+def _against_null(values: DataFrame, by: list[str], observed: int = 0) -> DataFrame:
+    """(by, observed, null_mean, null_p95, permutations, p) from (by, replicate, value): p = (exceed + 1) / (n + 1)."""
+    first = values.where(F.col("replicate") == observed).select(*by, F.col("value").alias("observed"))
+    null = values.where(F.col("replicate") != observed)
+    joined = null.join(first, by) if by else null.crossJoin(F.broadcast(first))  # one row
+    n, exceed = F.count("value"), F.sum((F.col("value") >= F.col("observed")).cast("long"))
+    return joined.groupBy(*by).agg(F.first("observed").alias("observed"), F.avg("value").alias("null_mean"), F.percentile("value", F.lit(0.95)).alias("null_p95"), n.alias("permutations"), ((exceed + 1) / (n + 1)).alias("p"))
+
+
+def permutation_test(df: DataFrame, features: list[str], k: int, permutations: int = 100, seed: int = 31) -> DataFrame:
+    """Macro-F1 of the out-of-fold model against full refits on targets permuted inside folds: one row.
+
+    A row carries its target in all replicates as bytes; all replicates and folds are fitted together."""
+    dealt = with_permutations(df.select("person_key", "outer_fold", "diagnosis_id", *features), ["outer_fold"], "person_key", "diagnosis_id", k, permutations, seed)
+    rows = written(L.packed(dealt, features, F.concat(L.byte(F.col("diagnosis_id")), "permuted"), L.byte(F.col("outer_fold")), []), "packed")
+    cells = L.confusions(rows, L.fitted(rows, k, [0] * (permutations + 1))).withColumnRenamed("column", "replicate")
+    return _against_null(R.macro_f1(cells, k, ["replicate"]), [])
+
+
+def _replicate_aucs(scored: DataFrame, by: list[str]) -> DataFrame:
+    """(by, value): AUCs of (by, score, positive)."""
+    return M.auc_of(M.score_counts(scored, F.col("score"), F.col("positive"), by), by).withColumnRenamed("auc", "value")
+
+
+def fold_identification(df: DataFrame, features: list[str], folds: int, permutations: int, seed: int, least_auc: float = 0.6, alpha: float = 0.05) -> DataFrame:
+    """Can features tell the fold? Macro one-vs-rest AUC, its permutation p inside diagnoses, and the verdict: one row.
+
+    Rows are dealt into new parts inside their fold; label and part are permuted together, so every replicate's parts are even
+    in its labels."""
+    own = df.select("person_key", F.col("outer_fold").alias("label"), F.col("outer_fold").cast("string").alias("diagnosis"), F.col("diagnosis_id").alias("stratum"), *features).withColumn("diagnosis_id", F.col("label"))
+    both = outer_folds(own, folds, seed).withColumn("code", F.col("label") * folds + F.col("outer_fold"))
+    dealt = with_permutations(both.select("person_key", "stratum", "code", *features), ["stratum"], "person_key", "code", folds * folds, permutations, seed)
+
+    def parted(batches):
+        for batch in batches:
+            codes = [bytes([c]) + bytes(p) for c, p in zip(batch["code"], batch["permuted"], strict=True)]
+            yield batch[["__x"]].assign(__y=[bytes(b // folds for b in c) for c in codes], __f=[bytes(b % folds for b in c) for c in codes])
+
+    dealt = dealt.select(F.array(*(F.col(c).cast("double") for c in features)).alias("__x"), "code", "permuted")
+    rows = written(dealt.mapInPandas(parted, "__x array<double>, __y binary, __f binary"), "packed")
+    scored = L.predicted(rows, L.fitted(rows, folds, list(range(permutations + 1))), [])
+    each = scored.select(F.col("column").alias("replicate"), "target", F.posexplode("probs").alias("class_id", "score"))
+    aucs = _replicate_aucs(each.select("replicate", "class_id", "score", (F.col("target") == F.col("class_id")).alias("positive")), ["replicate", "class_id"])
+    found = _against_null(aucs.groupBy("replicate").agg(F.avg("value").alias("value")), [])
+    return found.select(F.col("observed").alias("macro_auc"), "p", "permutations", F.col("null_mean").alias("null_auc_mean"), ((F.col("observed") >= least_auc) & (F.col("p") <= alpha)).alias("passed"))
+
+
+ERROR_TARGETS = ["total_error", "normal_false_positive", "abnormal_false_negative"]
+
+
+def error_predictability(df: DataFrame, gate: DataFrame, features: list[str], permutations: int, replicates: int, seed: int, least_auc: float = 0.6, least_low: float = 0.5, least_fold_auc: float = 0.55, least_folds: int = 3, alpha: float = 0.05) -> DataFrame:
+    """Can features tell another model's errors? A row per target: all errors, false positives among the negative, false negatives
+    among the positive people.
+
+    ``gate`` has (person_key, positive, predicted). Errors are permuted inside fold and reference, which is right for all three
+    targets, as the latter two are the strata of one reference. All targets, replicates and folds are fitted at once; intervals
+    resample people inside fold and reference."""
+    wrong = gate.select("person_key", F.col("positive").cast("int").alias("reference"), (F.col("positive") != F.col("predicted")).cast("int").alias("error"))
+    own = df.select("person_key", "outer_fold", *features).join(wrong, "person_key")
+    dealt = with_permutations(own, ["outer_fold", "reference"], "person_key", "error", 2, permutations, seed)
+    whole, none = F.concat(L.byte(F.col("error")), "permuted"), F.lit(bytes([L.ABSENT]) * (permutations + 1))
+    only = lambda reference, a, b: F.when(F.col("reference") == reference, a).otherwise(b)
+    fold, out = L.byte(F.col("outer_fold")), F.lit(bytes([L.ABSENT]))
+    y = F.concat(whole, only(0, whole, none), only(1, whole, none))
+    rows = written(L.packed(dealt, features, y, F.concat(fold, only(0, fold, out), only(1, fold, out)), ["person_key", "outer_fold", "reference"]), "packed")
+    width = permutations + 1
+    models = L.fitted(rows, 2, [k for k in range(3) for _ in range(width)])
+    target = F.element_at(F.array(*(F.lit(t) for t in ERROR_TARGETS)), F.floor(F.col("column") / width).cast("int") + 1)
+    scored = L.predicted(rows, models, ["person_key", "outer_fold", "reference"]).select(
+        "person_key", "outer_fold", "reference", target.alias("error_target"), (F.col("column") % width).alias("replicate"), (F.col("target") == 1).alias("positive"), F.element_at("probs", 2).alias("score")
+    )
+    scored = written(scored, "scored")
+    null = _against_null(_replicate_aucs(scored, ["error_target", "replicate"]), ["error_target"])
+    observed = scored.where("replicate = 0").withColumn("predicted", F.col("score") >= 0.5)
+    metrics = M.gate_metrics(observed, ["error_target"]).where(F.col("metric").isin("pr_auc", "balanced_accuracy", "macro_f1")).groupBy("error_target").pivot("metric", ["pr_auc", "balanced_accuracy", "macro_f1"]).agg(F.first("value"))
+    by_fold = _replicate_aucs(observed, ["error_target", "outer_fold"])
+    folds = by_fold.groupBy("error_target").agg(F.array_sort(F.collect_list(F.struct("outer_fold", "value"))).alias("f"), F.every(F.col("value").isNotNull()).alias("all_folds_estimable"), F.sum(F.coalesce(F.col("value") >= least_fold_auc, F.lit(False)).cast("long")).alias("folds_passing"))
+    folds = folds.withColumn("fold_auc", F.transform("f", lambda x: x["value"])).drop("f")
+    weights = with_weights(rows.select("person_key", "outer_fold", "reference"), ["outer_fold", "reference"], "person_key", replicates, seed).select("person_key", "weights")
+    values = R.weighted_auc(observed.select("person_key", "error_target", "score", "positive").join(weights, "person_key").drop("person_key"), ["error_target"])
+    limits = values.groupBy("error_target").agg(*(F.percentile("value", F.lit(q)).alias(n) for n, q in (("auc_low", 0.025), ("auc_median", 0.5), ("auc_high", 0.975))))
+    counts = observed.groupBy("error_target").agg(F.count("*").alias("patients"), F.sum(F.col("positive").cast("long")).alias("errors"))
+    found = null.drop("null_p95").withColumnsRenamed({"observed": "roc_auc", "null_mean": "null_auc_mean"})
+    for other in (metrics, folds, limits, counts):
+        found = found.join(other, "error_target")
+    passed = (F.col("roc_auc") >= least_auc) & (F.col("auc_low") > least_low) & (F.col("p") <= alpha) & F.col("all_folds_estimable") & (F.col("folds_passing") >= least_folds)
+    return found.withColumn("passed", passed)
