@@ -28,7 +28,7 @@ PIECE, BLOCK, DEVIATIONS = 2048, 250, 12
 GOLDEN, FIRST, SECOND = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
-def _mixed(name: str, counters: np.ndarray) -> np.ndarray:
+def mixed(name: str, counters: np.ndarray) -> np.ndarray:
     """52 random bits for each counter of a named stream."""
     base = np.uint64(int(hashlib.sha256(name.encode()).hexdigest()[:16], 16))
     with np.errstate(over="ignore"):
@@ -55,7 +55,7 @@ def binomial(counts: np.ndarray, share: float, uniforms: np.ndarray) -> np.ndarr
 
 def halved(counts: np.ndarray, left: int, whole: int, name: str) -> np.ndarray:
     """How many of each replicate's draws fall into the first ``left`` of ``whole`` rows."""
-    return binomial(counts, left / whole, _mixed(name, np.arange(1, len(counts) + 1)) / 2.0**52)
+    return binomial(counts, left / whole, mixed(name, np.arange(1, len(counts) + 1)) / 2.0**52)
 
 
 def resampled_cells(cells: DataFrame, stratum: str, replicates: int, seed: int) -> DataFrame:
@@ -154,7 +154,7 @@ def with_weights(df: DataFrame, strata: list[str], key: str, replicates: int, se
             own = counts[at : at + BLOCK]
             which = np.repeat(np.arange(len(own)), own)
             turn = np.arange(len(which)) - np.repeat(np.cumsum(own) - own, own)
-            place = (_mixed(name, ((which + at) << 32) + turn + 1) * np.uint64(m)) >> np.uint64(52)
+            place = (mixed(name, ((which + at) << 32) + turn + 1) * np.uint64(m)) >> np.uint64(52)
             out[:, at : at + BLOCK] = np.bincount(place.astype(np.int64) * len(own) + which, minlength=m * len(own)).reshape(m, len(own))
         return [w.tobytes() for w in out]
 
@@ -190,7 +190,7 @@ def with_permutations(df: DataFrame, strata: list[str], key: str, target: str, c
 # the same draws in SQL
 
 
-def _bits_sql(name: str, counter: str) -> str:
+def bits_sql(name: str, counter: str) -> str:
     """52 random bits of a counter in a named stream."""
     wrap = lambda x: f"(({x}) % 18446744073709551616::UHUGEINT)::UBIGINT"
     base = f"('0x' || substr(sha256({name}), 1, 16))::UBIGINT"
@@ -213,7 +213,7 @@ def tree_sql(name: str, leaves: str, replicates: int, seed: int) -> str:
         SELECT *, exp(lgamma(c + 1) - lgamma(k + 1) - lgamma(c - k + 1) + k * ln(p) + (c - k) * ln(1 - p)) AS pm FROM (
           SELECT *, unnest(range(lo, hi + 1)) AS k FROM (
             SELECT *, greatest(0, floor(c * p - {DEVIATIONS} * sqrt(c * p * (1 - p)) - {DEVIATIONS}))::BIGINT AS lo, least(c, ceil(c * p + {DEVIATIONS} * sqrt(c * p * (1 - p)) + {DEVIATIONS}))::BIGINT AS hi,
-                   {_bits_sql(f"'{seed}|' || s || '|' || low || '|' || high", "r + 1")} / 4503599627370496.0 AS u FROM (
+                   {bits_sql(f"'{seed}|' || s || '|' || low || '|' || high", "r + 1")} / 4503599627370496.0 AS u FROM (
               SELECT t.s, low, high, (low + high + 1) // 2 AS mid, r, c, (b.before - a.before) / (z.before - a.before)::DOUBLE AS p
               FROM {name}_t AS t JOIN {name}_b AS a ON a.s = t.s AND a.leaf = low JOIN {name}_b AS b ON b.s = t.s AND b.leaf = (low + high + 1) // 2 JOIN {name}_b AS z ON z.s = t.s AND z.leaf = high
               WHERE high - low > 1))))
@@ -232,7 +232,7 @@ def cells_sql(name: str, source: str, stratum: str, cell: list[str], replicates:
 def weights_sql(name: str, source: str, strata: list[str], key: str, replicates: int, seed: int) -> str:
     """CTEs up to ``name``: the columns of ``source``, replicate and w, for the rows that a replicate draws."""
     s = " || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in strata)
-    bits = _bits_sql(f"'{seed}|' || s || '|' || low || '|rows'", "(r::UBIGINT << 32) + t + 1")
+    bits = bits_sql(f"'{seed}|' || s || '|' || low || '|rows'", "(r::UBIGINT << 32) + t + 1")
     return f"""{name}_r AS (SELECT *, {s} AS s, row_number() OVER (PARTITION BY {s} ORDER BY sha256('{seed}|rank|' || {key})) - 1 AS k FROM {source}),
 {name}_p AS (SELECT s, k // {PIECE} AS leaf, count(*) AS n FROM {name}_r GROUP BY ALL),
 {tree_sql(name + '_d', name + '_p', replicates, seed)},

@@ -16,7 +16,9 @@ from pyspark.sql import types as T
 
 from marlstone.functions.draws import draw, hash_rank, running_sums
 from marlstone.operators import metrics as M
-from marlstone.operators.dealing import PIECE, resampled_cells, with_weights
+from marlstone.operators.dealing import PIECE, in_pieces, mixed, resampled_cells, with_weights
+from marlstone.operators.quantiles import placed, quantile
+from marlstone.sources.tables import written
 
 #: Replicates at a time.
 BLOCK = 250
@@ -160,21 +162,46 @@ def smd(mean_a: Column, var_a: Column, mean_b: Column, var_b: Column) -> Column:
     return F.when(pooled > 0, apart / pooled).when(apart == 0, 0.0).otherwise(F.lit(float("inf")))
 
 
+def mean_differences(long: DataFrame, folds: list[int]) -> DataFrame:
+    """long (feature, outer_fold, value) -> (feature, fold, fold_mean, rest_mean, abs_smd); moments of the rest are put together from those of the other folds."""
+    own = long.where("value IS NOT NULL").groupBy("feature", "outer_fold").agg(F.count("*").cast("double").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("var"))
+    each = own.groupBy("feature").agg(F.collect_list(F.struct("outer_fold", "n", "mean", "var")).alias("m")).select("feature", "m", F.explode(F.array(*(F.lit(f) for f in folds))).alias("fold"))
+
+    def moments(name: str, of) -> list[Column]:
+        own, total = F.filter("m", of), lambda f: F.aggregate(F.filter("m", of), F.lit(0.0), lambda a, x: a + f(x))
+        n = total(lambda x: x["n"])
+        mean = total(lambda x: x["n"] * x["mean"]) / n
+        apart = total(lambda x: x["n"] * (x["var"] + (x["mean"] - mean) * (x["mean"] - mean))) / n
+        known = F.size(own) > 0
+        return [F.when(known, mean).alias(f"{name}_mean"), F.when(known, apart).alias(f"__{name}_var")]
+
+    found = each.select("feature", "fold", *moments("fold", lambda x: x["outer_fold"] == F.col("fold")), *moments("rest", lambda x: x["outer_fold"] != F.col("fold")))
+    return found.select("feature", "fold", "fold_mean", "rest_mean", smd(F.col("fold_mean"), F.col("__fold_var"), F.col("rest_mean"), F.col("__rest_var")).alias("abs_smd"))
+
+
 def fold_shifts(long: DataFrame, folds: list[int]) -> DataFrame:
-    """long (feature, outer_fold, value) -> per feature and fold: moments and quartiles inside and in the rest, SMD, two-sample KS."""
-    each = long.withColumn("fold", F.explode(F.array(*(F.lit(f) for f in folds)))).withColumn("inside", F.col("outer_fold") == F.col("fold"))
-    part = lambda side: F.when(F.col("inside") == side, F.col("value"))
+    """long (feature, outer_fold, value) -> per feature and fold: means and quartiles inside and in the rest, SMD, two-sample KS and its p.
+
+    One row per distinct value carries its counts in all folds; running counts over buckets of values give the exact
+    quartiles and distances of every fold and rest, so no feature or fold meets in one task."""
+    own = long.where("value IS NOT NULL")
+    names = {f: f"n_{f}" for f in folds}
+    counts = own.groupBy("feature", "value").agg(*(F.sum((F.col("outer_fold") == f).cast("long")).alias(n) for f, n in names.items()))
+    found = written(placed(counts, ["feature"], "value", list(names.values())), "placed")
+    totals = found.groupBy("feature").agg(*(F.sum(n).alias(f"total_{n}") for n in names.values()))
+    plus = lambda cs: sum(cs, F.lit(0).cast("long"))
     stats = []
-    for name, side in (("fold", True), ("rest", False)):
-        stats += [F.avg(part(side)).alias(f"{name}_mean"), F.var_pop(part(side)).alias(f"__{name}_var"), F.count(part(side)).alias(f"__{name}_n")]
-        stats += [F.percentile(part(side), F.lit(q)).alias(f"{name}_{n}") for n, q in (("median", 0.5), ("q25", 0.25), ("q75", 0.75))]
-    own = each.groupBy("feature", "fold").agg(*stats)
-    own = own.withColumn("abs_smd", smd(F.col("fold_mean"), F.col("__fold_var"), F.col("rest_mean"), F.col("__rest_var")))
-    counts = each.groupBy("feature", "fold", "value").agg(F.sum(F.col("inside").cast("long")).alias("a"), F.sum((~F.col("inside")).cast("long")).alias("b"))
-    w = W.partitionBy("feature", "fold").orderBy("value")
-    share = counts.join(own.select("feature", "fold", "__fold_n", "__rest_n"), ["feature", "fold"]).withColumn("d", F.abs(F.sum("a").over(w) / F.col("__fold_n") - F.sum("b").over(w) / F.col("__rest_n")))
-    ks = share.groupBy("feature", "fold").agg(F.max("d").alias("ks"))
-    return own.join(ks, ["feature", "fold"]).withColumn("p", ks_p_value(F.col("ks"), F.col("__fold_n"), F.col("__rest_n"))).drop("__fold_var", "__rest_var", "__fold_n", "__rest_n")
+    for f, name in names.items():
+        sides, parts = {"fold": [name], "rest": [n for n in names.values() if n != name]}, [F.lit(f).alias("fold")]
+        n, before, total = ({side: plus([F.col(prefix + c) for c in cs]) for side, cs in sides.items()} for prefix in ("", "before_", "total_"))
+        for side in sides:
+            parts += [quantile(F.col("value"), before[side], n[side], total[side], q).alias(f"{side}_{label}") for label, q in (("median", 0.5), ("q25", 0.25), ("q75", 0.75))]
+        share = {side: F.try_divide((before[side] + n[side]).cast("double"), total[side]) for side in sides}
+        parts += [F.max(F.abs(share["fold"] - share["rest"])).alias("ks"), F.max(total["fold"]).alias("__fold_n"), F.max(total["rest"]).alias("__rest_n")]
+        stats.append(F.struct(*parts))
+    each = found.join(totals, "feature").groupBy("feature").agg(F.array(*stats).alias("s")).select("feature", F.explode("s").alias("s")).select("feature", "s.*")
+    joined = mean_differences(own, folds).join(each, ["feature", "fold"])
+    return joined.withColumn("p", ks_p_value(F.col("ks"), F.col("__fold_n"), F.col("__rest_n"))).drop("__fold_n", "__rest_n")
 
 
 def ks_p_value(d: Column, n: Column, m: Column, terms: int = 20) -> Column:
@@ -194,10 +221,109 @@ def shift_summary(shifts: DataFrame, large: float, broad: float, fraction: float
 
 def spearman(df: DataFrame, a: str, b: str, by: list[str] = []) -> DataFrame:  # noqa: B006
     """Correlation of mid-ranks; ranks come from counts per distinct value."""
-    def ranks(column: str, name: str) -> DataFrame:
-        counts = df.groupBy(*by, column).agg(F.count("*").alias("__n"))
-        own = running_sums(counts, by, column, F.floor(F.col(column)), ["__n"])
-        return own.select(*by, column, (F.col("before___n") + (F.col("__n") + 1) / 2).alias(name))
-
-    own = df.join(ranks(a, "__ra"), [*by, a]).join(ranks(b, "__rb"), [*by, b])
+    own = with_ranks(with_ranks(df, a, "__ra", by), b, "__rb", by)
     return own.groupBy(*by).agg(F.corr("__ra", "__rb").alias("rho"), F.count("*").alias("n"))
+
+
+def with_ranks(df: DataFrame, column: str, name: str, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """Adds the mid-rank of a column in its group."""
+    own = placed(df.groupBy(*by, column).agg(F.count("*").alias("__n")), by, column, ["__n"])
+    return df.join(own.select(*by, column, (F.col("before___n") + (F.col("__n") + 1) / 2).alias(name)), [*by, column])
+
+
+def permuted_correlations(df: DataFrame, a: str, b: str, strata: list[str], key: str, permutations: int, seed: int) -> DataFrame:
+    """(replicate, value): correlations of two columns of numbers with ``b`` permuted inside strata, by an order of hashed bits.
+
+    A stratum of more than ``PIECE`` rows is cut into random pieces, and rows are permuted inside a piece: such orders are as
+    likely as any other if nothing but the stratum matters."""
+    ranked = in_pieces(df.select(*strata, key, a, b), strata, key, seed)
+    moments = ranked.agg(F.avg(a).alias("ma"), F.avg(b).alias("mb"), (F.stddev_pop(a) * F.stddev_pop(b) * F.count("*")).alias("scale")).first()
+
+    def summed(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, m = rows.sort_values("__rank"), len(rows)
+        x, y = rows[a].to_numpy(dtype=float) - moments.ma, rows[b].to_numpy(dtype=float) - moments.mb
+        counters = (np.arange(permutations, dtype=np.int64)[:, None] << 32) + np.arange(1, m + 1)
+        order = np.argsort(mixed(f"{seed}|{rows['__s'].iloc[0]}|{rows['__piece'].iloc[0]}|order", counters), axis=1, kind="stable")
+        return pd.DataFrame({"replicate": np.arange(permutations), "s": (x * y[order]).sum(1)})
+
+    sums = ranked.groupBy("__s", "__piece").applyInPandas(summed, "replicate int, s double")
+    return sums.groupBy("replicate").agg(F.try_divide(F.sum("s"), F.lit(moments.scale)).alias("value"))
+
+
+def _in_score_pieces(df: DataFrame, score: str) -> DataFrame:
+    """Adds ``__piece`` (neighbouring scores of about ``PIECE`` rows, even; one score with more, odd) and ``__part`` of it."""
+    own = placed(df.groupBy(score).agg(F.count("*").alias("__n")), [], score, ["__n"])
+    hot = F.col("__n") > PIECE
+    own = own.select(score, (F.floor(F.col("before___n") / PIECE) * 2 + hot.cast("long")).alias("__piece"), F.when(hot, F.ceil(F.col("__n") / PIECE)).otherwise(1).cast("long").alias("__parts"))
+    return written(df.join(own, score).withColumn("__part", F.pmod(F.xxhash64("weights"), "__parts")).drop("__parts"), "pieces")
+
+
+def weighted_ranks(df: DataFrame, score: str, name: str) -> DataFrame:
+    """Rows with ``weights`` get ``name``: their mid-rank among a replicate's rows, for each replicate (binary, doubles).
+
+    Pieces of neighbouring scores give one total a replicate; what lies below a piece is a running sum over pieces."""
+    own = _in_score_pieces(df, score)
+    keys = ["__piece", "__part"]
+
+    def weighed(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([{"__piece": rows["__piece"].iloc[0], "w": _matrix(rows["weights"]).sum(0, dtype=np.int64)}])
+
+    parts = own.select(*keys, "weights").groupBy(keys).applyInPandas(weighed, "__piece long, w array<long>").select("__piece", F.posexplode("w").alias("replicate", "w"))
+    totals = parts.groupBy("__piece", "replicate").agg(F.sum("w").alias("w"))
+    below = totals.withColumn("below", F.sum("w").over(W.partitionBy("replicate").orderBy("__piece").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("w"))
+    lists = below.groupBy("__piece").agg(F.array_sort(F.collect_list(F.struct("replicate", "below", "w"))).alias("b"))
+    lists = written(own.select(keys).distinct().join(lists, "__piece").select(*keys, F.col("b.below").alias("below"), F.col("b.w").alias("w")), "below")
+    columns = [c for c in own.columns if c not in keys]
+
+    def ranked(rows: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(score)
+        below, total = np.asarray(base["below"].iloc[0], dtype=np.float64), np.asarray(base["w"].iloc[0], dtype=np.float64)
+        if rows["__piece"].iloc[0] % 2:
+            ranks = np.broadcast_to(below + (total + 1) / 2, (len(rows), len(below)))
+        else:
+            value = rows[score].to_numpy()
+            starts = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
+            same = np.add.reduceat(_matrix(rows["weights"]).astype(np.float64), starts, axis=0)
+            ranks = np.repeat(below + np.cumsum(same, axis=0) - same + (same + 1) / 2, np.diff(np.r_[starts, len(value)]), axis=0)
+        return rows[columns].assign(**{name: [r.tobytes() for r in ranks]})
+
+    schema = T.StructType([*(own.schema[c] for c in columns), T.StructField(name, T.BinaryType())])
+    return own.groupBy(keys).cogroup(lists.groupBy(keys)).applyInPandas(ranked, schema)
+
+
+def weighted_spearman(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(replicate, value): the rank correlation of each replicate of rows with ``weights``; ranks are those among its own rows."""
+    own = weighted_ranks(weighted_ranks(df.select(a, b, "weights"), a, "__ra"), b, "__rb")
+
+    def summed(batches):
+        total = None
+        for batch in batches:
+            if len(batch):
+                w, x, y = _matrix(batch["weights"]).astype(np.float64), *(np.frombuffer(b"".join(batch[c])).reshape(len(batch), -1) for c in ("__ra", "__rb"))
+                part = np.stack([w.sum(0), (w * x).sum(0), (w * y).sum(0), (w * x * y).sum(0), (w * x * x).sum(0), (w * y * y).sum(0)])
+                total = part if total is None else total + part
+        if total is not None:
+            yield pd.DataFrame(dict(zip(["n", "x", "y", "xy", "xx", "yy"], total, strict=True))).assign(replicate=np.arange(total.shape[1]))
+
+    sums = own.select("weights", "__ra", "__rb").mapInPandas(summed, "n double, x double, y double, xy double, xx double, yy double, replicate int")
+    own = sums.groupBy("replicate").agg(*(F.sum(c).alias(c) for c in ("n", "x", "y", "xy", "xx", "yy")))
+    n, apart = F.col("n"), lambda c, d: F.col(c) * F.col("n") - F.col(d[0]) * F.col(d[1])
+    return own.where(n > 0).select("replicate", F.try_divide(apart("xy", "xy"), F.sqrt(apart("xx", "xx") * apart("yy", "yy"))).alias("value"))
+
+
+def rank_association(df: DataFrame, a: str, b: str, strata: list[str], key: str, permutations: int, replicates: int, seed: int, least_rho: float = 0.2, least_folds: int = 3, alpha: float = 0.05) -> DataFrame:
+    """One row on the rank correlation of two scores of (key, outer_fold, strata, a, b): rho, its interval over resampled people,
+    rho of each fold, the two-sided permutation p inside strata, how many folds have its direction, and the verdict."""
+    own = written(with_ranks(with_ranks(df, a, "__ra"), b, "__rb"), "ranks")
+    whole = own.agg(F.corr("__ra", "__rb").alias("rho"), F.count("*").alias("n"))
+    null = permuted_correlations(own, "__ra", "__rb", strata, key, permutations, seed)
+    exceed = null.crossJoin(F.broadcast(whole)).agg(F.sum((F.abs("value") >= F.abs("rho")).cast("long")).alias("exceed"), F.count("value").alias("permutations"))  # one row
+    weights = with_weights(df.select(*{key: 0, a: 0, b: 0, **dict.fromkeys(strata)}), strata, key, replicates, seed)
+    limits = weighted_spearman(weights, a, b).agg(*(F.percentile("value", F.lit(q)).alias(n) for n, q in (("rho_low", 0.025), ("rho_median", 0.5), ("rho_high", 0.975))))
+    folds = spearman(df, a, b, ["outer_fold"]).agg(F.array_sort(F.collect_list(F.struct("outer_fold", "rho"))).alias("f"))
+    found = whole.crossJoin(F.broadcast(exceed)).crossJoin(F.broadcast(limits)).crossJoin(F.broadcast(folds))  # one row each
+    found = found.withColumn("p", (F.col("exceed") + 1) / (F.col("permutations") + 1)).withColumn("fold_rho", F.transform("f", lambda x: x["rho"]))
+    same = F.size(F.filter("fold_rho", lambda x: F.signum(x) == F.signum("rho")))
+    found = found.withColumn("same_direction_folds", same)
+    passed = (F.abs("rho") >= least_rho) & ((F.col("rho_low") > 0) | (F.col("rho_high") < 0)) & (F.col("p") <= alpha) & (F.col("same_direction_folds") >= least_folds)
+    return found.withColumn("passed", passed).select("rho", "n", "rho_low", "rho_median", "rho_high", "fold_rho", "p", "permutations", "same_direction_folds", "passed")
