@@ -14,7 +14,7 @@ from marlstone.sources.tables import written
 
 book = Book()
 K = len(B.LANGUAGES)
-PERMUTATIONS, REPLICATES = 100, 2000
+PERMUTATIONS, REPLICATES, OPERATING = 100, 2000, 0.3
 LADDER = {"C0": ["o"], "C1": ["a", "e"], "C2": ["a", "e", "i"], "C3": ["a", "e", "i", "o"]}
 PAIRS = [("C0", "C1"), ("C1", "C2"), ("C2", "C3"), ("C0", "C3")]
 
@@ -48,9 +48,9 @@ def comparisons(spark, d):
 
 
 def presence(spark, d):
-    """Customers, and which brands (anatomy) and containers (finding) the parts of their orders have."""
+    """Customers, and which brands (anatomy) and types (finding) the parts of their orders have."""
     own = outer_folds(B.people(spark, d), 5, B.SEED).select("person_key", "outer_fold", "diagnosis_id")
-    part = B.table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.explode(F.array(F.struct(F.lit("anatomy").alias("role"), F.col("p_brand").alias("category")), F.struct(F.lit("finding").alias("role"), F.col("p_container").alias("category")))).alias("c"))
+    part = B.table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.explode(F.array(F.struct(F.lit("anatomy").alias("role"), F.col("p_brand").alias("category")), F.struct(F.lit("finding").alias("role"), F.col("p_type").alias("category")))).alias("c"))
     orders = B.table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.concat(F.lit("P"), F.col("o_custkey").cast("string")).alias("person_key"))
     had = written(B.table(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(orders, "l_orderkey").join(part, "l_partkey").select("person_key", "c.*").distinct(), "had")
     names = {r.role: sorted(r.c) for r in had.groupBy("role").agg(F.collect_set("category").alias("c")).collect()}  # the categories' dictionary
@@ -86,7 +86,7 @@ def fold_identification(spark, d):
 
 @book("h6_error_prediction")
 def error_prediction(spark, d):
-    return B.rounded(models.error_predictability(people(spark, d), B.gate(spark, d, "B"), ["a", "e", "i", "o"], PERMUTATIONS, REPLICATES, 37))
+    return B.rounded(models.error_predictability(people(spark, d), B.gate(spark, d, "B").withColumn("predicted", F.col("score") >= OPERATING), ["a", "e", "i", "o"], PERMUTATIONS, REPLICATES, 37))
 
 
 @book("j7_permutation_test")
