@@ -4,9 +4,10 @@ Training documents are cut into shards of bounded bytes. All suffixes of a shard
 prefix doubling), whatever the benchmark is; every benchmark suffix is then binary-searched in every shard, first for its
 window, whose interval of the array has all occurrences, and, where there is one, for its longest verbatim match.
 
-No list of (place in a document, place in an item) is ever made: occurrences are intervals per distinct window, marked
-once per place of the shard, and windows know the set of their items. So a text that repeats one word against an item that
-repeats it costs no more than other texts.
+No list of (place in a document, place in an item) is ever made. Occurrences are intervals per distinct window, marked once
+per place of the shard, and windows know the set of their items. A matched text of the benchmark is one interval too, however many
+items have it, and an interval names each document in it once, by its first place in the array whose predecessor in the same document
+lies before the interval. So a text that repeats one word costs no more than others, against one item or thousands that repeat it.
 
 The benchmark is written to the shared folder in blocks of at most about ``BLOCK_CHARS`` characters; a task holds one block
 at a time and the driver none.
@@ -34,6 +35,8 @@ WINDOW = 13
 BLOCK_CHARS, SHARD_BYTES, SEGMENT_WORDS, PIECE_BYTES = 8_000_000, 4_000_000, 1 << 21, 1 << 23
 #: Words compared at a time in a search, benchmark places searched at a time.
 STEP, PLACES = 16, 50_000
+#: Places of an array that are passed over together.
+SPAN = 512
 #: A-Z to a-z, ASCII without letters and digits to space.
 PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 MATCH = "struct<item_id: string, item_start: int, doc_start: int, n_words: int>"
@@ -121,6 +124,21 @@ class Shard:
     def __init__(self, numbers: np.ndarray):
         self.n, self.order = len(numbers), suffix_array(numbers)
         self.text = np.append(numbers, np.zeros(STEP, dtype=np.int64))
+        # the document of each suffix of the array, and the suffix of the same document before it
+        doc = (np.cumsum(numbers == 0) - (numbers == 0))[self.order]
+        by = np.argsort(doc, kind="stable")
+        self.before = np.full(self.n, -1, dtype=np.int64)
+        same = doc[by[1:]] == doc[by[:-1]]
+        self.before[by[1:][same]] = by[:-1][same]
+        self.least = np.minimum.reduceat(self.before, np.arange(0, self.n, SPAN)) if self.n else self.before
+
+    def documents(self, low: int, high: int) -> np.ndarray:
+        """One suffix of each document that has suffixes in an interval of the array; spans without a first one are passed over."""
+        spans = np.arange(low // SPAN, (high - 1) // SPAN + 1)
+        spans = spans[self.least[spans] < low]
+        at = (spans[:, None] * SPAN + np.arange(SPAN)).ravel()
+        at = at[(at >= low) & (at < high)]
+        return at[self.before[at] < low]
 
     def _compared(self, at: np.ndarray, wanted: np.ndarray, start: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sign of the array's suffixes ``at`` against ``limit`` words of ``wanted`` from ``start`` on, and how many words are equal."""
@@ -167,7 +185,7 @@ def _members(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _matched(shard: Shard, block: Block, wanted: np.ndarray):
-    """(places, sizes, item sets) of all occurrences of windows; (place, item, place in it, words) of longest matches' every place."""
+    """(places, sizes, item sets) of all occurrences of windows; (place, item, place in it, words) of longest matches, one of each document and place of the benchmark."""
     nothing = np.zeros(0, dtype=np.int64)
     absent = np.concatenate([[0], np.cumsum(wanted < 0)])
     first = block.first
@@ -191,8 +209,13 @@ def _matched(shard: Shard, block: Block, wanted: np.ndarray):
     rest[1:] = (np.diff(block.at[places]) == 1) & (block.item[places[1:]] == block.item[places[:-1]]) & (length[:-1] == length[1:] + 1)
     places, length = places[~rest], length[~rest]
     low, high = shard.interval(wanted, block.at[places], length, lows[block.window[places]], highs[block.window[places]])
-    where, row = _members(low, high)
-    return occurrences, (shard.order[where], block.item[places[row]], block.item_at[places[row]], length[row])
+    # places of the benchmark that match with the same words share an interval, which is searched for its documents once
+    intervals, own = np.unique(np.stack([low, high]), axis=1, return_inverse=True)
+    found = [shard.documents(a, b) for a, b in intervals.T.tolist()]
+    sizes, own = np.array([len(x) for x in found]), own.reshape(-1)
+    row = np.repeat(np.arange(len(own)), sizes[own])
+    at = np.repeat((np.cumsum(sizes) - sizes)[own], sizes[own]) + np.arange(len(row)) - np.repeat(np.cumsum(sizes[own]) - sizes[own], sizes[own])
+    return occurrences, (shard.order[np.concatenate(found)[at]], block.item[places[row]], block.item_at[places[row]], length[row])
 
 
 class _Judged:
@@ -207,7 +230,8 @@ class _Judged:
         self.doc = np.repeat(np.arange(len(texts)), self.counts + 1)
         self.edges = np.zeros(len(self.text) + 1, dtype=np.int64)
         self.items: list[set] = [set() for _ in texts]
-        self.matches: list[list[dict]] = [[] for _ in texts]
+        self.item_ids: list = []
+        self.found: list[np.ndarray] = []
         step = SEGMENT_WORDS - window + 1
         self.segments = range(0, max(1, len(self.text) - window + 1), step) if len(self.text) > SEGMENT_WORDS else [0]
         self.shard = None
@@ -232,14 +256,17 @@ class _Judged:
             for pair in np.unique(self.doc[begin + at] * len(block.sets) + sets).tolist():
                 doc, own = divmod(pair, len(block.sets))
                 self.items[doc].update(block.item_ids[k] for k in block.sets[own])
-            # of each document and benchmark place the first occurrence
             doc = self.doc[begin + place]
-            order = np.lexsort((place, item_at, item, doc))
-            keys = np.stack([doc, item, item_at])[:, order]
-            fresh = np.ones(len(order), dtype=bool)
-            fresh[1:] = (keys[:, 1:] != keys[:, :-1]).any(0)
-            for k in order[fresh].tolist():
-                self.matches[doc[k]].append({"item_id": block.item_ids[item[k]], "item_start": int(item_at[k]), "doc_start": int(begin + place[k] - self.starts[doc[k]]), "n_words": int(n[k])})
+            self.found.append(np.stack([doc, item + len(self.item_ids), item_at, begin + place - self.starts[doc], n]))
+        self.item_ids += block.item_ids
+
+    def matches(self) -> pa.Array:
+        """The matches of each document, as numbers until here."""
+        doc, item, item_at, place, _ = own = np.concatenate([np.zeros((5, 0), dtype=np.int64), *self.found], axis=1)
+        doc, item, item_at, place, n = own[:, np.lexsort((place, item_at, item, doc))]
+        ids = pa.array(self.item_ids).cast(pa.string()).take(pa.array(item))
+        each = pa.StructArray.from_arrays([ids, *(pa.array(x.astype(np.int32)) for x in (item_at, place, n))], fields=list(MATCHES.value_type))
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(self.starts) + 1)).astype(np.int32)), each)
 
     def hits(self) -> np.ndarray:
         """Words of each document inside an occurrence."""
@@ -286,13 +313,13 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     """A row per document: its words, those inside an occurrence of a window, the items whose windows occur, and the matches.
 
     ``matches`` are the longest verbatim matches of benchmark suffixes in the document's shard that the document has, each at
-    its first place there; one that is the rest of another is left out."""
+    one of its places there; one that is the rest of another is left out."""
     paths = written_blocks(benchmark)
 
     def run(batches):
         for batch, own in _judge(batches, paths, window):
             items = [sorted(x for x in found if x is not None) for found in own.items]
-            columns = [batch.column("doc_id"), pa.array(own.counts), pa.array(own.hits()), pa.array(items, type=pa.list_(pa.string())), pa.array(own.matches, type=MATCHES)]
+            columns = [batch.column("doc_id"), pa.array(own.counts), pa.array(own.hits()), pa.array(items, type=pa.list_(pa.string())), own.matches()]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_hit", "items", "matches"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text")).mapInArrow(run, RESULT)

@@ -294,7 +294,7 @@ def test_longest_matches_are_longest(segment, monkeypatch):
     monkeypatch.setattr(decontamination, "SEGMENT_WORDS", segment)
     own = decontamination._Judged([b"x two three four five y one two three z five six seven", b"", b"two three four"], 3)
     own.ask(decontamination.Block([("a", b"one two three four five six seven"), ("b", b"three FOUR")], 3))
-    found = [{(m["item_id"], m["item_start"], m["doc_start"], m["n_words"]) for m in x} for x in own.matches]
+    found = [{(m["item_id"], m["item_start"], m["doc_start"], m["n_words"]) for m in x} for x in own.matches().to_pylist()]
     # the suffix from "two" matches four words in the first document; three of them, in the last one, are not its longest
     assert found[0] == {("a", 0, 6, 3), ("a", 1, 1, 4), ("a", 4, 10, 3), ("b", 0, 2, 2)} and found[1] == [] or found[1] == set()
     assert {x for x in found[2]} == {("b", 0, 1, 2)}
@@ -315,11 +315,11 @@ def test_longest_matches_are_longest(segment, monkeypatch):
                             hit |= set(range(p, p + len(window)))
                             found.add(k)
             assert own.hits()[doc] == len(hit) and own.items[doc] == found
-            for m in own.matches[doc]:
-                assert row[m["doc_start"] : m["doc_start"] + m["n_words"]] == items[m["item_id"]].split()[m["item_start"] : m["item_start"] + m["n_words"]]
+            for m in own.matches().to_pylist()[doc]:
+                assert row[m["doc_start"] : m["doc_start"] + m["n_words"]] == items[int(m["item_id"])].split()[m["item_start"] : m["item_start"] + m["n_words"]]
             if segment > 1000:  # the longest match of any item and this document is reported if no other document has a longer one
                 for k, item in enumerate(items):
-                    best = max((m["n_words"] for x in own.matches for m in x if m["item_id"] == k), default=0)
+                    best = max((m["n_words"] for x in own.matches().to_pylist() for m in x if m["item_id"] == str(k)), default=0)
                     wanted = item.split()
                     assert best == max((n for n in range(min(4, len(wanted)), len(wanted) + 1) if n and any(wanted[a : a + n] == x.split()[p : p + n] for x in texts for a in range(len(wanted) - n + 1) for p in range(len(x.split()) - n + 1))), default=0)
 
@@ -333,10 +333,28 @@ def test_a_repeated_word_costs_no_pairs():
     own.ask(decontamination.Block([("i", item)], 13))
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert own.hits().tolist() == [100_000] and own.items == [{"i"}] and [(m["item_start"], m["n_words"]) for m in own.matches[0]] == [(0, 5000)]
+    assert own.hits().tolist() == [100_000] and own.items == [{"i"}] and [(m["item_start"], m["n_words"]) for m in own.matches().to_pylist()[0]] == [(0, 5000)]
     assert most < 300e6
 
 
+@pytest.mark.parametrize("tail", [b"", b" b%d c%d"])
+def test_many_items_that_share_words_cost_no_pairs(tail):
+    import tracemalloc
+
+    text = b"a " * 100_000 + b"x"
+    items = [(f"i{k:04d}", b"a " * (13 + k % 200) + (tail % (k, k) if tail else b"")) for k in range(5_000)]
+    tracemalloc.start()
+    own = decontamination._Judged([text, b"a " * 13, b"none"], 13)
+    own.ask(decontamination.Block(items, 13))
+    found = own.matches()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert own.hits().tolist() == [100_000, 13, 0] and [len(x) for x in own.items] == [5_000, 5_000, 0]
+    # about one match an item, not one an item and place
+    assert 5_000 <= len(found[0]) <= 10_000 and len(found[2]) == 0 and {m["n_words"].as_py() for m in found[1]} <= {13}
+    assert most < 500e6
+
+
 # substring dedup
 
 
