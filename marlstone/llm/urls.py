@@ -3,19 +3,23 @@
 A cascade answers membership in a list exactly for every key of a known universe: its first Bloom filter holds the listed
 keys, the second those other keys of the universe that the first takes by mistake, the third the listed keys that the second takes, and
 so on until a level makes no mistake. The universe is every key that any url of the corpus can ask for, so no url needs a
-join. Keys are host suffixes with path prefixes of the lengths that rules have.
+join. Keys are host suffixes of as many labels as some listed host or rule has, with path prefixes of the lengths that rules
+have: a url of many labels makes no more keys than others.
 
 Filters are built in Spark from key hashes; what is sent to the tasks is bounded by ``MOST_BYTES``: a longer list is split
-by hash into slices, each with a cascade of its own and asked in a pass of its own.
+by hash into slices. Each has a cascade of its own, built when the answers of the slice before are written, so the driver and the
+tasks hold one at a time.
 
 Defined cases: a null url or one without ``://`` has empty host and path; null and repeated list keys count once or not
-at all; of rules of equal length the one with the longer host wins; repeated rows get a row each; an empty list takes
+at all; urls and hosts of any length are judged whole; of rules of equal length the one with the longer host wins; repeated rows get a row each; an empty list takes
 nothing, an empty table gives no row; other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -118,14 +122,14 @@ def _filled(keys: DataFrame, level: Level) -> Level:
     return level
 
 
-def build(listed: DataFrame, universe: DataFrame, most_bytes: int = MOST_BYTES) -> list[Cascade]:
-    """Cascades (one per slice of the hash space) for the listed keys among the universe's. Both: (key)."""
+def build(listed: DataFrame, universe: DataFrame, most_bytes: int = MOST_BYTES) -> list[Callable[[], Cascade]]:
+    """Makers of the cascades (one per slice of the hash space) for the listed keys among the universe's. Both: (key)."""
     universe = common.written(with_hashes(universe.where("key IS NOT NULL")).distinct(), "universe")
     wanted = common.written(with_hashes(listed.where("key IS NOT NULL")).distinct(), "listed")
     n, m = wanted.count(), universe.count()
     rate = min(0.5, max(1e-9, n / (math.sqrt(2) * m))) if m else 0.5
     slices = max(1, math.ceil(2 * n * (2 - math.log2(rate)) / 8 / most_bytes))
-    return [_cascade(*(x.where(F.pmod("h1", F.lit(slices)) == k) for x in (wanted, universe)), rate) if n else Cascade([]) for k in range(slices)]
+    return [partial(_cascade, *(x.where(F.pmod("h1", F.lit(slices)) == k) for x in (wanted, universe)), rate) if n else partial(Cascade, []) for k in range(slices)]
 
 
 def _cascade(wanted: DataFrame, universe: DataFrame, rate: float) -> Cascade:
@@ -143,13 +147,15 @@ def _cascade(wanted: DataFrame, universe: DataFrame, rate: float) -> Cascade:
     raise RuntimeError("a listed key and another one have equal hashes")
 
 
-def first_member(df: DataFrame, keys: str, cascades: list[Cascade], out: str) -> DataFrame:
-    """Adds ``out``: the place (from 1) of the first listed key in the array column ``keys``; 0 if none is."""
+def first_member(df: DataFrame, keys: str, cascades: list[Callable[[], Cascade]], out: str) -> DataFrame:
+    """Adds ``out``: the place (from 1) of the first listed key in the array column ``keys``; 0 if none is.
+
+    Of several slices, each one's answers are written before the next one's cascade is made."""
     spark, slices = df.sparkSession, len(cascades)
     pairs = df.withColumn("__h1", F.transform(keys, lambda x: F.xxhash64(x))).withColumn("__h2", F.transform(keys, lambda x: F.xxhash64(x, F.lit("second")))).withColumn(out, F.lit(0))
     schema = pairs.schema
     for k, cascade in enumerate(cascades):
-        sent = spark.sparkContext.broadcast(cascade)  # at most MOST_BYTES
+        sent = spark.sparkContext.broadcast(cascade())  # at most MOST_BYTES
 
         def run(batches, sent=sent, k=k):
             for batch in batches:
@@ -164,6 +170,9 @@ def first_member(df: DataFrame, keys: str, cascades: list[Cascade], out: str) ->
                 yield pa.RecordBatch.from_arrays([pa.array(best.astype(np.int32)) if c == out else batch.column(c) for c in batch.schema.names], names=batch.schema.names)
 
         pairs = pairs.mapInArrow(run, schema)
+        if slices > 1:
+            pairs = common.written(pairs, "answers")
+            sent.unpersist()
     return pairs.drop("__h1", "__h2")
 
 
@@ -173,8 +182,13 @@ def judged(pages: DataFrame, rules: DataFrame, listed_hosts: DataFrame) -> DataF
     lengths = sorted((r.n for r in rules.where("path IS NOT NULL").select(F.length("path").alias("n")).distinct().collect()), reverse=True)
     host, path = host_and_path(F.col("url"))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).select("page_id", host.alias("host"), path.alias("path"))
-    parts = F.split("host", r"\.")
-    own = own.withColumn("hosts", F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ".")))
+    # as many numbers as listed hosts and rules have numbers of labels
+    labels = lambda c: F.size(F.split(c, r"\."))
+    counts = rules.select("host").union(listed_hosts.select("host")).where("host IS NOT NULL").select(labels("host").alias("n")).distinct()
+    counts = sorted((r.n for r in counts.collect()), reverse=True)
+    fitting = F.filter(F.split(F.lit(",".join(map(str, counts))), ",").cast("array<int>"), lambda n: n <= F.size("__parts")) if counts else F.expr("cast(array() as array<int>)")
+    own = own.withColumn("__parts", F.split("host", r"\."))
+    own = own.withColumn("hosts", F.transform(fitting, lambda n: F.array_join(F.slice("__parts", F.size("__parts") - n + 1, n), "."))).drop("__parts")
     prefixes = F.transform(F.filter(F.split(F.lit(",".join(map(str, lengths))), ",").cast("array<int>"), lambda n: n <= F.length("path")), lambda n: F.substring("path", 1, n)) if lengths else F.expr("cast(array() as array<string>)")
     keyed = own.withColumn("prefixes", prefixes)
     every = F.flatten(F.transform("hosts", lambda h: F.transform("prefixes", lambda p: F.struct((-F.length(F.concat(h, p))).alias("n"), (-F.length(h)).alias("m"), F.concat(h, p).alias("key")))))

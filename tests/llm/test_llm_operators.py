@@ -4,6 +4,8 @@ import hashlib
 import math
 import random
 import re
+import time
+import weakref
 import zlib
 from collections import Counter, defaultdict
 
@@ -702,6 +704,32 @@ def test_url_rules_and_cascade(spark, most, monkeypatch):
     assert urls.judged(df.limit(0), spark.createDataFrame(rules, "host string, path string, action string"), spark.createDataFrame([], "host string")).count() == 0
 
 
+def test_long_urls_and_long_lists(spark, monkeypatch):
+    dots, deep = "a." * 50_000 + "bad.net", ".".join(f"x{k}" for k in range(9_000)) + ".org"
+    given = [f"http://{dots}/p", f"http://{deep}/" + "y" * 100_000, f"http://{deep[3:]}/", "http://" + "." * 100_000, "http://good.net/"]
+    df = spark.createDataFrame(list(enumerate(given)), "page_id long, url string")
+    rules = spark.createDataFrame([("com", "/fr/", "allow")], "host string, path string, action string")
+    began = time.perf_counter()
+    got = {r.page_id: r.verdict for r in urls.judged(df, rules, spark.createDataFrame([("bad.net",), (deep,)], "host string")).collect()}
+    assert [got[k] for k in range(5)] == ["block", "block", "allow", "allow", "allow"] and time.perf_counter() - began < 60
+    # one slice's cascade at a time: all others' answers are written before
+    built, alive = [], []
+    plain = urls._cascade
+
+    def counted(*x):
+        alive.append(sum(c() is not None for c in built))
+        own = plain(*x)
+        built.append(weakref.ref(own))
+        return own
+
+    monkeypatch.setattr(urls.build, "__defaults__", (4,))
+    monkeypatch.setattr(urls, "_cascade", counted)
+    listed = spark.createDataFrame([(f"h{k}.net",) for k in range(40)], "host string")
+    pages = spark.createDataFrame([(k, f"http://www.h{k}.net/") for k in range(80)], "page_id long, url string")
+    assert sorted(r.page_id for r in urls.judged(pages, rules, listed).where("verdict = 'block'").collect()) == list(range(40))
+    assert len(built) > 3 and max(alive) <= 1
+
+
 # media
 
 
