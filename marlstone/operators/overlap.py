@@ -105,22 +105,44 @@ def dice(predicted: DataFrame, truth: DataFrame, keys: list[str], smooth: float
     return own.select(*keys, ((2 * i + smooth) / (p + g + smooth)).alias("dice"), ((i + smooth) / (p + g - i + smooth)).alias("iou"))
 
 
-def greedy_matches(pairs: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """One-to-one matches by falling ``iou``, ties by (pred_id, gt_id): rounds of pairs that are best for both sides.
+#: Pairs that one pass in order is enough for.
+FEW_PAIRS = 1_000_000
 
-    A mutual best pair is what the greedy order takes too; each round is a window per object, and rounds are as many as an
-    image's longest chain of ever better pairs."""
+
+def greedy_matches(pairs: DataFrame) -> DataFrame:
+    """One-to-one matches by falling ``iou``, ties by (pred_id, gt_id).
+
+    Very many pairs are first thinned in rounds that take the pairs which are best for both sides (what the greedy order takes,
+    too), as long as a round settles a quarter of what is left. The rest, such as chains of ever better pairs, is walked in order,
+    image by image, in one sorted pass that holds the ids taken in one image."""
     order = lambda key: W.partitionBy("image_id", key).orderBy(F.desc("iou"), "pred_id", "gt_id")
-    found, left = None, written(pairs, "pairs")
-    for _ in range(most_rounds):
+    found, left = [], written(pairs, "pairs")
+    n = left.count()
+    while n > FEW_PAIRS:
         best = written(left.withColumn("__p", F.row_number().over(order("pred_id"))).withColumn("__g", F.row_number().over(order("gt_id"))).where("__p = 1 AND __g = 1").drop("__p", "__g"), "best")
-        if best.isEmpty():
+        found.append(best)
+        left = written(left.join(best.select("image_id", "pred_id"), ["image_id", "pred_id"], "left_anti").join(best.select("image_id", "gt_id"), ["image_id", "gt_id"], "left_anti").select(pairs.columns), "left")
+        before, n = n, left.count()
+        if 4 * n > 3 * before:
             break
-        found = best if found is None else found.unionByName(best)
-        left = written(left.join(best.select("image_id", "pred_id"), ["image_id", "pred_id"], "left_anti").join(best.select("image_id", "gt_id"), ["image_id", "gt_id"], "left_anti"), "left")
-    else:
-        raise RuntimeError(f"matches did not settle in {most_rounds} rounds")
-    return pairs.limit(0) if found is None else found
+
+    def walked(batches):
+        image, taken, own = None, set(), set()
+        for batch in batches:
+            keep = []
+            for i, p, g in zip(batch["image_id"], batch["pred_id"], batch["gt_id"], strict=True):
+                if i != image:
+                    image, taken, own = i, set(), set()
+                keep.append(p not in taken and g not in own)
+                if keep[-1]:
+                    taken.add(p)
+                    own.add(g)
+            yield batch[keep]
+
+    rest = left.repartition("image_id").sortWithinPartitions("image_id", F.desc("iou"), "pred_id", "gt_id").mapInPandas(walked, left.schema)
+    for best in found:
+        rest = rest.unionByName(best)
+    return rest
 
 
 def match_summary(matches: DataFrame, predicted: DataFrame, truth: DataFrame, by: str = "category") -> DataFrame:

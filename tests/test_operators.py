@@ -318,6 +318,23 @@ def test_fitted_models_find_a_planted_signal(spark):
         models.logistic_oof(df.where("diagnosis_id = 0"), ["signal"], 2)
 
 
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_matches_of_any_chain(spark, monkeypatch, few):
+    monkeypatch.setattr(overlap, "FEW_PAIRS", few)
+    # each pair is better than the one before, so the order is forced from the end
+    rows = [(1, k // 2, (k + 1) // 2, 0.1 + k / 1000) for k in range(104)] + [(2, p, g, 0.5) for p in range(3) for g in range(4)] + [(3, 1, 1, 0.4), (3, 1, 2, 0.6), (3, 2, 2, 0.5)]
+    draw = np.random.default_rng(5)
+    rows += [(image, int(p), int(g), float(draw.integers(1, 20)) / 20) for image in range(4, 9) for p in range(12) for g in draw.permutation(15)[:7]]
+    got = {(r.image_id, r.pred_id, r.gt_id) for r in overlap.greedy_matches(spark.createDataFrame(rows, "image_id int, pred_id int, gt_id int, iou double").repartition(3)).collect()}
+    want, taken = set(), set()
+    for i, p, g, _ in sorted(rows, key=lambda r: (r[0], -r[3], r[1], r[2])):
+        if not {(i, "p", p), (i, "g", g)} & taken:
+            taken |= {(i, "p", p), (i, "g", g)}
+            want.add((i, p, g))
+    assert got == want and sum(i == 1 for i, *_ in got) == 52
+    assert overlap.greedy_matches(spark.createDataFrame([], "image_id int, pred_id int, gt_id int, iou double")).count() == 0
+
+
 def test_common_area_of_concave_and_crossing_polygons(spark):
 
     square, u, bar, tie = [[0, 0], [4, 0], [4, 4], [0, 4]], [[0, 0], [6, 0], [6, 5], [4, 5], [4, 2], [2, 2], [2, 5], [0, 5]], [[-1, 3], [7, 3], [7, 4], [-1, 4]], [[0, 0], [4, 4], [4, 0], [0, 4]]
