@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from marlstone.operators import monitors as M
 from marlstone.plans import bindings as B
 from marlstone.plans.book import Book
+from marlstone.streaming.watermarked import drained
 
 book = Book()
 
@@ -35,11 +36,20 @@ def start_reasons(spark, d):
     return B.table(spark, d, "events").select("event_id", F.array_join(M.start_reasons(F.col("value"), k % 16, k % 12, (20, 8, 9)), ";").alias("reasons"))
 
 
-@book("n2_sustained_pressure", f"WITH {SAMPLES}, i AS (SELECT *, coalesce(value > 50, false) AS hi, sum(CASE WHEN coalesce(value > 50, false) THEN 0 ELSE 1 END) OVER (PARTITION BY run ORDER BY at_, event_id ROWS UNBOUNDED PRECEDING) AS isl FROM sa), k AS (SELECT *, min(at_) OVER (PARTITION BY run, isl, hi ORDER BY at_, event_id ROWS UNBOUNDED PRECEDING) AS since, row_number() OVER (PARTITION BY run, isl, hi ORDER BY at_, event_id) AS k FROM i) SELECT event_id, hi AND k > 1 AND at_ - since >= 3600 AS fired FROM k")
+SUSTAINED = f"WITH {SAMPLES}, i AS (SELECT *, coalesce(value > 50, false) AS hi, sum(CASE WHEN coalesce(value > 50, false) THEN 0 ELSE 1 END) OVER (PARTITION BY run ORDER BY at_, event_id ROWS UNBOUNDED PRECEDING) AS isl FROM sa), k AS (SELECT *, min(at_) OVER (PARTITION BY run, isl, hi ORDER BY at_, event_id ROWS UNBOUNDED PRECEDING) AS since, row_number() OVER (PARTITION BY run, isl, hi ORDER BY at_, event_id) AS k FROM i) SELECT event_id, hi AND k > 1 AND at_ - since >= 3600 AS fired FROM k"
+
+
+@book("n2_sustained_pressure", SUSTAINED)
 def sustained(spark, d):
     return M.sustained(samples(spark, d), 50.0, 3600, order=["event_id"]).select("event_id", "fired")
 
 
+@book("n2_sustained_stream", SUSTAINED)
+def sustained_stream(spark, d):
+    own = samples(spark, d).select("run", F.col("event_id").alias("id"), F.timestamp_seconds("at").alias("ts"), "value")
+    return drained(own, 50.0, 3600).select(F.col("id").alias("event_id"), "fired")
+
+
 @book("n3_early_stopping", "WITH s AS (SELECT user_id AS run, event_id, value, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events), t AS (SELECT *, b IS NULL OR value > b AS improved FROM s), u AS (SELECT *, k - max(CASE WHEN improved THEN k END) OVER (PARTITION BY run ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS stale FROM t) SELECT run, event_id AS epoch, improved, CAST(stale AS INTEGER) AS stale, stale >= 5 AS stop FROM u")
 def early_stopping(spark, d):
     own = B.table(spark, d, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("epoch"), F.col("value").alias("score"))

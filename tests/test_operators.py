@@ -193,6 +193,45 @@ def test_stream_is_the_batch(spark, tmp_path):
     assert got == want and any(want.values())
 
 
+def test_late_samples_restarts_and_silence_on_a_stream(spark, tmp_path):
+    from marlstone.streaming import watermarked
+
+    draw = np.random.default_rng(6)
+    rows = [(r, t, 1000.0 + t * 10, None if t % 37 == 0 else 60.0 if (t // 9 + ord(r)) % 3 else 10.0) for r in "abc" for t in range(120)]
+    schema = "run string, id long, at double, value double"
+    plain = spark.createDataFrame(rows, schema)
+    timed = plain.select("run", "id", F.timestamp_seconds("at").alias("ts"), "value")
+    want = {(r.run, r.id): r.fired for r in monitors.sustained(plain, 50.0, 60.0, order=["id"]).collect()}
+    got = {(r.run, r.id): r.fired for r in watermarked.drained(timed, 50.0, 60.0).collect()}
+    assert got == want and any(want.values())
+    # late by less than the delay, in an order of their own, and stopped and started again half way
+    late = [rows[k] for k in np.argsort([at + draw.random() * 90 for _, _, at, _ in rows])]
+    folder, source = str(tmp_path / "run"), str(tmp_path / "run" / "samples")
+
+    def more(part):
+        spark.createDataFrame(part, schema).select("run", "id", F.timestamp_seconds("at").alias("ts"), "value").coalesce(1).write.mode("append").parquet(source)
+
+    def go():
+        stream = spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        watermarked.finished(watermarked.sustained_by_watermark(stream, 50.0, 60.0, 100.0, idle=500.0), folder)
+        return {(r.run, r.id): r.fired for r in spark.read.parquet(f"{folder}/fired").collect() if r.id is not None}
+
+    for k in range(0, 180, 60):
+        more(late[k : k + 60])
+    half = go()
+    assert 0 < len(half) < 180 and half.items() <= want.items()
+    for k in range(180, 360, 60):
+        more(late[k : k + 60])
+    more([(r, None, 4000.0, None) for r in "abc"])
+    assert go() == want
+    # samples after everything has passed are dropped; a run that was silent for long starts anew
+    more([("a", 900, 1005.0, 99.0), ("a", 901, 9000.0, 99.0)])
+    more([("b", 902, 20_000.0, None), ("a", 903, 20_000.0, 99.0)])
+    more([("b", 904, 30_000.0, None)])
+    after = go()
+    assert ("a", 900) not in after and after["a", 901] is False and after["a", 903] is False
+
+
 @pytest.mark.parametrize("width", [86400, 250])
 def test_sustained_over_spans(spark, width):
     """Runs that stay high over several spans, end at a span's edge or have null values, against a loop."""
