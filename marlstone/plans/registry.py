@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 FLAGSHIP = "i3_summary_metrics"
-MODULES = ["evaluation", "cohort", "annotation", "clinical", "resampled", "gates", "reviews", "contracts", "monitors", "fitted"]
+MODULES = ["evaluation", "cohort", "annotation", "clinical", "resampled", "gates", "reviews", "contracts", "monitors", "fitted", "pictures"]
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _name in MODULES:

@@ -68,9 +68,10 @@ def strip_pixels(images: DataFrame) -> DataFrame:
 
 def strip_statistics(images: DataFrame) -> DataFrame:
     """path and 12 statistics of each of the 3 groups of strips: aggregates of their pixels, combined where they are made."""
-    light = sum(F.col(c) * w for c, w in LUMINANCE.items())
+    # in whole ten-thousandths, so that sums are exact in any order
+    light = sum(F.col(c) * round(w * 10_000) for c, w in LUMINANCE.items())
     pixels = strip_pixels(images).withColumn("luminance", light).withColumn("high", F.greatest(*LUMINANCE)).withColumn("low", F.least(*LUMINANCE))
-    moments = [f((F.col(c) / 255)).alias(f"{c}_{n}") for n, f in (("mean", F.avg), ("std", F.stddev_pop)) for c in (*LUMINANCE, "luminance")]
+    moments = [(f(c) / (2_550_000 if c == "luminance" else 255)).alias(f"{c}_{n}") for n, f in (("mean", F.avg), ("std", F.stddev_pop)) for c in (*LUMINANCE, "luminance")]
     shares = [F.avg(F.expr(rule).cast("double")).alias(f"{name}_share") for name, rule in SHARES.items()]
     own = pixels.groupBy("path", "part").agg(*moments, *shares)
     names = own.columns[2:]
