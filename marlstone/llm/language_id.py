@@ -11,7 +11,7 @@ document is scored whole.
 
 Defined cases: null text and text without a letter (Unicode category L; ``½``, ``²`` and ``Ⅷ`` are none) are ``und`` with
 score 0, as is everything if no labelled document is there to learn from; a run of letters of any length is one word, with
-all its segmentations; ties go to the smaller language value; repeated rows get a row each; a null ``doc_id`` counts as the
+all its segmentations, when it is scored, and is learnt in stretches of ``LEARNT_LETTERS`` letters; ties go to the smaller language value; repeated rows get a row each; a null ``doc_id`` counts as the
 empty text for the fold, so it is held out; an empty table gives no row; other columns are not read.
 """
 
@@ -32,6 +32,8 @@ FIT_DOCS, ROUNDS, PRIOR = 1500, 3, 0.05
 REMEMBERED_WORDS, TEXT_BYTES, LETTERS_AT_ONCE = 400_000, 4_000_000, 100_000
 #: Words of more letters go through the pass one by one, in stretches of ``STRETCH`` letters.
 LONG_WORD, STRETCH = 64, 1 << 14
+#: The fit learns longer runs of letters in stretches of so many letters, side by side.
+LEARNT_LETTERS = 1024
 #: A sum below ``TINY`` is raised by ``RAISE`` = 1 / TINY, and its exponent counted, so words of any length keep their sums.
 TINY, RAISE = 1e-100, 1e100
 #: Probability of a letter that is no piece.
@@ -219,6 +221,11 @@ class Model:
         self.pieces, self.languages, self.probs = pieces, languages, probs
 
 
+def _stretches(words: list[str]):
+    for w in words:
+        yield from (w,) if len(w) <= LEARNT_LETTERS else (w[k : k + LEARNT_LETTERS] for k in range(0, len(w), LEARNT_LETTERS))
+
+
 def _word_counts(labelled: DataFrame) -> DataFrame:
     """(lang, word, n) of labelled documents."""
 
@@ -228,7 +235,7 @@ def _word_counts(labelled: DataFrame) -> DataFrame:
         for batch in common.slices(batches, "text", TEXT_BYTES):
             own = defaultdict(Counter)
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                own[lang].update(text_words(text))
+                own[lang].update(_stretches(text_words(text)))
             rows = [(lang, w, n) for lang, x in own.items() for w, n in x.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
 

@@ -9,8 +9,10 @@ The reader walks the RIFF chunks, goes through the index, decodes every frame by
 film where the histogram difference of two frames stands out from those before it. It yields timed clips. Frames other than
 lossless ones of one component, ``WIDTH`` samples a line, predictor 1, are refused with an error.
 
-Defined cases: null text is empty and has one frame of one line; equal texts have equal files; repeated rows get a row
-each; an empty table gives no row; other columns are not read.
+Defined cases: null text is empty and has one frame of one line; equal texts have equal files; repeated and equal rows, null
+ids among them, get a row each; a very long text is one file, for which a task holds tens of times its bytes at once (differences,
+codes and histogram cells of all samples); a file without the private comment has a null ``n_bytes``, one without header, movie or index is refused; clips
+take their times from the rate that the file names; an empty table gives no row; other columns are not read.
 """
 
 from __future__ import annotations
@@ -211,8 +213,8 @@ def write_avi(frames: list[bytes], height: int, n_bytes: int) -> bytes:
     return _chunk(b"RIFF", b"AVI " + header + info + _chunk(b"LIST", b"".join(parts)) + _chunk(b"idx1", b"".join(index)))
 
 
-def read_avi(data: bytes) -> tuple[list[bytes], int]:
-    """The frames that the index names, and the comment's number."""
+def read_avi(data: bytes) -> tuple[list[bytes], int | None, float]:
+    """The frames that the index names, the comment's number (null without one), and the seconds of a frame by the stream's header."""
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
     at, lists, index = 12, {}, None
@@ -223,12 +225,20 @@ def read_avi(data: bytes) -> tuple[list[bytes], int]:
         elif name == b"idx1":
             index = (at + 8, size)
         at += 8 + size + size % 2
-    movie, info = lists[b"movi"], lists[b"INFO"]
+    if b"movi" not in lists or b"hdrl" not in lists or index is None:
+        raise ValueError("an AVI file without header, movie or index")
+    movie, stream = lists[b"movi"], data.find(b"strh", lists[b"hdrl"], lists[b"movi"])
+    if stream < 0:
+        raise ValueError("an AVI file without a stream header")
+    scale, rate = struct.unpack_from("<II", data, stream + 28)
     frames = []
     for _, _, offset, size in struct.iter_unpack("<4sIII", data[index[0] : index[0] + index[1]]):
         frames.append(data[movie + offset + 8 : movie + offset + 8 + size])
+    info = lists.get(b"INFO")
+    if info is None or data[info + 4 : info + 8] != b"ICMT":
+        return frames, None, scale / rate
     (n,) = struct.unpack_from("<I", data, info + 8)
-    return frames, int(data[info + 12 : info + 12 + n])
+    return frames, int(data[info + 12 : info + 12 + n]), scale / rate
 
 
 def cuts(histograms: np.ndarray) -> list[int]:
@@ -272,15 +282,15 @@ def decoded(media: DataFrame) -> DataFrame:
     def run(batches):
         for batch in common.slices(batches, "media", TEXT_BYTES):
             files = [read_avi(x) for x in batch.column("media").to_pylist()]
-            lines, heights = decode_frames([frame for frames, _ in files for frame in frames])
+            lines, heights = decode_frames([frame for frames, *_ in files for frame in frames])
             frame_of = np.repeat(np.arange(len(heights)), heights)
             cells = np.bincount((frame_of[:, None] * CELLS + (lines >> 4)).reshape(-1), minlength=len(heights) * CELLS).reshape(-1, CELLS)
             ends = np.cumsum(heights) * WIDTH
             data, k, rows = lines.tobytes(), 0, []
-            for frames, n_bytes in files:
+            for frames, n_bytes, seconds in files:
                 n = len(frames)
                 begins = [*cuts(cells[k : k + n]), n]
-                clips = [{"clip": c, "first_frame": a, "end_frame": b, "start_s": a / RATE, "end_s": b / RATE} for c, (a, b) in enumerate(zip(begins, begins[1:], strict=False))]
+                clips = [{"clip": c, "first_frame": a, "end_frame": b, "start_s": a * seconds, "end_s": b * seconds} for c, (a, b) in enumerate(zip(begins, begins[1:], strict=False))]
                 rows.append((n_bytes, n, data[ends[k] - heights[k] * WIDTH : ends[k + n - 1]], clips))
                 k += n
             kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.struct([("clip", pa.int32()), ("first_frame", pa.int32()), ("end_frame", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64())]))]

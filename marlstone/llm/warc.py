@@ -5,7 +5,7 @@ largest id is stored; the others are revisit records that name it. The reader de
 looks for gzip magic from its range's start, takes a candidate if its decoded bytes begin with a WARC header, and then goes
 from member to member; it owns the records that start in its range and reads beyond its end to finish the last one.
 
-Defined cases: null html is an empty payload; a null url is written as ``unknown:``; a null ``page_id`` is a record
+Defined cases: null html is an empty payload; a very long one is one record, held in memory while it is written or read; a null url is written as ``unknown:``; a null ``page_id`` is a record
 without a page and never one that others name, unless all of an equal group have none: then each is a response; rows of
 equal ``page_id`` and payload are all responses; an empty table gives no archive; other columns are not read.
 """
@@ -34,11 +34,16 @@ RECORD = "page_id long, url string, record_type string, refers_to long, payload_
 
 
 def marked(pages: DataFrame, least_shared: int = LEAST_SHARED) -> DataFrame:
-    """(page_id, url, payload, payload_digest, record_type, refers_to)."""
+    """(page_id, url, payload, payload_digest, record_type, refers_to).
+
+    Which digests repeat is found from ids and digests alone and written, so its size is known: few are sent to the pages
+    by Spark's own threshold, and payloads aren't shuffled. Short payloads have no key, so an empty page meets no other."""
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), common.text_of("html").cast("binary").alias("payload")).withColumn("payload_digest", F.sha1("payload"))
-    kept = own.where(F.octet_length("payload") >= least_shared).groupBy("payload_digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1").select("payload_digest", "kept")
+    own = own.withColumn("key", F.when(F.octet_length("payload") >= least_shared, F.unhex("payload_digest")))
+    shared = own.where("key IS NOT NULL").groupBy("key").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1 AND kept IS NOT NULL")
+    joined = own.join(common.written(shared.select("key", "kept"), "shared"), "key", "left")
     other = F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept"))
-    return own.join(kept, "payload_digest", "left").select("page_id", "url", "payload", "payload_digest", F.when(other, "revisit").otherwise("response").alias("record_type"), F.when(other, F.col("kept")).alias("refers_to"))
+    return joined.select("page_id", "url", "payload", "payload_digest", F.when(other, "revisit").otherwise("response").alias("record_type"), F.when(other, F.col("kept")).alias("refers_to"))
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: int | None) -> bytes:

@@ -357,6 +357,18 @@ def test_many_items_that_share_words_cost_no_pairs(tail):
     assert most < 500e6
 
 
+def test_a_very_long_run_of_letters_is_learnt_in_bounded_time(spark):
+    rows = [(k, " ".join(["the", "ring", "thing"] * 5), "en") for k in range(20)] + [(k, " ".join(["der", "nicht", "und"] * 5), "de") for k in range(20, 40)]
+    rows += [(100 + k, "thering" * 30_000, "en") for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert list(language_id._stretches(["ab", "x" * 2500])) == ["ab", "x" * 1024, "x" * 1024, "x" * 452]
+    began = time.perf_counter()
+    model = language_id.fit(docs, vocabulary("piece_bpe_32k.model"))
+    assert time.perf_counter() - began < 60 and model.languages == ["de", "en"]
+    found = {r.doc_id: r.lang_pred for r in language_id.identify(spark.createDataFrame([(1, "the thing", None), (2, "und nicht", None)], docs.schema), model).collect()}
+    assert found == {1: "en", 2: "de"}
+
+
 # substring dedup
 
 
@@ -682,6 +694,16 @@ def test_false_magic_inside_a_member_is_not_a_record(tmp_path):
         assert [sum(1 for _ in warc.Members(file, size, a, a + 500)) for a in range(0, size, 500)] == [sum(a <= k * len(one) < a + 500 for k in range(3)) for a in range(0, size, 500)]
 
 
+def test_payloads_are_not_shuffled_for_the_decision(spark):
+    big = "x" * 3000
+    pages = spark.createDataFrame([(k, f"u{k}", big if k % 50 < 2 else "" if k % 3 else big + str(k), "p", 1) for k in range(300)], "page_id long, url string, html string, key string, kept int")
+    found = warc.marked(pages)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    rows = {r.page_id: (r.record_type, r.refers_to) for r in found.collect()}
+    assert all(rows[k] == (("response", None) if k == 251 or k % 50 > 1 else ("revisit", 251)) for k in range(300))
+
+
 # URLs
 
 
@@ -733,6 +755,23 @@ def test_long_urls_and_long_lists(spark, monkeypatch):
 # media
 
 
+def test_another_film_s_rate_and_no_comment(spark):
+    lines = np.random.default_rng(1).integers(0, 256, (160, 64)).astype(np.uint8)
+    frames = media.encode_frames(lines, np.array([64, 64, 32]))
+    film = media.write_avi(frames, 64, 160 * 64)
+    assert media.read_avi(film) == (frames, 160 * 64, 1 / media.RATE)
+    at = film.index(b"strh") + 28
+    slow = film[:at] + (1001).to_bytes(4, "little") + (24_000).to_bytes(4, "little") + film[at + 8 :]
+    note = film.index(b"ICMT")
+    bare = slow[:note] + b"ISFT" + slow[note + 4 :]
+    assert media.read_avi(bare) == (frames, None, 1001 / 24_000)
+    clips = media.clips(spark.createDataFrame([(1, bytearray(bare)), (None, bytearray(film))], "doc_id long, media binary")).collect()
+    assert max(c.end_s for c in clips if c.doc_id == 1) == pytest.approx(3 * 1001 / 24_000) and max(c.end_s for c in clips if c.doc_id is None) == pytest.approx(3 / media.RATE)
+    for bad in (b"no", film[: film.index(b"idx1")]):
+        with pytest.raises(ValueError):
+            media.read_avi(bad)
+
+
 def test_lossless_frames_round_trip():
     rng = np.random.default_rng(0)
     for lines in (rng.integers(0, 256, (200, 64)), np.zeros((3, 64)), np.full((70, 64), 255), np.tile([0, 255], (64, 32))):
