@@ -107,9 +107,46 @@ def self_crossing(p: Column) -> Column:
     return F.exists(numbered, lambda u: F.exists(numbered, lambda v: (v["i"] > u["i"] + 1) & cross(u["e"], v["e"])))
 
 
+def without_repeats(p: Column) -> Column:
+    """The ring without points that equal the one before, its last one being before its first."""
+    n = F.size(p)
+    return F.filter(p, lambda x, i: (x != F.element_at(p, F.when(i > 0, i).otherwise(n))) | ((n == 1) & (i == 0)))
+
+
+def self_touching(p: Column) -> Column:
+    """Whether a ring comes back to one of its own points without two edges crossing each other there: edges that aren't neighbours have
+    a point in common, or an edge goes back over its neighbour."""
+
+    def touching(ring: Column) -> Column:
+        n = F.size(ring)
+        edges = F.zip_with(ring, F.concat(F.slice(ring, F.lit(2), n), F.slice(ring, 1, 1)), lambda a, b: F.struct(F.element_at(a, 1).alias("ax"), F.element_at(a, 2).alias("ay"), F.element_at(b, 1).alias("bx"), F.element_at(b, 2).alias("by")))
+        numbered = F.transform(edges, lambda e, i: F.struct(e.alias("e"), i.alias("i")))
+
+        def on(e, x, y):
+            level = (e["bx"] - e["ax"]) * (y - e["ay"]) == (e["by"] - e["ay"]) * (x - e["ax"])
+            return level & (x >= F.least(e["ax"], e["bx"])) & (x <= F.greatest(e["ax"], e["bx"])) & (y >= F.least(e["ay"], e["by"])) & (y <= F.greatest(e["ay"], e["by"]))
+
+        def meet(u, v):
+            a, b = u["e"], v["e"]
+            ends = [on(a, b["ax"], b["ay"]), on(a, b["bx"], b["by"]), on(b, a["ax"], a["ay"]), on(b, a["bx"], a["by"])]
+            after, around = v["i"] == u["i"] + 1, (u["i"] == 0) & (v["i"] == n - 1)
+            # neighbours have one end in common
+            return F.when(after & around, F.lit(True)).when(after, ends[1] | ends[2]).when(around, ends[0] | ends[3]).otherwise(ends[0] | ends[1] | ends[2] | ends[3])
+
+        return F.exists(numbered, lambda u: F.exists(numbered, lambda v: (v["i"] > u["i"]) & meet(u, v)))
+
+    return _let(without_repeats(p), touching) & ~self_crossing(p)
+
+
+def ring_kind(p: Column) -> Column:
+    """``simple``, ``touching`` or ``crossing``; null under three points or without an extent."""
+    some = (F.size(p) >= 3) & (F.size(without_repeats(p)) >= 3)
+    return F.when(some, F.when(self_crossing(p), "crossing").when(self_touching(p), "touching").otherwise("simple"))
+
+
 def originally_valid(p: Column) -> Column:
-    """At least three points, an area, and no crossing edges."""
-    return F.coalesce((F.size(p) >= 3) & (area(p) > 0) & ~self_crossing(p), F.lit(False))
+    """At least three points, an area, and edges that meet only their neighbours, at the ends they share."""
+    return F.coalesce((F.size(p) >= 3) & (area(p) > 0) & (ring_kind(p) == "simple"), F.lit(False))
 
 
 def _edges(p: Column) -> Column:
@@ -164,5 +201,5 @@ def common_area(a: Column, b: Column) -> Column:
 
 
 def repaired_area(p: Column) -> Column:
-    """Area after repair of crossing edges: what the even-odd rule takes for inside."""
-    return F.when(self_crossing(p), common_area(p, p)).otherwise(area(p))
+    """Area after repair of a ring that crosses or touches itself: what the even-odd rule takes for inside."""
+    return F.when(self_crossing(p) | self_touching(p), common_area(p, p)).otherwise(area(p))

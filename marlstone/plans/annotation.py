@@ -360,3 +360,21 @@ def polygon_validity(spark, d):
 @book("d9_repaired_areas", f"{W_OBJ} SELECT image_id, object_id, round(CASE WHEN NOT tri AND object_id % 3 = 0 THEN w * h / 2 ELSE true_area END, 6) AS area FROM obj")
 def repaired_areas(spark, d):
     return _with_bow_ties(spark, d).select("image_id", "object_id", F.round(G.repaired_area(F.col("polygon")), 6).alias("area"))
+
+
+def _with_touching(spark, d):
+    """By the number of the object: as it is, a bow tie, two triangles that touch in the middle (twice, one turned the other way), a rectangle with a spike."""
+    p, k = F.col("polygon"), F.col("object_id") % 5
+    box = objects(spark, d).where(F.size(p) == 4)
+    at = lambda c, v: F.element_at(F.element_at(p, c), v).cast("double")
+    x0, y0, x1, y1 = F.least(at(1, 1), at(3, 1)), F.least(at(1, 2), at(3, 2)), F.greatest(at(1, 1), at(3, 1)), F.greatest(at(1, 2), at(3, 2))
+    a, b, c, d_, m, spike = F.array(x0, y0), F.array(x1, y0), F.array(x1, y1), F.array(x0, y1), F.array((x0 + x1) / 2, (y0 + y1) / 2), F.array(x1 + 7, y0 - 2)
+    ring = F.when(k == 0, F.array(a, b, c, d_)).when(k == 1, F.array(a, c, b, d_)).when(k == 2, F.array(a, b, m, c, d_, m)).when(k == 3, F.array(a, b, m, d_, c, m)).otherwise(F.array(a, b, spike, b, c, d_, d_))
+    return box.select("image_id", "object_id", ring.alias("polygon"))
+
+
+@book("d9_ring_kinds", f"""{W_OBJ} SELECT image_id, object_id, CASE object_id % 5 WHEN 0 THEN 'simple' WHEN 1 THEN 'crossing' ELSE 'touching' END AS kind, object_id % 5 = 0 AS valid,
+ round(CASE WHEN object_id % 5 IN (0, 4) THEN w * h ELSE w * h / 2 END, 6) AS area FROM obj WHERE NOT tri AND w > 0 AND h > 0""")
+def ring_kinds(spark, d):
+    own, p = _with_touching(spark, d), F.col("polygon")
+    return own.select("image_id", "object_id", G.ring_kind(p).alias("kind"), G.originally_valid(p).alias("valid"), F.round(G.repaired_area(p).cast("double"), 6).alias("area"))

@@ -357,6 +357,23 @@ def test_fitted_models_find_a_planted_signal(spark):
         models.logistic_oof(df.where("diagnosis_id = 0"), ["signal"], 2)
 
 
+def test_rings_that_touch_or_cross_themselves(spark):
+    square = [[0.0, 0.0], [4.0, 0.0], [4.0, 4.0], [0.0, 4.0]]
+    cases = {
+        "square": (square, "simple", 16.0), "closed": ([*square, square[0], square[0]], "simple", 16.0), "midpoint": ([[0.0, 0.0], [2.0, 0.0], *square[1:]], "simple", 16.0),
+        "bow": ([square[0], square[2], square[1], square[3]], "crossing", 8.0), "eight": ([square[0], square[1], [2.0, 2.0], square[3], square[2], [2.0, 2.0]], "touching", 8.0),
+        "same way": ([square[0], square[1], [2.0, 2.0], square[2], square[3], [2.0, 2.0]], "touching", 8.0), "spike": ([*square[:2], [9.0, -3.0], *square[1:]], "touching", 16.0),
+        "vertex on an edge": ([[0.0, 0.0], [4.0, 0.0], [4.0, 4.0], [2.0, 0.0], [0.0, 4.0]], "touching", 8.0), "notch": ([[0.0, 0.0], [4.0, 0.0], [4.0, 4.0], [2.0, 1.0], [0.0, 4.0]], "simple", 10.0),
+        "line": ([[0.0, 0.0], [4.0, 4.0], [2.0, 2.0]], "touching", 0.0), "triangle": ([[0.0, 0.0], [4.0, 0.0], [0.0, 4.0]], "simple", 8.0), "two": (square[:2], None, 0.0), "one point": ([[1.0, 1.0]] * 4, None, 0.0), "none": ([], None, 0.0),
+    }
+    df = spark.createDataFrame([(k, p) for k, (p, _, _) in cases.items()] + [("null", None)], "k string, p array<array<double>>")
+    found = {r.k: (r.kind, r.valid, r.area) for r in df.select("k", geometry.ring_kind(F.col("p")).alias("kind"), geometry.originally_valid(F.col("p")).alias("valid"), geometry.repaired_area(F.col("p")).alias("area")).collect()}
+    for k, (_, kind, size) in cases.items():
+        assert found[k][:2] == (kind, kind == "simple"), k
+        assert kind is None or found[k][2] == pytest.approx(size), k
+    assert found["null"][0] is None
+
+
 @pytest.mark.parametrize("few", [1_000_000, 0])
 def test_matches_of_any_chain(spark, monkeypatch, few):
     monkeypatch.setattr(overlap, "FEW_PAIRS", few)
