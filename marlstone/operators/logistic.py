@@ -112,8 +112,8 @@ def fitted(rows: DataFrame, classes: int, split_of: list[int], c: float = 1.0, s
 
     Without ``scaled``, features are taken as they are."""
     split_of, splits, columns = np.asarray(split_of), max(split_of) + 1, len(split_of)
-    whole = rows.agg(*(F.avg(F.col("__x")[k]).alias(f"m{k}") for k in range(_width(rows))), *(F.sum(F.col("__x")[k].isNull().cast("long")).alias(f"n{k}") for k in range(_width(rows)))).first()
-    p = len(whole) // 2
+    p = _width(rows)
+    whole = rows.agg(*(F.avg(F.col("__x")[k]).alias(f"m{k}") for k in range(p)), *(F.sum(F.col("__x")[k].isNull().cast("long")).alias(f"n{k}") for k in range(p)), F.count("*").alias("n")).first()[: 2 * p]
     shift, missing = np.array([v if v is not None else 0.0 for v in whole[:p]]), np.array([v or 0 for v in whole[p:]])
 
     def moments(x, y, f):
