@@ -36,6 +36,8 @@ WINDOW = 13
 KEY_BITS, BUCKET_WINDOWS, CHUNK_CHARS, BATCH_CHARS, TEXT_BYTES = 32, 1 << 20, 8_000_000, 64_000_000_000, 8_000_000
 #: Buckets and batches at least, runs of a bucket before they are merged, words whose hashes a worker remembers.
 LEAST_BUCKETS, BATCHES, FAN_IN, REMEMBERED_WORDS = 128, 2, 8, 1_000_000
+#: Partitions of one shuffle at most (each then has several buckets or chunks); batches from which on texts are written by batch.
+MOST_PARTS, MANY_BATCHES = 50_000, 4
 #: Multipliers of the window hash: golden ratio and a mixing constant.
 STEP, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 MANIFEST = "bucket int, path string, n long"
@@ -254,7 +256,7 @@ def _hashed(docs: DataFrame, buckets: int, chunks: int, window: int, key_bits: i
 
 def _parts(spark, buckets: int) -> int:
     """Partitions of an exchange by bucket: one for every few buckets."""
-    return min(buckets, max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 4))
+    return min(buckets, max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(buckets // 4, MOST_PARTS)))
 
 
 def _by_bucket(steps: DataFrame, parts: int, run) -> DataFrame:
@@ -384,8 +386,8 @@ def without_matches(docs: DataFrame, steps: DataFrame, buckets: int, chunks: int
         kinds = zip(("doc_id", "n_words", "n_removed", "kept"), columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)
         return pa.table({name: pa.chunked_array(own, type=kind) for name, own, kind in kinds})
 
-    # a number of partitions that grows with the chunks, on both sides of each cogroup; the texts' exchange is used twice
-    parts = max(chunks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # a number of partitions that grows with the chunks, on both sides of each cogroup; beyond MOST_PARTS several chunks share one
+    parts = max(min(chunks, MOST_PARTS), int(spark.conf.get("spark.sql.shuffle.partitions")))
     texts = docs.withColumn("chunk", _chunk(chunks)).repartition(parts, "chunk").groupBy("chunk")
     asked = steps.where(F.col("kind") == ASKED).repartition(parts, "chunk").groupBy("chunk")
     entries = texts.cogroup(asked).applyInArrow(digested, STEPS)
@@ -425,9 +427,15 @@ def substring_deduplicated(docs: DataFrame, window: int = WINDOW, batches: int |
     batches = batches or grown
     cuts = own.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)] or [0.5], 10_000)).first()[0] or []
     cuts = sorted(set(cuts)) if batches > 1 else []
-    runs, found, since = None, None, 0
+    runs, found, since, written = None, None, 0, None
+    if len(cuts) + 1 >= MANY_BATCHES:
+        # the texts are read once and written by batches, in ranges of ids, so that no batch scans those of others
+        written = f"{common.shared_folder(docs.sparkSession)}/batches"
+        at = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c < F.col("doc_id")))
+        dealt = own.where("doc_id IS NOT NULL").repartitionByRange(min(4 * len(cuts), MOST_PARTS), "doc_id")
+        dealt.withColumn("batch", at).write.partitionBy("batch").parquet(written)
     for k in range(len(cuts) + 1):
-        batch = own.where(F.col("doc_id").isNotNull() & (F.col("doc_id") > cuts[k - 1] if k else F.lit(True)) & (F.col("doc_id") <= cuts[k] if k < len(cuts) else F.lit(True)))
+        batch = docs.sparkSession.read.schema("doc_id long, text string, batch int").parquet(written).where(F.col("batch") == k).drop("batch") if written else own.where(F.col("doc_id").isNotNull() & (F.col("doc_id") > cuts[k - 1] if k else F.lit(True)) & (F.col("doc_id") <= cuts[k] if k < len(cuts) else F.lit(True)))
         steps, runs = ingest(batch, runs, buckets, chunks, folder, window, key_bits)
         found, since = steps if found is None else found.unionByName(steps), since + 1
         if since > fan_in:
