@@ -25,6 +25,8 @@ from marlstone.sources.tables import written
 
 #: Rows of a piece; replicates whose places are drawn at a time; standard deviations of a binomial that its inverse looks at.
 PIECE, BLOCK, DEVIATIONS = 2048, 250, 12
+#: Rows coded or decoded at a time.
+CODED = 256
 GOLDEN, FIRST, SECOND = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
@@ -138,8 +140,41 @@ def _dealt(ranked: DataFrame, pieces: DataFrame, columns: list[str], inside, nam
     return ranked.groupBy(keys).cogroup(pieces.groupBy(keys)).applyInPandas(run, T.StructType([*kept, T.StructField(name, T.BinaryType())]))
 
 
+def coded(weights: np.ndarray) -> list[bytes]:
+    """A row's counts as bits: as many ones as a count says and a zero after it, so about two bits a count; ones fill the last byte."""
+    n = weights.astype(np.int64)
+    sizes = -(-(n.sum(1) + n.shape[1]) // 8)
+    ends = np.cumsum(sizes)
+    bits = np.ones(8 * sizes.sum(), dtype=np.uint8)
+    bits[(8 * (ends - sizes)[:, None] + np.cumsum(n, axis=1) + np.arange(n.shape[1])).ravel()] = 0
+    whole = np.packbits(bits).tobytes()
+    return [whole[end - size : end] for end, size in zip(ends.tolist(), sizes.tolist(), strict=True)]
+
+
+def decoded(rows) -> np.ndarray:
+    """The counts (rows, replicates) of ``coded`` rows."""
+    rows, parts = list(rows), []
+    for at in range(0, len(rows), CODED):
+        own = rows[at : at + CODED]
+        starts = 8 * np.cumsum([0, *(len(x) for x in own[:-1])])
+        zeros = np.flatnonzero(np.unpackbits(np.frombuffer(b"".join(own), dtype=np.uint8)) == 0).reshape(len(own), -1)
+        parts.append((np.diff(zeros, axis=1, prepend=starts[:, None] - 1) - 1).astype("<u2"))
+    return np.concatenate(parts) if parts else np.zeros((0, 0), dtype="<u2")
+
+
 def with_weights(df: DataFrame, strata: list[str], key: str, replicates: int, seed: int) -> DataFrame:
     """Adds ``weights``: how often each replicate draws the row (binary, unsigned 16-bit), as many draws in each stratum as it has rows."""
+    drawn, columns = with_draws(df, strata, key, replicates, seed), df.columns
+
+    def plain(batches):
+        for batch in batches:
+            yield batch[columns].assign(weights=[w.tobytes() for w in decoded(batch["draws"])])
+
+    return drawn.mapInPandas(plain, T.StructType([*(drawn.schema[c] for c in columns), T.StructField("weights", T.BinaryType())]))
+
+
+def with_draws(df: DataFrame, strata: list[str], key: str, replicates: int, seed: int) -> DataFrame:
+    """Adds ``draws``: the weights of ``with_weights``, an eighth as long, ``coded``."""
     ranked = in_pieces(df, strata, key, seed)
 
     def split(state, left, whole, name):
@@ -156,11 +191,11 @@ def with_weights(df: DataFrame, strata: list[str], key: str, replicates: int, se
             turn = np.arange(len(which)) - np.repeat(np.cumsum(own) - own, own)
             place = (mixed(name, ((which + at) << 32) + turn + 1) * np.uint64(m)) >> np.uint64(52)
             out[:, at : at + BLOCK] = np.bincount(place.astype(np.int64) * len(own) + which, minlength=m * len(own)).reshape(m, len(own))
-        return [w.tobytes() for w in out]
+        return [x for at in range(0, m, CODED) for x in coded(out[at : at + CODED])]
 
     whole = ranked.groupBy("__s").agg(F.count("*").alias("n")).withColumn("counts", F.array("n"))
     pieces = over_pieces(whole, lambda c: np.full(replicates, c[0], dtype="<i8").tobytes(), split)
-    return written(_dealt(ranked, pieces, df.columns, inside, "weights"), "weighted")
+    return written(_dealt(ranked, pieces, df.columns, inside, "draws"), "drawn")
 
 
 def with_permutations(df: DataFrame, strata: list[str], key: str, target: str, classes: int, replicates: int, seed: int) -> DataFrame:

@@ -9,7 +9,7 @@ from marlstone.functions import vectors as V
 from marlstone.operators import logistic as L
 from marlstone.operators import metrics as M
 from marlstone.operators import resampling as R
-from marlstone.operators.dealing import with_permutations, with_weights
+from marlstone.operators.dealing import with_draws, with_permutations
 from marlstone.operators.splits import outer_folds
 from marlstone.sources.tables import written
 
@@ -185,7 +185,7 @@ def error_predictability(df: DataFrame, gate: DataFrame, features: list[str], pe
     by_fold = _replicate_aucs(observed, ["error_target", "outer_fold"])
     folds = by_fold.groupBy("error_target").agg(F.array_sort(F.collect_list(F.struct("outer_fold", "value"))).alias("f"), F.every(F.col("value").isNotNull()).alias("all_folds_estimable"), F.sum(F.coalesce(F.col("value") >= least_fold_auc, F.lit(False)).cast("long")).alias("folds_passing"))
     folds = folds.withColumn("fold_auc", F.transform("f", lambda x: x["value"])).drop("f")
-    weights = with_weights(rows.select("person_key", "outer_fold", "reference"), ["outer_fold", "reference"], "person_key", replicates, seed).select("person_key", "weights")
+    weights = with_draws(rows.select("person_key", "outer_fold", "reference"), ["outer_fold", "reference"], "person_key", replicates, seed).select("person_key", "draws")
     values = R.weighted_auc(observed.select("person_key", "error_target", "score", "positive").join(weights, "person_key").drop("person_key"), ["error_target"])
     limits = values.groupBy("error_target").agg(*(F.percentile("value", F.lit(q)).alias(n) for n, q in (("auc_low", 0.025), ("auc_median", 0.5), ("auc_high", 0.975))))
     counts = observed.groupBy("error_target").agg(F.count("*").alias("patients"), F.sum(F.col("positive").cast("long")).alias("errors"))

@@ -16,18 +16,20 @@ from pyspark.sql import types as T
 
 from marlstone.functions.draws import draw, hash_rank, running_sums
 from marlstone.operators import metrics as M
-from marlstone.operators.dealing import PIECE, in_pieces, mixed, resampled_cells, with_weights
+from marlstone.operators.dealing import CODED, PIECE, decoded, in_pieces, mixed, resampled_cells, with_draws, with_weights
 from marlstone.operators.quantiles import placed, quantile
 from marlstone.sources.tables import written
 
-#: Replicates at a time.
-BLOCK = 250
+#: Replicates at a time; most pieces that the scores of a group are cut into.
+BLOCK, EDGES = 250, 4096
 
 
-def interval(values: DataFrame, observed: DataFrame | None = None) -> DataFrame:
+def interval(values: DataFrame, observed: DataFrame | None = None, by: list[str] = []) -> DataFrame:  # noqa: B006
     """Linear 2.5 and 97.5 percentiles of ``value`` over replicates."""
-    own = values.agg(F.percentile("value", F.lit(0.025)).alias("low"), F.percentile("value", F.lit(0.975)).alias("high"), F.count("value").alias("replicates"))
-    return own if observed is None else own.crossJoin(F.broadcast(observed))  # one row each
+    own = values.groupBy(*by).agg(F.percentile("value", F.lit(0.025)).alias("low"), F.percentile("value", F.lit(0.975)).alias("high"), F.count("value").alias("replicates"))
+    if observed is None:
+        return own
+    return own.join(observed, by) if by else own.crossJoin(F.broadcast(observed))  # one row each
 
 
 def macro_f1(matrix: DataFrame, k: int, by: list[str]) -> DataFrame:
@@ -60,25 +62,59 @@ def paired_macro_f1(a: DataFrame, b: DataFrame, k: int, replicates: int, seed: i
     return interval(values, delta(cells, []).select(F.col("value").alias("observed"))).crossJoin(F.broadcast(share))
 
 
+def _weights_in(df: DataFrame) -> str:
+    """The column that holds the weights of rows: ``draws`` (coded) or ``weights``."""
+    return "draws" if "draws" in df.columns else "weights"
+
+
 def _matrix(weights: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(weights), dtype="<u2").reshape(len(weights), -1)
+    return decoded(weights) if weights.name == "draws" else np.frombuffer(b"".join(weights), dtype="<u2").reshape(len(weights), -1)
 
 
-def weighted_auc(df: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
-    """(by, score, positive, weights) -> (by, replicate, value): the mid-rank AUC of each replicate; null where one kind isn't drawn.
+def _slices(batches):
+    """Batches in slices of ``CODED`` rows, as a row's weights of all replicates are much larger than the row."""
+    for batch in batches:
+        for at in range(0, len(batch), CODED):
+            yield batch.iloc[at : at + CODED]
 
-    Scores are cut into pieces of about ``PIECE`` rows in order; a score with more rows is a piece by itself, whose rows are
-    dealt over several groups, as only their sums count. Pieces give three numbers a replicate."""
+
+def _placed_in_pieces(df: DataFrame, by: list[str]) -> DataFrame:
+    """Adds ``piece`` and ``part`` to rows (by, score, ...), and leaves ``score``.
+
+    Only scores are counted and sorted for it. The pieces' least scores, at most about ``EDGES`` for each group, go to the tasks, so
+    rows aren't moved before they are in their pieces."""
     counts = df.groupBy(*by, "score").agg(F.count("*").alias("n"))
+    most = counts.groupBy(*by).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
+    size = max(PIECE, most // EDGES + 1)
     placed = running_sums(counts, by, "score", F.floor(F.col("score") * M.SCORE_BUCKETS), ["n"])
-    hot = F.col("n") > PIECE
-    placed = placed.select(*by, "score", (F.floor(F.col("before_n") / PIECE) * 2 + hot.cast("long")).alias("piece"), F.when(hot, F.ceil(F.col("n") / PIECE)).otherwise(1).cast("long").alias("parts"))
-    keys = [*by, "piece", "part"]
-    own = df.join(placed, [*by, "score"]).withColumn("part", F.pmod(F.xxhash64("weights"), "parts")).select(*keys, "score", "positive", "weights")
+    hot = F.col("n") > size
+    placed = placed.select(*by, "score", (F.floor(F.col("before_n") / size) * 2 + hot.cast("long")).alias("piece"), F.when(hot, F.ceil(F.col("n") / size)).otherwise(1).cast("long").alias("parts"))
+    edges: dict[tuple, list] = {}
+    for r in placed.groupBy(*by, "piece").agg(F.min("score").alias("least"), F.max("parts").alias("parts")).collect():
+        edges.setdefault(tuple(r[c] for c in by), []).append((r.least, r.piece, r.parts))
+    edges = {k: tuple(np.array(x) for x in zip(*sorted(v), strict=True)) for k, v in edges.items()}
+
+    def run(batches):
+        for n, batch in enumerate(batches):
+            for key, rows in batch.groupby(by, sort=False) if by else [((), batch)]:
+                least, piece, parts = edges[tuple(x.item() if isinstance(x, np.generic) else x for x in key)]
+                at = np.searchsorted(least, rows["score"].to_numpy(), side="right") - 1
+                yield rows.assign(piece=piece[at], part=(np.arange(len(rows)) + n) % parts[at])
+
+    return df.mapInPandas(run, T.StructType([*df.schema, T.StructField("piece", T.LongType()), T.StructField("part", T.LongType())]))
+
+
+def weighted_auc(df: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """(by, score, positive, weights or draws) -> (by, replicate, value): the mid-rank AUC of each replicate; null where one kind isn't drawn.
+
+    Scores are cut into pieces of about ``PIECE`` rows in order; a score with more rows is a piece by itself, whose rows are
+    dealt over several groups, as only their sums count. Pieces give three numbers a replicate. Weights move once, into their pieces."""
+    keys, name = [*by, "piece", "part"], _weights_in(df)
+    own = _placed_in_pieces(df.select(*by, "score", "positive", name), by)
 
     def summed(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("score")
-        score, positive, weights = rows["score"].to_numpy(), rows["positive"].to_numpy(dtype=bool)[:, None], _matrix(rows["weights"])
+        score, positive, weights = rows["score"].to_numpy(), rows["positive"].to_numpy(dtype=bool)[:, None], _matrix(rows[name])
         starts, out = np.flatnonzero(np.r_[True, score[1:] != score[:-1]]), []
         for k in range(0, weights.shape[1], BLOCK):
             w = weights[:, k : k + BLOCK].astype(np.int64)
@@ -97,35 +133,36 @@ def weighted_auc(df: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
     return won.groupBy(*by, "replicate").agg(F.try_divide(F.sum("won"), F.sum("p").cast("double") * F.sum("q")).alias("value"))
 
 
-def weighted_macro_auc(df: DataFrame) -> DataFrame:
-    """(reference_id, probs, weights) -> (replicate, value): the mean of the one-vs-rest AUCs that can be told."""
-    each = df.select("reference_id", "weights", F.posexplode("probs").alias("class_id", "score"))
-    own = weighted_auc(each.select("class_id", "score", (F.col("reference_id") == F.col("class_id")).alias("positive"), "weights"), ["class_id"])
-    return own.groupBy("replicate").agg(F.avg("value").alias("value"))
+def weighted_macro_auc(df: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """(by, reference_id, probs, weights or draws) -> (by, replicate, value): the mean of the one-vs-rest AUCs that can be told."""
+    each = df.select(*by, "reference_id", _weights_in(df), F.posexplode("probs").alias("class_id", "score"))
+    own = weighted_auc(each.select(*by, "class_id", "score", (F.col("reference_id") == F.col("class_id")).alias("positive"), _weights_in(df)), [*by, "class_id"])
+    return own.groupBy(*by, "replicate").agg(F.avg("value").alias("value"))
 
 
 def weighted_mean(df: DataFrame, column: str) -> DataFrame:
     """(replicate, value): the mean of a column of numbers in each replicate; its null rows are left out."""
+    name = _weights_in(df)
 
     def summed(batches):
         total = None
-        for batch in batches:
+        for batch in _slices(batches):
             if len(batch):
-                w = _matrix(batch["weights"]).astype(np.float64)
+                w = _matrix(batch[name]).astype(np.float64)
                 own = np.stack([batch[column].to_numpy(dtype=float) @ w, w.sum(0)])
                 total = own if total is None else total + own
         if total is not None:
             yield pd.DataFrame({"replicate": np.arange(total.shape[1]), "s": total[0], "n": total[1]})
 
-    own = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias(column), "weights")
+    own = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias(column), name)
     return own.mapInPandas(summed, "replicate int, s double, n double").groupBy("replicate").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("value"))
 
 
 def bootstrap(df: DataFrame, strata: list[str], key: str, replicates: int, seed: int, statistic, observed: DataFrame | None = None) -> DataFrame:
     """Interval of any statistic, resampling inside strata; replicates that can't be estimated are left out.
 
-    ``statistic``: rows with ``weights`` -> (replicate, value)."""
-    return interval(statistic(with_weights(df, strata, key, replicates, seed)).where("value IS NOT NULL"), observed)
+    ``statistic``: rows with ``draws`` -> (replicate, value)."""
+    return interval(statistic(with_draws(df, strata, key, replicates, seed)).where("value IS NOT NULL"), observed)
 
 
 def bootstrap_auc(df: DataFrame, replicates: int, seed: int, strata: list[str] = ["positive"]) -> DataFrame:  # noqa: B006
@@ -134,10 +171,17 @@ def bootstrap_auc(df: DataFrame, replicates: int, seed: int, strata: list[str] =
     return bootstrap(df, strata, "person_key", replicates, seed, weighted_auc, observed)
 
 
-def bootstrap_macro_auc(predictions: DataFrame, k: int, replicates: int, seed: int) -> DataFrame:
-    """Interval of the macro one-vs-rest AUC, resampling people inside their class."""
-    observed = M.one_vs_rest(predictions, k).agg(F.avg("auc").alias("observed"))
-    return bootstrap(predictions.select("person_key", "reference_id", "probs"), ["reference_id"], "person_key", replicates, seed, weighted_macro_auc, observed)
+def bootstrap_macro_auc(predictions: DataFrame, k: int, replicates: int, seed: int, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """Interval of the macro one-vs-rest AUC, resampling people inside their class.
+
+    With ``by``, one interval each of several predictions of the same people, for which people are drawn once."""
+    observed = M.one_vs_rest(predictions, k, by).groupBy(*by).agg(F.avg("auc").alias("observed"))
+    if not by:
+        return bootstrap(predictions.select("person_key", "reference_id", "probs"), ["reference_id"], "person_key", replicates, seed, weighted_macro_auc, observed)
+    people = predictions.groupBy("person_key", "reference_id").agg(F.collect_list(F.struct(*by, "probs")).alias("each"))
+    drawn = with_draws(people, ["reference_id"], "person_key", replicates, seed)
+    values = weighted_macro_auc(drawn.select("reference_id", "draws", F.explode("each").alias("x")).select("reference_id", "draws", "x.*"), by)
+    return interval(values.where("value IS NOT NULL"), observed, by)
 
 
 def permuted(df: DataFrame, stratum: str, key: str, target: str, seed: int) -> DataFrame:

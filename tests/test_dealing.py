@@ -77,3 +77,18 @@ def test_permuted_targets_keep_the_counts_of_their_strata(spark, monkeypatch, pi
             # any row is as likely as another to have the target
             assert abs((each[own] == y).mean(1) - n / own.sum()).max() < 0.25
     assert D.with_permutations(df.limit(0), ["s"], "key", "y", 3, 80, 2).count() == 0
+
+
+@pytest.mark.parametrize("most", [1, 3, 700])
+def test_coded_counts_round_trip(most):
+    own = np.random.default_rng(most).integers(0, most + 1, (600, 75)).astype("<u2")
+    own[5], own[6] = 0, 65535
+    assert (D.decoded(D.coded(own)) == own).all() and D.decoded([]).size == 0
+
+
+def test_draws_are_the_weights_in_an_eighth_of_the_bytes(spark):
+    df = spark.range(500).selectExpr("concat('k', id) AS key", "id % 2 AS a")
+    draws = {r.key: r.draws for r in D.with_draws(df, ["a"], "key", 2000, 9).collect()}
+    weights = {r.key: np.frombuffer(r.weights, "<u2") for r in D.with_weights(df, ["a"], "key", 2000, 9).collect()}
+    assert all((D.decoded([x])[0] == weights[k]).all() for k, x in draws.items())
+    assert sum(map(len, draws.values())) < 500 * 2000 * 2.1 / 8

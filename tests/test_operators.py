@@ -132,6 +132,19 @@ def test_bootstrap_weights_and_weighted_auc(spark, monkeypatch, piece):
     assert resampling.with_weights(df.limit(0), ["reference_id"], "person_key", 40, 3).count() == 0
 
 
+def test_several_predictions_share_one_draw_and_move_it_once(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"p{k}", k % 3, name, rng.random(3).tolist()) for k in range(60) for name in ("x", "y")]
+    df = spark.createDataFrame(rows, "person_key string, reference_id int, feature_set string, probs array<double>")
+    got = {r.feature_set: r for r in resampling.bootstrap_macro_auc(df, 3, 40, 3, ["feature_set"]).collect()}
+    for name in ("x", "y"):
+        one = resampling.bootstrap_macro_auc(df.where(F.col("feature_set") == name), 3, 40, 3).first()
+        assert [got[name][c] for c in ("low", "high", "replicates", "observed")] == pytest.approx([one[c] for c in ("low", "high", "replicates", "observed")])
+    own = resampling.with_draws(df.where("feature_set = 'x'"), ["reference_id"], "person_key", 40, 3)
+    plan = resampling.weighted_macro_auc(own)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan[plan.index("FlatMapGroupsInPandas") :]  # rows with weights aren't joined
+
+
 def test_thresholds_and_gates(spark):
     df = spark.createDataFrame(list(zip([False, False, False, True, True, True], [0.1, 0.2, 0.6, 0.7, 0.8, 0.9], strict=True)), "positive boolean, score double")
     assert tuple(gates.thresholds(df, 0.9).first()) == (0.7, 1.0, 1.0, True)
