@@ -24,7 +24,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays; groups are linked by a Jaccard similarity of five-word shingles of at least 4/5."""
+    """The document with the smallest id of each group stays. Candidates are linked by SimHash fingerprints and MinHash bands and judged by a Jaccard similarity of five-word shingles of at least 4/5."""
     return near_copies.deduplicated(docs)
 
 

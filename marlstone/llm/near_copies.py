@@ -9,8 +9,10 @@ over many tasks, which compare sketches of the sets (the least hash of each of `
 sketches agree in ``AGREED`` of the ranges that either set is in: a pair of similarity 4/5 agrees in fewer with a chance of
 3 in 10^8. A pair is judged in the first band that both are in. So texts that are close to many but similar to none make no candidates. Pairs whose sizes differ too much are left out.
 
-This is the near-duplicate stage of the pipeline beside ``simhash``: a similarity of 4/5 is about ten differing bits of 64,
-a radius at which a vantage-point tree prunes nothing and which far less similar texts are within.
+This is the near-duplicate stage of the pipeline. Its first candidates are those of ``simhash``: fingerprints of all texts linked
+through the vantage-point tree, each set with the first of its component, judged by their exact similarity like all others. But a similarity of
+4/5 is about ten differing bits of 64, a radius at which a vantage-point tree prunes nothing and which far less similar texts are
+within, so what fingerprints within its radius can't link comes from the bands.
 
 Defined cases: null or blank texts have no shingle and are copies of each other; a text with fewer words than a shingle
 is one shingle; a very long text's shingles are held in memory once per text. Rows are judged by their own text, whatever
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, simhash
 from .components import components
 
 SHINGLE, SEED, BANDS, ROWS = 5, 42, 24, 5
@@ -95,16 +97,26 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _marked(texts: DataFrame) -> DataFrame:
-    """(doc_id, digest of the text, key of the shingle set, n, bands, sketch) of every text."""
+    """(doc_id, digest of the text, key of the shingle set, n, bands, sketch, fp: SimHash fingerprint) of every text."""
 
     def made(batches):
         for batch in common.slices(batches, "text", TEXT_BYTES):
-            sets = [shingles(x) for x in common.as_bytes(batch.column("text"))]
+            texts = common.as_bytes(batch.column("text"))
+            sets = [shingles(x) for x in texts]
             columns = [pa.array([key_of(x) for x in sets], type=pa.int64()), pa.array([len(x) for x in sets], type=pa.int64()), pa.array([bands(x).tobytes() for x in sets], type=pa.binary())]
-            columns.append(pa.array([sketch(x) for x in sets], type=pa.binary()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), *columns], names=["doc_id", "digest", "key", "n", "bands", "sketch"])
+            columns += [pa.array([sketch(x) for x in sets], type=pa.binary()), pa.array(simhash.fingerprints(texts).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), *columns], names=["doc_id", "digest", "key", "n", "bands", "sketch", "fp"])
+
+    return common.written(texts.mapInArrow(made, "doc_id long, digest long, key long, n long, bands binary, sketch binary, fp long"), "marked")
+
 
-    return common.written(texts.mapInArrow(made, "doc_id long, digest long, key long, n long, bands binary, sketch binary"), "marked")
+def _close_fingerprints(distinct: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b): each set with the first of those that the vantage-point tree of ``simhash`` links with it, if sizes allow."""
+    roots = components(simhash.links(distinct.select("fp").distinct()))
+    named = common.written(distinct.select("key", "n", "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("key", "n", F.coalesce("root", "fp").alias("fp")), "close")
+    first = named.groupBy("fp").agg(F.min(F.struct("key", "n")).alias("c"))
+    near = (F.col("key") != F.col("c.key")) & (5 * F.least("n", "c.n") >= 4 * F.greatest("n", "c.n"))
+    return named.join(first, "fp").where(near).select(F.least("key", "c.key").alias("a"), F.greatest("key", "c.key").alias("b"))
 
 
 def _whole(batches, names) -> list[np.ndarray] | None:
@@ -227,10 +239,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text")).withColumn("digest", F.xxhash64("text"))
     marked = _marked(texts)
     rep = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
-    distinct = common.written(marked.groupBy("key").agg(F.min(rep).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "distinct")
+    distinct = common.written(marked.groupBy("key").agg(F.min(rep).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.min("fp").alias("fp")), "distinct")
     met = _meetings(distinct)
     large = met.where("b IS NULL").select("a", "band", "n", "held")
-    pairs, many = met.where("b IS NOT NULL").select("a", "b"), not large.isEmpty()
+    pairs, many = met.where("b IS NOT NULL").select("a", "b").unionByName(_close_fingerprints(distinct)), not large.isEmpty()
     links = _verified(pairs.unionByName(_with_centres(large)) if many else pairs, distinct, texts)
     roots = components(links)
     if many:

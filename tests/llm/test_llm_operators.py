@@ -932,3 +932,17 @@ def test_pipeline_drops_near_copies_that_fingerprints_miss(spark):
     assert (plain_fingerprint(" ".join(own)) ^ plain_fingerprint(far)).bit_count() > 2
     df = spark.createDataFrame([(1, " ".join(own)), (2, far)], "doc_id long, text string")
     assert [r.doc_id for r in corpus_pipeline.without_near_copies(spark, df, "").collect()] == [1]
+
+
+def test_pipeline_links_fingerprints_through_the_tree(spark, monkeypatch):
+    from marlstone.llm import simhash
+
+    own = [f"w{k}" for k in range(900)]
+    near = " ".join(own[:-1])
+    assert 0 < (plain_fingerprint(" ".join(own)) ^ plain_fingerprint(near)).bit_count() <= 2
+    df = spark.createDataFrame([(1, " ".join(own)), (2, near), (3, "other words")], "doc_id long, text string")
+    asked, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda distinct, *rest: asked.append(distinct.count()) or links(distinct, *rest))
+    # without bands the fingerprints alone find the pair
+    monkeypatch.setattr(near_copies, "_meetings", lambda distinct: spark.createDataFrame([], "a long, b long, band long, n long, held long"))
+    assert {r.doc_id: r.component_id for r in near_copies.near_copies(df).collect()} == {1: 1, 2: 1, 3: 3} and asked == [3]
