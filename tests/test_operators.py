@@ -452,3 +452,42 @@ def test_targets_of_one_source_are_not_ranked_in_one_group(spark):
     got = {(r.action, r.target, r.source) for r in plan.collect()}
     assert got == {("matched", "t0", "s"), ("rename", "t0", "s"), ("ambiguous", "t5", "s"), ("unmatched", "u", None)} | {("source_taken", f"t{k}", "s") for k in range(1, 20) if k != 5}
     assert "Window" not in plan._jdf.queryExecution().toString()
+
+
+def test_bitmaps_of_long_payloads_take_linear_time(spark):
+    import time
+
+    from marlstone.sources import bitmaps
+
+    def took(size):
+        payload, height = F.encode(F.repeat(F.lit("a"), size), "UTF-8"), F.lit(-(-size // 90)).cast("int")
+        own = spark.range(1).select(bitmaps.bitmap(F.concat(payload, F.encode((F.col("id") + 1).cast("string"), "UTF-8")), F.lit(30), height + 1).alias("content"))
+        began = time.perf_counter()
+        content = bytes(own.first().content)
+        return time.perf_counter() - began, content
+
+    took(900)
+    seconds, content = took(1_000_000)
+    assert len(content) == 54 + 92 * (-(-1_000_000 // 90) + 1)
+    rows = [content[54 + k : 54 + k + 90] for k in range(0, len(content) - 54, 92)]
+    assert b"".join(rows).rstrip(b"\x00") == b"a" * 1_000_000 + b"1"
+    assert seconds < 20
+
+
+def test_small_files_share_tasks_and_the_setting_comes_back(spark, tmp_path):
+    for k in range(100):
+        (tmp_path / f"{k}.png").write_bytes(png(np.full((2, 2, 3), k, dtype=np.uint8)))
+    name = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(name)
+    with pixels.small_files(spark):
+        parts = spark.read.format("binaryFile").load(str(tmp_path)).rdd.getNumPartitions()
+        taken = pixels.sampled_files(spark, str(tmp_path), F.col("path"), 7)
+    assert parts <= 4 and spark.conf.get(name) == before
+    assert taken == sorted((f"file:{tmp_path}/{k}.png" for k in range(100)), key=lambda p: hashlib.sha256(p.encode()).hexdigest())[:7]
+
+
+def test_strip_statistics_move_no_pixels(spark, tmp_path):
+    (tmp_path / "x.png").write_bytes(png(np.full((20, 30, 3), 9, dtype=np.uint8)))
+    boxed = pixels.read_images(spark, str(tmp_path)).select("*", F.lit(6).alias("left"), F.lit(4).alias("top"), F.lit(24).alias("right"), F.lit(16).alias("bottom"))
+    plan = pixels.strip_statistics(boxed)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
