@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from marlstone.functions import rings
+
 
 def _xs(p: Column) -> Column:
     return F.transform(p, lambda q: F.element_at(q, 1))
@@ -92,19 +96,22 @@ def letterbox(width: Column, height: Column, size: int) -> dict[str, Column]:
     return {"scale": scale, "new_width": new_w, "new_height": new_h, "left": half(F.lit(size) - new_w), "top": half(F.lit(size) - new_h)}
 
 
-def self_crossing(p: Column) -> Column:
-    """Whether two edges without a common point cross each other. Edges that only touch don't count."""
-    n = F.size(p)
-    edges = F.zip_with(p, F.concat(F.slice(p, F.lit(2), n), F.slice(p, 1, 1)), lambda a, b: F.struct(F.element_at(a, 1).alias("ax"), F.element_at(a, 2).alias("ay"), F.element_at(b, 1).alias("bx"), F.element_at(b, 2).alias("by")))
-    numbered = F.transform(edges, lambda e, i: F.struct(e.alias("e"), i.alias("i")))
+def _of_rings(returned: str, make, find):
+    """A column function of polygons: ``find`` gives the values of many rings of as many points; null stays null."""
+
+    def run(polygons: pa.Array) -> pa.Array:
+        out, known = make(len(polygons)), np.zeros(len(polygons), dtype=bool)
+        for rows, points in rings.rings(polygons):
+            out[rows], known[rows] = find(points), True
+        return pa.array(out, mask=~known)
 
-    def side(e, x, y):
-        return F.signum((e["bx"] - e["ax"]) * (y - e["ay"]) - (e["by"] - e["ay"]) * (x - e["ax"]))
+    called = F.arrow_udf(run, returned)
+    return lambda p: called(p.cast("array<array<double>>"))
 
-    def cross(a, b):
-        return (side(a, b["ax"], b["ay"]) * side(a, b["bx"], b["by"]) < 0) & (side(b, a["ax"], a["ay"]) * side(b, a["bx"], a["by"]) < 0)
 
-    return F.exists(numbered, lambda u: F.exists(numbered, lambda v: (v["i"] > u["i"] + 1) & cross(u["e"], v["e"])))
+def self_crossing(p: Column) -> Column:
+    """Whether two edges without a common point cross each other. Edges that only touch don't count."""
+    return _of_rings("boolean", lambda n: np.zeros(n, dtype=bool), rings.crossing)(p)
 
 
 def without_repeats(p: Column) -> Column:
@@ -116,37 +123,18 @@ def without_repeats(p: Column) -> Column:
 def self_touching(p: Column) -> Column:
     """Whether a ring comes back to one of its own points without two edges crossing each other there: edges that aren't neighbours have
     a point in common, or an edge goes back over its neighbour."""
-
-    def touching(ring: Column) -> Column:
-        n = F.size(ring)
-        edges = F.zip_with(ring, F.concat(F.slice(ring, F.lit(2), n), F.slice(ring, 1, 1)), lambda a, b: F.struct(F.element_at(a, 1).alias("ax"), F.element_at(a, 2).alias("ay"), F.element_at(b, 1).alias("bx"), F.element_at(b, 2).alias("by")))
-        numbered = F.transform(edges, lambda e, i: F.struct(e.alias("e"), i.alias("i")))
-
-        def on(e, x, y):
-            level = (e["bx"] - e["ax"]) * (y - e["ay"]) == (e["by"] - e["ay"]) * (x - e["ax"])
-            return level & (x >= F.least(e["ax"], e["bx"])) & (x <= F.greatest(e["ax"], e["bx"])) & (y >= F.least(e["ay"], e["by"])) & (y <= F.greatest(e["ay"], e["by"]))
-
-        def meet(u, v):
-            a, b = u["e"], v["e"]
-            ends = [on(a, b["ax"], b["ay"]), on(a, b["bx"], b["by"]), on(b, a["ax"], a["ay"]), on(b, a["bx"], a["by"])]
-            after, around = v["i"] == u["i"] + 1, (u["i"] == 0) & (v["i"] == n - 1)
-            # neighbours have one end in common
-            return F.when(after & around, F.lit(True)).when(after, ends[1] | ends[2]).when(around, ends[0] | ends[3]).otherwise(ends[0] | ends[1] | ends[2] | ends[3])
-
-        return F.exists(numbered, lambda u: F.exists(numbered, lambda v: (v["i"] > u["i"]) & meet(u, v)))
-
-    return _let(without_repeats(p), touching) & ~self_crossing(p)
+    return _of_rings("boolean", lambda n: np.zeros(n, dtype=bool), lambda q: rings.touching(q) & ~rings.crossing(q))(p)
 
 
 def ring_kind(p: Column) -> Column:
     """``simple``, ``touching`` or ``crossing``; null under three points or without an extent."""
-    some = (F.size(p) >= 3) & (F.size(without_repeats(p)) >= 3)
-    return F.when(some, F.when(self_crossing(p), "crossing").when(self_touching(p), "touching").otherwise("simple"))
+    kind = _of_rings("tinyint", lambda n: np.zeros(n, dtype=np.int8), rings.kinds)(p)
+    return F.when(kind == 3, "crossing").when(kind == 2, "touching").when(kind == 1, "simple")
 
 
 def originally_valid(p: Column) -> Column:
     """At least three points, an area, and edges that meet only their neighbours, at the ends they share."""
-    return F.coalesce((F.size(p) >= 3) & (area(p) > 0) & (ring_kind(p) == "simple"), F.lit(False))
+    return F.coalesce(_of_rings("boolean", lambda n: np.zeros(n, dtype=bool), lambda q: (rings.shoelace(q) > 0) & (rings.kinds(q) == 1))(p), F.lit(False))
 
 
 def _edges(p: Column) -> Column:
@@ -202,4 +190,4 @@ def common_area(a: Column, b: Column) -> Column:
 
 def repaired_area(p: Column) -> Column:
     """Area after repair of a ring that crosses or touches itself: what the even-odd rule takes for inside."""
-    return F.when(self_crossing(p) | self_touching(p), common_area(p, p)).otherwise(area(p))
+    return _of_rings("double", np.zeros, rings.repaired)(p)

@@ -491,3 +491,44 @@ def test_strip_statistics_move_no_pixels(spark, tmp_path):
     boxed = pixels.read_images(spark, str(tmp_path)).select("*", F.lit(6).alias("left"), F.lit(4).alias("top"), F.lit(24).alias("right"), F.lit(16).alias("bottom"))
     plan = pixels.strip_statistics(boxed)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_rings_are_judged_in_batches_as_one_by_one(spark):
+    rng = np.random.default_rng(5)
+    polygons = [rng.integers(0, 6, (n, 2)).astype(float).tolist() for n in (3, 4, 5, 6, 9) for _ in range(40)] + [[], [[1.0, 1.0]], None]
+    df = spark.createDataFrame(list(enumerate(polygons)), "k int, p array<array<double>>")
+    own = df.select("k", geometry.self_crossing(F.col("p")).alias("crossing"), geometry.repaired_area(F.col("p")).alias("area"), geometry.ring_kind(F.col("p")).alias("kind"))
+    assert "ArrowEvalPython" in own._jdf.queryExecution().executedPlan().toString()
+
+    def side(a, b, q):
+        return np.sign((b[0] - a[0]) * (q[1] - a[1]) - (b[1] - a[1]) * (q[0] - a[0]))
+
+    for r in own.collect():
+        p = polygons[r.k]
+        if p is None:
+            assert (r.crossing, r.area, r.kind) == (None, None, None)
+            continue
+        edges = list(zip(p, p[1:] + p[:1], strict=True))
+        crossing = any(side(*e, f[0]) * side(*e, f[1]) < 0 and side(*f, e[0]) * side(*f, e[1]) < 0 for k, e in enumerate(edges) for f in edges[k + 2 :])
+        assert r.crossing == crossing and (r.kind == "crossing" or not crossing or r.kind is None)
+        if r.kind == "simple":
+            assert abs(r.area - abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in edges)) / 2) < 1e-9
+        elif len(p) >= 3:  # the even-odd rule, by widths of fine scan lines
+            ys, width = (np.arange(6 * 840) + 0.5) / 840, 0.0
+            for y in ys:
+                xs = sorted(a[0] + (y - a[1]) * (b[0] - a[0]) / (b[1] - a[1]) for a, b in edges if (a[1] <= y) != (b[1] <= y))
+                width += sum(xs[1::2]) - sum(xs[::2])
+            assert abs(r.area - width / 840) < 0.01
+    from marlstone.functions import rings
+
+    star = np.array([[np.cos(4 * np.pi * k / 5), np.sin(4 * np.pi * k / 5)] for k in range(5)])
+    assert abs(rings.even_odd_area(star) - rings.even_odd_areas(star[None])[0]) < 1e-12
+
+
+@pytest.mark.parametrize(("name", "moved"), [("d14_mask_dice", 1), ("d17_mean_dice", 2), ("d9_polygon_validity", 1), ("d7_polygon_masks", 2)])
+def test_line_items_move_once_and_without_polygons(spark, name, moved):
+    from marlstone.plans import registry
+
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == moved
+    assert "array(" not in plan[plan.index("Window [row_number()") :]
