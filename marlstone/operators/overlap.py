@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from marlstone.functions import rings
 from marlstone.functions.geometry import clipped_at, common_area
 from marlstone.sources.tables import written
 
@@ -67,42 +71,48 @@ def box_iou(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     return own.select("image_id", F.col("a_object_id").alias("pred_id"), F.col("b_object_id").alias("gt_id"), (F.col("o") / (size("a") + size("b") - F.col("o"))).alias("iou"))
 
 
-def box_spans(objects: DataFrame) -> DataFrame:
-    """Boxes of whole numbers as spans: image_id, object_id, y, x0, x1 (half open)."""
+def box_spans(objects: DataFrame, keep: list[str] = []) -> DataFrame:  # noqa: B006
+    """Boxes of whole numbers as spans: image_id, object_id, ``keep``, y, x0, x1 (half open)."""
     rows = F.explode(F.sequence(F.col("by1").cast("int"), F.col("by2").cast("int") - 1))
-    return objects.select("image_id", "object_id", rows.alias("y"), F.col("bx1").cast("long").alias("x0"), F.col("bx2").cast("long").alias("x1"))
+    return objects.select("image_id", "object_id", *keep, rows.alias("y"), F.col("bx1").cast("long").alias("x0"), F.col("bx2").cast("long").alias("x1"))
 
 
 def polygon_spans(objects: DataFrame) -> DataFrame:
     """Even-odd filling at pixel centres: the crossings of each scan line, sorted and paired; empty spans go."""
-    n = F.size("polygon")
-    edges = F.zip_with("polygon", F.concat(F.slice("polygon", F.lit(2), n), F.slice("polygon", 1, 1)), lambda a, b: F.struct(F.element_at(a, 1).alias("x1"), F.element_at(a, 2).alias("y1"), F.element_at(b, 1).alias("x2"), F.element_at(b, 2).alias("y2")))
-    ys = F.transform("polygon", lambda p: F.element_at(p, 2))
-    own = objects.where(n >= 3).withColumn("__e", edges).select("image_id", "object_id", "__e", F.explode(F.sequence(F.floor(F.array_min(ys)).cast("int"), F.ceil(F.array_max(ys)).cast("int"))).alias("y"))
-    c = F.col("y") + 0.5
-    hits = F.filter("__e", lambda e: (e["y1"] <= c) != (e["y2"] <= c))
-    xs = F.array_sort(F.transform(hits, lambda e: e["x1"] + (c - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"])))
-    pairs = F.transform(F.filter(F.transform(xs, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: s["i"] % 2 == 0), lambda s: F.struct(F.ceil(s["x"] - 0.5).alias("x0"), F.ceil(F.element_at(xs, s["i"] + 2) - 0.5).alias("x1")))
-    return own.select("image_id", "object_id", "y", F.explode(pairs).alias("s")).select("image_id", "object_id", "y", F.col("s.x0").cast("long").alias("x0"), F.col("s.x1").cast("long").alias("x1")).where("x1 > x0")
-
-
-def merged_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
-    """The union of the spans of a scan line, as disjoint spans."""
-    w = W.partitionBy(*keys, "y").orderBy("x0", "x1")
-    reach = F.max("x1").over(w.rowsBetween(W.unboundedPreceding, -1))
-    marked = spans.withColumn("__new", F.when(F.col("x0") <= reach, 0).otherwise(1))
-    island = marked.withColumn("__k", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return island.groupBy(*keys, "y", "__k").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("__k")
+
+    def run(batches):
+        for batch in batches:
+            for rows, points in rings.rings(batch.column("polygon")):
+                for ring, y, x0, x1 in rings.spans(points):
+                    at = pa.array(rows[ring])
+                    yield pa.RecordBatch.from_arrays([batch.column("image_id").take(at), batch.column("object_id").take(at), pa.array(y.astype(np.int32)), pa.array(x0), pa.array(x1)], names=names)
+
+    names = ["image_id", "object_id", "y", "x0", "x1"]
+    own = objects.where(F.size("polygon") >= 3).select("image_id", "object_id", F.col("polygon").cast("array<array<double>>").alias("polygon"))
+    keys = [own.schema[c] for c in names[:2]]
+    return own.mapInArrow(run, T.StructType([*keys, T.StructField("y", T.IntegerType()), T.StructField("x0", T.LongType()), T.StructField("x1", T.LongType())]))
+
+
+def mask_scores(spans: DataFrame, keys: list[str], smooth: float = 1e-5) -> DataFrame:
+    """Dice and IoU per key of the two masks of spans (keys, y, x0, x1, predicted); spans of a mask may overlap.
+
+    A scan line is swept once along the ends of its spans, counting how many of each mask are open; so rows that are already together
+    by image aren't moved again."""
+    side = F.when(F.col("predicted"), 1).otherwise(0)
+    ends = F.explode(F.array(F.struct(F.col("x0").alias("x"), side.alias("p"), (1 - side).alias("g")), F.struct(F.col("x1").alias("x"), (-side).alias("p"), (side - 1).alias("g")))).alias("e")
+    w = W.partitionBy(*keys, "y").orderBy("x")
+    so_far = w.rowsBetween(W.unboundedPreceding, W.currentRow)
+    swept = spans.select(*keys, "y", ends).select(*keys, "y", "e.*").select(*keys, F.coalesce(F.lead("x").over(w) - F.col("x"), F.lit(0)).alias("dx"), (F.sum("p").over(so_far) > 0).alias("p"), (F.sum("g").over(so_far) > 0).alias("g"))
+    length = lambda open_: F.sum(F.when(open_, F.col("dx")).otherwise(0))
+    own = swept.groupBy(*keys).agg(length(F.col("p") & F.col("g")).alias("i"), length(F.col("p")).alias("p"), length(F.col("g")).alias("g"))
+    i, p, g = F.col("i"), F.col("p"), F.col("g")
+    return own.select(*keys, ((2 * i + smooth) / (p + g + smooth)).alias("dice"), ((i + smooth) / (p + g - i + smooth)).alias("iou"))
 
 
 def dice(predicted: DataFrame, truth: DataFrame, keys: list[str], smooth: float = 1e-5) -> DataFrame:
     """Dice and IoU of two masks per key."""
-    a, b = merged_spans(predicted, keys), merged_spans(truth, keys)
-    size = lambda df, n: df.groupBy(*keys).agg(F.sum(F.col("x1") - F.col("x0")).alias(n))
-    both = a.join(b.select(*keys, "y", F.col("x0").alias("u0"), F.col("x1").alias("u1")), [*keys, "y"]).groupBy(*keys).agg(F.sum(F.greatest(F.lit(0), F.least("x1", "u1") - F.greatest("x0", "u0"))).alias("i"))
-    own = size(a, "p").join(size(b, "g"), keys, "full").join(both, keys, "left").na.fill(0, ["p", "g", "i"])
-    i, p, g = F.col("i"), F.col("p"), F.col("g")
-    return own.select(*keys, ((2 * i + smooth) / (p + g + smooth)).alias("dice"), ((i + smooth) / (p + g - i + smooth)).alias("iou"))
+    one = lambda df, side: df.select(*keys, "y", "x0", "x1", F.lit(side).alias("predicted"))
+    return mask_scores(one(predicted, True).unionByName(one(truth, False)), keys, smooth)
 
 
 #: Pairs that one pass in order is enough for.

@@ -19,16 +19,19 @@ NAMES = ["骨皮质", "积液", "腘窝囊肿", "髌骨前浅筋膜", "髌前浅
 
 def objects(spark, d):
     """One row per line item: an object of its order's image."""
-    li = B.table(spark, d, "lineitem")
+    # numbered first: what moves is a few numbers of a line item, and the polygon is made where they are
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    li = A.numbered(B.table(spark, d, "lineitem").select("l_orderkey", *order), "l_orderkey", order, "object_id")
     pick = lambda values, n: F.element_at(F.array(*(F.lit(v) for v in values)), (n % len(values) + 1).cast("int"))
     x0, y0 = (F.col("l_linenumber") * 10).cast("double"), F.floor("l_quantity").cast("double")
     w, h = (1 + F.col("l_partkey") % 20).cast("double"), (1 + F.col("l_suppkey") % 15).cast("double")
     points = F.array(F.array(x0, y0), F.array(x0 + w, y0), F.array(x0 + w, y0 + h), F.array(x0, y0 + h))
     polygon = F.when(F.col("l_partkey") % 5 == 0, F.slice(points, 1, 3)).otherwise(points)
     raw = F.concat(pick(PREFIXES, F.col("l_partkey")), pick(NAMES, F.col("l_suppkey")))
-    own = li.select(F.col("l_orderkey").alias("image_id"), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", raw.alias("raw"), polygon.alias("polygon"), F.array(x0, y0, x0 + w + (F.col("l_partkey") % 4).cast("double"), y0 + h).alias("bbox"), F.when(F.col("l_partkey") % 7 > 0, w * h).alias("area"))
-    own = A.numbered(own, "image_id", ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"], "object_id")
-    return own.select("image_id", "object_id", "raw", "polygon", "bbox", "area", L.fixed(F.col("raw")).alias("category"))
+    return li.select(
+        F.col("l_orderkey").alias("image_id"), "object_id", raw.alias("raw"), polygon.alias("polygon"), F.array(x0, y0, x0 + w + (F.col("l_partkey") % 4).cast("double"), y0 + h).alias("bbox"),
+        F.when(F.col("l_partkey") % 7 > 0, w * h).alias("area"), L.fixed(raw).alias("category"),
+    )
 
 
 def images(spark, d):
@@ -208,8 +211,8 @@ SPANS = f"{W_OBJ}, r AS (SELECT * FROM obj WHERE NOT tri), a AS (SELECT * FROM r
  SELECT image_id, round((2 * sum(p * g) + 1e-5) / (sum(p) + sum(g) + 1e-5), 6) AS dice, round((sum(p * g) + 1e-5) / (sum(p) + sum(g) - sum(p * g) + 1e-5), 6) AS iou FROM n GROUP BY image_id""")
 def mask_dice(spark, d):
     own = A.with_box(objects(spark, d).where(F.size("polygon") == 4))
-    spans = O.box_spans(own)
-    return B.rounded(O.dice(spans.where("object_id % 2 = 1"), spans.where("object_id % 2 = 0"), ["image_id"]))
+    spans = O.box_spans(own).withColumn("predicted", F.col("object_id") % 2 == 1)
+    return B.rounded(O.mask_scores(spans, ["image_id"]))
 
 
 @book("d15_greedy_matches", f"""WITH RECURSIVE {SPANS.removeprefix("WITH ")}, pairs AS (SELECT a.image_id, a.object_id AS pred_id, b.object_id AS gt_id, ov / (a.w * a.h + b.w * b.h - ov) AS iou FROM (SELECT a, b, greatest(0, least(a.x0 + a.w, b.x0 + b.w) - greatest(a.x0, b.x0)) * greatest(0, least(a.y0 + a.h, b.y0 + b.h) - greatest(a.y0, b.y0)) AS ov FROM a JOIN b ON a.image_id = b.image_id)),
@@ -321,8 +324,8 @@ def match_summary(spark, d):
  i AS (SELECT image_id, category, (2 * sum(p * g) + 1e-5) / (sum(p) + sum(g) + 1e-5) AS dice, (sum(p * g) + 1e-5) / (sum(p) + sum(g) - sum(p * g) + 1e-5) AS iou FROM n GROUP BY ALL) SELECT category, round(avg(dice), 6) AS dice, round(avg(iou), 6) AS iou, count(*) AS images FROM i GROUP BY category""")
 def mean_dice(spark, d):
     own = A.with_box(objects(spark, d).where(F.size("polygon") == 4))
-    spans = O.box_spans(own).join(own.select("image_id", "object_id", "category"), ["image_id", "object_id"])
-    scores = O.dice(spans.where("object_id % 2 = 1"), spans.where("object_id % 2 = 0"), ["image_id", "category"])
+    spans = O.box_spans(own, ["category"]).withColumn("predicted", F.col("object_id") % 2 == 1)
+    scores = O.mask_scores(spans, ["image_id", "category"])
     return B.rounded(O.mean_over_images(scores))
 
 
