@@ -11,11 +11,14 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from marlstone.sources.tables import shared_folder
 
 OUTPUT = "run string, id long, fired boolean"
+#: Samples of a span of time that is replayed.
+SPAN = 250_000
 STATE = "since double, last double, ats array<double>, ids array<long>, values array<double>"
 
 
@@ -55,26 +58,31 @@ def sustained_by_watermark(samples: DataFrame, limit: float, seconds: float, del
     return timed.groupBy("run").applyInPandasWithState(update, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def replayed(table: DataFrame, parts: int, folder: str) -> float:
-    """Writes (run, id, ts, value) into a folder of files as ``parts`` spans of time, one after the other, and a last sample of each
-    run that closes it; returns the seconds of a span. Inside a span, files and rows have no order."""
+def replayed(table: DataFrame, parts: int, folder: str, files: int = 4) -> float:
+    """Writes (run, id, ts, value) into a folder of files as ``parts`` spans of time, one after the other, of ``files`` files each, and a last sample of
+    each run that closes it; returns the seconds of a span. Inside a span, files and rows have no order. The table is read once; a span reads only its own rows."""
+    spark = table.sparkSession
     low, high = table.agg(F.min(F.col("ts").cast("double")), F.max(F.col("ts").cast("double"))).first()
     span = max(1.0, ((high or 0.0) - (low or 0.0)) / parts)
     at = F.least(F.floor((F.col("ts").cast("double") - F.lit(low)) / span), F.lit(parts - 1))
+    dealt = f"{shared_folder(spark)}/spans"
+    table.where(F.col("ts").isNotNull()).withColumn("part", at.cast("int")).repartition("part").write.partitionBy("part").parquet(dealt)
+    spans = spark.read.schema(T.StructType([*table.schema, T.StructField("part", T.IntegerType())])).parquet(dealt)
     for k in range(parts):
-        table.where(at == k).write.mode("append").parquet(folder)
+        spans.where(F.col("part") == k).drop("part").repartition(files).write.mode("append").parquet(folder)
     end = F.timestamp_seconds(F.lit((high or 0.0) + 3 * span))
     table.select("run").distinct().select("run", F.lit(None).cast("long").alias("id"), end.alias("ts"), F.lit(None).cast("double").alias("value")).write.mode("append").parquet(folder)
     return span
 
 
-def drained(table: DataFrame, limit: float, seconds: float, parts: int = 4, files: int = 4) -> DataFrame:
+def drained(table: DataFrame, limit: float, seconds: float, parts: int | None = None, files: int = 4) -> DataFrame:
     """The stream over ``table``'s spans of time, run until nothing is left: (run, id, fired) of every sample with a time.
 
-    The watermark stays one span behind, as that is how far samples of a span can be out of order."""
+    The watermark stays one span behind, as that is how far samples of a span can be out of order. A run's samples of two spans are
+    held at once, so by default spans have about ``SPAN`` samples, and there are more of them in a larger table."""
     spark, folder = table.sparkSession, shared_folder(table.sparkSession)
     own = table.select("run", F.col("id").cast("long").alias("id"), "ts", F.col("value").cast("double").alias("value"))
-    span = replayed(own, parts, f"{folder}/samples")
+    span = replayed(own, parts or max(4, -(-own.count() // SPAN)), f"{folder}/samples", files)
     stream = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/samples")
     finished(sustained_by_watermark(stream, limit, seconds, span), folder)
     return spark.read.schema(OUTPUT).parquet(f"{folder}/fired").where("id IS NOT NULL")

@@ -532,3 +532,32 @@ def test_line_items_move_once_and_without_polygons(spark, name, moved):
     plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == moved
     assert "array(" not in plan[plan.index("Window [row_number()") :]
+
+
+def test_spans_of_a_replayed_stream_grow_in_number(spark, monkeypatch):
+    import glob
+
+    from marlstone.streaming import watermarked
+
+    rows = [("a" if k % 3 else "b", k, float(7 * k), 60.0 if k % 5 else 10.0) for k in range(200)]
+    own = spark.createDataFrame(rows, "run string, id long, at double, value double").select("run", "id", F.timestamp_seconds("at").alias("ts"), "value")
+    folders, before = [], watermarked.shared_folder
+    monkeypatch.setattr(watermarked, "shared_folder", lambda s: folders.append(before(s)) or folders[-1])
+    monkeypatch.setattr(watermarked, "SPAN", 20, raising=False)
+    got = {(r.run, r.id): r.fired for r in watermarked.drained(own, 50.0, 20.0).collect()}
+    batches = len(glob.glob(folders[0].removeprefix("file://") + "/state/commits/[0-9]*"))
+    assert batches >= 10 and len(got) == 200 and any(got.values())
+
+
+@pytest.mark.parametrize("name", ["a13_detection_export", "a14_polygon_text"])
+def test_exports_do_not_move_objects_by_category(spark, name):
+    from marlstone.plans import registry
+
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "20000")
+    try:
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    assert "hashpartitioning(category" not in plan
