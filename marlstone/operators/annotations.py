@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import geometry as G
 from marlstone.functions import labels as L
 from marlstone.functions.draws import running_sums
+from marlstone.sources.tables import written
 
 DOCUMENT = "struct<objects: array<struct<object_id: int, category: string, segmentation: array<array<double>>, bbox: array<double>, area: double>>>"
 
@@ -149,19 +150,22 @@ def _positions(df: DataFrame, key: str, name: str, width: int = 10_000) -> DataF
 
 
 def detection_rows(images: DataFrame, objects: DataFrame, categories: DataFrame) -> DataFrame:
-    """One row per object with running ids over the split; image numbers are places among all images."""
-    places = _positions(images, "image_id", "image_no")
-    kept = objects.where(F.size("polygon") >= 3).join(categories, "category").join(images.select("image_id"), "image_id", "left_semi")
+    """One row per object with running ids over the split; image numbers are places among all images.
+
+    An image's place and the number of objects before it are summed together, so objects meet one small table."""
+    # written, so that Spark knows how few categories are and leaves the objects where they are
+    kept = objects.where(F.size("polygon") >= 3).join(written(categories, "categories"), "category")
     counts = kept.groupBy("image_id").agg(F.count("*").alias("__n"))
-    before = running_sums(counts, [], "image_id", F.floor(F.col("image_id") / 10_000), ["__n"]).select("image_id", "before___n")
-    own = with_box(kept).join(before, "image_id").join(places, "image_id")
+    own = images.select("image_id").join(counts, "image_id", "left").select("image_id", F.coalesce("__n", F.lit(0)).alias("__n"), F.lit(1).alias("__one"))
+    places = running_sums(own, [], "image_id", F.floor(F.col("image_id") / 10_000), ["__one", "__n"]).where("__n > 0")
+    own = with_box(kept).join(places.select("image_id", "before___one", "before___n"), "image_id")
     order = F.row_number().over(W.partitionBy("image_id").orderBy("object_id"))
-    return own.select((F.col("before___n") + order).alias("annotation_id"), "image_no", "category_id", G.area(F.col("polygon")).alias("area"), F.col("bx1").alias("x"), F.col("by1").alias("y"), (F.col("bx2") - F.col("bx1")).alias("w"), (F.col("by2") - F.col("by1")).alias("h"), F.lit(0).alias("iscrowd"))
+    return own.select((F.col("before___n") + order).alias("annotation_id"), (F.col("before___one") + 1).alias("image_no"), "category_id", G.area(F.col("polygon")).alias("area"), F.col("bx1").alias("x"), F.col("by1").alias("y"), (F.col("bx2") - F.col("bx1")).alias("w"), (F.col("by2") - F.col("by1")).alias("h"), F.lit(0).alias("iscrowd"))
 
 
 def polygon_text(images: DataFrame, objects: DataFrame, categories: DataFrame) -> DataFrame:
     """One text per image: a line of class id and normalised points per object, empty where there is none."""
-    own = objects.join(categories, "category").join(images.select("image_id", "width", "height"), "image_id")
+    own = objects.join(written(categories, "categories"), "category").join(images.select("image_id", "width", "height"), "image_id")
     share = lambda v, n: F.format_string("%.6f", F.least(F.greatest(v / F.col(n), F.lit(0.0)), F.lit(1.0)))
     points = F.flatten(F.transform("polygon", lambda p: F.array(share(F.element_at(p, 1), "width"), share(F.element_at(p, 2), "height"))))
     lines = own.select("image_id", "object_id", F.concat_ws(" ", F.col("category_id").cast("string"), F.array_join(points, " ")).alias("line"))
