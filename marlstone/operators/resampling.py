@@ -299,20 +299,20 @@ def _in_score_pieces(df: DataFrame, score: str) -> DataFrame:
     own = placed(df.groupBy(score).agg(F.count("*").alias("__n")), [], score, ["__n"])
     hot = F.col("__n") > PIECE
     own = own.select(score, (F.floor(F.col("before___n") / PIECE) * 2 + hot.cast("long")).alias("__piece"), F.when(hot, F.ceil(F.col("__n") / PIECE)).otherwise(1).cast("long").alias("__parts"))
-    return written(df.join(own, score).withColumn("__part", F.pmod(F.xxhash64("weights"), "__parts")).drop("__parts"), "pieces")
+    return written(df.join(own, score).withColumn("__part", F.pmod(F.xxhash64(_weights_in(df)), "__parts")).drop("__parts"), "pieces")
 
 
 def weighted_ranks(df: DataFrame, score: str, name: str) -> DataFrame:
-    """Rows with ``weights`` get ``name``: their mid-rank among a replicate's rows, for each replicate (binary, doubles).
+    """Rows with ``weights`` or ``draws`` get ``name``: twice their mid-rank among a replicate's rows, a whole number, for each replicate (binary, 32 bits).
 
     Pieces of neighbouring scores give one total a replicate; what lies below a piece is a running sum over pieces."""
     own = _in_score_pieces(df, score)
-    keys = ["__piece", "__part"]
+    keys, weights = ["__piece", "__part"], _weights_in(df)
 
     def weighed(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([{"__piece": rows["__piece"].iloc[0], "w": _matrix(rows["weights"]).sum(0, dtype=np.int64)}])
+        return pd.DataFrame([{"__piece": rows["__piece"].iloc[0], "w": _matrix(rows[weights]).sum(0, dtype=np.int64)}])
 
-    parts = own.select(*keys, "weights").groupBy(keys).applyInPandas(weighed, "__piece long, w array<long>").select("__piece", F.posexplode("w").alias("replicate", "w"))
+    parts = own.select(*keys, weights).groupBy(keys).applyInPandas(weighed, "__piece long, w array<long>").select("__piece", F.posexplode("w").alias("replicate", "w"))
     totals = parts.groupBy("__piece", "replicate").agg(F.sum("w").alias("w"))
     below = totals.withColumn("below", F.sum("w").over(W.partitionBy("replicate").orderBy("__piece").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("w"))
     lists = below.groupBy("__piece").agg(F.array_sort(F.collect_list(F.struct("replicate", "below", "w"))).alias("b"))
@@ -327,29 +327,30 @@ def weighted_ranks(df: DataFrame, score: str, name: str) -> DataFrame:
         else:
             value = rows[score].to_numpy()
             starts = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
-            same = np.add.reduceat(_matrix(rows["weights"]).astype(np.float64), starts, axis=0)
+            same = np.add.reduceat(_matrix(rows[weights]).astype(np.float64), starts, axis=0)
             ranks = np.repeat(below + np.cumsum(same, axis=0) - same + (same + 1) / 2, np.diff(np.r_[starts, len(value)]), axis=0)
-        return rows[columns].assign(**{name: [r.tobytes() for r in ranks]})
+        return rows[columns].assign(**{name: [(2 * r).astype("<i4").tobytes() for r in ranks]})
 
     schema = T.StructType([*(own.schema[c] for c in columns), T.StructField(name, T.BinaryType())])
     return own.groupBy(keys).cogroup(lists.groupBy(keys)).applyInPandas(ranked, schema)
 
 
 def weighted_spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """(replicate, value): the rank correlation of each replicate of rows with ``weights``; ranks are those among its own rows."""
-    own = weighted_ranks(weighted_ranks(df.select(a, b, "weights"), a, "__ra"), b, "__rb")
+    """(replicate, value): the rank correlation of each replicate of rows with ``weights`` or ``draws``; ranks are those among its own rows."""
+    weights = _weights_in(df)
+    own = weighted_ranks(weighted_ranks(df.select(a, b, weights), a, "__ra"), b, "__rb")
 
     def summed(batches):
         total = None
-        for batch in batches:
+        for batch in _slices(batches):
             if len(batch):
-                w, x, y = _matrix(batch["weights"]).astype(np.float64), *(np.frombuffer(b"".join(batch[c])).reshape(len(batch), -1) for c in ("__ra", "__rb"))
+                w, x, y = _matrix(batch[weights]).astype(np.float64), *(np.frombuffer(b"".join(batch[c]), dtype="<i4").reshape(len(batch), -1) / 2 for c in ("__ra", "__rb"))
                 part = np.stack([w.sum(0), (w * x).sum(0), (w * y).sum(0), (w * x * y).sum(0), (w * x * x).sum(0), (w * y * y).sum(0)])
                 total = part if total is None else total + part
         if total is not None:
             yield pd.DataFrame(dict(zip(["n", "x", "y", "xy", "xx", "yy"], total, strict=True))).assign(replicate=np.arange(total.shape[1]))
 
-    sums = own.select("weights", "__ra", "__rb").mapInPandas(summed, "n double, x double, y double, xy double, xx double, yy double, replicate int")
+    sums = own.select(weights, "__ra", "__rb").mapInPandas(summed, "n double, x double, y double, xy double, xx double, yy double, replicate int")
     own = sums.groupBy("replicate").agg(*(F.sum(c).alias(c) for c in ("n", "x", "y", "xy", "xx", "yy")))
     n, apart = F.col("n"), lambda c, d: F.col(c) * F.col("n") - F.col(d[0]) * F.col(d[1])
     return own.where(n > 0).select("replicate", F.try_divide(apart("xy", "xy"), F.sqrt(apart("xx", "xx") * apart("yy", "yy"))).alias("value"))
@@ -362,7 +363,7 @@ def rank_association(df: DataFrame, a: str, b: str, strata: list[str], key: str,
     whole = own.agg(F.corr("__ra", "__rb").alias("rho"), F.count("*").alias("n"))
     null = permuted_correlations(own, "__ra", "__rb", strata, key, permutations, seed)
     exceed = null.crossJoin(F.broadcast(whole)).agg(F.sum((F.abs("value") >= F.abs("rho")).cast("long")).alias("exceed"), F.count("value").alias("permutations"))  # one row
-    weights = with_weights(df.select(*{key: 0, a: 0, b: 0, **dict.fromkeys(strata)}), strata, key, replicates, seed)
+    weights = with_draws(df.select(*{key: 0, a: 0, b: 0, **dict.fromkeys(strata)}), strata, key, replicates, seed)
     limits = weighted_spearman(weights, a, b).agg(*(F.percentile("value", F.lit(q)).alias(n) for n, q in (("rho_low", 0.025), ("rho_median", 0.5), ("rho_high", 0.975))))
     folds = spearman(df, a, b, ["outer_fold"]).agg(F.array_sort(F.collect_list(F.struct("outer_fold", "rho"))).alias("f"))
     found = whole.crossJoin(F.broadcast(exceed)).crossJoin(F.broadcast(limits)).crossJoin(F.broadcast(folds))  # one row each

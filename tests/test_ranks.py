@@ -74,3 +74,13 @@ def test_weighted_rank_correlations(spark, monkeypatch, piece):
     assert len(null) == 200 and abs(np.mean(null)) < 0.25 and 0.08 < np.std(null) < 0.2
     tied = resampling.rank_association(df.withColumn("b", df.a * 2), "a", "b", ["s"], "key", 50, 40, 3).first()
     assert tied.rho == pytest.approx(1) and tied.p == 1 / 51 and tied.same_direction_folds == 5 and tied.passed
+
+
+def test_ranks_of_coded_draws_are_those_of_weights_in_four_bytes(spark):
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([("x", str(k), float(rng.integers(20)), float(rng.integers(30))) for k in range(300)], "s string, key string, a double, b double")
+    drawn, plain = resampling.with_draws(df, ["s"], "key", 30, 3), resampling.with_weights(df, ["s"], "key", 30, 3)
+    ranks = resampling.weighted_ranks(drawn.select("a", "b", "draws"), "a", "r").first()
+    assert len(ranks.r) == 4 * 30
+    values = [{r.replicate: r.value for r in resampling.weighted_spearman(x, "a", "b").collect()} for x in (drawn, plain)]
+    assert len(values[0]) == 30 and values[0] == pytest.approx(values[1], abs=1e-12)
