@@ -539,7 +539,7 @@ def test_spans_of_a_replayed_stream_grow_in_number(spark, monkeypatch):
 
     from marlstone.streaming import watermarked
 
-    rows = [("a" if k % 3 else "b", k, float(7 * k), 60.0 if k % 5 else 10.0) for k in range(200)]
+    rows = [("a" if k % 3 else "b", k, 1000.0 + 7 * k, 60.0 if k % 5 else 10.0) for k in range(200)]
     own = spark.createDataFrame(rows, "run string, id long, at double, value double").select("run", "id", F.timestamp_seconds("at").alias("ts"), "value")
     folders, before = [], watermarked.shared_folder
     monkeypatch.setattr(watermarked, "shared_folder", lambda s: folders.append(before(s)) or folders[-1])
