@@ -17,6 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +25,8 @@ from marlstone.operators.quantiles import exact_quantiles
 
 #: The byte of a column or split that a row isn't in; rows handled at a time; a model is settled when its next step gains less.
 ABSENT, ROWS, LEAST_GAIN = 255, 1024, 1e-10
+#: Numbers of a step's largest table; scores that a task sorts at a time; scores of a bucket, and rows that place its edges.
+CELLS, SORTED, BUCKET, PLACING = 1 << 21, 1 << 23, 1 << 17, 64
 
 
 @dataclass
@@ -36,6 +39,7 @@ class Models:
     centre: np.ndarray
     scale: np.ndarray
     theta: np.ndarray
+    shared: Shared | None = None
 
     @property
     def folds(self) -> int:
@@ -147,6 +151,10 @@ def fitted(rows: DataFrame, classes: int, split_of: list[int], c: float = 1.0, s
             if scaled:
                 models.centre[s, fold], models.scale[s, fold] = mean + shift, np.where(deviation > 1e-12 * np.maximum(1, np.abs(mean)), deviation, 1.0)
             weights[at, fold, :classes] = counts.sum(1, keepdims=True) / (classes * counts)
+    parts = [v for k, v in own.items() if k // ABSENT == 0]
+    there, sums, squares = (sum(v[1 + k * p : 1 + (k + 1) * p] for v in parts) for k in range(3))
+    spread = np.sqrt(np.maximum(squares / np.maximum(there, 1) - (sums / np.maximum(there, 1)) ** 2, 0))
+    models.shared = _shared(models, shift, np.where(spread > 1e-12 * np.maximum(1, np.abs(shift)), spread, 1.0), np.flatnonzero(missing))
     _newton(rows, models, weights, c)
     return models
 
@@ -156,30 +164,60 @@ def _width(rows: DataFrame) -> int:
     return first.n if first else 0
 
 
+@dataclass
+class Shared:
+    """One design for all models: values around their means (0 where missing), a column of ones where a value is missing, and 1.
+
+    A fold's own filling, centre and scale are linear in it (``to_own``: split, fold, shared feature, own feature), so products of
+    features are made once a row, whatever the number of models."""
+
+    shift: np.ndarray
+    spread: np.ndarray
+    holes: np.ndarray
+    to_own: np.ndarray
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return np.hstack([np.nan_to_num((x - self.shift) / self.spread), np.isnan(x[:, self.holes]), np.ones((len(x), 1))])
+
+
+def _shared(models: Models, shift: np.ndarray, spread: np.ndarray, holes: np.ndarray) -> Shared:
+    p, (splits, folds) = len(shift), models.fill.shape[:2]
+    to_own = np.zeros((splits, folds, p + len(holes) + 1, p + 1))
+    at = np.arange(p)
+    to_own[:, :, at, at] = spread / models.scale
+    to_own[:, :, p + np.arange(len(holes)), holes] = ((models.fill - shift) / models.scale)[:, :, holes]
+    to_own[:, :, -1, :p] = (shift - models.centre) / models.scale
+    to_own[:, :, -1, p] = 1
+    return Shared(shift, spread, holes, to_own)
+
+
 def _newton(rows: DataFrame, models: Models, weights: np.ndarray, c: float) -> None:
     columns, folds, free, q = models.theta.shape
     upper = [(a, b) for a in range(free) for b in range(a, free)]
-    triangle, first = np.triu_indices(q), models.classes - free
+    shared, first = models.shared, models.classes - free
+    width = shared.to_own.shape[2]
+    triangle = np.triu_indices(width)
 
     def step(x, y, f):
-        for s in range(models.split_of.max() + 1):
-            for fold in range(folds):
-                on = np.flatnonzero((models.split_of == s) & active[:, fold])
-                part = (f[:, s] != ABSENT) & (f[:, s] != fold)
-                if not len(on) or not part.any():
-                    continue
-                z, target = models.design(x[part], s, fold), y[part][:, on]
-                chance = models.probabilities(z, on, fold)
-                w = weights[on, fold][np.arange(len(on)), target]
-                known = np.minimum(target, models.classes - 1)[:, :, None].astype(np.int64)
-                loss = -(w * np.log(np.maximum(np.take_along_axis(chance, known, 2)[:, :, 0], 1e-300))).sum(0)
-                error = chance.copy()
-                np.put_along_axis(error, known, np.take_along_axis(error, known, 2) - 1, 2)
-                slope = np.einsum("nq,njm->jmq", z, (error * w[:, :, None])[:, :, first:])
-                products = z[:, triangle[0]] * z[:, triangle[1]]
-                bends = [(products.T @ (w * chance[:, :, first + a] * ((a == b) - chance[:, :, first + b]))).T for a, b in upper]
-                for k, j in enumerate(on):
-                    yield int(j) * folds + fold, np.concatenate([[loss[k]], slope[k].ravel(), *(h[k] for h in bends)])
+        column, fold = np.nonzero(active)
+        split = models.split_of[column]
+        theta = np.einsum("cuq,cjq->juc", shared.to_own[split, fold], models.theta[column, fold])
+        cells, size = column * folds + fold, max(64, CELLS // (len(upper) * len(column)))
+        for at in range(0, len(x), size):
+            u, target, own = shared(x[at : at + size]), y[at : at + size, column], f[at : at + size, split]
+            w = np.where((own != ABSENT) & (own != fold), weights[column, fold, target], 0.0)
+            logits = [np.zeros_like(w)] * first + [u @ t for t in theta]
+            top = np.maximum.reduce(logits)
+            chance = [np.exp(v - top) for v in logits]
+            total = np.add.reduce(chance)
+            chance = [v / total for v in chance]
+            known = [target == k for k in range(models.classes)]
+            loss = (w * (np.log(total) + top - np.select(known, logits))).sum(0)
+            slope = u.T @ np.hstack([w * (chance[k] - known[k]) for k in range(first, models.classes)])
+            weighed = [w * v for v in chance]
+            bends = (u[:, triangle[0]] * u[:, triangle[1]]).T @ np.hstack([weighed[first + a] * ((a == b) - chance[first + b]) for a, b in upper])
+            found = np.vstack([loss, slope.reshape(width, free, -1).swapaxes(0, 1).reshape(free * width, -1), bends.reshape(-1, len(upper), len(column)).swapaxes(0, 1).reshape(len(upper) * len(bends), -1)])
+            yield from zip(cells.tolist(), np.ascontiguousarray(found.T), strict=True)
 
     penalty = np.tile(np.r_[np.full(q - 1, 1 / c), 0.0], free)
     # adding the same to all intercepts changes nothing: that direction is held
@@ -195,11 +233,12 @@ def _newton(rows: DataFrame, models: Models, weights: np.ndarray, c: float) -> N
             if before and not loss <= before[1] + 1e-12 * abs(before[1]):
                 theta, loss, move, length = *before[:3], before[3] / 2
             else:
-                slope, bend, at = v[1 : 1 + free * q] + penalty * theta, np.zeros((free, q, free, q)), 1 + free * q
+                own, at = shared.to_own[models.split_of[j], fold], 1 + free * width
+                slope, bend = (v[1:at].reshape(free, width) @ own).ravel() + penalty * theta, np.zeros((free, q, free, q))
                 for a, b in upper:
-                    block = np.zeros((q, q))
+                    block = np.zeros((width, width))
                     block[triangle] = v[at : at + len(triangle[0])]
-                    block = block + np.triu(block, 1).T
+                    block = own.T @ (block + np.triu(block, 1).T) @ own
                     bend[a, :, b], bend[b, :, a], at = block, block, at + len(triangle[0])
                 move, length = -np.linalg.solve(bend.reshape(free * q, -1) + np.diag(penalty) + held, slope), 1.0
                 if -(slope @ move) / 2 <= LEAST_GAIN * (1 + abs(loss)):
@@ -261,6 +300,86 @@ def confusions(rows: DataFrame, models: Models) -> DataFrame:
     return found.groupBy("column", "reference_id", "predicted_id").agg(F.sum("n").alias("n"))
 
 
+def _keys(models: Models, wanted: list[int]):
+    """rows -> (column, wanted class) x rows of whole numbers that order like the held-out probabilities rounded to nine places,
+    times two, plus one where the row is of the class; -1 for rows that a column doesn't predict."""
+    columns, folds, free, _ = models.theta.shape
+    own = models.shared.to_own[models.split_of]
+    theta = np.einsum("cfuq,cfjq->jucf", own, models.theta).reshape(free, own.shape[2], -1)
+
+    def run(x, y, f):
+        u, part = models.shared(x), f[:, models.split_of]
+        there = (part < folds) & (y != ABSENT)
+        pick = np.where(there, part, 0)[:, :, None].astype(np.int64)
+        logits = [np.take_along_axis((u @ t).reshape(len(u), columns, folds), pick, 2)[:, :, 0] for t in theta]
+        logits = [np.zeros(there.shape)] * (models.classes - free) + logits
+        top = np.maximum.reduce(logits)
+        chance = [np.exp(v - top) for v in logits]
+        total = np.add.reduce(chance)
+        each = [np.where(there, 2 * np.rint(chance[k] / total * 1e9) + (y == k), -1) for k in wanted]
+        return np.stack(each, axis=2).astype(np.int32).reshape(len(u), -1).T
+
+    return run
+
+
+def aucs(rows: DataFrame, models: Models, wanted: list[int]) -> DataFrame:
+    """(column, class_id, value): mid-rank AUCs of the held-out probabilities of the wanted classes, each against all others; null without one of both sides.
+
+    Tasks sort the scores of many rows and cut them into buckets of neighbouring scores, which move as lists of 32-bit numbers: four
+    bytes a score, fewer where scores repeat. Rows picked at random place the edges of buckets, on which no result depends."""
+    n, width, run = rows.count(), len(wanted), _keys(models, wanted)
+    buckets = -(-n // BUCKET)
+    edges = np.zeros((len(models.split_of) * width, 0), dtype=np.int32)
+    if buckets > 1:
+        some = rows.select("__x", "__y", "__f").sample(fraction=min(1.0, PLACING * buckets / n), seed=1).limit(2 * PLACING * buckets).toPandas()
+        placed = run(*_arrays(some)) if len(some) else edges
+        edges = np.stack([np.quantile(v[v >= 0], np.arange(1, buckets) / buckets, method="lower") if (v >= 0).any() else np.zeros(buckets - 1) for v in placed]).astype(np.int32) // 2 * 2 if len(some) else edges
+    chunk = max(1, SORTED // max(1, len(edges)))
+
+    def packs(keys):
+        out = []
+        for series, own in enumerate(np.sort(keys, axis=1)):
+            own = own[np.searchsorted(own, 0) :]
+            cuts = np.r_[0, np.searchsorted(own, edges[series]), len(own)]
+            for k in np.flatnonzero(np.diff(cuts)):
+                part = own[cuts[k] : cuts[k + 1]]
+                starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+                few = 2 * len(starts) < len(part)
+                out.append((series, int(k), (part[starts] if few else part).tobytes(), np.diff(np.r_[starts, len(part)]).astype(np.int32).tobytes() if few else b""))
+        return pd.DataFrame(out, columns=["series", "bucket", "scores", "times"])
+
+    def cut(batches):
+        kept, size = [], 0
+        for batch in batches:
+            for at in range(0, len(batch), ROWS):
+                kept.append(run(*_arrays(batch.iloc[at : at + ROWS])))
+                size += kept[-1].shape[1]
+                if size >= chunk:
+                    yield packs(np.hstack(kept))
+                    kept, size = [], 0
+        if kept:
+            yield packs(np.hstack(kept))
+
+    def counted(part: pd.DataFrame) -> pd.DataFrame:
+        keys = [np.frombuffer(v, dtype=np.int32) for v in part["scores"]]
+        times = np.concatenate([np.frombuffer(t, dtype=np.int32) if t else np.ones(len(k), dtype=np.int32) for k, t in zip(keys, part["times"], strict=True)]).astype(np.int64)
+        keys = np.concatenate(keys)
+        order = np.argsort(keys, kind="stable")
+        keys, times = keys[order], times[order]
+        starts = np.flatnonzero(np.r_[True, keys[1:] // 2 != keys[:-1] // 2])
+        p, q = (np.add.reduceat(times * side, starts) for side in (keys % 2 == 1, keys % 2 == 0))
+        won = float((p * (2 * (np.cumsum(q) - q) + q)).sum()) / 2
+        return pd.DataFrame({"series": [part["series"].iloc[0]], "bucket": [part["bucket"].iloc[0]], "p": [p.sum()], "q": [q.sum()], "won": [won]})
+
+    packed = rows.select("__x", "__y", "__f").mapInPandas(cut, "series int, bucket int, scores binary, times binary")
+    own = packed.groupBy("series", "bucket").applyInPandas(counted, "series int, bucket int, p long, q long, won double")
+    below = F.sum("q").over(W.partitionBy("series").orderBy("bucket")) - F.col("q")
+    value = F.try_divide(F.sum("won"), F.sum("p").cast("double") * F.sum("q"))
+    found = own.withColumn("won", F.col("won") + F.col("p") * below).groupBy("series").agg(value.alias("value"))
+    class_of = F.element_at(F.array(*(F.lit(k) for k in wanted)), (F.col("series") % width + 1).cast("int"))
+    return found.select(F.floor(F.col("series") / width).cast("int").alias("column"), class_of.alias("class_id"), "value")
+
+
 def coefficients(spark, models: Models, features: list[str]) -> DataFrame:
     """(column, outer_fold, class_id, feature, coef) on scaled features, the intercept as a feature of that name; a row a number."""
     rows = [

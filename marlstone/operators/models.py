@@ -147,9 +147,7 @@ def fold_identification(df: DataFrame, features: list[str], folds: int, permutat
 
     dealt = dealt.select(F.array(*(F.col(c).cast("double") for c in features)).alias("__x"), "code", "permuted")
     rows = written(dealt.mapInPandas(parted, "__x array<double>, __y binary, __f binary"), "packed")
-    scored = L.predicted(rows, L.fitted(rows, folds, list(range(permutations + 1))), [])
-    each = scored.select(F.col("column").alias("replicate"), "target", F.posexplode("probs").alias("class_id", "score"))
-    aucs = _replicate_aucs(each.select("replicate", "class_id", "score", (F.col("target") == F.col("class_id")).alias("positive")), ["replicate", "class_id"])
+    aucs = L.aucs(rows, L.fitted(rows, folds, list(range(permutations + 1))), list(range(folds))).withColumnRenamed("column", "replicate")
     found = _against_null(aucs.groupBy("replicate").agg(F.avg("value").alias("value")), [])
     return found.select(F.col("observed").alias("macro_auc"), "p", "permutations", F.col("null_mean").alias("null_auc_mean"), ((F.col("observed") >= least_auc) & (F.col("p") <= alpha)).alias("passed"))
 

@@ -160,3 +160,26 @@ def test_paired_ladder(spark, table):
     pick = lambda m: own.where(F.col("model_id") == m)
     low, high, n, observed, share = resampling.paired_macro_f1(pick("C0"), pick("C2"), 3, 300, 5).first()
     assert abs(observed - found["C0", "C2"].observed) < 1e-12 and abs(low - found["C0", "C2"].low) < 0.03 and abs(high - found["C0", "C2"].high) < 0.03
+
+
+@pytest.mark.parametrize("bucket", [1 << 17, 40])
+def test_aucs_of_all_columns_come_from_packed_scores(spark, table, monkeypatch, bucket):
+    df, x, y, folds = table
+    monkeypatch.setattr(logistic, "BUCKET", bucket)
+    monkeypatch.setattr(logistic, "SORTED", 500)
+    rng, n = np.random.default_rng(9), len(y)
+    targets = np.stack([y, rng.permutation(y), np.where(np.arange(n) % 3 == 0, logistic.ABSENT, y)], 1).astype(np.uint8)
+    splits = np.stack([folds, rng.permutation(folds), np.where(np.arange(n) % 3 == 0, logistic.ABSENT, folds)], 1).astype(np.uint8)
+    # values of one digit: many people have equal scores
+    rows = spark.createDataFrame([(i, [None if np.isnan(v) else float(v) for v in np.round(x[i] / [1, 10, 0.1])], bytearray(targets[i].tobytes()), bytearray(splits[i].tobytes())) for i in range(n)], "i int, __x array<double>, __y binary, __f binary").repartition(3)
+    fits = logistic.fitted(rows, 3, [0, 1, 2])
+    found = {(r.column, r.class_id): r.value for r in logistic.aucs(rows, fits, [0, 2]).collect()}
+    each = logistic.predicted(rows, fits, []).select("column", "target", F.posexplode("probs").alias("class_id", "score")).where("class_id != 1")
+    want = metrics.auc_of(metrics.score_counts(each, F.col("score"), F.col("target") == F.col("class_id"), ["column", "class_id"]), ["column", "class_id"]).collect()
+    assert len(found) == len(want) == 6 and all(abs(found[r.column, r.class_id] - r.auc) < 1e-9 for r in want)
+
+
+def test_fold_identification_makes_no_row_per_person_and_replicate(table, monkeypatch):
+    df, *_ = table
+    monkeypatch.setattr(logistic, "predicted", None)
+    assert models.fold_identification(df, ["a"], 5, 3, 3).first().permutations == 3
