@@ -173,18 +173,21 @@ def error_predictability(df: DataFrame, gate: DataFrame, features: list[str], pe
     width = permutations + 1
     models = L.fitted(rows, 2, [k for k in range(3) for _ in range(width)])
     target = F.element_at(F.array(*(F.lit(t) for t in ERROR_TARGETS)), F.floor(F.col("column") / width).cast("int") + 1)
-    scored = L.predicted(rows, models, ["person_key", "outer_fold", "reference"]).select(
-        "person_key", "outer_fold", "reference", target.alias("error_target"), (F.col("column") % width).alias("replicate"), (F.col("target") == 1).alias("positive"), F.element_at("probs", 2).alias("score")
+    scored = L.predicted(rows, models, ["person_key", "outer_fold", "reference"], [k * width for k in range(3)]).select(
+        "person_key", "outer_fold", "reference", target.alias("error_target"), (F.col("target") == 1).alias("positive"), F.element_at("probs", 2).alias("score")
     )
     scored = written(scored, "scored")
-    null = _against_null(_replicate_aucs(scored, ["error_target", "replicate"]), ["error_target"])
-    observed = scored.where("replicate = 0").withColumn("predicted", F.col("score") >= 0.5)
+    values = L.aucs(rows, models, [1]).select(target.alias("error_target"), (F.col("column") % width).alias("replicate"), "value")
+    null = _against_null(values, ["error_target"])
+    observed = scored.withColumn("predicted", F.col("score") >= 0.5)
     metrics = M.gate_metrics(observed, ["error_target"]).where(F.col("metric").isin("pr_auc", "balanced_accuracy", "macro_f1")).groupBy("error_target").pivot("metric", ["pr_auc", "balanced_accuracy", "macro_f1"]).agg(F.first("value"))
     by_fold = _replicate_aucs(observed, ["error_target", "outer_fold"])
     folds = by_fold.groupBy("error_target").agg(F.array_sort(F.collect_list(F.struct("outer_fold", "value"))).alias("f"), F.every(F.col("value").isNotNull()).alias("all_folds_estimable"), F.sum(F.coalesce(F.col("value") >= least_fold_auc, F.lit(False)).cast("long")).alias("folds_passing"))
     folds = folds.withColumn("fold_auc", F.transform("f", lambda x: x["value"])).drop("f")
-    weights = with_draws(rows.select("person_key", "outer_fold", "reference"), ["outer_fold", "reference"], "person_key", replicates, seed).select("person_key", "draws")
-    values = R.weighted_auc(observed.select("person_key", "error_target", "score", "positive").join(weights, "person_key").drop("person_key"), ["error_target"])
+    # a person's scores go with it while it is drawn: rows with draws aren't joined
+    people = scored.groupBy("person_key", "outer_fold", "reference").agg(F.collect_list(F.struct("error_target", "score", "positive")).alias("each"))
+    drawn = with_draws(people, ["outer_fold", "reference"], "person_key", replicates, seed)
+    values = R.weighted_auc(drawn.select("draws", F.explode("each").alias("x")).select("x.*", "draws"), ["error_target"])
     limits = values.groupBy("error_target").agg(*(F.percentile("value", F.lit(q)).alias(n) for n, q in (("auc_low", 0.025), ("auc_median", 0.5), ("auc_high", 0.975))))
     counts = observed.groupBy("error_target").agg(F.count("*").alias("patients"), F.sum(F.col("positive").cast("long")).alias("errors"))
     found = null.drop("null_p95").withColumnsRenamed({"observed": "roc_auc", "null_mean": "null_auc_mean"})

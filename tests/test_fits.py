@@ -183,3 +183,12 @@ def test_fold_identification_makes_no_row_per_person_and_replicate(table, monkey
     df, *_ = table
     monkeypatch.setattr(logistic, "predicted", None)
     assert models.fold_identification(df, ["a"], 5, 3, 3).first().permutations == 3
+
+
+def test_error_scores_are_written_of_the_observed_targets_only(table, monkeypatch):
+    df, _, y, _ = table
+    rows, write = {}, models.written
+    monkeypatch.setattr(models, "written", lambda d, name: rows.setdefault(name, write(d, name)))
+    gate = df.select("person_key", (F.col("one") == 1).alias("positive"), (F.crc32("person_key") % 3 > 0).alias("predicted"))
+    assert models.error_predictability(df, gate, ["a"], 5, 20, 5).count() == 3
+    assert rows["scored"].count() == 2 * len(y)
