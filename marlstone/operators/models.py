@@ -97,10 +97,12 @@ def presence_design(people: DataFrame, presence: DataFrame, categories: list[str
 
 def presence_models(people: DataFrame, presence: DataFrame, sets: dict[str, list[str]], k: int) -> tuple[DataFrame, DataFrame]:
     """Predictions (with ``feature_set``) and coefficients (feature_set, outer_fold, class_id, feature, coef) of classifiers that
-    see nothing but which categories a person has; features aren't scaled."""
-    predictions, tables = [], []
+    see nothing but which categories a person has; features aren't scaled. People are brought together with what they have once for
+    all sets."""
+    predictions, tables, every = [], [], sorted({c for own in sets.values() for c in own})
+    whole = written(presence_design(people, presence, every), "presence")
     for name, categories in sets.items():
-        rows = written(presence_design(people, presence, categories), "presence")
+        rows = whole.withColumn("__x", F.array(*(F.col("__x")[every.index(c)] for c in categories)))
         models = L.fitted(rows, k, [0], scaled=False)
         predictions.append(L.predicted(rows, models, people.columns).drop("column", "target").withColumn("feature_set", F.lit(name)))
         tables.append(L.coefficients(people.sparkSession, models, categories).drop("column").withColumn("feature_set", F.lit(name)))

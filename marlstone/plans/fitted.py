@@ -51,17 +51,19 @@ def presence(spark, d):
     """Customers, and which brands (anatomy) and types (finding) the parts of their orders have."""
     own = outer_folds(B.people(spark, d), 5, B.SEED).select("person_key", "outer_fold", "diagnosis_id")
     part = B.table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.explode(F.array(F.struct(F.lit("anatomy").alias("role"), F.col("p_brand").alias("category")), F.struct(F.lit("finding").alias("role"), F.col("p_type").alias("category")))).alias("c"))
-    orders = B.table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.concat(F.lit("P"), F.col("o_custkey").cast("string")).alias("person_key"))
-    had = written(B.table(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(orders, "l_orderkey").join(part, "l_partkey").select("person_key", "c.*").distinct(), "had")
+    orders = B.table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    had = B.table(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(orders, "l_orderkey").join(part, "l_partkey").select("o_custkey", "c.*").distinct()
+    had = written(had.select(F.concat(F.lit("P"), F.col("o_custkey").cast("string")).alias("person_key"), "role", "category"), "had")
     names = {r.role: sorted(r.c) for r in had.groupBy("role").agg(F.collect_set("category").alias("c")).collect()}  # the categories' dictionary
     sets = {"all": sorted([*names["anatomy"], *names["finding"]]), "anatomy": names["anatomy"], "finding": names["finding"]}
     predictions, table = models.presence_models(written(own, "people"), had.select("person_key", "category"), sets, len(B.SEGMENTS))
-    return written(_as_predictions(predictions), "predictions"), table, sets
+    return _as_predictions(predictions), table, sets
 
 
 @book("h4_presence_classifier")
 def presence_classifier(spark, d):
     found, _, sets = presence(spark, d)
+    found = written(found, "predictions")
     k, by = len(B.SEGMENTS), ["feature_set"]
     rows = [M.evaluate(found, k, by).select("feature_set", "metric", "value")]
     folds = R.macro_f1(M.confusion(found, k, [*by, "outer_fold"]), k, [*by, "outer_fold"])

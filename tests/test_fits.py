@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.operators import logistic, metrics, models
+from marlstone.plans import fitted
 
 
 def plain_fit(x, y, k, scaled=True, median=True):
@@ -192,3 +193,16 @@ def test_error_scores_are_written_of_the_observed_targets_only(table, monkeypatc
     gate = df.select("person_key", (F.col("one") == 1).alias("positive"), (F.crc32("person_key") % 3 > 0).alias("predicted"))
     assert models.error_predictability(df, gate, ["a"], 5, 20, 5).count() == 3
     assert rows["scored"].count() == 2 * len(y)
+
+
+def test_presence_of_all_sets_is_gathered_once_and_coefficients_need_no_predictions(spark, table, monkeypatch):
+    df, *_ = table
+    people, made, write = df.select("person_key", "outer_fold", "diagnosis_id"), [], models.written
+    presence = df.select("person_key", F.explode(F.array(F.concat(F.lit("a"), F.crc32("person_key") % 3), F.concat(F.lit("b"), F.crc32("person_key") % 4))).alias("category"))
+    monkeypatch.setattr(models, "written", lambda d, name: made.append(name) or write(d, name))
+    monkeypatch.setattr(fitted, "written", lambda d, name: made.append(name) or write(d, name))
+    sets = {"all": ["a0", "a1", "a2", "b0", "b1", "b2", "b3"], "few": ["b2", "a1"]}
+    _, coefs = models.presence_models(people, presence, sets, 3)
+    assert made == ["presence"] and {(r.feature_set, r.feature) for r in coefs.collect()} == {(k, c) for k, v in sets.items() for c in [*v, "intercept"]}
+    made.clear()
+    assert fitted.presence_coefficients(spark, "/root/testdata/sf0.001").count() and "predictions" not in made
