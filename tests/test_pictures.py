@@ -46,7 +46,7 @@ def test_files_are_dealt_out_by_number_and_bytes(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", ["f1_pixel_statistics", "a19_image_source"])
+@pytest.mark.parametrize("name", ["f1_pixel_statistics", "a19_image_source", "e7_border_fill"])
 def test_the_driver_lists_no_pictures(spark, monkeypatch, name):
     sources, form = [], DataFrameReader.format
     monkeypatch.setattr(DataFrameReader, "format", lambda self, source: sources.append(source) or form(self, source))
